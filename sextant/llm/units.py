@@ -88,6 +88,7 @@ class Words:
         if len(data):
             edge[1:-1] = ~solid[:-1]
             edge[texts.bounds] = True
+        self.data = texts.data
         self.start = np.flatnonzero(solid & edge[:-1])
         last = np.ones(len(data), bool)
         if len(data):
