@@ -30,3 +30,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrase_automata import drop_repeated_words
 
     return drop_repeated_words(table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, at_least=75).select("doc_id", "n_shingles", "component_id")
