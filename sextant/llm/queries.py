@@ -37,3 +37,24 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, at_least=75).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op4_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tables import scratch_dir
+    from .token_store import read_store, write_store
+
+    store = scratch_dir(spark)
+    write_store(table(spark, sf_dir, "documents"), store, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_store(spark, store, keep_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
