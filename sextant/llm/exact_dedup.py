@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import NULL_ID, salted, written
+from .tables import NULL_ID, salted, without, written
 
 #: Digests of a shard, rows that one task looks up in one shard, bits a key at each level, bytes of a slot.
 SHARD_DIGESTS, SHARD_ROWS, GAMMA, SLOT = 20_000, 100_000, 2, 48
@@ -180,9 +180,9 @@ def add(history: History | None, rows: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid (the id; NULL_ID for null) and digest (SHA-256) of every row; null text counts as empty."""
+    """rid (the id; NULL_ID for null), digest (SHA-256) and rt (a short hash) of every row; null text counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("rid"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("rid"), F.unhex(F.sha2(text, 256)).alias("digest"), F.hash(text).alias("rt"))
 
 
 def drop_copies(docs: DataFrame, history: History | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, History]:
@@ -200,3 +200,11 @@ def drop_copies(docs: DataFrame, history: History | None = None, id_col: str = "
     rows = written(digests(docs, id_col, text_col))
     new = History.build(add(history, rows))
     return new.verdicts(rows), new
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each group of equal texts; which one and odd cases: see `drop_copies`."""
+    rows = written(digests(docs, id_col, text_col))
+    lost = History.build(add(None, rows)).verdicts(rows).where("not kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("rid"), F.unhex("text_sha256").alias("digest"))
+    lost = lost.join(rows.select("rid", "digest", "rt"), ["rid", "digest"])
+    return without(docs, lost.select(F.col("rid").alias("rd"), "rt"), id_col, text_col)

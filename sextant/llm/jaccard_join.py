@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .tables import keyed_texts, written
+from .tables import keyed_texts, small_side, without, written
 from .units import Rolling, Texts, mix, slices
 
 #: Documents of one packed bucket, roughly; the number of buckets grows with the table.
@@ -283,9 +283,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, at_least: int = 75, id_co
     classes = written(classes)
     enough = F.floor(_least(F.col("n"), at_least) / 10) + 1
     wanted = written(classes.where(F.col("shared") >= enough).select("one.rd", "one.rt", F.col("s1").alias("node"), "n"))
-    if wanted.count() <= 1 << 19:  # 24 bytes a row
-        wanted = F.broadcast(wanted)
-    sets = texts.join(wanted, ["rd", "rt"]).select("node", "n", "text").mapInArrow(_tokens(shingle), "node long, n int, tokens array<long>").dropDuplicates(["node"])
+    sets = texts.join(small_side(wanted), ["rd", "rt"]).select("node", "n", "text").mapInArrow(_tokens(shingle), "node long, n int, tokens array<long>").dropDuplicates(["node"])
     labels = linked_sets(sets, at_least)
     named = classes.join(labels.select(F.col("node").alias("s1"), "label"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
     names = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
@@ -293,3 +291,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, at_least: int = 75, id_co
     return rows.join(named, ["n", "s1", "s2"], "left").select(
         "doc_id", "rd", "rt", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, at_least: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each component of `near_duplicates`: the smallest id."""
+    found = near_duplicates(docs, shingle, at_least, id_col, text_col)
+    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), id_col, text_col)

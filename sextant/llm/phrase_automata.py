@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import list_column, marked, merge_spans, open_anchors, refine, spans_by_text, unpack_place, whole_spans
-from .tables import keyed_texts
+from .tables import NULL_ID, keyed_texts
 from .units import Rolling, Texts, Words, slices
 
 #: Contexts of one automaton, and words of a phrase.
@@ -96,8 +96,13 @@ def _shard(batches: list[pa.RecordBatch], window: int, gram: int) -> pa.RecordBa
     if len(passages):
         passages.make_automaton()
         for i in np.flatnonzero(ask).tolist():
+            covered: list[tuple[int, int]] = []  # apart and ascending; matches come by their ends
             for end_at, length in passages.iter(tuple(numbers[bounds[i] : bounds[i + 1]].tolist())):
-                found.append((i, end_at + 1 - length, end_at + 1))
+                begin = end_at + 1 - length
+                while covered and covered[-1][1] >= begin:
+                    begin = min(begin, covered.pop()[0])
+                covered.append((begin, end_at + 1))
+            found += [(i, a, b) for a, b in covered]
     i, s, e = np.array(found, np.int64).reshape(-1, 3).T
     base = pos[i] - left[i]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (rd[i], rt[i], base + s, base + e)], names=["rd", "rt", "s", "e"])
@@ -157,14 +162,14 @@ def repeated_spans(texts: DataFrame, window: int = 35, phrase: int = PHRASE, gro
     return whole_spans(found, window).unionByName(spans)
 
 
-_CUT = "doc_id long, text string, spans array<struct<s: long, e: long>>, n_words long, n_removed long, kept_sha256 string, rt int"
-_CUT_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("rt", pa.int32())])
+_CUT = "text string, spans array<struct<s: long, e: long>>, n_words long, n_removed long, kept_sha256 string"
+_CUT_ARROW = pa.schema([("text", pa.string()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, (s, e) = list_column(batch.column("spans"), ["s", "e"])
-        ids, rt = batch.column("doc_id").to_pylist(), batch.column("rt").to_pylist()
+        carried = [c for c in batch.schema.names if c not in ("text", "spans")]
         for part in slices(batch.column("text")):
             out = []
             for i in range(len(part)):
@@ -176,23 +181,31 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kept += words[done:a]
                     done = b
                 kept = b" ".join(kept + words[done:])
-                out.append({"doc_id": ids[part.first + i], "text": kept.decode(), "spans": [{"s": a, "e": b} for a, b in zip(start.tolist(), end.tolist())], "n_words": len(words), "n_removed": int((end - start).sum()), "kept_sha256": hashlib.sha256(kept).hexdigest(), "rt": rt[part.first + i]})
-            yield pa.RecordBatch.from_pylist(out, _CUT_ARROW)
+                out.append({"text": kept.decode() if len(start) else part.data[part.bounds[i] : part.bounds[i + 1]].tobytes().decode(), "spans": [{"s": a, "e": b} for a, b in zip(start.tolist(), end.tolist())], "n_words": len(words), "n_removed": int((end - start).sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()})
+            own = [batch.column(c).slice(part.first, len(part)) for c in carried]
+            yield pa.RecordBatch.from_arrays([*own, *pa.RecordBatch.from_pylist(out, _CUT_ARROW).columns], names=[*carried, *_CUT_ARROW.names])
 
 
-def drop_repeated_words(docs: DataFrame, window: int = 35, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text", group_limit: int = 1 << 16) -> DataFrame:
+def drop_repeated_words(docs: DataFrame, window: int = 35, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text", group_limit: int = 1 << 16, carry: list[str] | None = None) -> DataFrame:
     """Each document without the words of passages that recur.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged.  A word goes when a window of
     `window` words that covers it also starts anywhere else, in the same
-    document or another; every copy goes.  Returns doc_id, text (the words left,
-    joined by one space), spans (s, e; maximal, in words), n_words, n_removed,
-    kept_sha256 and rt (a hash of the input text).
+    document or another; every copy goes.  Returns doc_id, the columns named in
+    carry as they are, text (unchanged where nothing goes, else the words left,
+    joined by one space), spans (s, e; maximal, in words), n_words, n_removed
+    and kept_sha256 (of the words left, joined by one space).
 
     Null text counts as empty.  Rows are documents: rows that repeat count as
     copies of each other, null ids are kept.  Texts under `window` words keep
-    all words, an empty table gives an empty result, other columns aren't read.
+    all words, an empty table gives an empty result; columns that aren't named
+    aren't read, and those carried can have any name but text and those above.
     """
     texts = keyed_texts(docs, id_col, text_col)
     spans = spans_by_text(repeated_spans(texts, window, phrase, group_limit))
-    return texts.join(spans, ["rd", "rt"], "left").select("doc_id", "text", "spans", "rt").mapInArrow(_cut, _CUT)
+    if carry:
+        texts = docs.select(*carry, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        texts = texts.withColumns({"rd": F.coalesce("doc_id", F.lit(NULL_ID)), "rt": F.hash("text")})
+    rows = texts.join(spans, ["rd", "rt"], "left").select("doc_id", *(carry or []), "text", "spans")
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("text", "spans")]
+    return rows.mapInArrow(_cut, ", ".join([*kept, _CUT]))

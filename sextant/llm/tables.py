@@ -58,3 +58,29 @@ def salted(shards: DataFrame, rows: DataFrame, key: str, most: int, spread: Colu
     left = shards.join(sizes, key).select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).drop("salts")
     right = rows.join(sizes, key).withColumn("salt", F.pmod(spread, F.col("salts")).cast("int")).drop("salts")
     return left, right
+
+
+#: Rows of ids that are broadcast at most; beyond it, joins shuffle. An id row takes about 50 bytes.
+BROADCAST_ROWS = 1 << 19
+
+
+def small_side(rows: DataFrame) -> DataFrame:
+    """The rows (a written table of ids), marked for broadcast only when counted and few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without rows whose (rd, rt) of `keyed_texts` is in dropped; of rows that repeat id and text, one stays.
+
+    Ids of what is dropped are sent to the documents, not documents to them,
+    while they are few.
+    """
+    names = docs.columns
+    keyed = docs.withColumns({"__rd": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__rt": F.hash(F.coalesce(F.col(text_col), F.lit("")))})
+    gone = dropped.select(F.col("rd").alias("__rd"), F.col("rt").alias("__rt")).distinct()
+    kept = keyed.join(small_side(written(gone)), ["__rd", "__rt"], "left_anti")
+    twice = small_side(written(keyed.groupBy("__rd", "__rt").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")))
+    if not twice.isEmpty():
+        more = kept.join(twice, ["__rd", "__rt"], "left_semi").dropDuplicates(["__rd", "__rt", text_col])
+        kept = kept.join(twice, ["__rd", "__rt"], "left_anti").unionByName(more)
+    return kept.select(*names)
