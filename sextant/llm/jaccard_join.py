@@ -124,7 +124,7 @@ def _send(shingle: int, at_least: int, bits: int):
                 edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
                 full = np.flatnonzero(np.diff(edges))
                 yield _rows(
-                    batch.num_rows, bucket=np.full(batch.num_rows, batch_id % (1 << bits)), batch=np.full(batch.num_rows, batch_id), doc_id=batch.column("doc_id"), rd=batch.column("rd"), rt=batch.column("rt"),
+                    batch.num_rows, bucket=np.full(batch.num_rows, (batch_id ^ batch_id >> 32) % (1 << bits)), batch=np.full(batch.num_rows, batch_id), doc_id=batch.column("doc_id"), rd=batch.column("rd"), rt=batch.column("rt"),
                     n=n, s1=s1.view(np.int64), s2=s2.view(np.int64), idx=np.arange(batch.num_rows), shared=shared,
                 )
                 yield _rows(
@@ -136,7 +136,7 @@ def _send(shingle: int, at_least: int, bits: int):
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets, one behind the other -> the rows of texts as they are, and for others how many shingles they share."""
+    """Buckets, one behind the other -> the rows of texts as they are, and a row for each batch in a bucket with how many shingles which texts share."""
     held: list[tuple[int, bytes, bytes]] = []
     now = None
 
@@ -153,8 +153,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = np.cumsum(head) - 1
         hit = (np.bincount(run)[run] > 1) & (owner != _LOCAL)
         key, n = np.unique(which[hit] << 16 | owner[hit], return_counts=True)
-        if len(key):
-            yield _rows(len(key), batch=np.array([b for b, _, _ in held], np.int64)[key >> 16], idx=key & 0xFFFF, shared=n)
+        edges = np.searchsorted(key >> 16, np.arange(len(held) + 1))
+        full = np.flatnonzero(np.diff(edges))
+        if len(full):
+            yield _rows(
+                len(full), batch=[held[i][0] for i in full], tokens=[n[edges[i] : edges[i + 1]].astype("<u4").tobytes() for i in full],
+                owners=[(key[edges[i] : edges[i + 1]] & 0xFFFF).astype("<u2").tobytes() for i in full],
+            )
 
     for batch in batches:
         texts = batch.filter(batch.column("tokens").is_null())
@@ -170,13 +175,40 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from count()
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's rows of texts and its counts from all buckets, one batch behind the other -> the rows of texts with their sums."""
+    held: list[pa.RecordBatch] = []
+
+    def total() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        counts = rows.filter(rows.column("tokens").is_valid())
+        texts = rows.filter(rows.column("tokens").is_null())
+        shared = np.zeros(1 << 16, np.int64)
+        for n, who in zip(counts.column("tokens").to_pylist(), counts.column("owners").to_pylist()):
+            shared[np.frombuffer(who, "<u2")] += np.frombuffer(n, "<u4")
+        own = texts.column("shared").to_numpy() + shared[texts.column("idx").to_numpy()]
+        names = ["doc_id", "rd", "rt", "n", "s1", "s2"]
+        return pa.RecordBatch.from_arrays([*(texts.column(c).combine_chunks() for c in names), pa.array(own, pa.int64())], names=[*names, "shared"])
+
+    for batch in batches:
+        key = batch.column("batch").to_numpy()
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if held and held[-1].column("batch")[0].as_py() != key[a]:
+                yield total()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield total()
+
+
 def shingle_sets(texts: DataFrame, shingle: int, at_least: int, bits: int) -> DataFrame:
     """A row for each row of texts: doc_id, rd, rt, n (set size), s1, s2 (the set's fingerprint), shared (first shingles that others share)."""
     sent = texts.select("doc_id", "rd", "rt", "text").mapInArrow(_send(shingle, at_least, bits), _SENT)
     counted = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted, _SENT)
-    counted = written(counted.drop("bucket", "tokens", "owners"))
-    most = [F.max(c).alias(c) for c in ("doc_id", "rd", "rt", "n", "s1", "s2")]
-    return counted.groupBy("batch", "idx").agg(*most, F.sum("shared").alias("shared")).drop("batch", "idx")
+    return counted.repartition("batch").sortWithinPartitions("batch").mapInArrow(_summed, "doc_id long, rd long, rt int, n int, s1 long, s2 long, shared long")
 
 
 def _tokens(shingle: int):
