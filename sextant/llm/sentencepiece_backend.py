@@ -15,6 +15,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -140,8 +141,9 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """(ids as little-endian 32-bit integers, whether sentencepiece gives the same) for each text."""
         split = [self.units(self.model.normalised(t)) for t in texts]
-        if len(self.known) > MEMORY_UNITS:
+        if len(self.known) > 2 * MEMORY_UNITS:
             self.known.clear()
+            self.odd.clear()
         if new := {u for units in split for u in units if u not in self.known}:
             self._learn(sorted(new))
         return [(b"".join(map(self.known.__getitem__, units)), not self.odd or self.odd.isdisjoint(units)) for units in split]
@@ -151,6 +153,12 @@ class Codec:
         return text.removeprefix(" ") if self.model.dummy_prefix else text
 
 
+@lru_cache(maxsize=1)
+def opened(path: str) -> Codec:
+    """A worker keeps its codec, and what it remembers, from task to task."""
+    return Codec(path)
+
+
 _ENCODED = "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean, ids binary"
 
 
@@ -162,7 +170,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path)
+        codec = opened(model_path)
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 rows = batch.slice(begin, 256)
@@ -183,7 +191,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     """doc_id, text from ids as `encode` gives them; null ids give an empty text."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path)
+        codec = opened(model_path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([codec.decode(x or b"") for x in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 

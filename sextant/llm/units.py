@@ -115,6 +115,7 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         j = min(j, n)
         yield Texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i)
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
