@@ -5,6 +5,381 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import audit, graph, markup, orders, ranking, retrieval, revisions, slots
+from . import oracle as O
+from .fixtures import table, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+DATES = ["1996-06-30", "1998-01-01", "2024-01-01"]
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "fx_queries")
+
+
+# Retrieval
+
+
+@query(O.BM25 + "SELECT qid, doc_id, score, rank FROM bm25")
+def bm25_topk(spark, d):
+    return retrieval.bm25(_asked(spark, d), _corpus(spark, d))
+
+
+@query(O.BM25 + O.TFIDF + "SELECT qid, doc_id, score, rank FROM tfidf")
+def tfidf_topk(spark, d):
+    return retrieval.tfidf(_asked(spark, d), _corpus(spark, d))
+
+
+@query(O.BM25 + O.TFIDF + O.FUSED + "SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 10")
+def rrf_fusion(spark, d):
+    q, c = _asked(spark, d), _corpus(spark, d)
+    return retrieval.fused(retrieval.bm25(q, c), retrieval.tfidf(q, c), k=10).select("qid", "doc_id", "score", "rank")
+
+
+@query(O.TOKENS + "SELECT doc_id, len(words) AS tokens, len(list_distinct(words)) AS different, array_to_string(words[1:5], ' ') AS head FROM docs")
+def tokenise(spark, d):
+    words = _corpus(spark, d).select("doc_id", T.tokens(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size("w").cast("long").alias("tokens"), F.size(F.array_distinct("w")).cast("long").alias("different"), F.array_join(F.slice("w", 1, 5), " ").alias("head"))
+
+
+# Citations and dates
+
+
+@query(with_views("fx_citations") + r""" SELECT cite_id, regexp_replace(upper(trim(raw)), '[\s()/:\-_]+', '', 'g') AS lookup, regexp_replace(regexp_replace(raw, '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS node,
+    regexp_replace(raw, '(?i)^IS(/ISO|/IEC)?\s*', '') AS bare, trim(split_part(raw, ':', 1)) AS base, CAST(coalesce(nullif(regexp_extract(raw, ':\s*(\d{4})', 1), ''), nullif(regexp_extract(raw, '\b((?:19|20)\d{2})\b', 1), '')) AS INT) AS year FROM fx_citations""")
+def canonical_key(spark, d):
+    raw = F.col("raw")
+    return view(spark, d, "fx_citations").select("cite_id", T.canonical_key(raw).alias("lookup"), T.node_id(raw).alias("node"), T.bare_number(raw).alias("bare"), T.base_designator(raw).alias("base"), T.year_of(raw).alias("year"))
+
+
+@query(O.CITATION_FORMS)
+def normalise_citation(spark, d):
+    return view(spark, d, "fx_citations").select("cite_id", T.normalise_citation(F.col("raw")).alias("citation"))
+
+
+@query(with_views("fx_orders") + " SELECT order_id, CASE WHEN order_no % 6 = 4 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS effective FROM fx_orders")
+def date_parse(spark, d):
+    return view(spark, d, "fx_orders").select("order_id", T.parse_date(F.col("effective_raw")).alias("effective"))
+
+
+@query("""SELECT c_custkey, CASE WHEN length(regexp_replace(c_name, '[^0-9]', '', 'g')) >= 7 THEN substr(regexp_replace(c_name, '[^0-9]', '', 'g'), 1, 7) END AS licence,
+    CASE WHEN length(regexp_replace(c_name, '[^0-9]', '', 'g')) >= 7 THEN CAST(list_sum([CAST(substr(regexp_replace(c_name, '[^0-9]', '', 'g'), CAST(i AS INT), 1) AS INT) * i FOR i IN range(1, 8)]) % 7 AS INT) END AS checksum FROM customer""")
+def licence_lookup(spark, d):
+    key = T.licence_key(F.col("c_name"))
+    return table(spark, d, "customer").select("c_custkey", key.alias("licence"), F.when(key.isNotNull(), T.weighted_checksum(key)).cast("int").alias("checksum"))
+
+
+@query("SELECT doc_id, lower(text) LIKE '%the%' AS has_keyword, length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) / greatest(1, length(text)) < 0.05 AS mostly_ascii, 'en' AS script, 'en-IN' AS locale FROM documents")
+def script_lang(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", T.any_of(F.lower(t), ["the"]).alias("has_keyword"), T.mostly_ascii(t).alias("mostly_ascii"), T.script(t).alias("script"), T.script(t, T.LOCALES, "en-IN").alias("locale"))
+
+
+@query(with_views("fx_catalog") + " SELECT item_id, array_to_string(list_distinct_ordered, ' ') AS words FROM (SELECT item_id, list_filter(keywords, lambda x, i: x <> '' AND list_position(keywords, x) = i) AS list_distinct_ordered FROM fx_catalog)")
+def clean_list(spark, d):
+    return view(spark, d, "fx_catalog").select("item_id", F.array_join(T.clean_list(F.col("keywords")), " ").alias("words"))
+
+
+# Orders
+
+
+_STATUS = f"""dates AS (SELECT unnest([DATE '{"', DATE '".join(DATES)}']) AS evaluation_date),
+status AS (SELECT *, CASE WHEN order_no % 6 = 5 THEN 'RESCINDED' WHEN effective_date IS NULL THEN 'UNVERIFIED_EFFECTIVE_DATE' WHEN effective_date <= evaluation_date THEN 'MANDATORY_IN_FORCE' ELSE 'PENDING_FUTURE_DATE' END AS temporal_status
+  FROM (SELECT *, CASE WHEN order_no % 6 = 4 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS effective_date FROM fx_orders) CROSS JOIN dates)"""
+_GOVERNING = _STATUS + """, placed AS (SELECT *, row_number() OVER (PARTITION BY item_id, evaluation_date ORDER BY CASE temporal_status WHEN 'MANDATORY_IN_FORCE' THEN 4 WHEN 'PENDING_FUTURE_DATE' THEN 3 WHEN 'UNVERIFIED_EFFECTIVE_DATE' THEN 2 ELSE 0 END DESC,
+  effective_date DESC NULLS LAST, order_no) AS place, count(*) OVER (PARTITION BY item_id, evaluation_date) AS orders FROM status),
+names AS (SELECT item_id, evaluation_date, count(DISTINCT order_name) - 1 AS competing FROM status GROUP BY ALL)"""
+
+
+def _status(spark, d):
+    dates = spark.createDataFrame([(x,) for x in DATES], "d string").select(F.to_date("d").alias("evaluation_date"))
+    return orders.status_asof(view(spark, d, "fx_orders"), dates)
+
+
+@query(with_views("fx_orders") + "," + _STATUS + " SELECT order_id, evaluation_date, effective_date, temporal_status FROM status")
+def order_status_asof(spark, d):
+    return _status(spark, d).select("order_id", "evaluation_date", "effective_date", "temporal_status")
+
+
+@query(with_views("fx_orders") + "," + _GOVERNING + " SELECT item_id, evaluation_date, order_id, temporal_status, effective_date, orders, competing, temporal_status = 'MANDATORY_IN_FORCE' AS is_mandatory FROM placed JOIN names USING (item_id, evaluation_date) WHERE place = 1")
+def governing_order(spark, d):
+    return orders.governing(_status(spark, d))
+
+
+# Revisions
+
+
+_YEARS = "years AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY base, year ORDER BY rev_no, rev_id) AS k FROM fx_revisions) WHERE k = 1)"
+
+
+@query(with_views("fx_revisions") + "," + _YEARS + """ SELECT newer AS source, rev_id AS target, 'SUPERSEDES' AS relationship, 0.95::DOUBLE AS confidence, concat(newer_no, ' chronologically supersedes ', rev_no) AS description
+    FROM (SELECT *, lead(rev_id) OVER w AS newer, lead(rev_no) OVER w AS newer_no FROM years WINDOW w AS (PARTITION BY base ORDER BY year, rev_no, rev_id)) WHERE newer IS NOT NULL""")
+def revision_successors(spark, d):
+    return revisions.successors(view(spark, d, "fx_revisions"))
+
+
+@query(with_views("fx_revisions") + "," + _YEARS + """ SELECT rev_id AS node, last_value(rev_id) OVER w AS "end", count(*) OVER w2 - row_number() OVER w3 AS steps FROM years
+    WINDOW w AS (PARTITION BY base ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), w2 AS (PARTITION BY base), w3 AS (PARTITION BY base ORDER BY year) QUALIFY steps > 0""")
+def chain_end(spark, d):
+    links = revisions.successors(view(spark, d, "fx_revisions")).select(F.col("target").alias("node"), F.col("source").alias("next"))
+    return graph.chain_ends(links)
+
+
+@query(with_views("fx_edges") + """ SELECT target AS node, count(DISTINCT source) AS successors, min(source) AS first_successor, CASE WHEN count(DISTINCT source) = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS_BRANCHING' END AS resolution
+    FROM fx_edges WHERE relationship = 'TESTED_BY' GROUP BY target""")
+def ambiguous_successors(spark, d):
+    return revisions.resolution(view(spark, d, "fx_edges").where("relationship = 'TESTED_BY'"))
+
+
+@query(with_views("fx_revisions") + "," + _YEARS + " SELECT base, min(year) AS first_year, max(year) AS last_year, string_agg(CAST(year AS VARCHAR), '>' ORDER BY year) AS milestones FROM years GROUP BY base")
+def timeline(spark, d):
+    return revisions.timeline(view(spark, d, "fx_revisions"))
+
+
+_SERIES = "items AS (SELECT item_id, department AS base, year AS part, title FROM fx_catalog), firsts AS (SELECT base, item_id AS target FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY part, item_id) AS k, count(*) OVER (PARTITION BY base) AS n FROM items) WHERE k = 1 AND n > 1)"
+
+
+@query(with_views("fx_catalog") + "," + _SERIES + " SELECT item_id AS source, target, CASE WHEN regexp_matches(lower(title), 'test|method|sampling|analysis') THEN 'TESTED_BY' ELSE 'NORMATIVE_REF' END AS relationship, 0.96::DOUBLE AS confidence FROM items JOIN firsts USING (base) WHERE item_id <> target")
+def series_edges(spark, d):
+    return revisions.series_edges(view(spark, d, "fx_catalog").select("item_id", F.col("department").alias("base"), F.col("year").alias("part"), "title"))
+
+
+# Graph
+
+
+@query(with_views("fx_edges") + " SELECT relationship, count(*) AS edges FROM fx_edges GROUP BY relationship")
+def edge_counts(spark, d):
+    return graph.relation_counts(view(spark, d, "fx_edges"))
+
+
+_CLEAN = "clean AS (SELECT * FROM fx_edges WHERE NOT (relationship IN ('NORMATIVE_REF', 'TESTED_BY', 'SUPERSEDES') AND source = target))"
+
+
+@query(with_views("fx_edges") + "," + _CLEAN + " SELECT source, target, relationship, description, priority FROM (SELECT *, row_number() OVER (PARTITION BY source, target, relationship ORDER BY priority, description) AS k FROM clean) WHERE k = 1")
+def consolidate_edges(spark, d):
+    return graph.consolidated(view(spark, d, "fx_edges")).select("source", "target", "relationship", "description", "priority")
+
+
+@query(with_views("fx_catalog", "fx_edges") + """ SELECT item_id AS id, 'standard' AS node_type, status FROM fx_catalog UNION ALL
+    SELECT id, min(node_type), 'ACTIVE' FROM (SELECT source AS id, source_type AS node_type FROM fx_edges UNION ALL SELECT target, target_type FROM fx_edges) WHERE id NOT IN (SELECT item_id FROM fx_catalog) GROUP BY id""")
+def node_completion(spark, d):
+    nodes = view(spark, d, "fx_catalog").select(F.col("item_id").alias("id"), F.lit("standard").alias("node_type"), "status")
+    return graph.completed_nodes(nodes, view(spark, d, "fx_edges"))
+
+
+@query(with_views("fx_catalog") + " SELECT department, count(*) AS items, count(*) FILTER (status = 'ACTIVE') AS active FROM fx_catalog GROUP BY department ORDER BY items DESC, department LIMIT 8")
+def dept_clusters(spark, d):
+    return view(spark, d, "fx_catalog").groupBy("department").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("status") == "ACTIVE").alias("active")).orderBy(F.col("items").desc(), "department").limit(8)
+
+
+@query(with_views("fx_edges") + """ SELECT DISTINCT source AS node, target AS neighbour, CASE relationship WHEN 'NORMATIVE_REF' THEN 'normative_references' WHEN 'TESTED_BY' THEN 'test_methods' ELSE 'orders' END AS category FROM fx_edges
+    UNION ALL SELECT DISTINCT target, source, 'cited_by' FROM fx_edges WHERE relationship = 'NORMATIVE_REF'""")
+def one_hop(spark, d):
+    return graph.one_hop(view(spark, d, "fx_edges"))
+
+
+_SEEDS = "seeds AS (SELECT item_id AS seed FROM fx_catalog WHERE status = 'WITHDRAWN')"
+
+
+@query(with_views("fx_catalog", "fx_edges") + "," + _SEEDS + """, part_edges AS (SELECT DISTINCT source, target FROM fx_edges WHERE relationship <> 'MANDATED_BY'),
+    first_hop AS (SELECT seed, target AS id FROM seeds JOIN part_edges ON source = seed UNION SELECT seed, source FROM seeds JOIN part_edges ON target = seed),
+    found AS (SELECT seed, seed AS id, 0 AS hop FROM seeds UNION ALL SELECT seed, id, 1 FROM first_hop UNION ALL SELECT DISTINCT seed, target, 2 FROM first_hop JOIN part_edges ON source = id)
+    SELECT seed, id, min(hop) AS hop FROM found GROUP BY seed, id""")
+def two_hop(spark, d):
+    seeds = view(spark, d, "fx_catalog").where("status = 'WITHDRAWN'").select(F.col("item_id").alias("id"))
+    return graph.two_hop(view(spark, d, "fx_edges").where("relationship != 'MANDATED_BY'"), seeds)
+
+
+@query(with_views("fx_catalog", "fx_edges") + "," + _SEEDS + " SELECT DISTINCT source, target, relationship FROM fx_edges WHERE source IN (SELECT seed FROM seeds)")
+def seed_subgraph(spark, d):
+    seeds = view(spark, d, "fx_catalog").where("status = 'WITHDRAWN'").select(F.col("item_id").alias("id"))
+    return graph.subgraph(view(spark, d, "fx_edges"), seeds)
+
+
+_NEAR = "near AS (SELECT source AS a, target AS b FROM fx_edges WHERE relationship = 'TESTED_BY' UNION SELECT target, source FROM fx_edges WHERE relationship = 'TESTED_BY')"
+_PAIRS = "pairs AS (SELECT concat('IS_', CAST(n_nationkey * 7 + 3 AS STRING)) AS source, concat('IS_', CAST(n_regionkey * 11 + 5 AS STRING)) AS target FROM nation)"
+
+
+@query(with_views("fx_edges") + "," + _NEAR + "," + _PAIRS + """, walk AS (SELECT DISTINCT source, target, source AS at, 0 AS length FROM pairs UNION SELECT source, target, b, length + 1 FROM walk JOIN near ON a = at WHERE length < 4),
+    ends AS (SELECT source, target, min(length) AS length FROM walk WHERE at = target GROUP BY ALL) SELECT DISTINCT p.source, p.target, e.length FROM pairs p LEFT JOIN ends e USING (source, target)""")
+def shortest_path(spark, d):
+    pairs = table(spark, d, "nation").select(F.concat(F.lit("IS_"), (F.col("n_nationkey") * 7 + 3).cast("string")).alias("source"), F.concat(F.lit("IS_"), (F.col("n_regionkey") * 11 + 5).cast("string")).alias("target"))
+    return graph.shortest_paths(view(spark, d, "fx_edges").where("relationship = 'TESTED_BY'"), pairs, most=4)
+
+
+_KEY = r"regexp_replace(upper(trim({})), '[\s()/:\-_]+', '', 'g')"
+_PLAIN = r"regexp_replace(raw, '\s*:\s*\d{4}\s*$', '')"
+
+
+@query(with_views("fx_catalog", "fx_citations") + f""", alias AS (SELECT key, min_by(item_id, (kind, item_id)) AS item_id FROM (SELECT item_id, 0 AS kind, {_KEY.format('item_id')} AS key FROM fx_catalog UNION ALL SELECT item_id, 1, {_KEY.format('item_no')} FROM fx_catalog
+    UNION ALL SELECT item_id, 2, CAST(item_key AS VARCHAR) FROM fx_catalog) GROUP BY key),
+    tries AS (SELECT cite_id, raw, 0 AS stage, {_KEY.format('raw')} AS key FROM fx_citations UNION ALL SELECT cite_id, raw, 1, {_KEY.format("concat('IS', raw)")} FROM fx_citations
+    UNION ALL SELECT cite_id, raw, 2, {_KEY.format(_PLAIN)} FROM fx_citations UNION ALL SELECT cite_id, raw, 3, {_KEY.format("concat('IS', " + _PLAIN + ")")} FROM fx_citations)
+    SELECT cite_id, raw, min_by(item_id, stage) FILTER (item_id IS NOT NULL) AS item_id FROM tries LEFT JOIN alias USING (key) GROUP BY cite_id, raw""")
+def alias_resolve(spark, d):
+    return graph.resolved(view(spark, d, "fx_citations"), graph.aliases(view(spark, d, "fx_catalog")))
+
+
+# Slots, rules, expansion
+
+
+def _slot_queries(spark, d):
+    return view(spark, d, "fx_tenders").select(F.col("doc_id").alias("qid"), "text")
+
+
+@query(with_views("fx_lines", "fx_tenders") + f", s AS ({O.slots_sql('SELECT doc_id AS qid, text FROM fx_tenders')}) SELECT qid, exposure, seismic, corrosion, infrastructure, pressure, grade, requires_crs, requires_ductility, special FROM s")
+def slot_extract(spark, d):
+    return slots.slots(_slot_queries(spark, d)).drop("text")
+
+
+@query(with_views("fx_lines", "fx_tenders") + f", s AS ({O.slots_sql('SELECT doc_id AS qid, text FROM fx_tenders')}), rules(rule_id, item, slot, value, weight) AS (VALUES {O.RULE_ROWS})," + """
+    long AS (SELECT qid, 'exposure' AS slot, exposure AS value FROM s UNION ALL SELECT qid, 'seismic', seismic FROM s UNION ALL SELECT qid, 'corrosion', corrosion FROM s UNION ALL SELECT qid, 'infrastructure', infrastructure FROM s UNION ALL SELECT qid, 'grade', grade FROM s)
+    SELECT qid, item, round(sum(weight::DOUBLE), 6) AS bonus, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules FROM long JOIN rules USING (slot, value) GROUP BY qid, item""")
+def rule_bonus(spark, d):
+    return slots.rule_bonus(slots.slots(_slot_queries(spark, d)), spark.createDataFrame(O.RULES, "rule_id string, item string, slot string, value string, weight double"))
+
+
+@query(with_views("fx_lines", "fx_tenders") + f", vocabulary(ord, pattern, addition) AS (VALUES {O.VOCABULARY_ROWS})" + """
+    SELECT doc_id AS qid, coalesce(string_agg(addition, ' ' ORDER BY ord), '') AS expansion FROM fx_tenders LEFT JOIN vocabulary ON contains(lower(text), pattern) GROUP BY doc_id""")
+def vocab_expand(spark, d):
+    return slots.expanded(_slot_queries(spark, d), spark.createDataFrame(O.VOCABULARY, "ord int, pattern string, addition string"))
+
+
+@query(O.BM25 + """top AS (SELECT * FROM bm25 WHERE rank <= 5), sums AS (SELECT qid, sum(score) AS total, count(*) AS candidates FROM top GROUP BY qid HAVING count(*) >= 3)
+    SELECT qid, candidates, entropy, entropy > 2.1 AS ambiguous FROM (SELECT qid, any_value(candidates) AS candidates, round(-sum((score / total) * log2(score / total)), 4) AS entropy FROM top JOIN sums USING (qid) GROUP BY qid)""")
+def score_entropy(spark, d):
+    return slots.ambiguity(retrieval.bm25(_asked(spark, d), _corpus(spark, d)))
+
+
+# Ranking
+
+
+def _catalog(spark, d):
+    return view(spark, d, "fx_catalog").select(F.col("item_key").alias("doc_id"), F.concat_ws(" ", "item_no", "title", "department", F.array_join("keywords", " ")).alias("text"), "item_no", "status", "keywords")
+
+
+def _wanted(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("qid"), F.concat(F.lit("IS "), (F.col("s_suppkey") * 3).cast("string")).alias("no")).join(
+        view(spark, d, "fx_catalog").select(F.col("item_key").alias("qid"), "title"), "qid").select("qid", F.concat_ws(" ", "no", "title").alias("text"))
+
+
+@query(O.COMPOSITE + "SELECT qid, doc_id, score, grounded, rank, label FROM composite")
+def composite_rank(spark, d):
+    q, c = _wanted(spark, d), _catalog(spark, d)
+    return ranking.composite(ranking.candidates(q, c), q)
+
+
+@query(O.COMPOSITE_ALL + "SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM composite JOIN cat USING (doc_id) WHERE status IN ('SUPERSEDED', 'WITHDRAWN')")
+def historical_search(spark, d):
+    q, c = _wanted(spark, d), _catalog(spark, d)
+    found = ranking.composite(ranking.candidates(q, c, keep_history=True), q, k=10)
+    old = found.select("qid", "doc_id", "score").join(c.where(F.col("status").isin("SUPERSEDED", "WITHDRAWN")).select("doc_id"), "doc_id")
+    return retrieval.top_k(old, 10).select("qid", "doc_id", "score", "rank")
+
+
+@query(O.COMPOSITE + """SELECT q.qid, c.doc_id, CASE WHEN c.doc_id IS NULL THEN 'NO_ACTIVE_STANDARD_FOUND' WHEN grounded AND score >= 0.40 THEN 'RECOMMENDED' ELSE 'NEEDS_CLARIFICATION' END AS status
+    FROM asked q LEFT JOIN (SELECT * FROM composite WHERE rank = 1) c USING (qid)""")
+def recommend_batch(spark, d):
+    q, c = _wanted(spark, d), _catalog(spark, d)
+    return ranking.recommended(q, ranking.composite(ranking.candidates(q, c), q))
+
+
+# Audits
+
+
+def _old(spark, d):
+    return view(spark, d, "fx_catalog").where("status != 'ACTIVE'").select(F.col("item_no").alias("citation"))
+
+
+@query(with_views("fx_catalog", "fx_lines", "fx_tenders") + "," + O.FINDINGS + " SELECT doc_id, issue_type, penalty, snippet FROM findings")
+def audit_findings(spark, d):
+    return audit.findings(view(spark, d, "fx_tenders"), _old(spark, d))
+
+
+@query(with_views("fx_catalog", "fx_lines", "fx_tenders") + "," + O.FINDINGS + """, sums AS (SELECT doc_id, count(f.penalty) AS findings, CAST(greatest(0, least(100, 100 - coalesce(sum(f.penalty), 0))) AS INT) AS score FROM fx_tenders LEFT JOIN findings f USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, findings, score, CASE WHEN score >= 85 THEN 'COMPLIANT' WHEN score >= 60 THEN 'MINOR_RISKS' ELSE 'NON_COMPLIANT' END AS band FROM sums""")
+def audit_score(spark, d):
+    tenders = view(spark, d, "fx_tenders")
+    return audit.scores(tenders, audit.findings(tenders, _old(spark, d)))
+
+
+@query(with_views("fx_catalog", "fx_lines", "fx_tenders") + "," + O.FINDINGS + """ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY issue_type, snippet) AS INT) AS sl_no, snippet AS existing, CASE WHEN issue_type = 'SUPERSEDED_STANDARD' THEN concat('Replace ', snippet, ' by its current edition')
+    WHEN issue_type IN ('ILLEGAL_QCO_EXEMPTION', 'MISSING_QCO_MANDATE') THEN 'Require the standard mark under a valid licence' WHEN issue_type = 'MISSING_TEST_STANDARDS' THEN concat('Prescribe tests by ', snippet)
+    WHEN issue_type = 'FOREIGN_STANDARD_DISCRIMINATION' THEN concat('Add an equivalent domestic standard to ', snippet) ELSE concat('Delete: ', snippet) END AS amended FROM findings
+    UNION ALL SELECT doc_id, 1, '', 'No amendment' FROM fx_tenders WHERE doc_id NOT IN (SELECT doc_id FROM findings)""")
+def amendments(spark, d):
+    tenders = view(spark, d, "fx_tenders")
+    return audit.amendments(tenders, audit.findings(tenders, _old(spark, d)))
+
+
+@query(with_views("fx_lines", "fx_tenders") + "," + O.RISKS + " SELECT doc_id, risks, score, rating FROM risks")
+def risk_score(spark, d):
+    return audit.risks(view(spark, d, "fx_tenders"))
+
+
+@query(with_views("fx_lines", "fx_tenders") + "," + O.CITED + " SELECT doc_id, len(cited) AS citations, array_to_string(cited, ' | ') AS cited FROM cited")
+def citation_edges(spark, d):
+    return audit.citations(view(spark, d, "fx_tenders")).select("doc_id", F.size("cited").cast("long").alias("citations"), F.array_join("cited", " | ").alias("cited"))
+
+
+# Pages, gates, metrics
+
+
+@query(r"SELECT page_id, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages")
+def html_clean(spark, d):
+    return table(spark, d, "pages").select("page_id", T.clean_html(F.col("html")).alias("text"))
+
+
+_ITEMS = r"""items AS (SELECT page_id, unnest(range(len(raw))) AS place, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(unnest(raw), '(?i)<br\s*/?>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text
+  FROM (SELECT page_id, regexp_extract_all(html, '(?is)<li\b[^>]*>(.*?)</li>', 1) AS raw FROM pages))"""
+
+
+@query("WITH " + _ITEMS + " SELECT page_id, place, text FROM items")
+def html_rows(spark, d):
+    return markup.html_items(table(spark, d, "pages"))
+
+
+@query("WITH " + _ITEMS + """ SELECT page_id, place, last_value(CASE WHEN length(text) % 3 = 0 THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM items""")
+def forward_fill(spark, d):
+    rows = markup.html_items(table(spark, d, "pages"))
+    return markup.carried_down(rows, F.when(F.length("text") % 3 == 0, F.col("text")), ["page_id"], ["place"], "header").select("page_id", "place", "header")
+
+
+@query(with_views("fx_catalog") + """ SELECT item_id, concat_ws(',', CASE WHEN NOT coalesce(year BETWEEN 1960 AND 1990, false) THEN 'year' END, CASE WHEN NOT length(title) >= 30 THEN 'title' END, CASE WHEN NOT status IN ('ACTIVE', 'SUPERSEDED') THEN 'status' END) AS failed FROM fx_catalog""")
+def quality_gate(spark, d):
+    rules = {"year": F.col("year").between(1960, 1990), "title": F.length("title") >= 30, "status": F.col("status").isin("ACTIVE", "SUPERSEDED")}
+    return markup.gate(view(spark, d, "fx_catalog"), rules).select("item_id", F.array_join("failed", ",").alias("failed"))
+
+
+@query("""SELECT source, count(*) AS cases, round(count(*) FILTER (quality = 1 AND toxic = 0) / nullif(count(*) FILTER (toxic = 0), 0), 6) AS clean_quality, round(count(*) FILTER (toxic = 1) / nullif(count(*), 0), 6) AS toxic_rate
+    FROM labels JOIN documents USING (doc_id) GROUP BY source""")
+def eval_metrics(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    quality, calm = F.col("quality") == 1, F.col("toxic") == 0
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("cases"), markup.ratio(quality, calm).alias("clean_quality"), markup.ratio(~calm, F.lit(True)).alias("toxic_rate"))
+
+
+@query(with_views("fx_orders") + " SELECT order_id, order_name FROM fx_orders WHERE contains(lower(order_name), 'order 2') AND (contains(lower(order_id), '7') OR contains(lower(effective_raw), 'feb'))")
+def order_directory(spark, d):
+    low = lambda c: F.lower(F.col(c))
+    rows = view(spark, d, "fx_orders").where(F.contains(low("order_name"), F.lit("order 2")) & (F.contains(low("order_id"), F.lit("7")) | F.contains(low("effective_raw"), F.lit("feb"))))
+    return rows.select("order_id", "order_name")
