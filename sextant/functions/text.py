@@ -69,22 +69,38 @@ def part_number(text: Column) -> Column:
     return F.when(raw.rlike("^[0-9]+$"), raw.cast("int")).otherwise(F.element_at(roman, F.regexp_replace(raw, "l", "i")))
 
 
-def normalise_citation(text: Column) -> Column:
-    """One notation for citations: PREFIX number (Part n):year."""
+def _cleaned_citation(text: Column) -> Column:
     raw = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), "[.,;:]+$", "")
     raw = F.regexp_replace(raw, r"(?i)^[li]\s*ec\b", "IEC")
     raw = F.regexp_replace(F.regexp_replace(raw, r"(?i)^is\s*/\s*", "IS/"), r"\s+", " ")
-    raw = F.regexp_replace(raw, r"(?i)\s*\((?:in various|all parts|parts? \d+ to \d+)[^)]*\)", "")
-    part = part_number(raw)
-    year = F.coalesce(F.nullif(F.regexp_extract(raw, r":\s*(\d{4})\b", 1), F.lit("")), F.nullif(F.regexp_extract(raw, r".\b((?:19|20)\d{2})$", 1), F.lit("")))
+    return F.regexp_replace(raw, r"(?i)\s*\((?:in various|all parts|parts? \d+ to \d+)[^)]*\)", "")
+
+
+def _citation_parts(raw: Column) -> Column:
+    year = F.coalesce(F.nullif(F.regexp_extract(raw, r":\s*(\d{4})\b", 1), F.lit("")), F.nullif(F.regexp_extract(raw, r"\d\D*\b((?:19|20)\d{2})$", 1), F.lit("")))
     rest = F.regexp_replace(raw, r"(?i)\(?\s*\bpart\s*(?:[0-9]+|[ivxl]+)\b\s*\)?", " ")
-    rest = F.regexp_replace(rest, r":\s*\d{4}\b", "")
-    rest = F.when(raw.rlike(r":\s*\d{4}\b"), rest).otherwise(F.regexp_replace(rest, r"(.)\b(?:19|20)\d{2}$", "$1"))
+    rest = F.when(raw.rlike(r":\s*\d{4}\b"), F.regexp_replace(rest, r":\s*\d{4}\b", "")).otherwise(F.regexp_replace(rest, r"(\d\D*)\b(?:19|20)\d{2}$", "$1"))
     rest = F.trim(F.regexp_replace(F.regexp_replace(rest, r"[:\s]+$", ""), r"\s+", " "))
-    known = rest.rlike(r"(?i)^(?:IS|ISO|IEC|ASTM|EN|BS)\b")
-    base = F.when(known, rest).otherwise(F.concat(F.lit("IS "), rest))
-    out = F.concat(base, F.coalesce(F.concat(F.lit(" (Part "), part.cast("string"), F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(":"), year), F.lit("")))
-    return F.when(raw == "", "").otherwise(out)
+    return F.struct(raw.alias("raw"), part_number(raw).alias("part"), year.alias("year"), rest.alias("rest"))
+
+
+def _joined_citation(p: Column) -> Column:
+    base = F.when(p["rest"].rlike(r"(?i)^(?:IS|ISO|IEC|ASTM|EN|DIN|BS)\b"), p["rest"]).otherwise(F.concat(F.lit("IS "), p["rest"]))
+    out = F.concat(base, F.coalesce(F.concat(F.lit(" (Part "), p["part"].cast("string"), F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(":"), p["year"]), F.lit("")))
+    return F.when(p["raw"] == "", "").otherwise(out)
+
+
+def normalise_citations(texts: Column) -> Column:
+    """One notation for an array of citations: PREFIX number (Part n):year.
+
+    A number at the end is a year only behind another number, so `IS 1904` is no
+    year.  Each step is a pass over the array, so that nothing is worked out twice.
+    """
+    return F.transform(F.transform(F.transform(texts, _cleaned_citation), _citation_parts), _joined_citation)
+
+
+def normalise_citation(text: Column) -> Column:
+    return F.get(normalise_citations(F.array(text)), F.lit(0))
 
 
 def parse_date(text: Column) -> Column:

@@ -6,10 +6,13 @@ doesn't matter for the score.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, normalise_citation
+from ..functions.text import any_of, normalise_citations
 
 # The notation of citations, penalties, bands, and words that the rules look for.
 CITATION = r"(?i)\b(?:IS(?:/ISO|/IEC)?\s+\d+(?:\s*\(Part\s*[0-9IVX]+\))?(?:\s*:\s*(?:19|20)\d{2})?|ASTM\s+[A-Z0-9-]+|EN\s+\d+|DIN\s+\d+|BS\s+\d+)"
@@ -32,12 +35,12 @@ LICENSED_GOODS = ["tmt", "rebar", "structural steel", "hdpe pipe", "distribution
 
 def citations(documents: DataFrame) -> DataFrame:
     """doc_id, text, cited: citations in one notation, in order of appearance, once; those that a part of theirs repeats are left out."""
-    found = F.array_distinct(F.filter(F.transform(F.regexp_extract_all("text", F.lit(CITATION), 0), normalise_citation), lambda c: c != ""))
+    found = F.array_distinct(F.filter(normalise_citations(F.regexp_extract_all("text", F.lit(CITATION), 0)), lambda c: c != ""))
     rows = documents.withColumn("all", found)
     return rows.withColumn("cited", F.expr("filter(all, x -> not exists(all, y -> y != x and startswith(y, x) and contains(y, '(Part')))")).drop("all")
 
 
-def _finding(issue: str, snippet: Column, times: Column | None = None) -> Column:
+def _finding(issue: str, snippet: Column) -> Column:
     return F.struct(F.lit(issue).alias("issue_type"), F.lit(PENALTIES[issue]).alias("penalty"), snippet.alias("snippet"))
 
 
@@ -48,7 +51,8 @@ def findings(documents: DataFrame, superseded: DataFrame) -> DataFrame:
     known = cited.join(superseded.select(F.col("citation").alias("base")).distinct().withColumn("old", F.lit(True)), "base", "left")
     old = known.where(F.col("old") | F.col("citation").contains("2062:2006")).select("doc_id", F.lit("SUPERSEDED_STANDARD").alias("issue_type"), F.lit(22).alias("penalty"), F.col("citation").alias("snippet"))
     low = F.col("low")
-    group = F.coalesce(*(F.when(F.greatest(*(F.forall(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)) for words in any_)), name) for name, any_ in PRODUCT_RULES))
+    every = lambda words: reduce(and_, (F.contains(low, F.lit(w)) for w in words))
+    group = F.coalesce(*(F.when(reduce(or_, map(every, ways)), name) for name, ways in PRODUCT_RULES))
     steel = F.exists("cited", lambda c: F.contains(c, F.lit("IS 2062")))
     missing = F.filter(
         F.array(

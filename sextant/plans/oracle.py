@@ -65,13 +65,14 @@ CITATION_FORMS = with_views("fx_citations") + """ SELECT o_orderkey AS cite_id,
 
 _RAW = audit.CITATION.replace("'", "''")
 #: Citations in tenders: colon and spaces in one way; parts and prefixes are already so.
-CITED = rf"""every AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, '{_RAW}', 0), lambda c: regexp_replace(c, '\s*:\s*', ':')) AS found FROM fx_tenders),
-firsts AS (SELECT doc_id, text, list_filter(found, lambda c, i: list_position(found, c) = i) AS found FROM every),
-cited AS (SELECT doc_id, text, list_filter(found, lambda c: len(list_filter(found, lambda y: y <> c AND starts_with(y, c) AND contains(y, '(Part'))) = 0) AS cited FROM firsts)"""
+CITED = rf"""single AS MATERIALIZED (SELECT doc_id, c, min(i) AS i FROM (SELECT doc_id, regexp_replace(unnest(found), '\s*:\s*', ':') AS c, unnest(range(len(found))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_RAW}', 0) AS found FROM fx_tenders)) GROUP BY doc_id, c),
+part_of AS (SELECT DISTINCT a.doc_id, a.c FROM single a JOIN single b ON a.doc_id = b.doc_id AND b.c <> a.c AND starts_with(b.c, a.c) AND contains(b.c, '(Part')),
+lists AS (SELECT doc_id, list(c ORDER BY i) AS cited FROM single ANTI JOIN part_of USING (doc_id, c) GROUP BY doc_id),
+cited AS MATERIALIZED (SELECT t.doc_id, t.text, coalesce(l.cited, []) AS cited FROM fx_tenders t LEFT JOIN lists l USING (doc_id))"""
 
 _has = lambda words: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
 _GROUP = "CASE " + " ".join(f"WHEN {' OR '.join('(' + ' AND '.join(f'contains(low, {chr(39)}{w}{chr(39)})' for w in ws) + ')' for ws in any_)} THEN '{name}'" for name, any_ in audit.PRODUCT_RULES) + " END"
-FINDINGS = CITED + f""", base AS (SELECT *, lower(text) AS low FROM cited), ruled AS (SELECT *, {_GROUP} AS grp, {_has(audit.EXEMPTION_WORDS)} AS exempt,
+FINDINGS = CITED + f""", base AS (SELECT *, lower(text) AS low FROM cited), ruled AS MATERIALIZED (SELECT *, {_GROUP} AS grp, {_has(audit.EXEMPTION_WORDS)} AS exempt,
   concat_ws(', ', CASE WHEN NOT (contains(text, '1608') OR contains(low, 'tensile test')) THEN 'IS 1608' END, CASE WHEN NOT (contains(text, '1599') OR contains(low, 'bend test')) THEN 'IS 1599' END,
     CASE WHEN NOT (contains(text, '1757') OR {_has(['charpy', 'impact'])}) AND {_has(['bridge', 'joist', 'truss'])} THEN 'IS 1757' END) AS missing,
   regexp_extract_all(text, '{audit.FOREIGN}', 0) AS foreigners, contains(low, 'recycled') AND {_has(['hdpe', 'water', 'drinking'])} AS recycled FROM base),
