@@ -132,11 +132,10 @@ class Codec:
                 self.odd.add(unit)
 
     def _own(self, units: list[str]) -> list[list[int]]:
-        """sentencepiece's ids of units, as they are inside a text: behind a letter that is then cut off."""
-        if self.model.charsmap or self.model.trim:
-            return self.check.encode([u.replace(MARKER, " ").removeprefix(" ") if self.model.dummy_prefix else u.replace(MARKER, " ") for u in units])
+        """sentencepiece's ids of units; it puts the first marker there itself, and a marker alone is a piece."""
         marked = self.model.dummy_prefix
-        return self.check.encode([u.replace(MARKER, " ")[1:] if marked and u[0] == MARKER else u for u in units])
+        said = self.check.encode([u.replace(MARKER, " ")[1:] if marked and u[0] == MARKER else u.replace(MARKER, " ") for u in units])
+        return [[self.check.piece_to_id(MARKER)] if u == MARKER else own for u, own in zip(units, said)]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """(ids as little-endian 32-bit integers, whether sentencepiece gives the same) for each text."""
