@@ -219,8 +219,8 @@ _NEAR = "near AS (SELECT source AS a, target AS b FROM fx_edges WHERE relationsh
 _PAIRS = "pairs AS (SELECT concat('IS_', CAST(n_nationkey * 7 + 3 AS STRING)) AS source, concat('IS_', CAST(n_regionkey * 11 + 5 AS STRING)) AS target FROM nation)"
 
 
-@query(with_views("fx_edges") + "," + _NEAR + "," + _PAIRS + """, walk AS (SELECT DISTINCT source, target, source AS at, 0 AS length FROM pairs UNION SELECT source, target, b, length + 1 FROM walk JOIN near ON a = at WHERE length < 4),
-    ends AS (SELECT source, target, min(length) AS length FROM walk WHERE at = target GROUP BY ALL) SELECT DISTINCT p.source, p.target, e.length FROM pairs p LEFT JOIN ends e USING (source, target)""")
+@query(with_views("fx_edges") + "," + _NEAR + "," + _PAIRS + """, walk AS (SELECT DISTINCT source, target, source AS here, 0 AS length FROM pairs UNION SELECT source, target, b, length + 1 FROM walk JOIN near ON a = here WHERE length < 4),
+    ends AS (SELECT source, target, min(length) AS length FROM walk WHERE here = target GROUP BY ALL) SELECT DISTINCT p.source, p.target, e.length FROM pairs p LEFT JOIN ends e USING (source, target)""")
 def shortest_path(spark, d):
     pairs = table(spark, d, "nation").select(F.concat(F.lit("IS_"), (F.col("n_nationkey") * 7 + 3).cast("string")).alias("source"), F.concat(F.lit("IS_"), (F.col("n_regionkey") * 11 + 5).cast("string")).alias("target"))
     return graph.shortest_paths(view(spark, d, "fx_edges").where("relationship = 'TESTED_BY'"), pairs, most=4)
