@@ -191,6 +191,20 @@ def weighted_checksum(key: Column) -> Column:
 
 
 def scheme_label(text: Column) -> Column:
-    """One label for each way to write a certification scheme; the first by default."""
-    t = F.upper(F.coalesce(text, F.lit("")))
-    return F.when(t.contains("CRS") | t.contains("SCHEME-II") & ~t.contains("SCHEME-III") | t.contains("REGISTRATION"), "Scheme-II (CRS)").when(t.contains("SCHEME-X"), "Scheme-X").otherwise("Scheme-I")
+    """One label for each way to write a certification scheme; others stay as they are."""
+    t = F.trim(text)
+    return (
+        F.when(t.contains("Scheme-II") | t.contains("CRS"), "Scheme-II (CRS)").when(t.contains("Scheme-I") | t.contains("ISI"), "Scheme-I")
+        .when(t.contains("Hallmark"), "Hallmarking").when(t.contains("Scheme-X"), "Scheme-X").otherwise(t)
+    )
+
+
+def series(text: Column) -> Column:
+    """base and part (null without one) of a designator."""
+    return F.struct(F.trim(F.regexp_replace(F.substring_index(text, ":", 1), r"(?i)\s*\(?\s*\bpart\b.*$", "")).alias("base"), part_number(text).alias("part"))
+
+
+def gazette(text: Column) -> Column:
+    """number and day of a notification."""
+    number = F.nullif(F.regexp_extract(text, r"(?i)\b((?:S\.?\s*O\.?|G\.?\s*S\.?\s*R\.?)\s*\d+\s*\(?E?\)?)", 1), F.lit(""))
+    return F.struct(F.trim(number).alias("number"), parse_date(text).alias("day"))

@@ -44,6 +44,9 @@ def test_small_functions(spark):
     assert one(spark, T.lifecycle, ["now withdrawn", "superceded", "x", None]) == ["WITHDRAWN", "SUPERSEDED", "ACTIVE", "ACTIVE"]
     assert one(spark, lambda c: T.script(c, T.LOCALES, "en-IN"), ["abc", "सरिया", "தமிழ்"]) == ["en-IN", "hi-IN", "ta-IN"]
     assert one(spark, lambda c: T.weighted_checksum(T.licence_key(c)), ["CM/L-1234567", "12"]) == [(1 + 4 + 9 + 16 + 25 + 36 + 49) % 7, None]
+    assert one(spark, T.scheme_label, ["CRS", "ISI mark", "BIS Hallmark", "Scheme-X", "own"]) == ["Scheme-II (CRS)", "Scheme-I", "Hallmarking", "Scheme-X", "own"]
+    assert [tuple(x) for x in one(spark, T.series, ["IS 302 (Part II):2008", "IS 456:2000"])] == [("IS 302", 2), ("IS 456", None)]
+    assert [tuple(x) for x in one(spark, T.gazette, ["S.O. 1203(E) dated 03-04-2019", "none"])] == [("S.O. 1203(E)", datetime.date(2019, 4, 3)), (None, None)]
     assert one(spark, T.clean_html, ["<p>a&nbsp;<br/>b &amp; c</p>"]) == ["a b & c"]
     assert one(spark, lambda c: T.context(c, F.lit("needle"), 3), ["see the NEEDLE or needle here", "none"]) == ["or needle he", ""]
 
