@@ -100,6 +100,14 @@ VOCABULARY = [(1, "tmt rebar", "high strength deformed bars IS 1786"), (2, "stru
 VOCABULARY_ROWS = ", ".join(map(str, VOCABULARY))
 
 
+RATES = [("steel", 1, "tmt rebar"), ("section", 2, "structural steel"), ("cement", 3, "cement bag"), ("power", 4, "transformer")]
+RATE_ROWS = ", ".join(map(str, RATES))
+FAMILIES = [("hundreds", 1, "IS 10"), ("twenties", 2, "IS 2"), ("long", 3, "IS 77 and more")]
+FAMILY_ROWS = ", ".join(map(str, FAMILIES))
+WEIGHTS = [(1, "is 3", "IS 3", 0.35), (2, "is 30", "IS 30", -0.5), (3, "is 6", "IS 6", 0.3), (4, "is 12", "IS 12", -0.2)]
+WEIGHT_ROWS = ", ".join(map(str, WEIGHTS))
+
+
 def _classes(classes: list[tuple[str, list[str]]]) -> str:
     return "CASE " + " ".join(rf"WHEN regexp_matches(low, '\b(?:{'|'.join(words)})\b') THEN '{name}'" for name, words in classes) + " END"
 

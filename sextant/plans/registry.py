@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, graph, markup, orders, ranking, retrieval, revisions, slots
+from ..operators import audit, graph, markup, orders, ranking, retrieval, revisions, rules, slots
 from . import oracle as O
 from .fixtures import table, view, with_views
 
@@ -383,3 +383,46 @@ def order_directory(spark, d):
     low = lambda c: F.lower(F.col(c))
     rows = view(spark, d, "fx_orders").where(F.contains(low("order_name"), F.lit("order 2")) & (F.contains(low("order_id"), F.lit("7")) | F.contains(low("effective_raw"), F.lit("feb"))))
     return rows.select("order_id", "order_name")
+
+
+# Rules tables
+
+
+@query(with_views("fx_lines", "fx_tenders") + f", rates(rule_id, ord, keyword) AS (VALUES {O.RATE_ROWS})" + r"""
+    SELECT doc_id, min_by(rule_id, (ord, rule_id)) FILTER (rule_id IS NOT NULL) AS rule_id FROM fx_tenders LEFT JOIN rates ON regexp_matches(lower(text), concat('\b', keyword, '\b')) GROUP BY doc_id""")
+def rate_grounding(spark, d):
+    return rules.first_match(view(spark, d, "fx_tenders"), spark.createDataFrame(O.RATES, "rule_id string, ord int, keyword string"), "doc_id")
+
+
+@query(with_views("fx_catalog") + f", rates(rule_id, ord, keyword) AS (VALUES {O.FAMILY_ROWS})" + """
+    SELECT item_id, min_by(rule_id, (ord, rule_id)) FILTER (rule_id IS NOT NULL) AS rule_id FROM fx_catalog LEFT JOIN rates ON contains(item_no, keyword) OR contains(keyword, item_no) GROUP BY item_id""")
+def family_lookup(spark, d):
+    return rules.either_contains(view(spark, d, "fx_catalog"), spark.createDataFrame(O.FAMILIES, "rule_id string, ord int, keyword string"), "item_id", "item_no")
+
+
+@query(O.COMPOSITE + f""", weights(ord, word, item_no, weight) AS (VALUES {O.WEIGHT_ROWS}), extra AS (SELECT c.qid, c.doc_id, sum(w.weight::DOUBLE) AS extra FROM composite c JOIN cat k USING (doc_id) JOIN asked a USING (qid) JOIN weights w ON w.item_no = k.item_no AND contains(lower(a.text), w.word) GROUP BY ALL),
+    moved AS (SELECT qid, doc_id, round(least(0.99::DOUBLE, greatest(0.01::DOUBLE, score + coalesce(extra, 0.0::DOUBLE))), 4) AS score FROM composite LEFT JOIN extra USING (qid, doc_id))
+    SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, CASE WHEN score >= 0.65 THEN 'STRONG' WHEN score >= 0.40 THEN 'MODERATE' WHEN score >= 0.25 THEN 'LOW' ELSE 'INSUFFICIENT' END AS label FROM moved""")
+def rule_rerank(spark, d):
+    q, c = _wanted(spark, d), _catalog(spark, d)
+    ranked = ranking.composite(ranking.candidates(q, c), q).select("qid", "doc_id", "score").join(c.select("doc_id", "item_no"), "doc_id")
+    return rules.reranked(ranked, q, spark.createDataFrame(O.WEIGHTS, "ord int, word string, item_no string, weight double"))
+
+
+@query(with_views("fx_revisions") + "," + _YEARS + """ SELECT rev_id, coalesce(newer_no, rev_id) AS label, CASE WHEN newer_no IS NULL THEN 'CURATED_UNVERIFIED' ELSE 'CHRONOLOGICAL_INFERRED' END AS provenance, 'standard' AS category
+    FROM (SELECT *, lead(rev_no) OVER (PARTITION BY base ORDER BY year, rev_no, rev_id) AS newer_no FROM years)""")
+def node_display(spark, d):
+    years = revisions.distinct_years(view(spark, d, "fx_revisions"))
+    edges = revisions.successors(view(spark, d, "fx_revisions")).select(F.col("target").alias("rev_id"), "description")
+    rows = years.join(edges, "rev_id", "left").withColumn("newer_no", F.substring_index("description", " chronologically", 1))
+    label = rules.display_label(F.col("newer_no"), F.lit(""), F.lit(None).cast("string"), F.col("rev_id"))
+    return rows.select("rev_id", label.alias("label"), rules.provenance(F.coalesce("description", F.lit(""))).alias("provenance"), rules.category(F.lit("standard"), label).alias("category"))
+
+
+@query("WITH " + _ITEMS + """, flagged AS (SELECT *, length(text) % 5 = 0 AS mark FROM items), ahead AS (SELECT page_id, place, text, coalesce(max(mark) OVER (PARTITION BY page_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS in_table,
+    coalesce(lead(mark, 1) OVER w, true) AS s1, coalesce(lead(mark, 2) OVER w, true) AS s2, lead(text, 1) OVER w AS t1, lead(text, 2) OVER w AS t2 FROM flagged WINDOW w AS (PARTITION BY page_id ORDER BY place))
+    SELECT page_id, place, in_table, concat_ws(' ', text, CASE WHEN NOT s1 THEN t1 END, CASE WHEN NOT s1 AND NOT s2 THEN t2 END) AS context FROM ahead""")
+def line_citations(spark, d):
+    mark = F.length("text") % 5 == 0
+    rows = rules.rows_after_header(markup.html_items(table(spark, d, "pages")), mark, "page_id", "place")
+    return rules.with_following(rows, mark, "page_id", "place", most=2).select("page_id", "place", "in_table", "context")
