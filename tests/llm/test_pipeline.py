@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import corpus_pipeline
-from test_operators import WORDS, shingles, windows_expected
+from test_llm_operators import WORDS, shingles, windows_expected
 
 from sextant.llm import queries
 from sextant.llm.tables import table, written
