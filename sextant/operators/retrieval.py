@@ -24,6 +24,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def sized(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df, marked for broadcast only when `like`, which has as many rows at least and costs less to count, has few."""
+    return F.broadcast(df) if like.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def term_counts(texts: DataFrame, id_col: str, terms: Column) -> DataFrame:
     """id_col, term, tf, and len: the terms of the text, repeats included."""
     words = texts.select(id_col, terms.alias("words"))
@@ -48,11 +53,12 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES) -> DataFram
     idf = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size)).select("term", raw.alias("raw"), "mean_len")
     mean = idf.agg((F.lit(FLOOR) * F.avg("raw")).alias("floor"))
     asked = term_counts(queries, "qid", tokens(F.col("text"))).select("qid", "term", F.col("tf").alias("times"))
-    wanted = small(asked)
-    idf = idf.join(small(asked.select("term").distinct()), "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "mean_len")
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # terms of queries, and so the rows of idf that are needed
+    mark = F.broadcast if few else lambda df: df
+    idf = idf.join(mark(asked.select("term").distinct()), "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "mean_len")
     tf = F.col("tf")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    scores = posts.join(small(idf), "term").join(wanted, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    scores = posts.join(mark(idf), "term").join(mark(asked), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return top_k(scores, k)
 
 
@@ -74,8 +80,9 @@ def tfidf(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, features:
         return rows.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("w"))
 
     docs = weights(posts, "doc_id")
-    asked = weights(term_counts(queries, "qid", terms), "qid").withColumnRenamed("w", "qw")
-    scores = docs.join(small(asked), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score")).where("score > 0")
+    raw = term_counts(queries, "qid", terms)
+    asked = weights(raw, "qid").withColumnRenamed("w", "qw")
+    scores = docs.join(sized(asked, raw), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score")).where("score > 0")
     return top_k(scores, k)
 
 
