@@ -92,28 +92,71 @@ def chain_ends(links: DataFrame) -> DataFrame:
         pointers = moved.drop("moved")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
-    """source, target, length of pairs of nodes, edges taken either way; null beyond `most` steps.
-
-    Frontiers of both ends grow in turn, so that each reaches half as far; a
-    node is never visited twice by one pair.
-    """
+def _searched(edges: DataFrame, pairs: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Pairs with their number; pair, length of those that are connected; and for both ends what was reached (pair, node, d, parent)."""
     near = written(both_ways(edges).select("node", "neighbour").distinct())
     todo = written(pairs.select("source", "target").distinct().withColumn("pair", F.xxhash64("source", "target")))
-    seen = {end: todo.select("pair", F.col(end).alias("node"), F.lit(0).alias("d")) for end in ("source", "target")}
+    seen = {end: todo.select("pair", F.col(end).alias("node"), F.lit(0).alias("d"), F.lit(None).cast(todo.schema[end].dataType).alias("parent")) for end in ("source", "target")}
     rim = dict(seen)
     found = todo.where("source = target").select("pair", F.lit(0).alias("length"))
-    for step in range(1, most + 1):
-        end = "source" if step % 2 else "target"
-        grown = rim[end].join(near, "node").select("pair", F.col("neighbour").alias("node")).distinct()
-        rim[end] = written(grown.join(seen[end], ["pair", "node"], "left_anti").join(found, "pair", "left_anti").withColumn("d", F.lit((step + 1) // 2 if end == "source" else step // 2)))
+    step = 0
+    while most is None or step < most:
+        step += 1
+        end, other = ("source", "target") if step % 2 else ("target", "source")
+        # A pair goes on while both its rims hold nodes: where one is empty, that end's whole component has been seen.
+        open_rim = rim[end].join(found, "pair", "left_anti").join(rim[other].select("pair").distinct(), "pair", "left_semi")
+        grown = open_rim.join(near, "node").groupBy("pair", F.col("neighbour").alias("node")).agg(F.min("node").alias("parent"))
+        fresh = grown.join(seen[end], ["pair", "node"], "left_anti")
+        rim[end] = written(fresh.select("pair", "node", F.lit((step + 1) // 2 if end == "source" else step // 2).alias("d"), "parent"))
+        if rim[end].isEmpty():
+            break
         seen[end] = seen[end].unionByName(rim[end])
-        other = "target" if end == "source" else "source"
-        met = rim[end].join(seen[other].withColumnRenamed("d", "e"), ["pair", "node"]).groupBy("pair").agg(F.min(F.col("d") + F.col("e")).alias("length"))
+        met = rim[end].join(seen[other].select("pair", "node", F.col("d").alias("e")), ["pair", "node"]).groupBy("pair").agg(F.min(F.col("d") + F.col("e")).alias("length"))
         found = written(found.unionByName(met))
+    return todo, found, seen
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """source, target, length of pairs of nodes, edges taken either way; null where no path joins them, or none of `most` steps.
+
+    Frontiers of both ends grow in turn, so that each reaches half as far; a
+    node is never visited twice by one pair.  Without `most` they grow until
+    every pair has met or has no node left to visit.
+    """
+    todo, found, _ = _searched(edges, pairs, most)
     return todo.join(found, "pair", "left").select("source", "target", "length")
 
 
+def path_steps(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """source, target, step, node, relationship: the nodes of one shortest path of each connected pair.
+
+    Of several paths, the one over the smallest node in the middle, and from
+    there to both ends over the smallest node that is one step nearer.  A step's
+    relationship is the smallest of the edges onto its node, else INVERSE_ and
+    the smallest of those back; the first step is START, or IDENTICAL where the
+    path has no other.
+    """
+    todo, found, seen = _searched(edges, pairs, most)
+    half = F.floor((F.col("length") + 1) / 2).cast("int")
+    sides = {"source": seen["source"].join(found, "pair").where(F.col("d") == half), "target": seen["target"].join(found, "pair").where(F.col("d") == F.col("length") - half)}
+    middle = sides["source"].select("pair", "node", "length").join(sides["target"].select("pair", "node"), ["pair", "node"])
+    middle = written(middle.groupBy("pair", "length").agg(F.min("node").alias("node")).withColumn("step", half))
+    path = middle.select("pair", "step", "node")
+    for end, by in (("source", -1), ("target", 1)):
+        here = middle
+        while True:
+            here = written(here.join(seen[end].select("pair", "node", "parent"), ["pair", "node"]).where("parent is not null").select("pair", "length", F.col("parent").alias("node"), (F.col("step") + by).alias("step")))
+            if here.isEmpty():
+                break
+            path = path.unionByName(here.select("pair", "step", "node"))
+    path = written(path.withColumn("before", F.lag("node").over(Window.partitionBy("pair").orderBy("step"))))
+    kinds = edges.groupBy("source", "target").agg(F.min("relationship").alias("kind"))
+    forth, back = (kinds.select(F.col(a).alias("before"), F.col(b).alias("node"), F.col("kind").alias(c)) for a, b, c in (("source", "target", "forth"), ("target", "source", "back")))
+    told = path.join(forth, ["before", "node"], "left").join(back, ["before", "node"], "left").join(todo, "pair")
+    first = F.when(F.col("source") == F.col("target"), "IDENTICAL").otherwise("START")
+    return told.select("source", "target", "step", "node", F.when(F.col("step") == 0, first).otherwise(F.coalesce("forth", F.concat(F.lit("INVERSE_"), "back"))).alias("relationship"))
+
+
 def aliases(catalog: DataFrame) -> DataFrame:
     """key, item_id: by id, full number and bare number; a key of several items belongs to the first kind, then the smallest id."""
     kinds = [(0, F.col("item_id")), (1, F.col("item_no")), (2, bare_number(F.col("item_no")))]

@@ -219,11 +219,24 @@ _NEAR = "near AS (SELECT source AS a, target AS b FROM fx_edges WHERE relationsh
 _PAIRS = "pairs AS (SELECT concat('IS_', CAST(n_nationkey * 7 + 3 AS STRING)) AS source, concat('IS_', CAST(n_regionkey * 11 + 5 AS STRING)) AS target FROM nation)"
 
 
+def _pairs(spark, d):
+    return table(spark, d, "nation").select(F.concat(F.lit("IS_"), (F.col("n_nationkey") * 7 + 3).cast("string")).alias("source"), F.concat(F.lit("IS_"), (F.col("n_regionkey") * 11 + 5).cast("string")).alias("target"))
+
+
 @query(with_views("fx_edges") + "," + _NEAR + "," + _PAIRS + """, walk AS (SELECT DISTINCT source, target, source AS here, 0 AS length FROM pairs UNION SELECT source, target, b, length + 1 FROM walk JOIN near ON a = here WHERE length < 4),
     ends AS (SELECT source, target, min(length) AS length FROM walk WHERE here = target GROUP BY ALL) SELECT DISTINCT p.source, p.target, e.length FROM pairs p LEFT JOIN ends e USING (source, target)""")
 def shortest_path(spark, d):
-    pairs = table(spark, d, "nation").select(F.concat(F.lit("IS_"), (F.col("n_nationkey") * 7 + 3).cast("string")).alias("source"), F.concat(F.lit("IS_"), (F.col("n_regionkey") * 11 + 5).cast("string")).alias("target"))
-    return graph.shortest_paths(view(spark, d, "fx_edges").where("relationship = 'TESTED_BY'"), pairs, most=4)
+    """A slice: TESTED_BY edges and paths of up to 4 steps, as its SQL has them; `shortest_path_all` is the whole graph."""
+    return graph.shortest_paths(view(spark, d, "fx_edges").where("relationship = 'TESTED_BY'"), _pairs(spark, d), most=4)
+
+
+@query(with_views("fx_edges") + """, near AS MATERIALIZED (SELECT source AS a, target AS b FROM fx_edges UNION SELECT target, source FROM fx_edges),""" + _PAIRS + """,
+    walk(source, target, here, length) USING KEY (source, target, here) AS (SELECT DISTINCT source, target, source, 0 FROM pairs
+        UNION SELECT DISTINCT w.source, w.target, b, w.length + 1 FROM walk w JOIN near ON a = w.here LEFT JOIN recurring.walk r ON r.source = w.source AND r.target = w.target AND r.here = b WHERE r.here IS NULL)
+    SELECT DISTINCT p.source, p.target, w.length FROM pairs p LEFT JOIN walk w ON w.source = p.source AND w.target = p.target AND w.here = p.target""")
+def shortest_path_all(spark, d):
+    """All edges, taken either way, and paths of any length."""
+    return graph.shortest_paths(view(spark, d, "fx_edges"), _pairs(spark, d))
 
 
 _KEY = r"regexp_replace(upper(trim({})), '[\s()/:\-_]+', '', 'g')"

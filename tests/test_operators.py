@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import duckdb
 import pytest
@@ -76,6 +77,39 @@ def test_paths(spark):
     assert {tuple(r) for r in graph.shortest_paths(edges, pairs).collect()} == {("a", "d", 3), ("a", "a", 0), ("a", "z", None), ("a", "b", 1)}
 
 
+def _distances(edges, start):
+    """Plain breadth-first search, edges taken either way."""
+    near = {}
+    for a, b, _ in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    seen, rim, hop = {start: 0}, [start], 0
+    while rim:
+        rim = list(dict.fromkeys(n for x in rim for n in near.get(x, ()) if n not in seen))
+        hop += 1
+        seen.update(dict.fromkeys(rim, hop))
+    return seen
+
+
+def test_paths_whole_graph(spark):
+    dice = random.Random(3)
+    rows = [(f"n{i:02}", f"n{i + 1:02}", "R") for i in range(9)] + [(f"m{dice.randrange(30):02}", f"m{dice.randrange(30):02}", dice.choice("RST")) for _ in range(35)] + [("y", "z", "R")]
+    names = sorted({x for a, b, _ in rows for x in (a, b)})
+    asked = [("n00", "n09"), ("n00", "n08"), ("n00", "y"), ("y", "gone"), ("gone", "gone"), ("n03", "n03")] + [(dice.choice(names), dice.choice(names)) for _ in range(30)]
+    edges, pairs = spark.createDataFrame(rows, "source string, target string, relationship string"), spark.createDataFrame(asked, "source string, target string")
+    want = {(a, b, _distances(rows, a).get(b)) for a, b in asked}
+    assert ("n00", "n09", 9) in want and {tuple(r) for r in graph.shortest_paths(edges, pairs).collect()} == want
+    steps = {}
+    for r in graph.path_steps(edges, pairs).orderBy("step").collect():
+        steps.setdefault((r.source, r.target), []).append((r.step, r.node, r.relationship))
+    assert {(a, b, len(s) - 1) for (a, b), s in steps.items()} == {w for w in want if w[2] is not None}
+    for (a, b), s in steps.items():
+        assert [x[0] for x in s] == list(range(len(s))) and (s[0][1], s[-1][1]) == (a, b) and s[0][2] == ("IDENTICAL" if a == b else "START")
+        for (_, before, _), (_, node, said) in zip(s, s[1:]):
+            forth, back = (sorted(k for x, y, k in rows if (x, y) == way) for way in ((before, node), (node, before)))
+            assert said == (forth[0] if forth else f"INVERSE_{back[0]}")
+
+
 def test_audit(spark):
     docs = spark.createDataFrame([(1, "TMT rebar to IS 2062:2006 without BIS marks"), (2, "Pipes to ASTM A36"), (3, "Nothing here"), (4, "recycled hdpe pipe with ISI mark")], "doc_id long, text string")
     none = spark.createDataFrame([], "citation string")
