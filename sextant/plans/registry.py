@@ -205,10 +205,21 @@ _SEEDS = "seeds AS (SELECT item_id AS seed FROM fx_catalog WHERE status = 'WITHD
     found AS (SELECT seed, seed AS id, 0 AS hop FROM seeds UNION ALL SELECT seed, id, 1 FROM first_hop UNION ALL SELECT DISTINCT seed, target, 2 FROM first_hop JOIN part_edges ON source = id)
     SELECT seed, id, min(hop) AS hop FROM found GROUP BY seed, id""")
 def two_hop(spark, d):
+    """A slice: without MANDATED_BY edges, as its SQL has it; `two_hop_all` follows every relationship."""
     seeds = view(spark, d, "fx_catalog").where("status = 'WITHDRAWN'").select(F.col("item_id").alias("id"))
     return graph.two_hop(view(spark, d, "fx_edges").where("relationship != 'MANDATED_BY'"), seeds)
 
 
+@query(with_views("fx_catalog", "fx_edges") + "," + _SEEDS + """, all_edges AS (SELECT DISTINCT source, target FROM fx_edges),
+    first_hop AS (SELECT seed, target AS id FROM seeds JOIN all_edges ON source = seed UNION SELECT seed, source FROM seeds JOIN all_edges ON target = seed),
+    found AS (SELECT seed, seed AS id, 0 AS hop FROM seeds UNION ALL SELECT seed, id, 1 FROM first_hop UNION ALL SELECT DISTINCT seed, target, 2 FROM first_hop JOIN all_edges ON source = id)
+    SELECT seed, id, min(hop) AS hop FROM found GROUP BY seed, id""")
+def two_hop_all(spark, d):
+    """Over every relationship, orders too."""
+    seeds = view(spark, d, "fx_catalog").where("status = 'WITHDRAWN'").select(F.col("item_id").alias("id"))
+    return graph.two_hop(view(spark, d, "fx_edges"), seeds)
+
+
 @query(with_views("fx_catalog", "fx_edges") + "," + _SEEDS + " SELECT DISTINCT source, target, relationship FROM fx_edges WHERE source IN (SELECT seed FROM seeds)")
 def seed_subgraph(spark, d):
     seeds = view(spark, d, "fx_catalog").where("status = 'WITHDRAWN'").select(F.col("item_id").alias("id"))

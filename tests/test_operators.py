@@ -71,6 +71,23 @@ def test_chain_with_cycle(spark):
     assert {(r.node, r.end, r.steps) for r in graph.chain_ends(links).collect()} == {("a", "d", 3), ("b", "d", 2), ("c", "d", 1), ("x", "y", 1)}
 
 
+def test_two_hop_orders(spark):
+    seeds = {r.item_id for r in registry.view(spark, SF, "fx_catalog").where("status = 'WITHDRAWN'").collect()}
+    edges = {(r.source, r.target) for r in registry.view(spark, SF, "fx_edges").collect()}
+    out, both = {}, {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+        both.setdefault(a, set()).add(b)
+        both.setdefault(b, set()).add(a)
+    want = set()
+    for s in seeds:
+        first = both.get(s, set()) - {s}
+        second = {y for x in both.get(s, ()) for y in out.get(x, ())} - first - {s}
+        want |= {(s, s, 0)} | {(s, x, 1) for x in first} | {(s, x, 2) for x in second}
+    got = {(r.seed, r.id, r.hop) for r in registry.QUERIES["two_hop_all"](spark, SF).collect()}
+    assert got == want and any(x.startswith("SUP_") for _, x, _ in got)
+
+
 def test_paths(spark):
     edges = spark.createDataFrame([("a", "b", "R"), ("c", "b", "R"), ("c", "d", "R"), ("z", "z", "R")], "source string, target string, relationship string")
     pairs = spark.createDataFrame([("a", "d"), ("a", "a"), ("a", "z"), ("a", "b")], "source string, target string")
