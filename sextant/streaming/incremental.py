@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..operators import audit
 
@@ -15,10 +16,40 @@ def arriving(spark: SparkSession, path: str, schema: StructType, files_at_once:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
-def ingest(stream: DataFrame, key: str, time: str, path: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
-    """Append each key once; a key that comes again within `late` is dropped. Takes what is there and ends; a later call resumes."""
-    rows = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
-    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def ingest(stream: DataFrame, key: str, time: str, path: str, checkpoint: str, late: str | None = None) -> StreamingQuery:
+    """Append each key once, however late or often it comes again. Takes what is there and ends; a later call resumes.
+
+    Of rows of one key in a batch, the earliest stays; null is a key too.  Rows
+    go to path/ingest_query=…/ingest_batch=…, and a batch that is run again
+    replaces itself; keys that any other batch has written are left out.  One
+    ingest at a time may write to a path.  `late` has no meaning any more, as
+    nothing is too late; it stays for callers that give it.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        run = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        first = Window.partitionBy(key).orderBy(F.col(time).asc_nulls_last())
+        fresh = rows.withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__place")
+        known = _known(rows.sparkSession, path, rows.schema[key], run, number)
+        if known is not None:
+            fresh = fresh.join(known, fresh[key].eqNullSafe(known["__known"]), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/ingest_query={run}/ingest_batch={number}")
+
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _known(spark: SparkSession, path: str, key: StructField, run: str, number: int) -> DataFrame | None:
+    """Keys in the folder, without those of the batch itself; None where there is no folder yet."""
+    schema = StructType([key]).add("ingest_query", "string").add("ingest_batch", "long")
+    try:
+        rows = spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    own = (F.col("ingest_query") == run) & (F.col("ingest_batch") == number)
+    return rows.where(~F.coalesce(own, F.lit(False))).select(F.col(key.name).alias("__known"))
 
 
 def audit_arrivals(stream: DataFrame, superseded: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

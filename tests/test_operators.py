@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import random
+import time
 
 import duckdb
 import pytest
@@ -187,6 +188,29 @@ def test_streams(spark, tmp_path):
     assert [r.score for r in spark.read.parquet(str(tmp_path / "scores")).collect()] == [85]
 
 
+def test_ingest_in_batches(spark, tmp_path):
+    """At defaults: rows that are days late, keys that come again in later files, a batch run again, a new checkpoint."""
+    schema = "event_id long, ts string"
+    files = [[(1, "2024-01-09 00:00:00"), (2, "2024-01-09 00:00:00")], [(3, "2024-01-01 00:00:00"), (1, "2024-01-20 00:00:00")], [(4, "2024-03-01 00:00:00"), (4, "2024-02-01 00:00:00"), (None, None)], [(1, "2024-03-02 00:00:00"), (5, "2020-01-01 00:00:00"), (None, None)]]
+
+    def run(checkpoint):
+        stream = incremental.arriving(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, files_at_once=1)
+        incremental.ingest(stream, "event_id", "ts", str(tmp_path / "out"), str(tmp_path / checkpoint)).awaitTermination()
+        return sorted((r.event_id or 0, str(r.ts)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    want = [(0, "None"), (1, "2024-01-09 00:00:00"), (2, "2024-01-09 00:00:00"), (3, "2024-01-01 00:00:00"), (4, "2024-02-01 00:00:00"), (5, "2020-01-01 00:00:00")]
+    assert run("c") == want
+    last = max((tmp_path / "c/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    assert int(last.name) == 3
+    last.unlink()
+    (tmp_path / f"c/commits/.{last.name}.crc").unlink(missing_ok=True)
+    assert run("c") == want
+    assert run("c2") == want
+
+
 @pytest.fixture(scope="module")
 def con() -> duckdb.DuckDBPyConnection:
     return connect(SF)
