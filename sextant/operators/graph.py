@@ -78,18 +78,37 @@ def chain_ends(links: DataFrame) -> DataFrame:
     """node, end, steps: where following links (node, next; one each) leads; a cycle ends at its smallest node.
 
     Every round doubles the step, so a chain of n needs log2(n) rounds; rounds
-    are written tables, and they end when no pointer moves.
+    are written tables, and they end when no pointer moves.  A pointer that
+    still moves after as many steps as there are links is on a cycle or leads to
+    one: the link of each cycle's smallest node is cut, and what is left is
+    followed anew.  The smallest node itself has 0 steps.
     """
-    pointers = written(links.select("node", "next", F.lit(1).cast("long").alias("steps")))
-    turns = 0
+    links = written(links.select("node", "next"))
+    ends, turning = _followed(links, links.count())
+    if turning is None:
+        return ends
+    # After that many steps every pointer is on its cycle, reaches all of it, and has passed the smallest node.
+    cut = written(turning.join(turning.select(F.col("next").alias("node")).distinct(), "node", "left_semi").where("node = least").select("node"))
+    ends, _ = _followed(written(links.join(cut, "node", "left_anti")), None)
+    return ends.unionByName(cut.select("node", F.col("node").alias("end"), F.lit(0).cast("long").alias("steps")))
+
+
+def _followed(links: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Ends of links, and None; or the pointers (node, next, least) that still move after `most` steps, least being the smallest node passed."""
+    pointers, turns = written(links.select("node", "next", F.lit(1).cast("long").alias("steps"), F.col("node").alias("least"))), 0
     while True:
-        onward = pointers.select(F.col("node").alias("next"), F.col("next").alias("after"), F.col("steps").alias("more"))
-        moved = pointers.join(onward, "next", "left").select("node", F.coalesce("after", "next").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("after").isNotNull().alias("moved"))
+        onward = pointers.select(F.col("node").alias("next"), F.col("next").alias("after"), F.col("steps").alias("more"), F.col("least").alias("lower"))
+        moved = pointers.join(onward, "next", "left").select(
+            "node", F.coalesce("after", "next").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.least("least", "lower").alias("least"), F.col("after").isNotNull().alias("moved")
+        )
         moved = written(moved)
         turns += 1
-        if turns >= 40 or moved.where("moved").isEmpty():
-            return moved.select("node", F.col("next").alias("end"), "steps")
+        if moved.where("moved").isEmpty():
+            return moved.select("node", F.col("next").alias("end"), "steps"), None
         pointers = moved.drop("moved")
+        # One round more: a chain of `most` steps has stopped by then.
+        if most is not None and 2 ** (turns - 1) >= most:
+            return moved.select("node", F.col("next").alias("end"), "steps"), moved.where("moved").select("node", "next", "least")
 
 
 def _searched(edges: DataFrame, pairs: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:

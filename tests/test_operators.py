@@ -89,6 +89,21 @@ def test_two_hop_orders(spark):
     assert got == want and any(x.startswith("SUP_") for _, x, _ in got)
 
 
+def test_chain_with_real_cycles(spark):
+    """A ring with two tails, a loop of one node, a ring of two, and chains without a ring."""
+    rows = [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("t1", "t2"), ("t2", "r3"), ("u", "r0"), ("s", "s"), ("v", "s"), ("q", "p"), ("p", "q"), ("a", "b"), ("b", "c")] + [(f"k{i:02}", f"k{i + 1:02}") for i in range(17)]
+    after, want = dict(rows), set()
+    for node in after:
+        walk = [node]
+        while walk[-1] in after and after[walk[-1]] not in walk:
+            walk.append(after[walk[-1]])
+        end = min(walk[walk.index(after[walk[-1]]):]) if walk[-1] in after else walk[-1]
+        want.add((node, end, walk.index(end)))
+    links = spark.createDataFrame(rows, "node string, next string")
+    assert ("t1", "r0", 4) in want and ("r0", "r0", 0) in want and ("k00", "k17", 17) in want
+    assert {(r.node, r.end, r.steps) for r in graph.chain_ends(links).collect()} == want
+
+
 def test_paths(spark):
     edges = spark.createDataFrame([("a", "b", "R"), ("c", "b", "R"), ("c", "d", "R"), ("z", "z", "R")], "source string, target string, relationship string")
     pairs = spark.createDataFrame([("a", "d"), ("a", "a"), ("a", "z"), ("a", "b")], "source string, target string")
