@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_date
+from ..sources.scratch import small_side
+
+#: Evaluation dates are few; up to this many are broadcast, more are crossed in blocks.
+MOST_DATES = 1000
 
 # Which status prevails.
 PRIORITY = {"MANDATORY_IN_FORCE": 4, "PENDING_FUTURE_DATE": 3, "UNVERIFIED_EFFECTIVE_DATE": 2, "SUPERSEDED_BY_SUBSEQUENT_ORDER": 1, "RESCINDED": 0}
@@ -22,7 +26,7 @@ def temporal_status(name: Column, raw_date: Column, evaluation: Column) -> Colum
 
 def status_asof(orders: DataFrame, dates: DataFrame) -> DataFrame:
     """Every order at every evaluation date (dates: a few rows of `evaluation_date`); adds effective_date and temporal_status."""
-    return orders.crossJoin(F.broadcast(dates.limit(1000))).withColumn("effective_date", parse_date(F.col("effective_raw"))).withColumn(
+    return orders.crossJoin(small_side(dates, MOST_DATES)).withColumn("effective_date", parse_date(F.col("effective_raw"))).withColumn(
         "temporal_status", temporal_status(F.col("order_name"), F.col("effective_raw"), F.col("evaluation_date"))
     )
 

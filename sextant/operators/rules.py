@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import band, bounded_score
+from ..sources.scratch import small_side
 
-#: Rules are a table that a person writes; more than this many rows aren't one.
+#: Rules are mostly a table that a person writes; up to this many rows are broadcast, more are joined in shuffles or blocks.
 MOST_RULES = 10_000
 
 
@@ -15,14 +16,14 @@ def first_match(texts: DataFrame, rules: DataFrame, id_col: str, whole_word: boo
     """id_col, rule_id of the first rule (rule_id, ord, keyword) whose keyword the text has; null without one."""
     low = F.lower(F.coalesce(texts["text"], F.lit("")))
     hit = F.regexp_like(low, F.concat(F.lit(r"\b"), F.col("keyword"), F.lit(r"\b"))) if whole_word else F.contains(low, F.col("keyword"))
-    found = texts.join(F.broadcast(rules.limit(MOST_RULES)), hit).groupBy(id_col).agg(F.min_by("rule_id", F.struct("ord", "rule_id")).alias("rule_id"))
+    found = texts.join(small_side(rules, MOST_RULES), hit).groupBy(id_col).agg(F.min_by("rule_id", F.struct("ord", "rule_id")).alias("rule_id"))
     return texts.select(id_col).join(found, id_col, "left")
 
 
 def either_contains(items: DataFrame, rules: DataFrame, id_col: str, key: str) -> DataFrame:
     """id_col, rule_id of the first rule whose keyword contains the item's key or is contained in it; null without one."""
     hit = F.contains(F.col(key), F.col("keyword")) | F.contains(F.col("keyword"), F.col(key))
-    found = items.join(F.broadcast(rules.limit(MOST_RULES)), hit).groupBy(id_col).agg(F.min_by("rule_id", F.struct("ord", "rule_id")).alias("rule_id"))
+    found = items.join(small_side(rules, MOST_RULES), hit).groupBy(id_col).agg(F.min_by("rule_id", F.struct("ord", "rule_id")).alias("rule_id"))
     return items.select(id_col).join(found, id_col, "left")
 
 
@@ -32,7 +33,7 @@ def reranked(ranked: DataFrame, queries: DataFrame, rules: DataFrame) -> DataFra
     A rule meets an item by its whole number.  ranked: qid, doc_id, item_no, score;
     only rows that are ranked already can move.
     """
-    few = F.broadcast(rules.limit(MOST_RULES))
+    few = small_side(rules, MOST_RULES)
     asked = queries.select("qid", F.lower("text").alias("low")).join(few, F.contains(F.col("low"), F.col("word"))).select("qid", "item_no", "weight")
     extra = ranked.join(asked, ["qid", "item_no"]).groupBy("qid", "doc_id").agg(F.sum("weight").alias("extra"))
     scored = ranked.join(extra, ["qid", "doc_id"], "left").select("qid", "doc_id", bounded_score(F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score"))

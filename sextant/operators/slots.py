@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_class
+from ..sources.scratch import small_side
+from .rules import MOST_RULES
 
 # Keywords of each slot, in order of precedence.
 EXPOSURE = [
@@ -56,12 +58,12 @@ def slots(texts: DataFrame) -> DataFrame:
 def rule_bonus(slotted: DataFrame, rules: DataFrame, id_col: str = "qid") -> DataFrame:
     """Bonus of each (query, item) under rules (rule_id, item, slot, value, weight): a rule holds when the query's slot has its value."""
     long = slotted.select(id_col, F.explode(F.create_map(*(x for s in ("exposure", "seismic", "corrosion", "infrastructure", "grade") for x in (F.lit(s), F.col(s))))).alias("slot", "value")).where("value is not null")
-    return long.join(F.broadcast(rules.limit(10_000)), ["slot", "value"]).groupBy(id_col, "item").agg(F.round(F.sum("weight"), 6).alias("bonus"), F.array_join(F.sort_array(F.collect_set("rule_id")), ",").alias("rules"))
+    return long.join(small_side(rules, MOST_RULES), ["slot", "value"]).groupBy(id_col, "item").agg(F.round(F.sum("weight"), 6).alias("bonus"), F.array_join(F.sort_array(F.collect_set("rule_id")), ",").alias("rules"))
 
 
 def expanded(texts: DataFrame, vocabulary: DataFrame, id_col: str = "qid") -> DataFrame:
     """id_col, expansion: the additions of all vocabulary rows (ord, pattern, addition) whose pattern the text holds, in their order."""
-    hits = texts.join(F.broadcast(vocabulary.limit(10_000)), F.contains(F.lower(texts["text"]), F.col("pattern")))
+    hits = texts.join(small_side(vocabulary, MOST_RULES), F.contains(F.lower(texts["text"]), F.col("pattern")))
     hits = hits.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "addition"))), lambda h: h["addition"]), " ").alias("expansion"))
     return texts.select(id_col).join(hits, id_col, "left").select(id_col, F.coalesce("expansion", F.lit("")).alias("expansion"))
 

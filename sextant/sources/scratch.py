@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -17,3 +18,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/sextant-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(rows: DataFrame, most: int) -> DataFrame:
+    """All rows, marked for broadcast only when counted and at most `most`; joins without an equality then work block by block."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sextant.functions import text as T
-from sextant.operators import audit, graph, markup, orders, ranking, retrieval, slots
+from sextant.operators import audit, graph, markup, orders, ranking, retrieval, rules, slots
 from sextant.plans import registry
 from sextant.sources import readers
 from sextant.streaming import incremental
@@ -153,6 +153,28 @@ def test_audit(spark):
     assert audit.amendments(docs, found).where("doc_id = 3").first().amended == "No amendment"
 
 
+def test_large_rule_tables(spark):
+    """One row more than is broadcast, and some: every row counts, the first rule being the last row."""
+    n = rules.MOST_RULES + 50
+    ids = spark.range(n).select(F.col("id").cast("int").alias("i"))
+    table = ids.select(F.format_string("r%05d", "i").alias("rule_id"), (n - F.col("i")).alias("ord"), F.lit("steel").alias("keyword"))
+    texts = spark.createDataFrame([(1, "steel")], "qid int, text string")
+    assert [tuple(r) for r in rules.first_match(texts, table, "qid").collect()] == [(1, f"r{n - 1:05}")]
+    assert [tuple(r) for r in rules.either_contains(texts, table, "qid", "text").collect()] == [(1, f"r{n - 1:05}")]
+    weights = ids.select(F.col("i").alias("ord"), F.lit("steel").alias("word"), F.lit("IS 1").alias("item_no"), F.lit(2.0**-16).alias("weight"))
+    ranked = spark.createDataFrame([(1, 7, "IS 1", 0.25)], "qid int, doc_id int, item_no string, score double")
+    few = rules.reranked(ranked, texts, weights.limit(rules.MOST_RULES)).first().score
+    assert rules.reranked(ranked, texts, weights).first().score > few
+    slotted = slots.slots(texts).withColumn("grade", F.lit("E250"))
+    bonus = ids.select(F.format_string("r%05d", "i").alias("rule_id"), F.lit("IS 1").alias("item"), F.lit("grade").alias("slot"), F.lit("E250").alias("value"), F.lit(1.0).alias("weight"))
+    assert slots.rule_bonus(slotted, bonus).first().bonus == n
+    words = ids.select(F.col("i").alias("ord"), F.lit("steel").alias("pattern"), F.col("i").cast("string").alias("addition"))
+    assert slots.expanded(texts, words).first().expansion == " ".join(map(str, range(n)))
+    dates = spark.range(orders.MOST_DATES + 50).select(F.date_add(F.lit(datetime.date(2020, 1, 1)), F.col("id").cast("int")).alias("evaluation_date"))
+    order = spark.createDataFrame([("Order", "2020-01-01")], "order_name string, effective_raw string")
+    assert orders.status_asof(order, dates).count() == orders.MOST_DATES + 50
+
+
 def test_promotion(spark):
     ranked = spark.createDataFrame([(1, 10, 0.5, 1), (1, 11, 0.4, 2)], "qid int, doc_id int, score double, rank int")
     new = spark.createDataFrame([(10, 99)], "doc_id int, new_id int")
