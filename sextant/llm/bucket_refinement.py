@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .repeats import list_column, marked, merge_spans, open_anchors, refine, spans_by_text, unpack_place, whole_spans
 from .tables import keyed_texts
-from .units import Rolling, Texts, byte_values, slices
+from .units import CONTEXT_BYTES, Rolling, Texts, byte_values, pieces, slices
 
 #: Contexts that a task refines at once, and bytes of the initial buckets' grams.
 BATCH_CONTEXTS = 4096
@@ -46,11 +46,12 @@ def _contexts(length: int):
                     continue
                 pos, left, right = unpack_place(place[mine])
                 start, size = part.bounds[doc] + pos - left, left + right
-                ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
-                take = np.repeat(start - ends[:-1], size) + np.arange(ends[-1])
-                around = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(part.data[take])])
                 row = doc + part.first
-                yield pa.RecordBatch.from_arrays([pa.array(h[mine]), pa.array(rd[row]), pa.array(rt[row]), pa.array(place[mine]), pa.array(ask[mine]), around], names=["h", "rd", "rt", "place", "ask", "around"])
+                for i, j in pieces(size, CONTEXT_BYTES):
+                    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size[i:j])])
+                    take = np.repeat(start[i:j] - ends[:-1], size[i:j]) + np.arange(ends[-1])
+                    around = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(part.data[take])])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i:j]) for x in (h[mine], rd[row], rt[row], place[mine], ask[mine])] + [around], names=["h", "rd", "rt", "place", "ask", "around"])
 
     return emit
 

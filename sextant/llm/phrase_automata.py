@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .repeats import list_column, marked, merge_spans, open_anchors, refine, spans_by_text, unpack_place, whole_spans
 from .tables import NULL_ID, keyed_texts
-from .units import Rolling, Texts, Words, slices
+from .units import CONTEXT_BYTES, Rolling, Texts, Words, pieces, slices
 
 #: Contexts of one automaton, and words of a phrase.
 SHARD_CONTEXTS = 4096
@@ -58,8 +58,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = part.words()
             pos, left, right = unpack_place(place[mine])
             at = words.bounds[doc] + pos
-            row = doc + part.first
-            yield pa.RecordBatch.from_arrays([pa.array(h[mine]), pa.array(rd[row]), pa.array(rt[row]), pa.array(place[mine]), pa.array(ask[mine]), _around(words, at - left, at + right)], names=["h", "rd", "rt", "place", "ask", "around"])
+            row, first, last = doc + part.first, at - left, at + right
+            for i, j in pieces(words.end[last - 1] - words.start[first], CONTEXT_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i:j]) for x in (h[mine], rd[row], rt[row], place[mine], ask[mine])] + [_around(words, first[i:j], last[i:j])], names=["h", "rd", "rt", "place", "ask", "around"])
 
 
 _CONTEXT = "h long, rd long, rt int, place long, ask boolean, around binary"

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import written
-from .units import Rolling, Texts, minimisers, mix, slices
+from .units import SEGMENT_UNITS, Rolling, Texts, minimisers, mix, slices
 
 #: One unit array and the bounds of each text in it, from a slice of texts.
 Units = Callable[[Texts], tuple[np.ndarray, np.ndarray]]
@@ -45,6 +45,30 @@ def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return place >> _PLACE[0], place >> _PLACE[1] & _PLACE[2], place & _PLACE[2]
 
 
+def anchored(values: np.ndarray, bounds: np.ndarray, window: int, gram: int, limit: int = SEGMENT_UNITS) -> Iterator[tuple[np.ndarray, ...]]:
+    """Gram, context, text number and place of every anchor, by segments of `limit` windows.
+
+    Segments share what windows and contexts need of each other's units, so that
+    anchors and contexts are those of the texts as a whole, and each comes once.
+    """
+    total, before = len(values), np.zeros(0, np.int64)
+    for low in range(0, total - window + 1, limit):
+        high = min(low + limit, total - window + 1)
+        begin, end = max(0, low - (window - gram)), min(total, high + 2 * window)
+        rolling = Rolling(values[begin:end])
+        grams = rolling.grams(gram)
+        mine = grams[low - begin : high + window - gram - begin]
+        chosen = minimisers(mine, gram, window, np.clip(bounds, low, high + window - 1) - low) + low
+        at, before = np.setdiff1d(chosen, before, assume_unique=True), chosen
+        if not len(at):
+            continue
+        doc = np.searchsorted(bounds, at, "right") - 1
+        first, last = np.maximum(bounds[doc], at - (window - gram)), np.minimum(bounds[doc + 1], at + window)
+        left, right = at - first, last - at
+        ctx = rolling.ranges(first - begin, last - begin) ^ mix((left << 12 | right).astype(np.uint64))
+        yield grams[at - begin].view(np.int64), ctx.view(np.int64), doc, pack_place(at - bounds[doc], left, right)
+
+
 def anchors(texts: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
     """One row for each anchor: h (its gram), ctx (its context), rd, rt, place."""
     if window >= 1 << 12:
@@ -54,21 +78,9 @@ def anchors(texts: DataFrame, units: Units, window: int, gram: int) -> DataFrame
         for batch in batches:
             rd, rt = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("rd", "rt"))
             for part in slices(batch.column("text")):
-                values, bounds = units(part)
-                rolling = Rolling(values)
-                grams = rolling.grams(gram)
-                at = minimisers(grams, gram, window, bounds)
-                if not len(at):
-                    continue
-                doc = np.searchsorted(bounds, at, "right") - 1
-                start, end = np.maximum(bounds[doc], at - (window - gram)), np.minimum(bounds[doc + 1], at + window)
-                left, right = at - start, end - at
-                ctx = rolling.ranges(start, end) ^ mix((left << 12 | right).astype(np.uint64))
-                row = doc + part.first
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (grams[at].view(np.int64), ctx.view(np.int64), rd[row], rt[row], pack_place(at - bounds[doc], left, right))],
-                    names=["h", "ctx", "rd", "rt", "place"],
-                )
+                for h, ctx, doc, place in anchored(*units(part), window, gram):
+                    row = doc + part.first
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, ctx, rd[row], rt[row], place)], names=["h", "ctx", "rd", "rt", "place"])
 
     return texts.select("rd", "rt", "text").mapInArrow(emit, "h long, ctx long, rd long, rt int, place long")
 

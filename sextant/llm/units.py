@@ -17,6 +17,12 @@ import pyarrow as pa
 #: Bytes of text that are worked on at once; bounds the memory of a task.
 SLICE_BYTES = 1 << 20
 
+#: Units of one text that are worked on at once; a longer text is worked through in segments. Must stay well below 2**26.
+SEGMENT_UNITS = 1 << 22
+
+#: Bytes of contexts that are copied out at once.
+CONTEXT_BYTES = 1 << 26
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20250101).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
@@ -97,7 +103,16 @@ class Words:
             last[ends[ends > 0] - 1] = True
         self.end = np.flatnonzero(solid & last) + 1
         self.bounds = np.searchsorted(self.start, texts.bounds)
-        self.hash = Rolling(_TABLE[data]).ranges(self.start, self.end)
+        self.hash = np.zeros(len(self.start), np.uint64)
+        for i, j in pieces(np.diff(self.start, prepend=0), SEGMENT_UNITS):
+            first = self.start[i]
+            self.hash[i:j] = Rolling(_TABLE[data[first : self.end[j - 1]]]).ranges(self.start[i:j] - first, self.end[i:j] - first)
+
+
+def pieces(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring items whose sizes together are about `limit`, or one item; none without items."""
+    cut = np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1
+    return ((i, j) for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(size)]) if i < j)
 
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Texts]:

@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sextant.llm import chat, exact_dedup, jaccard_join, packing, phrase_automata, quality_crf, sentencepiece_backend, token_store, topk
+from sextant.llm import chat, exact_dedup, jaccard_join, packing, phrase_automata, quality_crf, repeats, sentencepiece_backend, token_store, topk, units
 from sextant.llm.bucket_refinement import drop_repeated_bytes
 from sextant.llm.tables import scratch_dir
 
@@ -118,6 +118,27 @@ def test_near_duplicates(docs):
     assert Counter(r[0] for r in kept.select("doc_id").collect()) == Counter({i: 1 for i, _, c in want if i == c and i is not None}) + Counter([None] * sum(v for (i, _, c), v in want.items() if i is None and c is None))
 
 
+def test_segments_of_long_texts():
+    """Anchors and contexts don't depend on segments, and 2**26 units are not too many."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 100, n).astype(np.uint8) for n in (3000, 0, 150, 4000, 199, 201, 900)]
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(t) for t in texts])])
+    values = units.byte_values(np.concatenate(texts))
+    join = lambda found: [np.concatenate(x).tolist() for x in zip(*found)]
+    whole = join(repeats.anchored(values, bounds, 200, 32))
+    for limit in (200, 333, 1000, 4096):
+        assert join(repeats.anchored(values, bounds, 200, 32, limit)) == whole
+    data = np.concatenate([t for t in texts if len(t)])
+    words = np.where(data == 97, 32, data).astype(np.uint8)
+    one = units.Texts(words, np.array([0, len(words)]), 0).words()
+    assert [one.hash[k] for k in (0, 7)] == [units.Rolling(units.byte_values(words[one.start[k] : one.end[k]])).ranges(np.array([0]), np.array([one.end[k] - one.start[k]]))[0] for k in (0, 7)]
+    assert list(units.pieces(np.array([3, 3, 9, 1]), 4)) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    size = (1 << 26) + 1000
+    long = np.resize(rng.integers(1, 2**63, 1 << 20, dtype=np.uint64), size)
+    places = [place >> 24 for _, _, _, place in repeats.anchored(long, np.array([0, size]), 200, 32)]
+    assert max(int(p.max()) for p in places) >= size - 200 and sum(map(len, places)) == len(np.unique(np.concatenate(places)))
+
+
 def test_exact_dedup(docs):
     groups = defaultdict(list)
     for i, t in texts():
