@@ -308,24 +308,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, at_least: int = 75, id_co
     has a null component_id.  An empty table gives an empty result; other
     columns aren't read.
     """
+    return _labelled(docs, shingle, at_least, id_col, text_col).drop("stays")
+
+
+def _labelled(docs: DataFrame, shingle: int, at_least: int, id_col: str, text_col: str) -> DataFrame:
+    """`near_duplicates` with stays: whether (rd, rt) is its component's first by id (null last), then text hash; always where there are no shingles."""
     texts = keyed_texts(docs, id_col, text_col)
     bits = max(4, int(max(1, texts.count() // DOCS_PER_BUCKET) - 1).bit_length())
     rows = written(shingle_sets(texts, shingle, at_least, bits))
-    classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("rd", "rt")).alias("one"), F.max("shared").alias("shared"))
+    classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("rd", "rt")).alias("one"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "rd", "rt")).alias("stays"), F.max("shared").alias("shared"))
     classes = written(classes)
     enough = F.floor(_least(F.col("n"), at_least) / 10) + 1
     wanted = written(classes.where(F.col("shared") >= enough).select("one.rd", "one.rt", F.col("s1").alias("node"), "n"))
     sets = texts.join(small_side(wanted), ["rd", "rt"]).select("node", "n", "text").mapInArrow(_tokens(shingle), "node long, n int, tokens array<long>").dropDuplicates(["node"])
     labels = linked_sets(sets, at_least)
     named = classes.join(labels.select(F.col("node").alias("s1"), "label"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
-    names = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    named = named.join(names, "label").select("n", "s1", "s2", "component_id")
+    names = named.groupBy("label").agg(F.min("least_id").alias("component_id"), F.min("stays").alias("stays"))
+    named = named.drop("stays").join(names, "label").select("n", "s1", "s2", "component_id", "stays")
     return rows.join(named, ["n", "s1", "s2"], "left").select(
-        "doc_id", "rd", "rt", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "rd", "rt", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        ((F.col("n") == 0) | ((F.col("rd") == F.col("stays.rd")) & (F.col("rt") == F.col("stays.rt")))).alias("stays"),
     )
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, at_least: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one row of each component of `near_duplicates`: the smallest id."""
-    found = near_duplicates(docs, shingle, at_least, id_col, text_col)
-    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), id_col, text_col)
+    """docs, all columns, with one row of each component of `near_duplicates`: the smallest id, of rows that share it or have none the smallest text hash.
+
+    Rows are told apart by id and text hash; one that shares both with a row that stays, stays too.
+    """
+    found = _labelled(docs, shingle, at_least, id_col, text_col)
+    gone = found.groupBy("rd", "rt").agg(F.max("stays").alias("stays")).where("not stays")
+    return without(docs, gone, id_col, text_col)

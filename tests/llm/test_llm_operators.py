@@ -118,6 +118,15 @@ def test_near_duplicates(docs):
     assert Counter(r[0] for r in kept.select("doc_id").collect()) == Counter({i: 1 for i, _, c in want if i == c and i is not None}) + Counter([None] * sum(v for (i, _, c), v in want.items() if i is None and c is None))
 
 
+def test_keep_one_of_shared_ids(spark):
+    """Linked texts that differ, without ids or with the same smallest one; components that share an id; texts without words."""
+    base = [[f"{c}{k}" for k in range(60)] for c in "abcd"]
+    near = lambda c, word: " ".join([*base[c], word])
+    rows = [(None, near(0, "x")), (None, near(0, "y")), (None, near(0, "z")), (None, near(1, "x")), (5, near(2, "x")), (5, near(2, "y")), (9, near(2, "z")), (5, near(3, "x")), (None, near(3, "y")), (None, ""), (None, " "), (5, "")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, (r.text.split() or [""])[0]) for r in kept) == Counter([(None, "a0"), (None, "b0"), (5, "c0"), (5, "d0"), (None, ""), (None, ""), (5, "")])
+
+
 def test_segments_of_long_texts():
     """Anchors and contexts don't depend on segments, and 2**26 units are not too many."""
     rng = np.random.default_rng(5)
