@@ -1,12 +1,12 @@
 """Suffix-array dedup: repeated byte strings, by bucket-pointer refinement.
 
-Suffixes of all texts are put into buckets by their first bytes and the buckets
-are refined by what stands at later offsets, until suffixes that agree for
-`length` bytes are known.  Two things keep this small on a corpus: only suffixes
-at anchors (see `repeats`) get a place in the initial q-gram buckets, for any
-repeated string has one at the same offset in all its copies; and neighbouring
-suffixes are refined together as blocks, whose verdict is reused for all of
-them and for every later round.
+Suffixes get buckets by their first bytes; buckets are refined by sorting on the
+bucket identifiers of the suffixes at later offsets, and every round reuses the
+identifiers that the round before has updated (`repeats.refine`), until suffixes
+in one bucket agree for `length` bytes.  Suffixes of a whole corpus are never
+sorted at once: a string of `length` bytes that recurs has one anchor at the
+same offset in all its copies (see `repeats`), so buckets start with the texts
+around anchors whose gram recurs, and those of a gram are refined in one task.
 """
 
 from __future__ import annotations
@@ -19,113 +19,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import list_column, marked, merge_spans, open_anchors, refine, spans_by_text, unpack_place, whole_spans
+from .repeats import copied, list_column, merge_spans, refine, repeated_spans
 from .tables import keyed_texts
-from .units import CONTEXT_BYTES, Rolling, Texts, byte_values, pieces, slices
-
-#: Contexts that a task refines at once, and bytes of the initial buckets' grams.
-BATCH_CONTEXTS = 4096
-GRAM = 32
-
-
-def _bytes(part: Texts) -> tuple[np.ndarray, np.ndarray]:
-    return byte_values(part.data), part.bounds
-
-
-def _contexts(length: int):
-    """(text, its open anchors) -> a row for each anchor with the bytes around it."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, (place, h, ask) = list_column(batch.column("anchors"), ["place", "h", "ask"])
-            rd, rt = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("rd", "rt"))
-            for part in slices(batch.column("text")):
-                mine = slice(offsets[part.first], offsets[part.first + len(part)])
-                doc = np.repeat(np.arange(len(part)), np.diff(offsets[part.first : part.first + len(part) + 1]))
-                if not len(doc):
-                    continue
-                pos, left, right = unpack_place(place[mine])
-                start, size = part.bounds[doc] + pos - left, left + right
-                row = doc + part.first
-                for i, j in pieces(size, CONTEXT_BYTES):
-                    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size[i:j])])
-                    take = np.repeat(start[i:j] - ends[:-1], size[i:j]) + np.arange(ends[-1])
-                    around = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(part.data[take])])
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i:j]) for x in (h[mine], rd[row], rt[row], place[mine], ask[mine])] + [around], names=["h", "rd", "rt", "place", "ask", "around"])
-
-    return emit
-
-
-def _refined(length: int, gram: int):
-    """Contexts, all those of a gram one behind the other -> spans of their windows that recur."""
-
-    def solve(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(batches)
-        h, rd, rt, place, ask = (rows.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in ("h", "rd", "rt", "place", "ask"))
-        pos, left, right = unpack_place(place)
-        part = next(slices(rows.column("around"), 1 << 62))
-        who, first, last = refine(Rolling(byte_values(part.data)), part.bounds[:-1] + left, left, right, h.view(np.uint64), length, gram)
-        who, first, last = (x[ask[who]] for x in (who, first, last))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rd[who], rt[who], pos[who] - last, pos[who] - first + length)], names=["rd", "rt", "s", "e"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            h = batch.column("h").to_numpy()
-            edges = np.flatnonzero(h[1:] != h[:-1]) + 1
-            begin = 0
-            if held and (len(h) and h[0] != held[-1].column("h")[-1].as_py()) and rows >= BATCH_CONTEXTS:
-                yield solve(held)
-                held, rows = [], 0
-            for edge in edges:
-                if rows + edge - begin >= BATCH_CONTEXTS:
-                    held.append(batch.slice(begin, edge - begin))
-                    yield solve(held)
-                    held, rows, begin = [], 0, int(edge)
-            if begin < len(h):
-                held.append(batch.slice(begin))
-                rows += len(h) - begin
-        if held:
-            yield solve(held)
-
-    return run
-
-
-def repeated_spans(texts: DataFrame, length: int = 200, gram: int = GRAM, group_limit: int = 1 << 17) -> DataFrame:
-    """rd, rt, s, e: byte spans whose every byte lies in a string of `length` bytes that also starts elsewhere.
-
-    texts: as from `keyed_texts`.  A gram with more than group_limit different
-    contexts isn't gathered in one task; each of its windows becomes a row of
-    its own, and rows of equal windows are counted, map-side first.
-    """
-    found = marked(texts, _bytes, length, gram)
-    contexts = (
-        texts.join(open_anchors(found), ["rd", "rt"], "left").where("anchors is not null").select("rd", "rt", "text", "anchors")
-        .mapInArrow(_contexts(length), "h long, rd long, rt int, place long, ask boolean, around binary")
-    )
-    hot = found.where(F.col("kinds") > group_limit).select("h").distinct()
-    split = not hot.isEmpty()
-    plain = contexts.join(hot, "h", "left_anti") if split else contexts
-    spans = plain.repartition("h").sortWithinPartitions("h").mapInArrow(_refined(length, gram), "rd long, rt int, s long, e long")
-    if split:
-        spans = spans.unionByName(_by_window(contexts.join(hot, "h", "left_semi"), length, gram))
-    return whole_spans(found, length).unionByName(spans)
-
-
-def _by_window(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    pos, left, right = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(F.lit(0xFFF)), F.col("place").bitwiseAND(F.lit(0xFFF))
-    rows = (
-        contexts.withColumn("least", F.greatest(F.lit(0).cast("long"), F.lit(length) - right)).withColumn("most", F.least(F.lit(length - gram).cast("long"), left))
-        .where("least <= most")
-        .select("h", "rd", "rt", "ask", "around", pos.alias("pos"), left.alias("left"), F.explode(F.sequence("least", "most")).alias("k"))
-        .select("h", "rd", "rt", "ask", "k", (F.col("pos") - F.col("k")).alias("s"), F.sha2(F.substring("around", (F.col("left") - F.col("k") + 1).cast("int"), F.lit(length)), 256).alias("w"))
-    )
-    again = rows.groupBy("h", "k", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return rows.where("ask").join(again, ["h", "k", "w"]).select("rd", "rt", "s", (F.col("s") + length).alias("e"))
+from .units import Texts, byte_values, slices
+
+#: Bytes of the anchors' grams, and contexts of a gram that are refined in one task.
+GRAM, GROUP_CONTEXTS = 32, 1 << 14
+
+
+def _bytes(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return byte_values(part.data), part.data, part.bounds
+
+
+def _around(part: Texts, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, pa.Array]]:
+    return copied(part.data, part.bounds[doc] + first, part.bounds[doc] + last)
+
+
+def _refined(length: int):
+    def solve(h: np.ndarray, n: np.ndarray, left: np.ndarray, around: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        part = next(slices(around, 1 << 62))
+        start, _ = refine(part.data, 8, part.bounds, left, h, length)
+        whole = np.flatnonzero(n > 1)  # every window of such a context recurs, with the context
+        who = np.searchsorted(part.bounds, start, "right") - 1
+        keep = n[who] == 1
+        who, start = who[keep], start[keep]
+        head = np.ones(len(who), bool)
+        head[1:] = (who[1:] != who[:-1]) | (start[1:] != start[:-1] + 1)
+        first = np.flatnonzero(head)
+        last = np.append(first[1:], len(who)) - 1 if len(first) else first
+        base = part.bounds[who[first]]
+        return np.concatenate([whole, who[first]]), np.concatenate([np.zeros(len(whole), np.int64), start[first] - base]), np.concatenate([np.diff(part.bounds)[whole], start[last] + length - base])
+
+    return solve
+
+
+def _window(length: int):
+    return lambda i: F.sha2(F.substring("around", (i + 1).cast("int"), F.lit(length)), 256)
 
 
 _CUT = "doc_id long, text string, kept_bytes binary, spans array<struct<s: long, e: long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_CUT_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("kept_bytes", pa.binary()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,11 +76,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keep[a:b] = False
                 kept = data[keep].tobytes() if len(start) else data.tobytes()
                 out.append({"doc_id": ids[part.first + i], "text": kept.decode("utf-8", "ignore"), "kept_bytes": kept, "spans": [{"s": a, "e": b} for a, b in zip(start.tolist(), end.tolist())], "n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(start), "kept_sha256": hashlib.sha256(kept).hexdigest()})
-            schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("kept_bytes", pa.binary()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-            yield pa.RecordBatch.from_pylist(out, schema)
+            yield pa.RecordBatch.from_pylist(out, _CUT_ARROW)
 
 
-def drop_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", group_limit: int = 1 << 17) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_CONTEXTS) -> DataFrame:
     """Each document without the bytes of strings that recur.
 
     A byte goes when a string of `length` bytes that covers it also starts
@@ -161,5 +93,5 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = GRAM, id
     unchanged, an empty table gives an empty result, other columns aren't read.
     """
     texts = keyed_texts(docs, id_col, text_col)
-    spans = spans_by_text(repeated_spans(texts, length, gram, group_limit))
+    spans = repeated_spans(texts, _bytes, _around, _refined(length), _window(length), length, gram, group_limit)
     return texts.join(spans, ["rd", "rt"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, _CUT)

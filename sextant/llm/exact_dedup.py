@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import NULL_ID, salted, without, written
+from .tables import row_key_of, salted, without, written
 
 #: Digests of a shard, rows that one task looks up in one shard, bits a key at each level, bytes of a slot.
-SHARD_DIGESTS, SHARD_ROWS, GAMMA, SLOT = 20_000, 100_000, 2, 48
+SHARD_DIGESTS, SHARD_ROWS, GAMMA, SLOT = 20_000, 100_000, 2, 49
 
 
 def _keys(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +76,9 @@ def _build(frame: pd.DataFrame) -> pd.DataFrame:
     levels, slot = build_hash(digests)
     slots = np.zeros((len(digests), SLOT), np.uint8)
     slots[slot, :32] = digests
-    slots[slot, 32:40] = frame["winner"].to_numpy(np.int64).astype("<i8")[:, None].view(np.uint8)
-    slots[slot, 40:] = frame["size"].to_numpy(np.int64).astype("<i8")[:, None].view(np.uint8)
+    slots[slot, 48] = frame["winner"].isna()
+    slots[slot, 32:40] = np.array([0 if pd.isna(w) else int(w) for w in frame["winner"].astype(object)], "<i8")[:, None].view(np.uint8)
+    slots[slot, 40:48] = frame["size"].to_numpy(np.int64).astype("<i8")[:, None].view(np.uint8)
     sizes = np.array([len(x) for x in levels], "<i8").tobytes()
     return pd.DataFrame([{"shard": frame["shard"].iloc[0], "sizes": sizes, "bits": b"".join(np.packbits(x).tobytes() for x in levels), "slots": slots.tobytes()}])
 
@@ -115,9 +116,8 @@ class History:
 
     def verdicts(self, rows: DataFrame) -> DataFrame:
         """doc_id, keep_id, group_size, kept, text_sha256 for rows (rid, digest), all of which the history knows."""
-        no_null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
         return self.look_up(rows).select(
-            no_null("rid").alias("doc_id"), no_null("winner").alias("keep_id"), F.col("size").alias("group_size"), (F.col("rid") == F.col("winner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+            F.col("rid").alias("doc_id"), F.col("winner").alias("keep_id"), F.col("size").alias("group_size"), F.col("rid").eqNullSafe(F.col("winner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
         )
 
 
@@ -151,7 +151,7 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known &= (got[:, :32] == digests).all(axis=1)
             number = lambda lo: np.ascontiguousarray(got[:, lo : lo + 8]).view("<i8").ravel()
             yield pa.RecordBatch.from_arrays(
-                [part.column("rid"), part.column("digest"), pa.array(known), pa.array(number(32), mask=~known), pa.array(number(40), mask=~known)],
+                [part.column("rid"), part.column("digest"), pa.array(known), pa.array(number(32), mask=~known | (got[:, 48] == 1)), pa.array(number(40), mask=~known)],
                 names=["rid", "digest", "known", "winner", "size"],
             )
 
@@ -164,7 +164,7 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number = lambda lo: np.ascontiguousarray(slots[:, lo : lo + 8]).view("<i8").ravel()  # noqa: B023, E731
             whole = np.ascontiguousarray(slots[:, :32])
             digest = pa.Array.from_buffers(pa.binary(), len(slots), [None, pa.py_buffer(np.arange(0, 32 * len(slots) + 1, 32, dtype=np.int32)), pa.py_buffer(whole)])
-            yield pa.RecordBatch.from_arrays([digest, pa.array(number(32)), pa.array(number(40))], names=["digest", "winner", "size"])
+            yield pa.RecordBatch.from_arrays([digest, pa.array(number(32), mask=slots[:, 48] == 1), pa.array(number(40))], names=["digest", "winner", "size"])
 
 
 def add(history: History | None, rows: DataFrame) -> DataFrame:
@@ -180,9 +180,8 @@ def add(history: History | None, rows: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid (the id; NULL_ID for null), digest (SHA-256) and rt (a short hash) of every row; null text counts as empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("rid"), F.unhex(F.sha2(text, 256)).alias("digest"), F.hash(text).alias("rt"))
+    """rid (the id) and digest (SHA-256) of every row; null text counts as empty."""
+    return docs.select(F.col(id_col).cast("long").alias("rid"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest"))
 
 
 def drop_copies(docs: DataFrame, history: History | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, History]:
@@ -204,7 +203,7 @@ def drop_copies(docs: DataFrame, history: History | None = None, id_col: str = "
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with one row of each group of equal texts; which one and odd cases: see `drop_copies`."""
-    rows = written(digests(docs, id_col, text_col))
-    lost = History.build(add(None, rows)).verdicts(rows).where("not kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("rid"), F.unhex("text_sha256").alias("digest"))
-    lost = lost.join(rows.select("rid", "digest", "rt"), ["rid", "digest"])
-    return without(docs, lost.select(F.col("rid").alias("rd"), "rt"), id_col, text_col)
+    verdicts, _ = drop_copies(docs, None, id_col, text_col)
+    lost = verdicts.where("not kept").select(F.col("doc_id"), F.unhex("text_sha256").alias("digest"))
+    rd, rt = row_key_of("doc_id", F.col("digest"))
+    return without(docs, lost.select(rd.alias("rd"), rt.alias("rt")), id_col, text_col)

@@ -1,7 +1,7 @@
 """N-gram Jaccard join: size-aware heavy-light join on sets of word shingles.
 
-Texts become sets of 64-bit fingerprints of their shingles; equal sets count
-once.  Two sets of m and n shingles link when their intersection is at least
+Texts become sets of 64-bit fingerprints of their shingles (chained from the
+SHA-256 of their words); equal sets, by 128 bits, count once.  Two sets of m and n shingles link when their intersection is at least
 `at_least` hundredths of their union, hence at least that share of either.
 
 1. Sift.  In any order of all shingles, linked sets share some of their first
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .tables import keyed_texts, small_side, without, written
-from .units import Rolling, Texts, mix, slices
+from .units import Texts, mix, slices
 
 #: Documents of one packed bucket, roughly; the number of buckets grows with the table.
 DOCS_PER_BUCKET = 2000
@@ -45,17 +45,23 @@ _LOCAL = 0xFFFF
 
 def _sets(part: Texts, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of each text's distinct shingles, ascending, and their bounds."""
-    words = part.words(lower=True)
-    rolling = Rolling(words.hash)
-    count = np.diff(words.bounds)
-    grams = rolling.grams(shingle)
+    ids, bounds = part.word_ids(lower=True)
+    word, count = ids[:, 0] ^ mix(ids[:, 1].copy()), np.diff(bounds)
     doc_of_word = np.repeat(np.arange(len(part)), count)
-    at = np.arange(len(grams))
-    inside = at + shingle <= words.bounds[1:][doc_of_word[: len(grams)]] if len(grams) else np.zeros(0, bool)
-    doc, token = doc_of_word[: len(grams)][inside], grams[inside]
-    short = np.flatnonzero((count > 0) & (count < shingle))
-    token = np.concatenate([token, rolling.ranges(words.bounds[short], words.bounds[short + 1])])
-    doc = np.concatenate([doc, short])
+    doc, token = [], []
+    for size in range(1, shingle + 1):  # whole sequences of fewer words, and then shingles
+        if size < shingle:
+            docs = np.flatnonzero(count == size)
+            at = bounds[docs]
+        else:
+            at = np.flatnonzero(np.arange(len(word)) + size <= bounds[1:][doc_of_word]) if len(word) else np.zeros(0, np.int64)
+            docs = doc_of_word[at]
+        chain = np.full(len(at), size, np.uint64)
+        for k in range(size):
+            chain = mix(chain ^ word[at + k])
+        token.append(chain)
+        doc.append(docs)
+    token, doc = np.concatenate(token), np.concatenate(doc)
     order = np.lexsort((token, doc))
     token, doc = token[order], doc[order]
     new = np.ones(len(token), bool)
@@ -79,8 +85,8 @@ def _unpack(packed: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_SENT = "bucket int, batch long, doc_id long, rd long, rt int, n int, s1 long, s2 long, idx int, shared int, tokens binary, owners binary"
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("doc_id", pa.int64()), ("rd", pa.int64()), ("rt", pa.int32()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("idx", pa.int32()), ("shared", pa.int32()), ("tokens", pa.binary()), ("owners", pa.binary())])
+_SENT = "bucket int, batch long, doc_id long, rd long, rt long, n int, s1 long, s2 long, idx int, shared int, tokens binary, owners binary"
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("doc_id", pa.int64()), ("rd", pa.int64()), ("rt", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("idx", pa.int32()), ("shared", pa.int32()), ("tokens", pa.binary()), ("owners", pa.binary())])
 
 
 def _rows(count: int, **columns) -> pa.RecordBatch:
@@ -208,7 +214,7 @@ def shingle_sets(texts: DataFrame, shingle: int, at_least: int, bits: int) -> Da
     """A row for each row of texts: doc_id, rd, rt, n (set size), s1, s2 (the set's fingerprint), shared (first shingles that others share)."""
     sent = texts.select("doc_id", "rd", "rt", "text").mapInArrow(_send(shingle, at_least, bits), _SENT)
     counted = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted, _SENT)
-    return counted.repartition("batch").sortWithinPartitions("batch").mapInArrow(_summed, "doc_id long, rd long, rt int, n int, s1 long, s2 long, shared long")
+    return counted.repartition("batch").sortWithinPartitions("batch").mapInArrow(_summed, "doc_id long, rd long, rt long, n int, s1 long, s2 long, shared long")
 
 
 def _tokens(shingle: int):
@@ -286,9 +292,13 @@ def linked_sets(sets: DataFrame, at_least: int) -> DataFrame:
     marked = written(marked.join(open_keys, "key"))
     x = marked.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "label")))
     y = marked.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "label")))
-    cross = x.join(y, "key").where("node_a < node_b and label_a != label_b").where(
+    # sizes of sets that link are in one class or in neighbouring ones, so that long lists fall apart before any pair is made
+    size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(100 / at_least))) if at_least < 100 else n
+    x = x.withColumn("class", size_class(F.col("n_a")))
+    y = y.withColumn("class", F.explode(F.array(size_class(F.col("n_b")), size_class(F.col("n_b")) - 1)))
+    cross = x.join(y, ["key", "class"]).where("(n_a, node_a) < (n_b, node_b) and label_a != label_b").where(
         fits(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"), F.col("n_a"), F.col("n_b"))
-    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    ).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     more = written(_linked(cross, sets, at_least))
     return components(links.unionByName(more), "a", "b")
 
@@ -317,12 +327,12 @@ def _labelled(docs: DataFrame, shingle: int, at_least: int, id_col: str, text_co
     bits = max(4, int(max(1, texts.count() // DOCS_PER_BUCKET) - 1).bit_length())
     rows = written(shingle_sets(texts, shingle, at_least, bits))
     classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("rd", "rt")).alias("one"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "rd", "rt")).alias("stays"), F.max("shared").alias("shared"))
-    classes = written(classes)
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()))  # a number of each different set, fixed in the table
     enough = F.floor(_least(F.col("n"), at_least) / 10) + 1
-    wanted = written(classes.where(F.col("shared") >= enough).select("one.rd", "one.rt", F.col("s1").alias("node"), "n"))
+    wanted = written(classes.where(F.col("shared") >= enough).select("one.rd", "one.rt", F.col("node"), "n"))
     sets = texts.join(small_side(wanted), ["rd", "rt"]).select("node", "n", "text").mapInArrow(_tokens(shingle), "node long, n int, tokens array<long>").dropDuplicates(["node"])
     labels = linked_sets(sets, at_least)
-    named = classes.join(labels.select(F.col("node").alias("s1"), "label"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
+    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("least_id").alias("component_id"), F.min("stays").alias("stays"))
     named = named.drop("stays").join(names, "label").select("n", "s1", "s2", "component_id", "stays")
     return rows.join(named, ["n", "s1", "s2"], "left").select(

@@ -1,15 +1,17 @@
 """Substring dedup on words: repeated-phrase automata.
 
-1. Confirm: `repeats` finds the places whose phrase (a short gram that every
-   long window around it chooses) recurs, and where whole contexts recur.
-2. Compile: contexts go to shards by phrase; a shard confirms which windows of
-   its contexts recur, joins neighbouring ones to passages and compiles the
-   passages to an Aho-Corasick automaton over word numbers (pyahocorasick).
-3. Stream: the shard's contexts, which stand for every place in every document
-   where a passage of the shard can be, run through its automaton; all
-   occurrences of all passages are spans to remove.
-
-A context that recurs as a whole is streamed once for all its copies.
+1. Confirm: `repeats` gathers the texts around anchors whose phrase (a short gram
+   that every long window around it chooses) recurs, each different one once; a
+   shard confirms which windows of `window` words occur more than once, joins
+   those that always occur together to passages, and keeps one copy of each.
+2. Compile: a shard's passages become an Aho-Corasick automaton over word
+   numbers (pyahocorasick).
+3. Stream: everything around anchors with a phrase of the shard, from all
+   documents, runs through the shard's automaton.  Where a passage occurs is
+   known from its matches only.
+
+Text without an anchor whose phrase recurs can't hold a passage, and text that
+occurs around many anchors alike is streamed once for all of them.
 """
 
 from __future__ import annotations
@@ -22,145 +24,93 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .repeats import list_column, marked, merge_spans, open_anchors, refine, spans_by_text, unpack_place, whole_spans
-from .tables import NULL_ID, keyed_texts
-from .units import CONTEXT_BYTES, Rolling, Texts, Words, pieces, slices
+from .repeats import copied, list_column, merge_spans, refine, repeated_spans
+from .tables import keyed_texts, row_key
+from .units import Texts, slices
 
-#: Contexts of one automaton, and words of a phrase.
-SHARD_CONTEXTS = 4096
-PHRASE = 8
+#: Words of a phrase, and contexts of a phrase that one automaton takes.
+PHRASE, GROUP_CONTEXTS = 8, 1 << 14
 
 
-def _words(part: Texts) -> tuple[np.ndarray, np.ndarray]:
-    words = part.words()
-    return words.hash, words.bounds
-
-
-def _around(words: Words, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The text from word start[i] to the end of word end[i] - 1, for each i."""
-    first, last = words.start[start], words.end[end - 1]
-    size = last - first
-    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
-    take = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(words.data[take])])
-
+def _words(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, bounds = part.word_ids()
+    return ids[:, 0], ids, bounds
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        offsets, (place, h, ask) = list_column(batch.column("anchors"), ["place", "h", "ask"])
-        rd, rt = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("rd", "rt"))
-        for part in slices(batch.column("text")):
-            mine = slice(offsets[part.first], offsets[part.first + len(part)])
-            doc = np.repeat(np.arange(len(part)), np.diff(offsets[part.first : part.first + len(part) + 1]))
-            if not len(doc):
-                continue
-            words = part.words()
-            pos, left, right = unpack_place(place[mine])
-            at = words.bounds[doc] + pos
-            row, first, last = doc + part.first, at - left, at + right
-            for i, j in pieces(words.end[last - 1] - words.start[first], CONTEXT_BYTES):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i:j]) for x in (h[mine], rd[row], rt[row], place[mine], ask[mine])] + [_around(words, first[i:j], last[i:j])], names=["h", "rd", "rt", "place", "ask", "around"])
 
-
-_CONTEXT = "h long, rd long, rt int, place long, ask boolean, around binary"
+def _around(part: Texts, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, pa.Array]]:
+    words = part.words()
+    return copied(part.data, words.start[words.bounds[doc] + first], words.end[words.bounds[doc] + last - 1])
 
 
 def _numbers(around: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The words of each context as numbers of this shard (exact: by the words themselves), and bounds."""
     ids: dict[bytes, int] = {}
-    rows = [[ids.setdefault(w, len(ids)) for w in _SPLIT(x)] for x in around.to_pylist()]
+    rows = [[ids.setdefault(w, len(ids)) for w in x.split()] for x in around.to_pylist()]
     bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(r) for r in rows], dtype=np.int64)])
     return np.fromiter((x for r in rows for x in r), np.int64, int(bounds[-1])), bounds
 
 
-def _SPLIT(x: bytes) -> list[bytes]:
-    return x.split()  # bytes.split() cuts at 0x20 and 0x09 to 0x0D and nothing else
-
-
-def _shard(batches: list[pa.RecordBatch], window: int, gram: int) -> pa.RecordBatch:
-    rows = pa.Table.from_batches(batches)
-    h, rd, rt, place, ask = (rows.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in ("h", "rd", "rt", "place", "ask"))
-    pos, left, right = unpack_place(place)
-    numbers, bounds = _numbers(rows.column("around").combine_chunks())
-    at = bounds[:-1] + left
-    who, first, last = refine(Rolling((numbers + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), at, left, right, h.view(np.uint64), window, gram)
-    passages = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    order = np.lexsort((-last, who))
-    who, start, end = who[order], at[who[order]] - last[order], at[who[order]] - first[order] + window
-    head = np.ones(len(who), bool)
-    head[1:] = (who[1:] != who[:-1]) | (last[order][:-1] <= last[order][1:]) | (first[order][:-1] != last[order][1:] + 1)
-    at_head = np.flatnonzero(head)
-    for a, b in zip(start[at_head].tolist(), end[np.append(at_head[1:], len(who)) - 1].tolist() if len(who) else []):
-        passages.add_word(tuple(numbers[a:b].tolist()))
-    found: list[tuple[int, int, int]] = []
-    if len(passages):
-        passages.make_automaton()
-        for i in np.flatnonzero(ask).tolist():
-            covered: list[tuple[int, int]] = []  # apart and ascending; matches come by their ends
-            for end_at, length in passages.iter(tuple(numbers[bounds[i] : bounds[i + 1]].tolist())):
-                begin = end_at + 1 - length
-                while covered and covered[-1][1] >= begin:
-                    begin = min(begin, covered.pop()[0])
-                covered.append((begin, end_at + 1))
-            found += [(i, a, b) for a, b in covered]
-    i, s, e = np.array(found, np.int64).reshape(-1, 3).T
-    base = pos[i] - left[i]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (rd[i], rt[i], base + s, base + e)], names=["rd", "rt", "s", "e"])
-
-
-def _located(window: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            h = batch.column("h").to_numpy()
-            edges = np.flatnonzero(h[1:] != h[:-1]) + 1
-            begin = 0
-            if rows >= SHARD_CONTEXTS and len(h) and h[0] != held[-1].column("h")[-1].as_py():
-                yield _shard(held, window, gram)
-                held, rows = [], 0
-            for edge in edges.tolist():
-                if rows + edge - begin >= SHARD_CONTEXTS:
-                    yield _shard([*held, batch.slice(begin, edge - begin)], window, gram)
-                    held, rows, begin = [], 0, edge
-            if begin < len(h):
-                held.append(batch.slice(begin))
-                rows += len(h) - begin
-        if held:
-            yield _shard(held, window, gram)
-
-    return run
-
-
-def _by_window(contexts: DataFrame, window: int, gram: int) -> DataFrame:
-    """The spans of contexts of phrases too common for one automaton: a row for each window, counted map-side first."""
-    pos, left, right = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(F.lit(0xFFF)), F.col("place").bitwiseAND(F.lit(0xFFF))
-    words = F.split(F.col("around").cast("string"), "[\\x20\\x09-\\x0D]+")
-    rows = (
-        contexts.withColumn("least", F.greatest(F.lit(0).cast("long"), F.lit(window) - right)).withColumn("most", F.least(F.lit(window - gram).cast("long"), left))
-        .where("least <= most").withColumn("words", words)
-        .select("h", "rd", "rt", "ask", "words", pos.alias("pos"), left.alias("left"), F.explode(F.sequence("least", "most")).alias("k"))
-        .select("h", "rd", "rt", "ask", "k", (F.col("pos") - F.col("k")).alias("s"), F.sha2(F.array_join(F.slice("words", (F.col("left") - F.col("k") + 1).cast("int"), window), " "), 256).alias("w"))
-    )
-    again = rows.groupBy("h", "k", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return rows.where("ask").join(again, ["h", "k", "w"]).select("rd", "rt", "s", (F.col("s") + window).alias("e"))
-
-
-def repeated_spans(texts: DataFrame, window: int = 35, phrase: int = PHRASE, group_limit: int = 1 << 16) -> DataFrame:
-    """rd, rt, s, e: spans of words covered by passages that recur; texts as from `keyed_texts`."""
-    found = marked(texts, _words, window, phrase)
-    contexts = (
-        texts.join(open_anchors(found), ["rd", "rt"], "left").where("anchors is not null").select("rd", "rt", "text", "anchors")
-        .mapInArrow(_contexts, _CONTEXT)
-    )
-    hot = found.where(F.col("kinds") > group_limit).select("h").distinct()
-    split = not hot.isEmpty()
-    plain = contexts.join(hot, "h", "left_anti") if split else contexts
-    spans = plain.repartition("h").sortWithinPartitions("h").mapInArrow(_located(window, phrase), "rd long, rt int, s long, e long")
-    if split:
-        spans = spans.unionByName(_by_window(contexts.join(hot, "h", "left_semi"), window, phrase))
-    return whole_spans(found, window).unionByName(spans)
+def confirmed(numbers: np.ndarray, bounds: np.ndarray, at: np.ndarray, group: np.ndarray, n: np.ndarray, window: int) -> list[tuple[int, ...]]:
+    """One copy of each passage: the words of windows that occur more than once, joined where they always follow each other."""
+    start, bucket = refine(numbers, max(1, int(numbers.max(initial=0)).bit_length()), bounds, at, group, window)
+    length = np.diff(bounds)
+    common = np.flatnonzero((n > 1) & (length >= window))
+    more = np.concatenate([np.arange(bounds[i], bounds[i + 1] - window + 1) for i in common.tolist()]) if len(common) else np.zeros(0, np.int64)
+    more = np.setdiff1d(more, start, assume_unique=True)  # windows of one context only, but of many anchors
+    bucket = np.concatenate([bucket, np.arange(len(more)) + int(bucket.max(initial=-1)) + 1])
+    start = np.concatenate([start, more])
+    order = np.argsort(start)
+    start, bucket = start[order], bucket[order]
+    if not len(start):
+        return []
+    who = np.searchsorted(bounds, start, "right") - 1
+    follows = np.zeros(len(start), bool)
+    follows[:-1] = (start[1:] == start[:-1] + 1) & (who[1:] == who[:-1])
+    after = np.where(follows, np.append(bucket[1:], -1), -1)
+    kinds = int(bucket.max()) + 1
+    size = np.bincount(bucket, minlength=kinds)
+    low, high = np.full(kinds, kinds), np.full(kinds, -1)
+    np.minimum.at(low, bucket, after)
+    np.maximum.at(high, bucket, after)
+    goes_on = (low == high) & (high >= 0) & (size[np.maximum(high, 0)] == size)  # all places of a window go on to the same one, that has no other
+    first = np.full(kinds, len(start))
+    np.minimum.at(first, bucket, np.arange(len(start)))
+    mine = np.zeros(len(start), bool)
+    mine[first[first < len(start)]] = True
+    joined = np.zeros(len(start), bool)
+    joined[1:] = mine[1:] & mine[:-1] & follows[:-1] & goes_on[bucket[:-1]]
+    begins = np.flatnonzero(mine & ~joined)
+    ends = np.flatnonzero(mine & ~np.append(joined[1:], False))
+    return [tuple(numbers[a : b + window].tolist()) for a, b in zip(start[begins].tolist(), start[ends].tolist())]
+
+
+def _located(window: int):
+    def solve(h: np.ndarray, n: np.ndarray, left: np.ndarray, around: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        numbers, bounds = _numbers(around)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for passage in confirmed(numbers, bounds, left, h, n, window):
+            automaton.add_word(passage)
+        found: list[tuple[int, int, int]] = []
+        if len(automaton):
+            automaton.make_automaton()
+            for i in range(len(h)):
+                covered: list[tuple[int, int]] = []  # apart and ascending; matches come by their ends
+                for end_at, length in automaton.iter(tuple(numbers[bounds[i] : bounds[i + 1]].tolist())):
+                    begin = end_at + 1 - length
+                    while covered and covered[-1][1] >= begin:
+                        begin = min(begin, covered.pop()[0])
+                    covered.append((begin, end_at + 1))
+                found += [(i, a, b) for a, b in covered]
+        who, s, e = np.array(found, np.int64).reshape(-1, 3).T
+        return who, s, e
+
+    return solve
+
+
+def _window(window: int):
+    return lambda i: F.sha2(F.array_join(F.slice(F.split(F.col("around").cast("string"), "[\\x20\\x09-\\x0D]+"), (i + 1).cast("int"), window), " "), 256)
 
 
 _CUT = "text string, spans array<struct<s: long, e: long>>, n_words long, n_removed long, kept_sha256 string"
@@ -187,7 +137,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*own, *pa.RecordBatch.from_pylist(out, _CUT_ARROW).columns], names=[*carried, *_CUT_ARROW.names])
 
 
-def drop_repeated_words(docs: DataFrame, window: int = 35, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text", group_limit: int = 1 << 16, carry: list[str] | None = None) -> DataFrame:
+def drop_repeated_words(docs: DataFrame, window: int = 35, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_CONTEXTS, carry: list[str] | None = None) -> DataFrame:
     """Each document without the words of passages that recur.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged.  A word goes when a window of
@@ -200,13 +150,23 @@ def drop_repeated_words(docs: DataFrame, window: int = 35, phrase: int = PHRASE,
     Null text counts as empty.  Rows are documents: rows that repeat count as
     copies of each other, null ids are kept.  Texts under `window` words keep
     all words, an empty table gives an empty result; columns that aren't named
-    aren't read, and those carried can have any name but text and those above.
+    aren't read.  Those carried can have any name; one that a column above has
+    too is there twice, behind doc_id and as said above.
     """
     texts = keyed_texts(docs, id_col, text_col)
-    spans = spans_by_text(repeated_spans(texts, window, phrase, group_limit))
-    if carry:
-        texts = docs.select(*carry, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        texts = texts.withColumns({"rd": F.coalesce("doc_id", F.lit(NULL_ID)), "rt": F.hash("text")})
-    rows = texts.join(spans, ["rd", "rt"], "left").select("doc_id", *(carry or []), "text", "spans")
-    kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("text", "spans")]
-    return rows.mapInArrow(_cut, ", ".join([*kept, _CUT]))
+    spans = repeated_spans(texts, _words, _around, _located(window), _window(window), window, phrase, group_limit)
+    rd, rt = row_key(id_col, text_col)
+    kept = [f"c{i}" for i in range(len(carry or []))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(carry or [], kept)), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rd.alias("rd"), rt.alias("rt"))
+    rows = rows.join(spans, ["rd", "rt"], "left").select("doc_id", *kept, "text", "spans")
+    out = rows.mapInArrow(_cut, StructType([f for f in rows.schema if f.name not in ("text", "spans")] + StructType.fromDDL(_CUT).fields))
+    return out.toDF("doc_id", *(carry or []), *out.columns[1 + len(kept) :]) if carry else out
+
+
+def cleaned(docs: DataFrame, window: int = 35, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with `drop_repeated_words`' text for their own; columns can have any name."""
+    carry = [c for c in docs.columns if c != text_col]
+    out = drop_repeated_words(docs, window, phrase, id_col, text_col, carry=carry)
+    out = out.toDF(*(f"c{i}" for i in range(len(out.columns))))
+    place = {c: i + 1 for i, c in enumerate([*carry, text_col])}
+    return out.select(*(F.col(f"c{place[c]}").alias(c) for c in docs.columns))

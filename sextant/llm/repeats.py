@@ -3,36 +3,42 @@
 Shared by the two operators on repeated substrings: `bucket_refinement` (units
 are bytes) and `phrase_automata` (units are words).
 
-1. Every window of `window` units contains the smallest `gram`-gram of its own;
-   that place is an anchor.  Two equal windows have equal anchors at the same
-   offset, so only anchors whose gram recurs matter: the initial buckets.
-2. Around an anchor, all windows that may have chosen it lie in its context,
-   from window - gram units before it to window units after its start (cut at
-   the ends of the text).  Where a whole context recurs, all its windows do.
-3. What is left, contexts that share a gram but differ somewhere, is told apart
-   by `refine`: blocks of neighbouring windows that share what all of them
-   contain stay in one bucket; a block whose whole span recurs is settled for
-   all its windows at once, a block alone in its bucket is settled too, and
-   only the others are split and looked at again.
-
-Only fingerprints of anchors are shuffled for the whole corpus: about two in
+1. Every window of `window` units chooses the smallest `gram`-gram that it
+   contains; that place is an anchor.  Equal windows choose equal grams at the
+   same offset, so only windows whose anchor's gram recurs can recur.
+2. The context of an anchor is the text from its first window's start to its
+   last window's end, so every window lies in one context.  Contexts that are
+   equal as a whole become one row with their number, counted before anything
+   is gathered, and the text of one of them.
+3. Contexts of a gram are gathered and told apart by `refine`, which sorts
+   windows on bucket identifiers of later offsets, down to the units themselves.
+   A gram with very many contexts is split further: its windows become rows.
+4. What is found in a context holds for all anchors that have it.
+
+Only a hash of each anchor is shuffled for the whole corpus: about two in
 window - gram of its positions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
-from .units import SEGMENT_UNITS, Rolling, Texts, minimisers, mix, slices
+from .tables import discard, small_side, written
+from .units import CONTEXT_BYTES, SEGMENT_UNITS, Rolling, Texts, chosen, digests, mix, pieces, slices
 
-#: One unit array and the bounds of each text in it, from a slice of texts.
-Units = Callable[[Texts], tuple[np.ndarray, np.ndarray]]
+#: From a slice of texts: a 64-bit value of each unit, what a unit is (rows to digest), and the bounds of each text's units.
+Units = Callable[[Texts], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: From a slice of texts and ranges of its units: the bytes of each range.
+Around = Callable[[Texts, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, int, pa.Array]]]
+
+#: Rows of one gram that a task joins, before the gram is dealt to several tasks; contexts that a task refines at once.
+GRAM_ROWS, BATCH_CONTEXTS = 1 << 14, 4096
 
 _PLACE = (np.int64(24), np.int64(12), np.int64(0xFFF))
 
@@ -42,31 +48,33 @@ def pack_place(pos: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
 
 
 def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the anchor is in its text, and the units of its context before and from there."""
     return place >> _PLACE[0], place >> _PLACE[1] & _PLACE[2], place & _PLACE[2]
 
 
-def anchored(values: np.ndarray, bounds: np.ndarray, window: int, gram: int, limit: int = SEGMENT_UNITS) -> Iterator[tuple[np.ndarray, ...]]:
+def place_columns(place: str = "place") -> tuple[Column, Column, Column]:
+    return F.shiftright(place, 24), F.shiftright(place, 12).bitwiseAND(F.lit(0xFFF)), F.col(place).bitwiseAND(F.lit(0xFFF))
+
+
+def anchored(values: np.ndarray, content: np.ndarray, bounds: np.ndarray, window: int, gram: int, limit: int = SEGMENT_UNITS) -> Iterator[tuple[np.ndarray, ...]]:
     """Gram, context, text number and place of every anchor, by segments of `limit` windows.
 
-    Segments share what windows and contexts need of each other's units, so that
-    anchors and contexts are those of the texts as a whole, and each comes once.
+    An anchor whose windows start in two segments comes twice, with some of its
+    windows each time; every window comes once.
     """
-    total, before = len(values), np.zeros(0, np.int64)
+    total = len(values)
     for low in range(0, total - window + 1, limit):
         high = min(low + limit, total - window + 1)
-        begin, end = max(0, low - (window - gram)), min(total, high + 2 * window)
-        rolling = Rolling(values[begin:end])
-        grams = rolling.grams(gram)
-        mine = grams[low - begin : high + window - gram - begin]
-        chosen = minimisers(mine, gram, window, np.clip(bounds, low, high + window - 1) - low) + low
-        at, before = np.setdiff1d(chosen, before, assume_unique=True), chosen
+        end = high + window - 1
+        grams = Rolling(values[low:end]).grams(gram)
+        at, first, last = (x + low for x in chosen(grams, gram, window, np.clip(bounds, low, end) - low))
         if not len(at):
             continue
+        last += window
         doc = np.searchsorted(bounds, at, "right") - 1
-        first, last = np.maximum(bounds[doc], at - (window - gram)), np.minimum(bounds[doc + 1], at + window)
         left, right = at - first, last - at
-        ctx = rolling.ranges(first - begin, last - begin) ^ mix((left << 12 | right).astype(np.uint64))
-        yield grams[at - begin].view(np.int64), ctx.view(np.int64), doc, pack_place(at - bounds[doc], left, right)
+        ctx = digests(content, first, last) ^ mix((left << 12 | right).astype(np.uint64))
+        yield grams[at - low].view(np.int64), ctx.view(np.int64), doc, pack_place(at - bounds[doc], left, right)
 
 
 def anchors(texts: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
@@ -78,94 +86,141 @@ def anchors(texts: DataFrame, units: Units, window: int, gram: int) -> DataFrame
         for batch in batches:
             rd, rt = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("rd", "rt"))
             for part in slices(batch.column("text")):
-                for h, ctx, doc, place in anchored(*units(part), window, gram):
+                values, content, bounds = units(part)
+                for h, ctx, doc, place in anchored(values, content, bounds, window, gram):
                     row = doc + part.first
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, ctx, rd[row], rt[row], place)], names=["h", "ctx", "rd", "rt", "place"])
 
-    return texts.select("rd", "rt", "text").mapInArrow(emit, "h long, ctx long, rd long, rt int, place long")
+    return texts.select("rd", "rt", "text").mapInArrow(emit, "h long, ctx long, rd long, rt long, place long")
 
 
-def recurring(found: DataFrame) -> DataFrame:
-    """Anchors whose gram recurs, with n (rows with the same context) and kinds (contexts of that gram).
-
-    first marks one row of each context.
-    """
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    same, bucket = Window.partitionBy("h", "ctx"), Window.partitionBy("h")
-    return (
-        found.join(again, "h")
-        .withColumn("n", F.count(F.lit(1)).over(same))
-        .withColumn("first", F.row_number().over(same.orderBy("rd", "rt", "place")) == 1)
-        .withColumn("kinds", F.sum(F.col("first").cast("int")).over(bucket))
-    )
+@dataclass
+class Recurring:
+    """members: anchors whose gram recurs. kinds: their different contexts, with n (members) and one of them (rd, rt, place)."""
 
+    members: DataFrame
+    kinds: DataFrame
 
-def marked(texts: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
-    """`recurring` anchors of the texts, in a table of their own."""
-    return written(recurring(written(anchors(texts, units, window, gram))))
 
+def recurring(texts: DataFrame, units: Units, window: int, gram: int) -> Recurring:
+    """Anchors whose gram recurs; a gram that very many have is dealt to several tasks by what else tells its rows apart."""
+    found = written(anchors(texts, units, window, gram))
+    grams = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    most = max(GRAM_ROWS, found.count() // 100_000)  # so that at most 100,000 grams are dealt
+    hot = written(grams.where(F.col("c") > most).select("h", F.ceil(F.col("c") / most).cast("int").alias("salts")))
+    few = small_side(hot)
+    left = found.join(few, "h", "left").withColumn("salt", F.pmod(F.xxhash64("ctx", "rd", "rt", "place"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    right = grams.join(few, "h", "left").select("h", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    members = written(left.join(right, ["h", "salt"]).select("h", "ctx", "rd", "rt", "place"))
+    discard(found)
+    kinds = members.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rd", "rt", "place")).alias("one"))
+    return Recurring(members, written(kinds.select("h", "ctx", "n", "one.*")))
 
-def whole_spans(found: DataFrame, window: int) -> DataFrame:
-    """Spans of units (rd, rt, s, e) of the contexts that recur as a whole."""
-    pos, left, right = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(F.lit(0xFFF)), F.col("place").bitwiseAND(F.lit(0xFFF))
-    return found.where("n > 1").where(left + right >= window).select("rd", "rt", (pos - left).alias("s"), (pos + right).alias("e"))
 
+CONTEXT = "h long, ctx long, n long, rd long, rt long, place long, around binary"
+_NAMES = [c.split()[0] for c in CONTEXT.split(", ")]
 
-def open_anchors(found: DataFrame) -> DataFrame:
-    """By text (rd, rt), the anchors whose contexts have to be compared: one of each context, where there are several."""
-    one = F.struct("place", "h", (F.col("n") == 1).alias("ask"))
-    return found.where("kinds > 1 and first").groupBy("rd", "rt").agg(F.collect_list(one).alias("anchors"))
 
+def contexts(texts: DataFrame, found: Recurring, around: Around) -> DataFrame:
+    """The units of one anchor of each context, as bytes, beside its row of `kinds`."""
+    asked = found.kinds.groupBy("rd", "rt").agg(F.collect_list(F.struct("h", "ctx", "n", "place")).alias("anchors"))
 
-def refine(rolling: Rolling, at: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which windows of contexts recur in another context of the same group.
-
-    Context i is the units at[i] - left[i] to at[i] + right[i]; no two contexts
-    of a group are equal.  Window k of it starts k units before at[i].  Returns
-    arrays i, k_first, k_last of blocks of recurring windows.
-
-    A block is a range of k on a grid.  Its bucket is named by the units that
-    all its windows contain, and refined by those of later and earlier offsets
-    that any of them contains.  Blocks that agree in both are settled together,
-    a block alone in its bucket is settled as unique; of the rest, one block of
-    each kind is split and sorted again among its like.
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            rd, rt = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("rd", "rt"))
+            key = np.stack([rd, rt], axis=1)
+            new = np.ones(len(key), bool)  # rows that repeat follow each other in a sorted join; one of them is enough
+            new[1:] = (key[1:] != key[:-1]).any(axis=1)
+            new[:1] = before is None or (key[:1] != before).any()
+            before, batch = key[-1:] if len(key) else before, batch.filter(pa.array(new))
+            offsets, (h, ctx, n, place) = list_column(batch.column("anchors"), ["h", "ctx", "n", "place"])
+            rd, rt = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("rd", "rt"))
+            for part in slices(batch.column("text")):
+                mine = slice(offsets[part.first], offsets[part.first + len(part)])
+                doc = np.repeat(np.arange(len(part)), np.diff(offsets[part.first : part.first + len(part) + 1]))
+                if not len(doc):
+                    continue
+                pos, left, right = unpack_place(place[mine])
+                columns = [h[mine], ctx[mine], n[mine], rd[doc + part.first], rt[doc + part.first], place[mine]]
+                for i, j, content in around(part, doc, pos - left, pos + right):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i:j]) for x in columns] + [content], names=_NAMES)
+
+    return texts.select("rd", "rt", "text").join(asked, ["rd", "rt"]).mapInArrow(emit, CONTEXT)
+
+
+def copied(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, pa.Array]]:
+    """The bytes first[i] to last[i] of data, by pieces: i from, i to, and an array of them."""
+    size = last - first
+    for i, j in pieces(size, CONTEXT_BYTES):
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size[i:j])])
+        take = np.repeat(first[i:j] - ends[:-1], size[i:j]) + np.arange(ends[-1])
+        yield i, j, pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(data[take])]).cast(pa.binary())
+
+
+def named(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket identifier for each key, equal for equal keys, and how many keys each has."""
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    head = np.ones(len(keys), bool)
+    head[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    bucket = np.empty(len(keys), np.int64)
+    bucket[order] = np.cumsum(head) - 1
+    return bucket, np.bincount(bucket) if len(keys) else np.zeros(0, np.int64)
+
+
+def refine(units: np.ndarray, bits: int, bounds: np.ndarray, at: np.ndarray, group: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts, in `units`, of windows that another context of the same group has at the same place, and the bucket of each.
+
+    Context i is units[bounds[i]:bounds[i + 1]], its anchor at[i] units behind
+    its start; units are numbers below 2**bits.  Suffixes first get the bucket
+    of the few units that they start with, their group and their place by the
+    anchor.  A bucket is refined by sorting on the bucket identifiers `pointer`
+    of the suffixes that start where the known part ends, so that what is known
+    of all suffixes doubles in every round and each round reuses the updates of
+    the one before; a suffix alone in its bucket is final and left out, and so
+    is one that starts with it.  Buckets hold equal units, exactly.
     """
-    least, most = np.maximum(0, window - right), np.minimum(window - gram, left)
-    size = 1 << int(window - gram).bit_length()
-    who, low = np.arange(len(at)), np.zeros(len(at), np.int64)
-    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    while len(who):
-        high = np.minimum(low + size - 1, window - gram)
-        first, last = np.maximum(low, least[who]), np.minimum(high, most[who])
-        keep = first <= last
-        who, low, high, first, last = (x[keep] for x in (who, low, high, first, last))
-        if not len(who):
-            break
-        a = at[who]
-        inner = mix(rolling.ranges(a - low, a + window - high) ^ mix(group[who] + low.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        outer = mix(rolling.ranges(a - last, a + window - first) ^ (first << 12 | last).astype(np.uint64)) ^ (inner * np.uint64(0xD6E8FEB86659FD93))
-        order = np.lexsort((outer, inner))
-        inner, outer, who, low, first, last = (x[order] for x in (inner, outer, who, low, first, last))
-        head = np.ones(len(who), bool)
-        head[1:] = (outer[1:] != outer[:-1]) | (inner[1:] != inner[:-1])
-        kind = np.cumsum(head) - 1
-        settled = np.bincount(kind)[kind] > 1
-        done.append((who[settled], first[settled], last[settled]))
-        bucket_head = np.ones(len(who), bool)
-        bucket_head[1:] = inner[1:] != inner[:-1]
-        bucket = np.cumsum(bucket_head) - 1
-        several = np.bincount(bucket, weights=head)[bucket] > 1
-        split = head & several
-        who, low = who[split], low[split]
-        if size == 1:
-            break
-        step = max(1, size >> 2)
-        parts = np.arange(0, size, step)
-        who, low, size = np.repeat(who, len(parts)), (low[:, None] + parts[None, :]).ravel(), step
-    if not done:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    return tuple(np.concatenate(x) for x in zip(*done))
+    total = len(units)
+    length = np.diff(bounds)
+    who = np.repeat(np.arange(len(length), dtype=np.int32), length)
+    rest = np.repeat(bounds[1:].astype(np.int32), length) - np.arange(total, dtype=np.int32)
+    place = np.arange(4096, total + 4096, dtype=np.int32) - np.repeat((bounds[:-1] + at).astype(np.int32), length)
+    known = max(1, min(window, 32 // bits))
+    _, group = np.unique(group, return_inverse=True)
+    live = np.flatnonzero(rest >= known)
+    word = np.zeros(len(live), np.uint64)
+    for k in range(known):
+        word = word << np.uint64(bits) | units[live + k].astype(np.uint64)
+    if bits * known <= 32 and len(length) < 1 << 19:
+        keys = (word << np.uint64(13) | place[live].astype(np.uint64)) << np.uint64(19) | group[who[live]].astype(np.uint64)
+    else:
+        keys = named(word)[0] * (int(group.max(initial=0)) + 1) + group[who[live]]
+        keys = named(keys)[0] * 8192 + place[live]
+    pointer = np.full(total, -1, np.int64)
+
+    def update(live: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        bucket, size = named(keys)
+        several = size[bucket] > 1
+        pointer[live[~several]] = -1
+        pointer[live[several]] = bucket[several]
+        return live[several]
+
+    live = update(live, keys)
+    while known < window and len(live):
+        step = min(known, window - known)
+        dead = live[rest[live] < known + step]
+        live = live[rest[live] >= known + step]
+        later = pointer[live + step]
+        alone = later < 0
+        most = int(pointer.max()) + 1
+        keys = pointer[live[~alone]] * most + later[~alone]
+        gone, live = np.concatenate([dead, live[alone]]), live[~alone]
+        # identifiers of this round replace those of the last one only now, for all suffixes at once
+        live = update(live, keys)
+        pointer[gone] = -1
+        known += step
+    return live, pointer[live]
 
 
 def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +235,77 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[first], end[np.append(first[1:], len(start)) - 1]
 
 
-def spans_by_text(spans: DataFrame) -> DataFrame:
+SOLVED = "many boolean, h long, ctx long, rd long, rt long, s long, e long"
+#: Contexts of whole grams, as columns and their bytes -> context number, and first and last unit of what recurs in it.
+Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _solved(solve: Solve):
+    """Contexts, all those of a gram one behind the other -> spans of what recurs; in the text of the context's one anchor, or by the anchor where it has many."""
+
+    def answer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        h, ctx, n, rd, rt, place = (rows.column(k).combine_chunks().to_numpy() for k in _NAMES[:-1])
+        pos, left, _ = unpack_place(place)
+        who, s, e = solve(h, n, left, rows.column("around").combine_chunks())
+        many = n[who] > 1
+        base = np.where(many, 0, pos[who]) - left[who]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (many, h[who], ctx[who], rd[who], rt[who], base + s, base + e)], names=[c.split()[0] for c in SOLVED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            if not len(h):
+                continue
+            if rows >= BATCH_CONTEXTS and h[0] != held[-1].column("h")[-1].as_py():
+                yield answer(held)
+                held, rows = [], 0
+            begin = 0
+            for edge in (np.flatnonzero(h[1:] != h[:-1]) + 1).tolist():
+                if rows + edge - begin >= BATCH_CONTEXTS:
+                    yield answer([*held, batch.slice(begin, edge - begin)])
+                    held, rows, begin = [], 0, edge
+            held.append(batch.slice(begin))
+            rows += len(h) - begin
+        if held:
+            yield answer(held)
+
+    return run
+
+
+def _by_window(rows: DataFrame, window: int, content: Callable[[Column], Column]) -> DataFrame:
+    """The spans of contexts of grams too common for one task: a row for each window, counted map-side before it is shuffled."""
+    pos, left, right = place_columns()
+    windows = rows.select(
+        "h", "n", "rd", "rt", "around", (pos - left).alias("begin"), left.alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), left + right - window)).alias("i")
+    ).select("h", "n", "rd", "rt", (F.col("left") - F.col("i")).alias("k"), (F.col("begin") + F.col("i")).alias("s"), content(F.col("i")).alias("w"))
+    again = windows.groupBy("h", "k", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    some = windows.where("n = 1").join(again, ["h", "k", "w"]).select(F.lit(False).alias("many"), "h", F.lit(0).cast("long").alias("ctx"), "rd", "rt", "s", (F.col("s") + window).alias("e"))
+    return rows.where("n > 1").select(F.lit(True).alias("many"), "h", "ctx", "rd", "rt", (-left).alias("s"), right.alias("e")).unionByName(some)
+
+
+def repeated_spans(texts: DataFrame, units: Units, around: Around, solve: Solve, content: Callable[[Column], Column], window: int, gram: int, group_limit: int) -> DataFrame:
+    """rd, rt, spans (s, e): units covered by windows that recur, for each text that has any; texts as from `keyed_texts`.
+
+    A gram with more than group_limit different contexts isn't gathered in one
+    task: its windows become rows.
+    """
+    found = recurring(texts, units, window, gram)
+    hot = written(found.kinds.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group_limit).select("h"))
+    rows = contexts(texts, found, around)
+    split = not hot.isEmpty()
+    if split:
+        rows = written(rows)
+    plain = rows.join(small_side(hot), "h", "left_anti") if split else rows
+    solved = plain.repartition("h").sortWithinPartitions("h").mapInArrow(_solved(solve), SOLVED)
+    if split:
+        solved = solved.unionByName(_by_window(rows.join(small_side(hot), "h", "left_semi"), window, content))
+    solved = written(solved)
+    pos, _, _ = place_columns()
+    shared = found.members.join(solved.where("many").select("h", "ctx", "s", "e"), ["h", "ctx"]).select("rd", "rt", (pos + F.col("s")).alias("s"), (pos + F.col("e")).alias("e"))
+    spans = solved.where("not many").select("rd", "rt", "s", "e").unionByName(shared)
     return spans.groupBy("rd", "rt").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 

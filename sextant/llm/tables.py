@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null id in join keys only; results carry the null itself.
-NULL_ID = -(2**63)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder of `spark.checkpoint.dir`; a local one only where that is unset."""
+    """A new path in the shared folder of `spark.checkpoint.dir`; where that is unset, a local one if all of Spark runs on this machine, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return f"{base.rstrip('/')}/sextant-{uuid.uuid4().hex}"
 
 
@@ -29,21 +27,43 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """The same rows, read back from a table in the shared folder: lineage ends there and any executor may be lost."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table from `written` that nothing reads any more."""
+    spark, jvm = df.sparkSession, df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+    """Two longs that tell rows apart by id and text; equal rows share them.
+
+    The first is the id, or for a null id 64 bits of the text's SHA-256; the
+    second is 63 other bits of it, and whether the id is null.
+    """
+    return row_key_of(id_col, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+
+
+def row_key_of(id_col: str, digest: Column) -> tuple[Column, Column]:
+    """`row_key` from the SHA-256 itself."""
+    part = lambda at: F.conv(F.substring(F.hex(digest), at, 15), 16, 10).cast("long")
+    some = F.col(id_col).cast("long")
+    return F.coalesce(some, part(17)), F.shiftleft(part(1), 1).bitwiseOR(some.isNull().cast("long"))
 
 
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (null: empty) and the row key rd, rt.
+    """doc_id, text (null: empty) and the row key rd, rt (see `row_key`).
 
-    rd is the id (NULL_ID for null) and rt a hash of the text, so that rows
-    that share an id but not a text stay apart; equal rows share a key and,
-    rightly, every per-document result.
+    Rows that share an id but not a text stay apart, with a null id too; equal
+    rows share a key and, rightly, every per-document result.
     """
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    ).select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("rd"), F.hash("text").alias("rt"))
+    rd, rt = row_key(id_col, text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rd.alias("rd"), rt.alias("rt"))
 
 
 def salted(shards: DataFrame, rows: DataFrame, key: str, most: int, spread: Column) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +81,7 @@ def salted(shards: DataFrame, rows: DataFrame, key: str, most: int, spread: Colu
 
 
 #: Rows of ids that are broadcast at most; beyond it, joins shuffle. An id row takes about 50 bytes.
-BROADCAST_ROWS = 1 << 19
+BROADCAST_ROWS = 1 << 18
 
 
 def small_side(rows: DataFrame) -> DataFrame:
@@ -76,11 +96,12 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_co
     while they are few.
     """
     names = docs.columns
-    keyed = docs.withColumns({"__rd": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__rt": F.hash(F.coalesce(F.col(text_col), F.lit("")))})
+    rd, rt = row_key(id_col, text_col)
+    keyed = docs.select(*(F.col(f"`{c}`") for c in names), rd.alias("__rd"), rt.alias("__rt"))
     gone = dropped.select(F.col("rd").alias("__rd"), F.col("rt").alias("__rt")).distinct()
     kept = keyed.join(small_side(written(gone)), ["__rd", "__rt"], "left_anti")
     twice = small_side(written(keyed.groupBy("__rd", "__rt").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")))
     if not twice.isEmpty():
-        more = kept.join(twice, ["__rd", "__rt"], "left_semi").dropDuplicates(["__rd", "__rt", text_col])
+        more = kept.join(twice, ["__rd", "__rt"], "left_semi").dropDuplicates(["__rd", "__rt"])
         kept = kept.join(twice, ["__rd", "__rt"], "left_anti").unionByName(more)
-    return kept.select(*names)
+    return kept.select(*(F.col(f"`{c}`") for c in names))

@@ -2,13 +2,16 @@
 
 Every function works on one slice of an Arrow string column: the UTF-8 bytes
 of its texts lie one behind the other, so that numpy treats thousands of
-documents at once.  Fingerprints are polynomials modulo 2**64 with a fixed
-random byte table, finished by a mixing step; equal content always gives equal
-values, on every executor.
+documents at once.  `Rolling` fingerprints are polynomials modulo 2**64 with a
+fixed random byte table: equal content gives equal values on every executor, but
+structured content that differs can, too, so they only choose places and buckets.
+Whether contents are equal is decided by SHA-256 (`word_ids`, `digests`) or by
+the contents themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ SLICE_BYTES = 1 << 20
 SEGMENT_UNITS = 1 << 22
 
 #: Bytes of contexts that are copied out at once.
-CONTEXT_BYTES = 1 << 26
+CONTEXT_BYTES = 1 << 22
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20250101).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,6 +35,10 @@ _LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+#: Words and bytes of them that a worker remembers the digests of.
+MEMORY_WORDS, MEMORY_BYTES = 1 << 19, 1 << 25
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2**64."""
     if len(_powers[0]) < n:
@@ -83,6 +90,53 @@ class Texts:
     def words(self, lower: bool = False) -> Words:
         return Words(self, lower)
 
+    def word_ids(self, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The first 16 bytes of the SHA-256 of every word, as two 64-bit columns, and the bounds of each text's words."""
+        if len(_memory.known) > MEMORY_WORDS or _memory.size > MEMORY_BYTES:
+            _memory.forget()
+        places, bounds = [], np.zeros(len(self) + 1, np.int64)
+        for i in range(len(self)):
+            text = self.data[self.bounds[i] : self.bounds[i + 1]].tobytes()
+            words = (text.lower() if lower else text).split()  # cuts at 0x20 and 0x09 to 0x0D, lowers A-Z, and nothing else
+            places.append(np.fromiter(map(_memory.known.__getitem__, words), np.int64, len(words)))
+            bounds[i + 1] = bounds[i] + len(words)
+        return _memory.ids[np.concatenate(places) if places else np.zeros(0, np.int64)], bounds
+
+
+class _Known(dict):
+    """The place of each word's digest in a table that grows; a worker's memory."""
+
+    def __missing__(self, word: bytes) -> int:
+        return _memory.learn(word)
+
+
+class _Memory:
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.ids, self.size = _Known(), np.zeros((1 << 12, 2), np.uint64), 0
+
+    def learn(self, word: bytes) -> int:
+        at = len(self.known)
+        if at == len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[at] = np.frombuffer(hashlib.sha256(word).digest(), "<u8", 2)
+        self.known[word] = at
+        self.size += len(word)
+        return at
+
+
+_memory = _Memory()
+
+
+def digests(content: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of the SHA-256 of each range of rows of `content`."""
+    raw, width = memoryview(np.ascontiguousarray(content).reshape(-1).view(np.uint8)), content.itemsize * (content.shape[1] if content.ndim > 1 else 1)
+    sha = hashlib.sha256
+    out = b"".join(sha(raw[a:b]).digest()[:8] for a, b in zip((start * width).tolist(), (end * width).tolist()))
+    return np.frombuffer(out, "<u8").copy()
+
 
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of texts; those of text i are bounds[i] to bounds[i + 1]."""
@@ -94,7 +148,7 @@ class Words:
         if len(data):
             edge[1:-1] = ~solid[:-1]
             edge[texts.bounds] = True
-        self.data = texts.data
+        self.data, self.read = texts.data, data
         self.start = np.flatnonzero(solid & edge[:-1])
         last = np.ones(len(data), bool)
         if len(data):
@@ -103,10 +157,14 @@ class Words:
             last[ends[ends > 0] - 1] = True
         self.end = np.flatnonzero(solid & last) + 1
         self.bounds = np.searchsorted(self.start, texts.bounds)
-        self.hash = np.zeros(len(self.start), np.uint64)
+
+    def hashes(self) -> np.ndarray:
+        """A fingerprint of each word (see `Rolling`)."""
+        out = np.zeros(len(self.start), np.uint64)
         for i, j in pieces(np.diff(self.start, prepend=0), SEGMENT_UNITS):
             first = self.start[i]
-            self.hash[i:j] = Rolling(_TABLE[data[first : self.end[j - 1]]]).ranges(self.start[i:j] - first, self.end[i:j] - first)
+            out[i:j] = Rolling(_TABLE[self.read[first : self.end[j - 1]]]).ranges(self.start[i:j] - first, self.end[i:j] - first)
+        return out
 
 
 def pieces(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -137,21 +195,20 @@ def byte_values(data: np.ndarray) -> np.ndarray:
     return _TABLE[data]
 
 
-def minimisers(grams: np.ndarray, gram: int, window: int, bounds: np.ndarray) -> np.ndarray:
-    """Positions of the smallest gram of every window that lies within one text.
+def chosen(grams: np.ndarray, gram: int, window: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of the smallest gram of every window that lies within one text, as runs: place, first and last window start.
 
     A window covers `window` units, hence window - gram + 1 grams; of equal
     grams the leftmost counts.  Windows with the same content choose the same
-    place, so two places where a window recurs both appear in the result.
+    place within them, and windows that choose one place follow each other.
+    Takes less than 2**26 grams.
     """
     total = int(bounds[-1])
+    none = np.zeros(0, np.int64)
     if total < window:
-        return np.zeros(0, np.int64)
+        return none, none, none
     width = window - gram + 1
-    keys = (grams >> np.uint64(26) << np.uint64(26)) | np.arange(len(grams), dtype=np.uint64)
-    if len(grams) >= 1 << 26:
-        raise ValueError("a single text has 2**26 units or more")
-    size, low = 1, keys
+    size, low = 1, (grams >> np.uint64(26) << np.uint64(26)) | np.arange(len(grams), dtype=np.uint64)
     while size * 2 <= width:
         low = np.minimum(low[: len(low) - size], low[size:])
         size *= 2
@@ -159,5 +216,9 @@ def minimisers(grams: np.ndarray, gram: int, window: int, bounds: np.ndarray) ->
         low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
     starts = np.arange(total - window + 1)
     ends = np.repeat(bounds[1:], np.diff(bounds))[: len(starts)]
-    low = low[: len(starts)][starts + window <= ends]
-    return np.unique((low & np.uint64((1 << 26) - 1)).astype(np.int64))
+    inside = starts + window <= ends
+    starts, place = starts[inside], (low[: len(inside)][inside] & np.uint64((1 << 26) - 1)).astype(np.int64)
+    if not len(starts):
+        return none, none, none
+    head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    return place[head], starts[head], starts[np.append(head[1:], len(starts)) - 1]
