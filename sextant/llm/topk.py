@@ -27,7 +27,7 @@ BUCKET, BLOCK, FOCUS, COSINE = 4096, 4096, 3, 0.4
 
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """vec_id, dim, norm, v: floor(scale * x) of the components as doubles, 8 bytes each."""
+    """vec_id, dim, norm, v: floor(scale * x) of the components, as doubles, which hold such integers exactly."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,21 +38,36 @@ def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Da
                 x = np.array(x, np.float64)
                 if not np.isfinite(x).all():
                     continue
-                v = np.floor(scale * x)
-                if (np.abs(v) >= 2**31).any():
-                    raise ValueError("components must be below 2**31 after scaling")
+                with np.errstate(over="ignore"):
+                    v = np.floor(scale * x)
+                    if not np.isfinite(v).all():
+                        continue
+                    norms.append(float(np.sqrt(v @ v)))
                 ids.append(i)
                 dims.append(len(v))
-                norms.append(float(np.sqrt(v @ v)))
-                out.append(v.astype("<i8").tobytes())
+                out.append(v.astype("<f8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64()), pa.array(out, pa.binary())], names=["vec_id", "dim", "norm", "v"])
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where("vec_id is not null and v is not null")
-    return rows.mapInArrow(emit, "vec_id long, dim int, norm double, v binary").dropDuplicates(["vec_id", "v"])
+    return rows.mapInArrow(emit, "vec_id long, dim int, norm double, v binary")
 
 
-def _products(a: np.ndarray, b: np.ndarray, safe: bool) -> np.ndarray:
-    return (a.astype(np.float64) @ b.astype(np.float64)).astype(np.int64) if safe else a @ b
+#: Ends of what a long holds; scores beyond count as these.
+_LEAST, _MOST = -(2**63), 2**63 - 1
+
+
+def _products(a: np.ndarray, biggest: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of a (with their biggest components) with b, all integers in doubles: exact, cut at the ends of a long."""
+    with np.errstate(over="ignore"):
+        safe = biggest * np.abs(b).max(initial=0) * max(1, a.shape[1]) < 2**53
+    if safe.all():
+        return (a @ b).astype(np.int64)
+    out = np.zeros(len(a), np.int64)
+    out[safe] = (a[safe] @ b).astype(np.int64)
+    wide = [int(x) for x in b.tolist()]
+    for i in np.flatnonzero(~safe).tolist():
+        out[i] = min(max(sum(int(x) * y for x, y in zip(a[i].tolist(), wide)), _LEAST), _MOST)
+    return out
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -62,7 +77,7 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         near = np.flatnonzero(score >= least)
     else:
         near = np.arange(len(score))
-    return near[np.lexsort((ids[near], -score[near]))[:k]]
+    return near[np.lexsort((ids[near], ~score[near]))[:k]]  # ~ turns the order round for every long
 
 
 _HIT = "query_id long, vec_id long, score long, tested long"
@@ -76,16 +91,15 @@ def _search(k: int):
         if queries.empty or bucket.empty:
             return empty
         bucket = bucket.sort_values("norm", ascending=False, ignore_index=True)
-        v = np.frombuffer(b"".join(bucket["v"]), "<i8").reshape(len(bucket), -1)
+        v = np.frombuffer(b"".join(bucket["v"]), "<f8").reshape(len(bucket), -1)
         ids, norm = bucket["vec_id"].to_numpy(), bucket["norm"].to_numpy()
         unit = v / np.maximum(norm, 1e-300)[:, None]
-        top = np.abs(v).max(initial=0)
+        biggest = np.abs(v).max(axis=1, initial=0)
         out = []
         for q_id, q_norm, q_bytes, floor in zip(queries["vec_id"], queries["norm"], queries["v"], queries["floor"]):
-            q = np.frombuffer(q_bytes, "<i8")
-            safe = float(top) * float(np.abs(q).max(initial=0)) * max(1, len(q)) < 2**52
+            q = np.frombuffer(q_bytes, "<f8")
             take = np.arange(len(v))
-            if np.isfinite(floor) and q_norm > 0:
+            if np.isfinite(floor) and abs(floor) < 2**62 and 0 < q_norm < 1e150 and norm[0] < 1e150:
                 take = take[: np.searchsorted(-norm, -(floor / q_norm) * (1 - 1e-9), "right")] if floor > 0 else take
                 cosine = floor / (q_norm * max(norm[0], 1e-300))
                 if COSINE <= cosine <= 1 and len(take):
@@ -99,7 +113,7 @@ def _search(k: int):
             take = take[ids[take] != q_id]
             if not len(take):
                 continue
-            score = _products(v[take], q, safe)
+            score = _products(v[take], biggest[take], q)
             best = _best(score, ids[take], k)
             out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[take[best]], "score": score[best], "tested": len(take)}))
         return pd.concat(out, ignore_index=True) if out else empty
@@ -114,20 +128,21 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256, id_c
     score; ties go to the smaller vec_id, and a query with fewer candidates has
     fewer rows.  Only vectors of the same dimension are compared.
 
-    Vectors that are null, or hold null or non-finite components, and rows
-    without an id take no part; equal rows count once, and rows that share the
-    query's id are its own.  An empty table gives an empty result; other columns
-    aren't read.
+    Vectors that are null, or hold null or non-finite components (scaled ones
+    too), and rows without an id take no part.  Rows that repeat are candidates
+    each; as queries they count once, and rows that share the query's id are its
+    own.  A score beyond the range of a long counts as its end.  An empty table
+    gives an empty result; other columns aren't read.
     """
     base = written(integers(vectors, id_col, vector_col, scale))
     n = base.count()
     buckets = max(1, -(-n // BUCKET))
     dealt = written(
-        base.repartitionByRange(buckets, F.col("dim"), F.col("norm").desc(), F.xxhash64("vec_id")).withColumn("bucket", F.spark_partition_id())
+        base.repartitionByRange(buckets, F.col("dim"), F.col("norm").desc(), F.xxhash64("vec_id"), F.monotonically_increasing_id()).withColumn("bucket", F.spark_partition_id())
     )
     about = written(dealt.groupBy("dim", "bucket").agg(F.max("norm").alias("longest")))
     first = about.groupBy("dim").agg(F.max_by("bucket", F.struct("longest", -F.col("bucket"))).alias("first"))
-    queries = base.where(is_query.replace(id_col, "vec_id") if id_col != "vec_id" else is_query)
+    queries = base.where(is_query.replace(id_col, "vec_id") if id_col != "vec_id" else is_query).dropDuplicates(["vec_id", "v"])
     blocks = max(1, -(-queries.count() // BLOCK))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
     per_block = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else dealt.withColumn("block", F.lit(0))
