@@ -5,13 +5,15 @@ own, what is over is their first piece.  First pieces are packed in partitions
 of bounded size by best-fit decreasing.  For each partition, lower bounds from
 dual-feasible functions certify how few sequences would do; partitions that meet
 their bound are final.  In the others, sequences that are full are final too, and
-the rest of the documents is exchanged between partitions and packed again.
+the rest of the documents is exchanged between partitions, two at least, and
+packed again, for as long as that saves sequences.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .tables import written
 from .token_store import _ids
 
-#: Documents of a partition, roughly; and how often partitions with gaps are packed again.
-PARTITION_DOCUMENTS, ROUNDS = 50_000, 4
+#: Documents of a partition, roughly.
+PARTITION_DOCUMENTS = 50_000
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -91,34 +93,39 @@ def pack(items: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
 
     Returns (item, sequence_id, offset) and the certificates (round, part,
     bins, bound) of every partition that was packed.  Items are dealt to
-    partitions by a hash, so that each task holds about PARTITION_DOCUMENTS.
+    partitions by a hash, so that each task holds about PARTITION_DOCUMENTS.  A
+    round that doesn't save a bin is undone and the last one, so rounds end.
     """
-    left, placed, certificates = items.select("item", F.col("size").cast("int").alias("size")), [], []
-    before = None
-    for turn in range(ROUNDS):
-        count = left.count()
+    size = items.select("item", F.col("size").cast("int").alias("size"))
+    rows = size.count()
+    if not rows:
+        empty = items.select("item", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
+        return empty, items.sparkSession.createDataFrame([], "part int, bins long, bound long, round int")
+
+    def packed(left: DataFrame, parts: int, turn: int) -> DataFrame:
+        dealt = left.withColumn("part", F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(parts)).cast("int"))
+        return written(dealt.groupBy("part").applyInPandas(_partition(capacity), _PACKED).withColumn("round", F.lit(turn)))
+
+    about = lambda df: df.groupBy("round", "part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound"))
+    open_ = (F.col("bins") > F.col("bound")) & (F.col("room") > 0)
+    now, placed, proof = packed(size, -(-rows // PARTITION_DOCUMENTS), 0), [], []
+    proof.append(about(now))
+    turn = 0
+    while True:
+        left = now.where(open_)
+        count, bins = left.agg(F.count(F.lit(1)), F.count_distinct("part", "bin")).first()
         if not count:
             break
-        parts = -(-count // PARTITION_DOCUMENTS)
-        dealt = left.withColumn("part", F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(parts)).cast("int"))
-        packed = written(dealt.groupBy("part").applyInPandas(_partition(capacity), _PACKED))
-        certificates.append(packed.groupBy("part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound")).withColumn("round", F.lit(turn)))
-        gaps = packed.where("bins > bound").select("part").distinct().count()
-        open_ = (F.col("bins") > F.col("bound")) & (F.col("room") > 0)
-        again = written(packed.where(open_).select("item", "size"))
-        now = packed.where(open_).select("part", "bin").distinct().count()
-        last = turn == ROUNDS - 1 or not gaps or parts == 1 or now == before
-        placed.append((packed if last else packed.where(~open_)).select("item", (F.lit(turn * 2**56) + F.col("part").cast("long") * F.lit(2**28) + F.col("bin")).alias("sequence_id"), "offset"))
-        if last:
+        turn += 1
+        again = packed(left.select("item", "size"), max(2, -(-count // PARTITION_DOCUMENTS)), turn)
+        proof.append(about(again))
+        if again.select("part", "bin").distinct().count() >= bins:
             break
-        left, before = again, now
-    if not placed:
-        empty = items.select("item", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
-        return empty, items.sparkSession.createDataFrame([], "part int, bins long, bound long, round int")
-    out, proof = placed[0], certificates[0]
-    for more, also in zip(placed[1:], certificates[1:]):
-        out, proof = out.unionByName(more), proof.unionByName(also)
-    return out, proof
+        placed.append(now.where(~open_))
+        now = again
+    placed.append(now)
+    number = lambda df: df.select("item", (F.col("round").cast("long") * F.lit(2**56) + F.col("part").cast("long") * F.lit(2**28) + F.col("bin")).alias("sequence_id"), "offset")
+    return reduce(DataFrame.unionByName, map(number, placed)), reduce(DataFrame.unionByName, proof)
 
 
 _CUT = "item long, doc_id long, n_tokens long, size int, crcs array<long>, ids binary"
