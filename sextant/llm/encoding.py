@@ -20,6 +20,8 @@ from tokenizers import Tokenizer
 
 #: Units that a worker remembers; beyond it, those that it hasn't met for as long are forgotten.
 MEMORY_UNITS = 250_000
+#: Characters of a unit that is remembered; longer ones are encoded each time they come.
+MEMORY_LENGTH = 256
 
 _ASCII_SPACE = " \t\n\r\x0b\x0c"
 #: White space that is not ASCII, and controls of which regex dialects differ; texts with any are encoded whole.
@@ -110,8 +112,14 @@ class Encoder:
                 if len(self.known) > MEMORY_UNITS:
                     self.known, self.before = {}, self.known
                     self.parts.clear()
-                self._learn({u for u in units if u not in self.known})
+                new = {u for u in units if u not in self.known}
+                self._learn(new)
                 out.append(b"".join(map(self.known.__getitem__, units)))
+                for unit in new:
+                    if len(unit) > MEMORY_LENGTH:
+                        del self.known[unit]
+                        for piece in self.plain(unit) or ():
+                            self.parts.pop(piece, None)
         return out
 
 

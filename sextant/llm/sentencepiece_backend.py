@@ -5,8 +5,9 @@ here and rebuilt as a tokenizer of the tokenizers library: the normaliser (the
 precompiled character map, white-space rules and the metaspace marker), unigram
 scores or BPE merges in the order of their scores, and byte fallback.  Texts are
 encoded a unit at a time (a word with the markers before it; see `encoding`),
-units in batches on all threads.  The sentencepiece library itself checks every
-unit once, and a text's `parity` says whether all of its units agreed.
+units in batches on all threads.  The sentencepiece library itself checks the
+normalised form of every raw text and the ids of every unit once; a text's
+`parity` says whether all of that agreed.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
-from .encoding import MEMORY_UNITS
+from .encoding import MEMORY_LENGTH, MEMORY_UNITS
 
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -139,13 +140,20 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """(ids as little-endian 32-bit integers, whether sentencepiece gives the same) for each text."""
-        split = [self.units(self.model.normalised(t)) for t in texts]
+        normal = [self.model.normalised(t) for t in texts]
+        alike = [n == self.check.normalize(t) for n, t in zip(normal, texts)]
+        split = [self.units(n) for n in normal]
         if len(self.known) > 2 * MEMORY_UNITS:
             self.known.clear()
             self.odd.clear()
         if new := {u for units in split for u in units if u not in self.known}:
             self._learn(sorted(new))
-        return [(b"".join(map(self.known.__getitem__, units)), not self.odd or self.odd.isdisjoint(units)) for units in split]
+        out = [(b"".join(map(self.known.__getitem__, units)), same and (not self.odd or self.odd.isdisjoint(units))) for units, same in zip(split, alike)]
+        for unit in new:
+            if len(unit) > MEMORY_LENGTH:
+                del self.known[unit]
+                self.odd.discard(unit)
+        return out
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
