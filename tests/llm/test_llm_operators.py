@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import resource
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,7 +17,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sextant.llm import chat, exact_dedup, jaccard_join, packing, phrase_automata, quality_crf, repeats, sentencepiece_backend, token_store, topk, units
+from sextant.llm import chat, exact_dedup, jaccard_join, packing, phrase_automata, quality_crf, queries, repeats, sentencepiece_backend, tables, token_store, topk, units
 from sextant.llm.bucket_refinement import drop_repeated_bytes
 from sextant.llm.tables import scratch_dir
 
@@ -128,24 +129,86 @@ def test_keep_one_of_shared_ids(spark):
 
 
 def test_segments_of_long_texts():
-    """Anchors and contexts don't depend on segments, and 2**26 units are not too many."""
+    """The windows of anchors don't depend on segments, and 2**26 units are not too many."""
     rng = np.random.default_rng(5)
     texts = [rng.integers(97, 100, n).astype(np.uint8) for n in (3000, 0, 150, 4000, 199, 201, 900)]
     bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(t) for t in texts])])
-    values = units.byte_values(np.concatenate(texts))
-    join = lambda found: [np.concatenate(x).tolist() for x in zip(*found)]
-    whole = join(repeats.anchored(values, bounds, 200, 32))
+    data = np.concatenate(texts)
+
+    def windows(limit):
+        out = Counter()
+        for h, _, doc, place in repeats.anchored(units.byte_values(data), data, bounds, 200, 32, limit):
+            for g, d, pos, left, right in zip(h.tolist(), doc.tolist(), *(x.tolist() for x in repeats.unpack_place(place))):
+                out.update((d, k, pos, g) for k in range(pos - left, pos + right - 199))
+        return out
+
+    whole = windows(1 << 20)
+    assert Counter((d, k) for d, k, *_ in whole) == Counter((d, k) for d, t in enumerate(texts) for k in range(len(t) - 199))
     for limit in (200, 333, 1000, 4096):
-        assert join(repeats.anchored(values, bounds, 200, 32, limit)) == whole
-    data = np.concatenate([t for t in texts if len(t)])
+        assert windows(limit) == whole
     words = np.where(data == 97, 32, data).astype(np.uint8)
+    ids, ends = units.Texts(words, np.array([0, len(words)]), 0).word_ids()
     one = units.Texts(words, np.array([0, len(words)]), 0).words()
-    assert [one.hash[k] for k in (0, 7)] == [units.Rolling(units.byte_values(words[one.start[k] : one.end[k]])).ranges(np.array([0]), np.array([one.end[k] - one.start[k]]))[0] for k in (0, 7)]
+    assert ends[-1] == len(one.start) and all(ids[k].tobytes() == hashlib.sha256(words[one.start[k] : one.end[k]].tobytes()).digest()[:16] for k in (0, 7, 50))
     assert list(units.pieces(np.array([3, 3, 9, 1]), 4)) == [(0, 1), (1, 2), (2, 3), (3, 4)]
     size = (1 << 26) + 1000
-    long = np.resize(rng.integers(1, 2**63, 1 << 20, dtype=np.uint64), size)
-    places = [place >> 24 for _, _, _, place in repeats.anchored(long, np.array([0, size]), 200, 32)]
-    assert max(int(p.max()) for p in places) >= size - 200 and sum(map(len, places)) == len(np.unique(np.concatenate(places)))
+    long = np.resize(rng.integers(0, 256, 1 << 20).astype(np.uint8), size)
+    places = [place >> 24 for _, _, _, place in repeats.anchored(units.byte_values(long), long, np.array([0, size]), 200, 32)]
+    assert max(int(p.max()) for p in places) >= size - 200
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word of 2**n letters and its complement: equal under any polynomial modulo 2**64 from n = 10."""
+    w = "a"
+    for _ in range(n):
+        w += w.translate({97: 98, 98: 97})
+    return w, w.translate({97: 98, 98: 97})
+
+
+def test_structured_words_stay_apart(spark):
+    """Contents that weak fingerprints confuse, and rows without ids, in the operators that compare contents."""
+    one, other = thue_morse(11)
+    rest = " ".join(f"w{k}" for k in range(34))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, one), (4, other), (None, one + "x"), (None, other + "x")], "doc_id long, text string")
+    assert {r.n_removed for r in phrase_automata.drop_repeated_words(docs, 35).collect()} == {0}
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).where("doc_id > 2").collect()} == {3: 3, 4: 4}
+    assert jaccard_join.keep_one(docs).count() == 5 and exact_dedup.keep_one(docs).count() == 6  # 1 and 2 do share most of their shingles
+    many = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    assert many.select(*(c.alias(n) for c, n in zip(tables.row_key(), "ab"))).distinct().count() == 200_000
+    lowest = spark.createDataFrame([(None, "t"), (-(2**63), "t"), (None, "u")], "doc_id long, text string")
+    assert sorted(((r.keep_id, r.group_size, r.kept) for r in exact_dedup.drop_copies(lowest)[0].collect()), key=str) == sorted([(-(2**63), 2, False), (-(2**63), 2, True), (None, 1, True)], key=str)
+
+
+def test_refine_and_confirm():
+    """Buckets against comparison of all pairs, and passages that stand for every window that recurs."""
+    rng = np.random.default_rng(2)
+    for trial in range(30):
+        base = rng.integers(0, 3, 60)
+        rows, at, group = [], [], []
+        for _ in range(8):
+            left, right = int(rng.integers(0, 20)), int(rng.integers(21, 40))
+            row = base[20 - left : 20 + right].copy()
+            row[rng.integers(0, len(row), 2)] = rng.integers(0, 3, 2)
+            rows.append(row)
+            at.append(left)
+            group.append(trial % 2 * int(rng.integers(0, 2)))
+        bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(r) for r in rows])])
+        windows = Counter((g, k - a, tuple(r[k : k + 20])) for r, a, g in zip(rows, at, group) for k in range(len(r) - 19))
+        want = [int(b) + k for r, a, g, b in zip(rows, at, group, bounds) for k in range(len(r) - 19) if windows[g, k - a, tuple(r[k : k + 20])] > 1]
+        start, bucket = repeats.refine(np.concatenate(rows), 2, bounds, np.array(at), np.array(group), 20)
+        assert sorted(start.tolist()) == want
+        n = rng.integers(1, 3, 8)
+        passages = phrase_automata.confirmed(np.concatenate(rows), bounds, np.array(at), np.array(group), n, 20)
+        covered = {(i, k) for i, r in enumerate(rows) for p in passages for k in range(len(r) - len(p) + 1) if tuple(r[k : k + len(p)].tolist()) == p for k in range(k, k + len(p) - 19)}
+        ours = {(int(np.searchsorted(bounds, s, "right")) - 1, int(s - bounds[np.searchsorted(bounds, s, "right") - 1])) for s in want} | {(i, k) for i, r in enumerate(rows) if n[i] > 1 for k in range(len(r) - 19)}
+        assert ours <= covered and len(set(passages)) == len(passages)
+
+
+def test_products_beyond_a_long():
+    a = np.array([[8e6 * 256] * 4, [1e300, 0, 0, 0], [-1e300, 0, 0, 0], [1, 2, 3, 4]])
+    got = topk._products(a, np.abs(a).max(axis=1), a[0])
+    assert got.tolist() == [min(4 * (8_000_000 * 256) ** 2, 2**63 - 1), 2**63 - 1, -(2**63), 10 * 8_000_000 * 256]
+    assert topk._best(got, np.arange(4), 4).tolist() == [0, 1, 3, 2]
 
 
 def test_exact_dedup(docs):
@@ -237,6 +300,14 @@ def test_packing_rounds(spark, monkeypatch):
     assert len(got) <= len(whole) + 12
 
 
+def test_packing_repair(spark):
+    """A single partition with a gap exchanges documents too, and no round makes it worse."""
+    sizes = np.random.default_rng(8).integers(200, 500, 300).tolist()
+    bins, proof = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "item long, size int"), 1000)
+    assert bins.select("item").distinct().count() == bins.count() == 300 and proof.where("round > 0").count() >= 1
+    assert bins.select("sequence_id").distinct().count() <= len(packing.best_fit(np.array(sizes), 1000)[2])
+
+
 def test_lower_bound():
     counts = np.zeros(101, int)
     counts[51], counts[34] = 7, 9
@@ -288,7 +359,27 @@ def test_quality(spark, docs, none):
     assert bounds.tolist() == [0, 2] and size.tolist() == [20, 16] and ((0 <= p) & (p <= 1)).all()
 
 
-def test_forward_backward():
+def test_quality_held_out(spark):
+    """Documents that the model hasn't seen: how well the score orders them, and how often the verdict is right."""
+    out = queries.QUERIES["op2_quality_classifier"](spark, "/root/testdata/sf0.01").where("held_out")
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    rows = [(r.score, r.predicted, r.quality) for r in out.join(marks, "doc_id").where("quality is not null").collect()]
+    good, bad = [s for s, _, q in rows if q == 1], [s for s, _, q in rows if q == 0]
+    area = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    assert area >= 0.95 and sum(p == q for _, p, q in rows) / len(rows) >= 0.9, (area, rows)
+
+
+def test_many_lines():
+    """A text of line feeds only is worked through in little memory, and chains don't change the marginals."""
+    rng = np.random.default_rng(3)
+    model = quality_crf.Crf(rng.normal(size=quality_crf.FEATURES), rng.normal(size=(2, 2)))
+    began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert 0 <= model.quality(units.Texts(np.full(1 << 21, 10, np.uint8), np.array([0, 1 << 21]), 0))[0] <= 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - began < 1 << 20
+
+
+def test_forward_backward(monkeypatch, chain=2):
+    monkeypatch.setattr(quality_crf, "CHAIN", chain)
     rng = np.random.default_rng(5)
     emission, transition, bounds = rng.normal(size=(7, 2)), rng.normal(size=(2, 2)), np.array([0, 3, 4, 7])
     p, pairs, log_z = quality_crf._marginals(emission, transition, bounds)
@@ -317,11 +408,11 @@ def test_topk(spark, monkeypatch):
     data += [(300, data[7][1]), (350, data[7][1]), (351, [0.0] * 8), (352, [1.0] * 3), (400, [0.5] * 3), (353, None), (354, [None] * 8), (355, [float("nan")] * 8), (None, [1.0] * 8), data[9]]
     vectors = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in data], "vec_id long, embedding array<double>, norm int, v string, bucket int")
     got = Counter(tuple(r) for r in topk.search(vectors, "vec_id % 50 = 0", k=5).collect())
-    valid = {i: np.floor(256 * np.array(v)).astype(int) for i, v in data if i is not None and v is not None and None not in v and np.isfinite(v).all()}
+    valid = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in data if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     want = Counter()
-    for q, x in valid.items():
+    for q, x in dict(valid).items():
         if q % 50 == 0:
-            near = sorted(((-int(v @ x), i) for i, v in valid.items() if i != q and len(v) == len(x)))[:5]
+            near = sorted(((-int(v @ x), i) for i, v in valid if i != q and len(v) == len(x)))[:5]
             want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(near))
     assert got == want
     assert topk.search(vectors.limit(0), "vec_id % 50 = 0").count() == 0
