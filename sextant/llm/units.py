@@ -36,7 +36,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 #: Words and bytes of them that a worker remembers the digests of.
-MEMORY_WORDS, MEMORY_BYTES = 1 << 19, 1 << 25
+MEMORY_WORDS, MEMORY_BYTES = 1 << 17, 1 << 23
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -441,3 +441,33 @@ def test_empty_tables(none):
     assert jaccard_join.near_duplicates(none).count() == 0
     assert exact_dedup.drop_copies(none)[0].count() == 0
     assert exact_dedup.keep_one(none).count() == 0
+
+
+def test_long_texts(spark):
+    """Texts over a slice, alone and repeated, through every operator on texts."""
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(180_000))
+    dense = "z" * 1_200_000
+    docs = spark.createDataFrame([(1, long), (2, "head " + long + " tail"), (3, dense), (4, "short")], "doc_id long, text string")
+    cut = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in drop_repeated_bytes(docs).collect()}
+    assert cut[1] == (len(long), len(long), 1) and cut[2] == (len(long) + 10, len(long) + 2, 1) or cut[2][1] >= len(long)
+    assert cut[3] == (1_200_000, 1_200_000, 1) and cut[4][1] == 0
+    kept = {r.doc_id: (r.n_words, r.n_removed) for r in phrase_automata.drop_repeated_words(docs).collect()}
+    assert kept == {1: (180_000, 180_000), 2: (180_002, 180_000), 3: (1, 0), 4: (1, 0)}
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, keep_ids=True).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("piece").alias("p")).collect()
+    assert all(-(-r.n // 1024) == r.p + 1 for r in packed)
+    store = scratch_dir(spark)
+    token_store.write_store(docs, store, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    assert token_store.read_store(spark, store).where("n_tokens * 4 != octet_length(ids)").count() == 0
+    coded = sentencepiece_backend.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    assert coded.where("parity and round_trip").count() == 4
+
+
+def test_queries_read_whole_tables(spark):
+    """Each query has a row for every row that it is about."""
+    size = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    for name in ("op1_sentencepiece", "op2_quality_classifier", "op4_token_binary_output", "op5_exact_dedup", "op7_substring_dedup", "op8_ngram_jaccard_join", "op10_suffix_array_dedup"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() == size, name
+    packed = queries.QUERIES["op6_best_fit_packing"](spark, "/root/testdata/sf0.001")
+    assert packed.where("piece = 0").count() == size and packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").count() == 0

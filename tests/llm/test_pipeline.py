@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from test_llm_operators import WORDS, shingles, windows_expected
@@ -51,3 +51,24 @@ def test_run(spark):
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
     room = out.groupBy("sequence_id").sum("length").collect()
     assert room and all(r[1] <= 1024 for r in room)
+
+
+def test_odd_documents(spark):
+    """Extra columns under names that operators use, null and repeated rows, and no rows at all, through every stage."""
+    words = [f"w{k}" for k in range(200)]
+    rows = [(None, None), (None, ""), (1, " ".join(words)), (1, " ".join(words)), (2, " ".join(words[:100] + ["x"] + words[100:])), (None, " ".join(words)), (3, "short"), (-(2**63), "short"), (None, "other text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, "b", "c", 0.5, "h", 4) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, rd long, rt string, spans string, score double, h string, n_words int")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), SF)
+        assert none.count() == 0
+        out = stage(spark, docs, SF).collect()
+        if name == "best_fit_packing":
+            assert len({(r.doc_id, r.sequence_id, r.offset) for r in out}) == len(rows)
+            continue
+        assert none.columns == docs.columns and all(r.rd == 7 and r.rt == "b" and r.spans == "c" and r.score == 0.5 and r.h == "h" and r.n_words == 4 for r in out)
+        if name == "exact_dedup":
+            assert sorted(((r.doc_id, r.text or "") for r in out), key=str) == sorted([(None, ""), (1, rows[2][1]), (2, rows[4][1]), (3, "short"), (None, "other text")], key=str)
+        if name == "ngram_jaccard_join":
+            assert Counter((r.doc_id, (r.text or "")[:5]) for r in out) == Counter([(None, ""), (None, ""), (1, "w0 w1"), (-(2**63), "short"), (None, "other")])
+        if name == "substring_dedup":
+            assert Counter((r.doc_id, r.text, r.n_chars) for r in out) == Counter([(None, "", 0), (None, "", 0), (1, "", 0), (1, "", 0), (2, "x", 1), (None, "", 0), (3, "short", 5), (-(2**63), "short", 5), (None, "other text", 10)])
