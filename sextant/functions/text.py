@@ -80,7 +80,7 @@ def _citation_parts(raw: Column) -> Column:
     year = F.coalesce(F.nullif(F.regexp_extract(raw, r":\s*(\d{4})\b", 1), F.lit("")), F.nullif(F.regexp_extract(raw, r"\d\D*\b((?:19|20)\d{2})$", 1), F.lit("")))
     rest = F.regexp_replace(raw, r"(?i)\(?\s*\bpart\s*(?:[0-9]+|[ivxl]+)\b\s*\)?", " ")
     rest = F.when(raw.rlike(r":\s*\d{4}\b"), F.regexp_replace(rest, r":\s*\d{4}\b", "")).otherwise(F.regexp_replace(rest, r"(\d\D*)\b(?:19|20)\d{2}$", "$1"))
-    rest = F.trim(F.regexp_replace(F.regexp_replace(rest, r"[:\s]+$", ""), r"\s+", " "))
+    rest = F.trim(F.regexp_replace(F.regexp_replace(rest, r"[:\s-]+$", ""), r"\s+", " "))
     return F.struct(raw.alias("raw"), part_number(raw).alias("part"), year.alias("year"), rest.alias("rest"))
 
 
@@ -119,6 +119,15 @@ def parse_date(text: Column) -> Column:
     return F.coalesce(F.try_to_date(iso, "yyyy-MM-dd"), F.try_to_date(dmy, "d-M-yyyy"), F.try_to_date(dmon, "d-MMM-yyyy"))
 
 
+def citation_key(text: Column, year: bool = True, prefix: bool = True) -> Column:
+    """A light notation of a number for joins: one space, parts in brackets, no marks at the end; with its year or without, with the prefix put before it or not."""
+    t = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s+", " ")
+    t = t if year else F.regexp_replace(t, r":\s*\d{4}", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?i)\s*:\s*Part\s*(\d+)", " (Part $1)"), r"(?i)(?<!\()\bPart\s*(\d+)", "(Part $1)")
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[.,;:]+$", ""), r"\s+", " "))
+    return F.when((t == "") | F.startswith(t, F.lit("IS")), t).otherwise(F.concat(F.lit("IS "), t)) if prefix else t
+
+
 def lifecycle(text: Column) -> Column:
     up = F.upper(F.coalesce(text, F.lit("")))
     return F.when(up.contains("WITHDRAWN"), "WITHDRAWN").when(up.rlike("SUPERSEDED|SUPERCEDED|SUPERSEDING"), "SUPERSEDED").otherwise("ACTIVE")

@@ -13,14 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, normalise_citations
+from ..sources.scratch import written
 
 # The notation of citations, penalties, bands, and words that the rules look for.
-CITATION = r"(?i)\b(?:IS(?:/ISO|/IEC)?\s+\d+(?:\s*\(Part\s*[0-9IVX]+\))?(?:\s*:\s*(?:19|20)\d{2})?|ASTM\s+[A-Z0-9-]+|EN\s+\d+|DIN\s+\d+|BS\s+\d+)"
+CITATION = r"(?i)\b(?:IS(?:/ISO)?(?:/IEC)?\s+\d+(?:\s*(?:\(Part\s*[0-9IVXLCDM]+\)|Part\s*[0-9IVXLCDM]+))?(?:\s*(?:[-:]|\bPart\b)?\s*(?:19\d{2}|20\d{2}))?)(?!\w)|\b(?:ASTM\s+[A-Z0-9-]+|EN\s+\d+|DIN\s+\d+|BS\s+\d+)(?!\w)"
 FOREIGN = r"(?i)\b(?:ASTM\s+[A-Z0-9-]+|EN\s+\d+|DIN\s+\d+|BS\s+\d+)"
 PENALTIES = {"SUPERSEDED_STANDARD": 22, "ILLEGAL_QCO_EXEMPTION": 35, "MISSING_QCO_MANDATE": 25, "MISSING_TEST_STANDARDS": 10, "FOREIGN_STANDARD_DISCRIMINATION": 15, "VAGUE_SPECIFICATION": 15}
 EXEMPTION_WORDS = ["without bis", "without isi", "secondary re-rollers without", "bis certification not required"]
 MANDATE_WORDS = ["bis standard mark", "isi mark", "bis license", "bis licence", "compulsory registration", "crs", "r-number", "qco", "scheme-i", "scheme-ii", "गुणवत्ता नियंत्रण आदेश", "बीआईएस"]
 PRODUCT_RULES = [("steel", [["steel"], ["rebar"], ["tmt"]]), ("electronics", [["laptop"], ["computer"], ["battery"]]), ("solar", [["solar", "module"], ["solar", "pv"]]), ("footwear", [["safety shoe"], ["safety footwear"]]), ("polyethylene", [["hdpe", "pipe"]])]
+# Editions that are known to be obsolete (part of the citation, any of these too, what replaces it), and tests that an item needs (code, words that do as well, only where the text has any of these).
+KNOWN_OLD = [("2062:2006", [], "IS 2062:2011"), ("432", ["part 1", "1982"], "IS 1786 / IS 2062")]
+TEST_RULES = {"IS 2062": [("1608", ["tensile test"], []), ("1599", ["bend test"], []), ("1757", ["charpy", "impact"], ["bridge", "joist", "truss"])]}
 RISK_PENALTIES = {"COMPETITION_RESTRICTION": 25, "PUBLIC_PROCUREMENT_MII_VIOLATION": 20, "OBSOLETE_SPECIFICATION": 20, "CRIMINAL_STATUTORY_NON_COMPLIANCE": 25}
 RISK_PATTERNS = {
     "producers": r"\b(blast furnace|primary producers?|integrated steel plant|integrated producers?)\b",
@@ -40,27 +44,44 @@ def citations(documents: DataFrame) -> DataFrame:
     return rows.withColumn("cited", F.expr("filter(all, x -> not exists(all, y -> y != x and startswith(y, x) and contains(y, '(Part')))")).drop("all")
 
 
-def _finding(issue: str, snippet: Column) -> Column:
-    return F.struct(F.lit(issue).alias("issue_type"), F.lit(PENALTIES[issue]).alias("penalty"), snippet.alias("snippet"))
+def _finding(issue: str, snippet: Column, remedy: Column | None = None) -> Column:
+    return F.struct(F.lit(issue).alias("issue_type"), F.lit(PENALTIES[issue]).alias("penalty"), snippet.alias("snippet"), (F.lit(None).cast("string") if remedy is None else remedy).alias("remedy"))
 
 
-def findings(documents: DataFrame, superseded: DataFrame) -> DataFrame:
-    """doc_id, issue_type, penalty, snippet: one row a finding; superseded: citation (base designators that are no longer active)."""
-    docs = citations(documents).withColumn("low", F.lower("text"))
-    cited = docs.select("doc_id", F.explode("cited").alias("citation")).withColumn("base", F.trim(F.substring_index("citation", ":", 1)))
-    known = cited.join(superseded.select(F.col("citation").alias("base")).distinct().withColumn("old", F.lit(True)), "base", "left")
-    old = known.where(F.col("old") | F.col("citation").contains("2062:2006")).select("doc_id", F.lit("SUPERSEDED_STANDARD").alias("issue_type"), F.lit(22).alias("penalty"), F.col("citation").alias("snippet"))
+def _old_citations(cited: DataFrame, superseded: DataFrame) -> DataFrame:
+    """doc_id, citation, remedy of citations of known obsolete editions, and of items that are no longer active."""
+    low = F.lower("citation")
+    known = F.coalesce(*(F.when(F.contains(low, F.lit(part)) & (any_of(low, also) if also else F.lit(True)), new) for part, also, new in KNOWN_OLD))
+    superseded = superseded if "replacement" in superseded.columns else superseded.withColumn("replacement", F.lit(None).cast("string"))
+    out = superseded.groupBy(F.col("citation").alias("base")).agg(F.min("replacement").alias("replacement"), F.lit(True).alias("old"))
+    rows = cited.withColumn("base", F.trim(F.substring_index("citation", ":", 1))).withColumn("known", known).join(out, "base", "left")
+    return rows.where(F.col("known").isNotNull() | F.col("old")).select("doc_id", "citation", F.coalesce("known", "replacement", F.lit("current edition")).alias("remedy"))
+
+
+def findings(documents: DataFrame, superseded: DataFrame, mandated: DataFrame | None = None, products: list = PRODUCT_RULES, tests: dict = TEST_RULES) -> DataFrame:
+    """doc_id, issue_type, penalty, snippet, remedy: one row a finding.
+
+    superseded: citation (base designators that are no longer active), replacement
+    (the end of their chain, or null).  mandated: citation (base designators that
+    an order governs), order_name; the first citation of a document that has one
+    counts, else its kind of product by keywords.
+    """
+    docs = written(citations(documents)).withColumn("low", F.lower("text"))  # three branches read them
+    cited = docs.select("doc_id", F.posexplode("cited").alias("place", "citation"))
+    old = _old_citations(cited, superseded).select("doc_id", F.lit("SUPERSEDED_STANDARD").alias("issue_type"), F.lit(PENALTIES["SUPERSEDED_STANDARD"]).alias("penalty"), F.col("citation").alias("snippet"), "remedy")
     low = F.col("low")
     every = lambda words: reduce(and_, (F.contains(low, F.lit(w)) for w in words))
-    group = F.coalesce(*(F.when(reduce(or_, map(every, ways)), name) for name, ways in PRODUCT_RULES))
-    steel = F.exists("cited", lambda c: F.contains(c, F.lit("IS 2062")))
-    missing = F.filter(
-        F.array(
-            F.when(~(F.contains("text", F.lit("1608")) | F.contains(low, F.lit("tensile test"))), "IS 1608"), F.when(~(F.contains("text", F.lit("1599")) | F.contains(low, F.lit("bend test"))), "IS 1599"),
-            F.when(~(F.contains("text", F.lit("1757")) | any_of(low, ["charpy", "impact"])) & any_of(low, ["bridge", "joist", "truss"]), "IS 1757"),
-        ),
-        lambda x: x.isNotNull(),
-    )
+    group = F.coalesce(*(F.when(reduce(or_, map(every, ways)), name) for name, ways in products))
+    if mandated is not None:
+        laws = mandated.groupBy(F.col("citation").alias("base")).agg(F.min("order_name").alias("order_name"))
+        first = cited.withColumn("base", F.trim(F.substring_index("citation", ":", 1))).join(laws, "base").groupBy("doc_id").agg(F.min_by("order_name", "place").alias("order_name"))
+        docs = docs.join(first, "doc_id", "left")
+        group = F.coalesce(F.col("order_name"), group)
+    missing = lambda needs: F.array_compact(F.array(*(
+        F.when(~(F.contains("text", F.lit(code)) | any_of(low, words)) & (any_of(low, only) if only else F.lit(True)), f"IS {code}") for code, words, only in needs
+    )))
+    cites = lambda item: F.exists("cited", lambda c: F.contains(c, F.lit(item)))
+    untested = [F.when(cites(item) & (F.size(missing(needs)) > 0), _finding("MISSING_TEST_STANDARDS", F.array_join(missing(needs), ", "))) for item, needs in tests.items()]
     foreign = F.regexp_extract_all("text", F.lit(FOREIGN), 0)
     domestic = F.exists("cited", lambda c: c.rlike("^IS[ /]"))
     recycled = F.contains(low, F.lit("recycled")) & any_of(low, ["hdpe", "water", "drinking"])
@@ -68,13 +89,19 @@ def findings(documents: DataFrame, superseded: DataFrame) -> DataFrame:
     each = F.array(
         F.when(group.isNotNull() & exempt, _finding("ILLEGAL_QCO_EXEMPTION", group)),
         F.when(group.isNotNull() & ~exempt & ~any_of(low, MANDATE_WORDS), _finding("MISSING_QCO_MANDATE", group)),
-        F.when(steel & (F.size(missing) > 0), _finding("MISSING_TEST_STANDARDS", F.array_join(missing, ", "))),
+        *untested,
         F.when((F.size(foreign) > 0) & ~domestic, _finding("FOREIGN_STANDARD_DISCRIMINATION", F.array_join(foreign, ", "))),
         F.when(recycled, _finding("VAGUE_SPECIFICATION", F.lit("recycled polymer"))),
         F.when(recycled & ~F.contains("text", F.lit("7328")), _finding("VAGUE_SPECIFICATION", F.lit("no virgin polyethylene"))),
         F.when(any_of(low, ["commercial quality", "ordinary quality"]), _finding("VAGUE_SPECIFICATION", F.lit("commercial quality"))),
     )
-    return docs.select("doc_id", F.explode(F.filter(each, lambda f: f.isNotNull())).alias("f")).select("doc_id", "f.*").unionByName(old)
+    return docs.select("doc_id", F.inline(F.array_compact(each))).unionByName(old)
+
+
+def report(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """`scores` with the findings themselves: an array of structs by issue and snippet, empty where there are none."""
+    rows = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("issue_type", "snippet", "penalty", "remedy"))).alias("details"))
+    return scores(documents, found).join(rows, "doc_id", "left").withColumn("details", F.coalesce("details", F.array()))
 
 
 def scores(documents: DataFrame, found: DataFrame) -> DataFrame:
@@ -89,7 +116,7 @@ def amendments(documents: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, sl_no, existing, amended: the schedule of each document; a default row for documents without findings."""
     order = Window.partitionBy("doc_id").orderBy("issue_type", "snippet")
     text = (
-        F.when(F.col("issue_type") == "SUPERSEDED_STANDARD", F.concat(F.lit("Replace "), F.col("snippet"), F.lit(" by its current edition")))
+        F.when(F.col("issue_type") == "SUPERSEDED_STANDARD", F.concat(F.lit("Replace "), F.col("snippet"), F.lit(" by "), F.coalesce("remedy", F.lit("current edition"))))
         .when(F.col("issue_type").isin("ILLEGAL_QCO_EXEMPTION", "MISSING_QCO_MANDATE"), F.lit("Require the standard mark under a valid licence"))
         .when(F.col("issue_type") == "MISSING_TEST_STANDARDS", F.concat(F.lit("Prescribe tests by "), F.col("snippet")))
         .when(F.col("issue_type") == "FOREIGN_STANDARD_DISCRIMINATION", F.concat(F.lit("Add an equivalent domestic standard to "), F.col("snippet")))

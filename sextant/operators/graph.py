@@ -176,6 +176,19 @@ def path_steps(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> D
     return told.select("source", "target", "step", "node", F.when(F.col("step") == 0, first).otherwise(F.coalesce("forth", F.concat(F.lit("INVERSE_"), "back"))).alias("relationship"))
 
 
+def neighbour_counts(edges: DataFrame) -> DataFrame:
+    """node, and how many different neighbours of each category `one_hop` has for it."""
+    kinds = ("normative_references", "test_methods", "orders", "cited_by")
+    return one_hop(edges).groupBy("node").agg(*(F.count_if(F.col("category") == k).alias(k) for k in kinds))
+
+
+def clusters(items: DataFrame, by: str, most: int = 8, default: str = "General") -> DataFrame:
+    """cluster, items, clusters: the largest groups by what stands before a bracket, blanks under a default label, and how many groups there are."""
+    named = items.select(F.coalesce(F.nullif(F.trim(F.substring_index(by, "(", 1)), F.lit("")), F.lit(default)).alias("cluster"))
+    counts = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("items"))
+    return counts.crossJoin(counts.agg(F.count(F.lit(1)).alias("clusters"))).orderBy(F.col("items").desc(), "cluster").limit(most)
+
+
 def aliases(catalog: DataFrame) -> DataFrame:
     """key, item_id: by id, full number and bare number; a key of several items belongs to the first kind, then the smallest id."""
     kinds = [(0, F.col("item_id")), (1, F.col("item_no")), (2, bare_number(F.col("item_no")))]
@@ -184,10 +197,12 @@ def aliases(catalog: DataFrame) -> DataFrame:
 
 
 def resolved(citations: DataFrame, alias: DataFrame, raw: str = "raw") -> DataFrame:
-    """citations with item_id: the key itself, then with the prefix, then without the year; the first that is known."""
+    """citations, each row, with item_id: the key itself, then with the prefix, then without the year; the first that is known."""
     text = F.col(raw)
     plain = F.regexp_replace(text, r"\s*:\s*\d{4}\s*$", "")
     tries = F.array(canonical_key(text), canonical_key(F.concat(F.lit("IS"), text)), canonical_key(plain), canonical_key(F.concat(F.lit("IS"), plain)))
-    rows = citations.select("*", F.posexplode(tries).alias("stage", "key"))
-    return rows.join(alias, "key", "left").groupBy(*citations.columns).agg(F.min_by("item_id", F.when(F.col("item_id").isNotNull(), F.col("stage"))).alias("item_id"))
+    given = F.struct(*citations.columns).alias("given")
+    rows = citations.select(given, F.monotonically_increasing_id().alias("row"), tries.alias("tries")).select("given", "row", F.posexplode("tries").alias("stage", "key"))
+    found = rows.join(alias, "key", "left").groupBy("row").agg(F.any_value("given").alias("given"), F.min_by("item_id", F.when(F.col("item_id").isNotNull(), F.col("stage"))).alias("item_id"))
+    return found.select("given.*", "item_id")
 

@@ -21,6 +21,21 @@ def html_rows(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(rows).alias("place", "row")).select("page_id", "place", cells.alias("cells")).where(F.get("cells", F.lit(0)).rlike("^[0-9]"))
 
 
+def grouped_rows(pages: DataFrame) -> DataFrame:
+    """page_id, place, category, notification, cells: rows of three cells or more of grouped tables.
+
+    A row of one cell names the category of the rows below it; a fourth cell that
+    speaks of an order is the notification of its row and of those below.
+    """
+    rows = F.regexp_extract_all("html", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1)
+    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), 1), clean_html)
+    flat = pages.select("page_id", F.posexplode(rows).alias("place", "row")).select("page_id", F.col("place").cast("long").alias("place"), cells.alias("cells"))
+    first, said = F.get("cells", F.lit(0)), F.get("cells", F.lit(3))
+    flat = carried_down(flat, F.when((F.size("cells") == 1) & (first != "") & ~F.startswith(first, F.lit("Sr")), first), ["page_id"], ["place"], "category")
+    flat = carried_down(flat, F.when(said.rlike("Order|S\\.O\\.|Notification"), said), ["page_id"], ["place"], "notification")
+    return flat.where(F.size("cells") >= 3).select("page_id", "place", "category", "notification", "cells")
+
+
 def carried_down(rows: DataFrame, value: Column, by: list[str], order: list[str], name: str) -> DataFrame:
     """rows with the last value that isn't null, up to each row."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -15,33 +15,41 @@ MOST_DATES = 1000
 PRIORITY = {"MANDATORY_IN_FORCE": 4, "PENDING_FUTURE_DATE": 3, "UNVERIFIED_EFFECTIVE_DATE": 2, "SUPERSEDED_BY_SUBSEQUENT_ORDER": 1, "RESCINDED": 0}
 
 
-def temporal_status(name: Column, raw_date: Column, evaluation: Column) -> Column:
-    """Rescinded and superseded come before the date."""
-    said, date = F.concat_ws(" ", name, raw_date), parse_date(raw_date)
-    return (
-        F.when(said.rlike(r"(?i)\brescind"), "RESCINDED").when(said.rlike(r"(?i)\bsuperseded by\b"), "SUPERSEDED_BY_SUBSEQUENT_ORDER")
-        .when(date.isNull(), "UNVERIFIED_EFFECTIVE_DATE").when(date <= evaluation, "MANDATORY_IN_FORCE").otherwise("PENDING_FUTURE_DATE")
-    )
+def dated(orders: DataFrame) -> DataFrame:
+    """orders with effective_date and standing: rescinded or superseded, whatever the date; each text is parsed once."""
+    said = F.concat_ws(" ", "order_name", "effective_raw")
+    standing = F.when(said.rlike(r"(?i)\brescind"), "RESCINDED").when(said.rlike(r"(?i)\bsuperseded by\b"), "SUPERSEDED_BY_SUBSEQUENT_ORDER")
+    return orders.withColumn("effective_date", parse_date(F.col("effective_raw"))).withColumn("standing", standing)
 
 
 def status_asof(orders: DataFrame, dates: DataFrame) -> DataFrame:
-    """Every order at every evaluation date (dates: a few rows of `evaluation_date`); adds effective_date and temporal_status."""
-    return orders.crossJoin(small_side(dates, MOST_DATES)).withColumn("effective_date", parse_date(F.col("effective_raw"))).withColumn(
-        "temporal_status", temporal_status(F.col("order_name"), F.col("effective_raw"), F.col("evaluation_date"))
-    )
+    """Every order at every evaluation date (dates: rows of `evaluation_date`); adds effective_date and temporal_status.
+
+    What an order says is parsed before it meets the dates.
+    """
+    date = F.col("effective_date")
+    by_date = F.when(date.isNull(), "UNVERIFIED_EFFECTIVE_DATE").when(date <= F.col("evaluation_date"), "MANDATORY_IN_FORCE").otherwise("PENDING_FUTURE_DATE")
+    return dated(orders).crossJoin(small_side(dates, MOST_DATES)).withColumn("temporal_status", F.coalesce("standing", by_date)).drop("standing")
 
 
 def governing(status: DataFrame) -> DataFrame:
-    """For each item and date: the order that prevails, by status, then latest date, then smallest id, and how many others compete."""
+    """For each item and date: the order that prevails, by status, then latest date, then smallest id, how many there are, and the names of the others."""
     rank = F.coalesce(*(F.when(F.col("temporal_status") == s, p) for s, p in PRIORITY.items()))
     best = F.max_by(F.struct("order_id", "order_name", "temporal_status", "effective_date"), F.struct(rank, F.coalesce(F.col("effective_date").cast("string"), F.lit("")), -F.col("order_no")))
-    return status.groupBy("item_id", "evaluation_date").agg(best.alias("g"), F.count(F.lit(1)).alias("orders"), F.count_distinct("order_name").alias("names")).select(
-        "item_id", "evaluation_date", "g.order_id", "g.temporal_status", F.col("g.effective_date").alias("effective_date"), "orders", (F.col("names") - 1).alias("competing"), (F.col("g.temporal_status") == "MANDATORY_IN_FORCE").alias("is_mandatory")
+    return status.groupBy("item_id", "evaluation_date").agg(best.alias("g"), F.count(F.lit(1)).alias("orders"), F.collect_set("order_name").alias("names")).select(
+        "item_id", "evaluation_date", "g.order_id", "g.temporal_status", F.col("g.effective_date").alias("effective_date"), "orders", (F.size("names") - 1).cast("long").alias("competing"),
+        F.array_join(F.sort_array(F.array_except("names", F.array("g.order_name"))), "; ").alias("others"), (F.col("g.temporal_status") == "MANDATORY_IN_FORCE").alias("is_mandatory")
     )
 
 
+def mandated(orders: DataFrame, edges: DataFrame) -> DataFrame:
+    """orders (order_id, …) once for each item that a MANDATED_BY edge leads from, as item_id."""
+    links = edges.where("relationship = 'MANDATED_BY'").select(F.col("source").alias("item_id"), F.col("target").alias("order_id")).distinct()
+    return orders.drop("item_id").join(links, "order_id")
+
+
 def inherited(items: DataFrame, own: DataFrame, successors: DataFrame) -> DataFrame:
-    """Each item's governing order, or that of its last successor, which is then named in via."""
+    """Each item's governing order, or that of its last successor (node, end), which is then named in via."""
     mine = items.select("item_id").join(own, "item_id", "left")
     missing = mine.where("order_id is null").select("item_id").join(successors.select(F.col("node").alias("item_id"), F.col("end").alias("via")), "item_id")
     theirs = missing.join(own.withColumnRenamed("item_id", "via"), "via")

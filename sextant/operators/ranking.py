@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import band, bounded_score, tokens
-from .retrieval import bm25, fused, small, tfidf, top_k
+from .retrieval import searched, small, top_k
 
 # Weights and limits of the composite score.
 CAP, SCALE, EXACT, MENTION, GRADE, SLOT_CAP, SLOT, IN_FORCE = 0.40, 12.0, 0.35, 0.25, 0.08, 0.20, 0.30, 0.08
@@ -21,7 +21,7 @@ def candidates(queries: DataFrame, catalog: DataFrame, keep_history: bool = Fals
     each ranking's candidates are cut.
     """
     corpus = catalog.select("doc_id", "text")
-    both = fused(bm25(queries, corpus), tfidf(queries, corpus))
+    both = searched(queries, corpus)
     out = both.join(catalog.select("doc_id", "item_no", "status", "keywords"), "doc_id")
     return out if keep_history else out.where(~F.col("status").isin("SUPERSEDED", "WITHDRAWN"))
 

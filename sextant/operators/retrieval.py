@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, tokens
+from ..sources.scratch import written
 
 #: Rows that are broadcast at most.
 BROADCAST_ROWS = 200_000
@@ -24,15 +25,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def sized(df: DataFrame, like: DataFrame) -> DataFrame:
-    """df, marked for broadcast only when `like`, which has as many rows at least and costs less to count, has few."""
-    return F.broadcast(df) if like.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def prepared(corpus: DataFrame) -> DataFrame:
+    """doc_id, words, len: the search tokens of a corpus (doc_id, text), in a table of their own that rankings share."""
+    return written(corpus.select("doc_id", tokens(F.col("text")).alias("words")).withColumn("len", F.size("words")))
 
 
 def term_counts(texts: DataFrame, id_col: str, terms: Column) -> DataFrame:
-    """id_col, term, tf, and len: the terms of the text, repeats included."""
-    words = texts.select(id_col, terms.alias("words"))
-    return words.select(id_col, F.size("words").alias("len"), F.explode("words").alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    """id_col, term, tf: the terms of the text, repeats included."""
+    return texts.select(id_col, F.explode(terms).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def top_k(scores: DataFrame, k: int, by: str = "qid", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -41,51 +41,61 @@ def top_k(scores: DataFrame, k: int, by: str = "qid", score: str = "score", tie:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """qid, doc_id, score, rank by Okapi BM25; queries (qid, text), corpus (doc_id, text).
+def bm25(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, words: DataFrame | None = None) -> DataFrame:
+    """qid, doc_id, score, rank by Okapi BM25; queries (qid, text), corpus (doc_id, text), and its `prepared` words where they are there.
 
     A term that is in more than half of the texts has FLOOR times the mean
-    inverse document frequency.  Scores are rounded to 6 places before ranking.
+    inverse document frequency.  Document frequencies take one aggregate by term
+    of all terms; only places of terms that are asked for are counted by
+    document.  Scores are rounded to 6 places before ranking.
     """
-    size = corpus.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("mean_len"))
-    posts = term_counts(corpus, "doc_id", tokens(F.col("text")))
+    words = prepared(corpus) if words is None else words
+    size = words.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"))
     raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    idf = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size)).select("term", raw.alias("raw"), "mean_len")
+    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = written(df.crossJoin(F.broadcast(size)).select("term", raw.alias("raw"), "mean_len"))
     mean = idf.agg((F.lit(FLOOR) * F.avg("raw")).alias("floor"))
-    asked = term_counts(queries, "qid", tokens(F.col("text"))).select("qid", "term", F.col("tf").alias("times"))
-    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # terms of queries, and so the rows of idf that are needed
-    mark = F.broadcast if few else lambda df: df
+    asked = written(term_counts(queries, "qid", tokens(F.col("text"))).select("qid", "term", F.col("tf").alias("times")))
+    mark = F.broadcast if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df  # terms of queries, and so the rows of idf that are needed
     idf = idf.join(mark(asked.select("term").distinct()), "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "mean_len")
+    terms = written(idf)
+    posts = words.select("doc_id", "len", F.explode("words").alias("term")).join(mark(terms.select("term")), "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
     tf = F.col("tf")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    scores = posts.join(mark(idf), "term").join(mark(asked), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    scores = posts.join(mark(terms.join(asked, "term")), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return top_k(scores, k)
 
 
-def tfidf(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, features: int = FEATURES) -> DataFrame:
+def tfidf(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, features: int = FEATURES, words: DataFrame | None = None) -> DataFrame:
     """qid, doc_id, score, rank by cosine of sublinear TF-IDF over words and pairs of words.
 
     The vocabulary has the `features` terms that are most frequent in the corpus,
-    ties by term.
+    ties by term; it alone is counted by document, and once for lengths and scores.
     """
-    terms = bigrams(tokens(F.col("text")))
-    n = corpus.agg(F.count(F.lit(1)).alias("n"))
-    posts = term_counts(corpus, "doc_id", terms)
-    vocabulary = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("freq")).orderBy(F.col("freq").desc(), "term").limit(features)
-    idf = F.broadcast(vocabulary.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))  # at most `features` rows
-
-    def weights(counts: DataFrame, id_col: str) -> DataFrame:
-        rows = counts.join(idf, "term").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
-        norms = rows.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return rows.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("w"))
-
-    docs = weights(posts, "doc_id")
-    raw = term_counts(queries, "qid", terms)
-    asked = weights(raw, "qid").withColumnRenamed("w", "qw")
-    scores = docs.join(sized(asked, raw), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score")).where("score > 0")
+    words = prepared(corpus) if words is None else words
+    n = words.agg(F.count(F.lit(1)).alias("n"))
+    grams = words.select("doc_id", F.explode(bigrams(F.col("words"))).alias("term"))
+    vocabulary = written(grams.groupBy("term").agg(F.count(F.lit(1)).alias("freq")).orderBy(F.col("freq").desc(), "term").limit(features).select("term"))
+    posts = written(grams.join(F.broadcast(vocabulary), "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))  # at most `features` rows
+    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.broadcast(written(df.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))))
+    weight = (1 + F.ln("tf")) * F.col("idf")
+    weighted = lambda counts: counts.join(idf, "term").withColumn("w", weight)
+    length = lambda rows, by: rows.groupBy(by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    asked = weighted(term_counts(queries.select("qid", bigrams(tokens(F.col("text"))).alias("terms")), "qid", F.col("terms")))
+    asked = written(asked.join(length(asked, "qid"), "qid").select("qid", "term", (F.col("w") / F.col("norm")).alias("qw")))
+    docs = weighted(posts)
+    scores = docs.join(small(asked), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    scores = scores.join(length(docs, "doc_id"), "doc_id").select("qid", "doc_id", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where("score > 0")
     return top_k(scores, k)
 
 
+def searched(queries: DataFrame, corpus: DataFrame, k: int | None = None) -> DataFrame:
+    """Both rankings of one tokenised corpus, fused."""
+    words = prepared(corpus)
+    return fused(bm25(queries, corpus, words=words), tfidf(queries, corpus, words=words), k)
+
+
 def fused(first: DataFrame, second: DataFrame, k: int | None = None, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of two rankings: qid, doc_id, score, with ranks and scores of each (null where missing)."""
     a = first.select("qid", "doc_id", F.col("rank").alias("rank_a"), F.col("score").alias("score_a"))

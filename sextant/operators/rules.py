@@ -12,12 +12,12 @@ from ..sources.scratch import small_side
 MOST_RULES = 10_000
 
 
-def first_match(texts: DataFrame, rules: DataFrame, id_col: str, whole_word: bool = True) -> DataFrame:
-    """id_col, rule_id of the first rule (rule_id, ord, keyword) whose keyword the text has; null without one."""
+def first_match(texts: DataFrame, rules: DataFrame, id_col: str, whole_word: bool = True, default: str | None = None) -> DataFrame:
+    """id_col, rule_id of the first rule (rule_id, ord, keyword) whose keyword the text has; the default (or null) without one."""
     low = F.lower(F.coalesce(texts["text"], F.lit("")))
     hit = F.regexp_like(low, F.concat(F.lit(r"\b"), F.col("keyword"), F.lit(r"\b"))) if whole_word else F.contains(low, F.col("keyword"))
     found = texts.join(small_side(rules, MOST_RULES), hit).groupBy(id_col).agg(F.min_by("rule_id", F.struct("ord", "rule_id")).alias("rule_id"))
-    return texts.select(id_col).join(found, id_col, "left")
+    return texts.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("rule_id", F.lit(default)).alias("rule_id"))
 
 
 def either_contains(items: DataFrame, rules: DataFrame, id_col: str, key: str) -> DataFrame:

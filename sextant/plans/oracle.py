@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..functions.text import STOPWORDS
-from ..operators import audit
 from ..operators.slots import CORROSION, EXPOSURE, GRADES, INFRASTRUCTURE, SEISMIC
 from .fixtures import with_views
 
@@ -63,32 +62,41 @@ BM25 = _Bm25(bm25_sql(_DOCS, _ASKED, "WITH "))
 CITATION_FORMS = with_views("fx_citations") + """ SELECT o_orderkey AS cite_id, CASE o_orderkey % 8 WHEN 0 THEN concat('IS ', o_custkey) WHEN 1 THEN concat('IS ', o_custkey, ':', year(o_orderdate)) WHEN 2 THEN concat('IS ', o_custkey, ' (Part ', o_orderkey % 5 + 1, '):', year(o_orderdate))
     WHEN 3 THEN concat('IS ', o_custkey, ' (Part 2)') WHEN 4 THEN concat('IS ', o_custkey + 10) WHEN 5 THEN concat('IS ', o_custkey, ':', year(o_orderdate)) WHEN 6 THEN concat('IEC ', o_custkey, ':', year(o_orderdate)) ELSE concat('IS ', o_custkey) END AS citation FROM orders"""
 
-_RAW = audit.CITATION.replace("'", "''")
-#: Citations in tenders: colon and spaces in one way; parts and prefixes are already so.
-CITED = rf"""single AS MATERIALIZED (SELECT doc_id, c, min(i) AS i FROM (SELECT doc_id, regexp_replace(unnest(found), '\s*:\s*', ':') AS c, unnest(range(len(found))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_RAW}', 0) AS found FROM fx_tenders)) GROUP BY doc_id, c),
+#: Citations in tenders, in one way; all numbers stand alone in these texts, so no look-ahead is needed.
+_RAW = r"(?i)\b(?:IS\s+\d+(?:\s*\(Part\s*\d+\)|\s*Part\s*\d+)?(?:\s*[-:]?\s*(?:19|20)\d\d)?|ASTM\s+[A-Z0-9-]+|DIN\s+\d+)"
+_ONE_WAY = r"regexp_replace(regexp_replace(unnest(found), '(\d)\s*[-:]\s*(\d{4})$', '\1:\2'), '\s*\(?Part\s*(\d+)\)?', ' (Part \1)')"
+CITED = rf"""single AS MATERIALIZED (SELECT doc_id, c, min(i) AS i FROM (SELECT doc_id, {_ONE_WAY} AS c, unnest(range(len(found))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_RAW}', 0) AS found FROM fx_tenders)) GROUP BY doc_id, c),
 part_of AS (SELECT DISTINCT a.doc_id, a.c FROM single a JOIN single b ON a.doc_id = b.doc_id AND b.c <> a.c AND starts_with(b.c, a.c) AND contains(b.c, '(Part')),
 lists AS (SELECT doc_id, list(c ORDER BY i) AS cited FROM single ANTI JOIN part_of USING (doc_id, c) GROUP BY doc_id),
 cited AS MATERIALIZED (SELECT t.doc_id, t.text, coalesce(l.cited, []) AS cited FROM fx_tenders t LEFT JOIN lists l USING (doc_id))"""
 
 _has = lambda words: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
-_GROUP = "CASE " + " ".join(f"WHEN {' OR '.join('(' + ' AND '.join(f'contains(low, {chr(39)}{w}{chr(39)})' for w in ws) + ')' for ws in any_)} THEN '{name}'" for name, any_ in audit.PRODUCT_RULES) + " END"
-FINDINGS = CITED + f""", base AS (SELECT *, lower(text) AS low FROM cited), ruled AS MATERIALIZED (SELECT *, {_GROUP} AS grp, {_has(audit.EXEMPTION_WORDS)} AS exempt,
+_GROUP = """CASE WHEN contains(low, 'steel') OR contains(low, 'rebar') OR contains(low, 'tmt') THEN 'steel' WHEN contains(low, 'laptop') OR contains(low, 'computer') OR contains(low, 'battery') THEN 'electronics'
+  WHEN contains(low, 'solar') AND (contains(low, 'module') OR contains(low, 'pv')) THEN 'solar' WHEN contains(low, 'safety shoe') OR contains(low, 'safety footwear') THEN 'footwear' WHEN contains(low, 'hdpe') AND contains(low, 'pipe') THEN 'polyethylene' END"""
+_EXEMPT = ["without bis", "without isi", "secondary re-rollers without", "bis certification not required"]
+_MANDATED = ["bis standard mark", "isi mark", "bis license", "bis licence", "compulsory registration", "crs", "r-number", "qco", "scheme-i", "scheme-ii"]
+#: Findings; laws (base, order_name) and old (item_no, replacement) are CTEs of the query.
+FINDINGS = f"""old AS (SELECT item_no, CASE WHEN item_key % 10 = 1 THEN concat('IS ', item_key + 1) END AS replacement FROM fx_catalog WHERE status <> 'ACTIVE'),
+laws AS (SELECT item_no AS base, concat('Order of ', department) AS order_name FROM fx_catalog WHERE item_key % 6 = 5),""" + CITED + f""", flat AS (SELECT doc_id, unnest(cited) AS c, unnest(range(len(cited))) AS i FROM cited),
+law AS (SELECT doc_id, min_by(order_name, i) AS order_name FROM flat JOIN laws ON base = trim(split_part(c, ':', 1)) GROUP BY doc_id),
+base AS (SELECT c.*, order_name, lower(text) AS low FROM cited c LEFT JOIN law USING (doc_id)), ruled AS MATERIALIZED (SELECT *, coalesce(order_name, {_GROUP}) AS grp, {_has(_EXEMPT)} AS exempt,
   concat_ws(', ', CASE WHEN NOT (contains(text, '1608') OR contains(low, 'tensile test')) THEN 'IS 1608' END, CASE WHEN NOT (contains(text, '1599') OR contains(low, 'bend test')) THEN 'IS 1599' END,
     CASE WHEN NOT (contains(text, '1757') OR {_has(['charpy', 'impact'])}) AND {_has(['bridge', 'joist', 'truss'])} THEN 'IS 1757' END) AS missing,
-  regexp_extract_all(text, '{audit.FOREIGN}', 0) AS foreigners, contains(low, 'recycled') AND {_has(['hdpe', 'water', 'drinking'])} AS recycled FROM base),
-old AS (SELECT item_no FROM fx_catalog WHERE status <> 'ACTIVE'),
-findings AS (SELECT doc_id, 'ILLEGAL_QCO_EXEMPTION' AS issue_type, 35 AS penalty, grp AS snippet FROM ruled WHERE grp IS NOT NULL AND exempt
-  UNION ALL SELECT doc_id, 'MISSING_QCO_MANDATE', 25, grp FROM ruled WHERE grp IS NOT NULL AND NOT exempt AND NOT {_has(audit.MANDATE_WORDS)}
-  UNION ALL SELECT doc_id, 'MISSING_TEST_STANDARDS', 10, missing FROM ruled WHERE missing <> '' AND len(list_filter(cited, lambda c: contains(c, 'IS 2062'))) > 0
-  UNION ALL SELECT doc_id, 'FOREIGN_STANDARD_DISCRIMINATION', 15, array_to_string(foreigners, ', ') FROM ruled WHERE len(foreigners) > 0 AND len(list_filter(cited, lambda c: regexp_matches(c, '^IS[ /]'))) = 0
-  UNION ALL SELECT doc_id, 'VAGUE_SPECIFICATION', 15, 'recycled polymer' FROM ruled WHERE recycled
-  UNION ALL SELECT doc_id, 'VAGUE_SPECIFICATION', 15, 'no virgin polyethylene' FROM ruled WHERE recycled AND NOT contains(text, '7328')
-  UNION ALL SELECT doc_id, 'VAGUE_SPECIFICATION', 15, 'commercial quality' FROM ruled WHERE {_has(['commercial quality', 'ordinary quality'])}
-  UNION ALL SELECT doc_id, 'SUPERSEDED_STANDARD', 22, c FROM (SELECT doc_id, unnest(cited) AS c FROM cited) WHERE contains(c, '2062:2006') OR trim(split_part(c, ':', 1)) IN (SELECT item_no FROM old))"""
-
-_p = audit.RISK_PATTERNS
-RISKS = f"""flags AS (SELECT doc_id, regexp_matches(low, '{_p["producers"]}') AND regexp_matches(low, '{_p["only"]}') AS a, regexp_matches(low, '{_p["foreign"]}') AND NOT regexp_matches(low, '{_p["equivalent"]}') AS b, regexp_matches(low, '{_p["obsolete"]}') AS c,
-  {_has(audit.LICENSED_GOODS)} AND NOT regexp_matches(low, '{_p["licence"]}') AS d FROM (SELECT doc_id, lower(text) AS low FROM fx_tenders)),
+  regexp_extract_all(text, '(?i)\\b(?:ASTM\\s+[A-Z0-9-]+|DIN\\s+\\d+)', 0) AS foreigners, contains(low, 'recycled') AND {_has(['hdpe', 'water', 'drinking'])} AS recycled FROM base),
+findings AS (SELECT doc_id, 'ILLEGAL_QCO_EXEMPTION' AS issue_type, 35 AS penalty, grp AS snippet, NULL::VARCHAR AS remedy FROM ruled WHERE grp IS NOT NULL AND exempt
+  UNION ALL SELECT doc_id, 'MISSING_QCO_MANDATE', 25, grp, NULL FROM ruled WHERE grp IS NOT NULL AND NOT exempt AND NOT {_has(_MANDATED)}
+  UNION ALL SELECT doc_id, 'MISSING_TEST_STANDARDS', 10, missing, NULL FROM ruled WHERE missing <> '' AND len(list_filter(cited, lambda c: contains(c, 'IS 2062'))) > 0
+  UNION ALL SELECT doc_id, 'FOREIGN_STANDARD_DISCRIMINATION', 15, array_to_string(foreigners, ', '), NULL FROM ruled WHERE len(foreigners) > 0 AND len(list_filter(cited, lambda c: regexp_matches(c, '^IS[ /]'))) = 0
+  UNION ALL SELECT doc_id, 'VAGUE_SPECIFICATION', 15, 'recycled polymer', NULL FROM ruled WHERE recycled
+  UNION ALL SELECT doc_id, 'VAGUE_SPECIFICATION', 15, 'no virgin polyethylene', NULL FROM ruled WHERE recycled AND NOT contains(text, '7328')
+  UNION ALL SELECT doc_id, 'VAGUE_SPECIFICATION', 15, 'commercial quality', NULL FROM ruled WHERE {_has(['commercial quality', 'ordinary quality'])}
+  UNION ALL SELECT doc_id, 'SUPERSEDED_STANDARD', 22, c, coalesce(CASE WHEN contains(c, '2062:2006') THEN 'IS 2062:2011' WHEN contains(c, '432') AND (contains(lower(c), 'part 1') OR contains(c, '1982')) THEN 'IS 1786 / IS 2062' END, replacement, 'current edition')
+    FROM flat LEFT JOIN old ON item_no = trim(split_part(c, ':', 1)) WHERE contains(c, '2062:2006') OR (contains(c, '432') AND (contains(lower(c), 'part 1') OR contains(c, '1982'))) OR item_no IS NOT NULL)"""
+
+RISKS = f"""flags AS (SELECT doc_id, regexp_matches(low, '\\b(blast furnace|primary producers?|integrated steel plant|integrated producers?)\\b')
+    AND regexp_matches(low, '\\b(only primary|primary.*only|only.*blast furnace|blast furnace.*only|without technical justification|all bidders must be primary|only sail|tata/jsw)\\b') AS a,
+  regexp_matches(low, '\\b(astm\\s+[a-z]?\\s*\\d+|din\\s+\\d+|en\\s+\\d+|bs\\s+\\d+|iso\\s+\\d+)\\b') AND NOT regexp_matches(low, '\\b(or equivalent is|or equivalent indian standard|conforming to is)\\b') AS b, regexp_matches(low, '\\bis\\s+2062\\s*:\\s*(?:1999|2006)\\b') AS c,
+  {_has(["tmt", "rebar", "structural steel", "hdpe pipe", "distribution transformer", "safety helmet"])} AND NOT regexp_matches(low, '\\b(isi mark|bis certification mark|cm/l|license)\\b') AS d FROM (SELECT doc_id, lower(text) AS low FROM fx_tenders)),
 risks AS (SELECT doc_id, concat_ws(',', CASE WHEN a THEN 'COMPETITION_RESTRICTION' END, CASE WHEN b THEN 'PUBLIC_PROCUREMENT_MII_VIOLATION' END, CASE WHEN c THEN 'OBSOLETE_SPECIFICATION' END, CASE WHEN d THEN 'CRIMINAL_STATUTORY_NON_COMPLIANCE' END) AS risks, score,
   CASE WHEN score >= 90 THEN 'WATERTIGHT' WHEN score >= 70 THEN 'MODERATE' ELSE 'HIGH' END AS rating FROM (SELECT *, greatest(10, 100 - 25 * a::INT - 20 * b::INT - 20 * c::INT - 25 * d::INT) AS score FROM flags))"""
 
@@ -126,17 +134,24 @@ def slots_sql(source: str) -> str:
 _CAT = "cat AS (SELECT item_key AS doc_id, concat_ws(' ', item_no, title, department, array_to_string(keywords, ' ')) AS text, item_no, status, keywords FROM fx_catalog), asked AS (SELECT s_suppkey AS qid, concat_ws(' ', concat('IS ', s_suppkey * 3), title) AS text FROM supplier JOIN fx_catalog ON item_key = s_suppkey)"
 
 
-def _composite(policy: str) -> str:
+_ASKED_CAT = _CAT[_CAT.index("asked AS"):]
+ACTIVE_ONLY = "WHERE c.status NOT IN ('SUPERSEDED', 'WITHDRAWN')"
+
+
+def composite_sql(policy: str = ACTIVE_ONLY, views: str = "", asked: str = _ASKED_CAT, extra: str = "", k: int = 10) -> str:
+    """CTEs up to `composite`: the k best of each query; `extra` may define bonuses (qid, doc_id, bonus) and mandatory (doc_id)."""
+    bonus = "LEFT JOIN bonuses b USING (qid, doc_id) LEFT JOIN mandatory m USING (doc_id)" if extra else ""
+    flags = "coalesce(b.bonus, 0.0::DOUBLE) AS bonus, m.doc_id IS NOT NULL AS mandated" if extra else "0.0::DOUBLE AS bonus, false AS mandated"
     return (
-        with_views("fx_catalog") + ", " + _CAT + ", " + bm25_sql("SELECT doc_id, text FROM cat", "SELECT qid, text FROM asked", "") + ", " + TFIDF + FUSED
-        + rf""", cand AS (SELECT f.*, c.item_no, c.keywords, a.text, regexp_split_to_array(lower(a.text), '[^\p{{L}}\p{{N}}_]+') AS words FROM fused f JOIN cat c USING (doc_id) JOIN asked a USING (qid) {policy}),
+        (views or with_views("fx_catalog")) + ", " + _CAT[: _CAT.index(", asked AS")] + ", " + asked + ", " + (extra + ", " if extra else "") + bm25_sql("SELECT doc_id, text FROM cat", "SELECT qid, text FROM asked", "") + ", " + TFIDF + FUSED
+        + rf""", cand AS (SELECT f.*, c.item_no, c.keywords, a.text, regexp_split_to_array(lower(a.text), '[^\p{{L}}\p{{N}}_]+') AS words, {flags} FROM fused f JOIN cat c USING (doc_id) JOIN asked a USING (qid) {bonus} {policy}),
 flagged AS (SELECT *, lower(text) = lower(item_no) AS exact, list_contains(words, regexp_extract(item_no, '(\d+)', 1)) AS mention, len(list_filter(keywords, lambda w: length(w) >= 3 AND list_contains(words, lower(w)))) > 0 AS gradehit, coalesce(score_b, 0) AS cosine, coalesce(score_a, 0) AS sparse FROM cand),
-grounded AS (SELECT *, exact OR mention OR gradehit OR cosine >= 0.20 OR sparse >= 18 AS grounded FROM flagged),
-scored AS (SELECT qid, doc_id, grounded, round(least(0.99::DOUBLE, greatest(0.01::DOUBLE, least(0.40::DOUBLE, score * 12.0::DOUBLE * CASE WHEN grounded THEN 1.0::DOUBLE ELSE least(0.60::DOUBLE, greatest(0.10::DOUBLE, greatest(cosine / 0.30::DOUBLE, sparse / 25.0::DOUBLE))) END)
-  + CASE WHEN exact THEN 0.35::DOUBLE WHEN mention THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN gradehit THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END)), 4) AS score FROM grounded),
-composite AS (SELECT *, CASE WHEN score >= 0.65 THEN 'STRONG' WHEN score >= 0.40 THEN 'MODERATE' WHEN score >= 0.25 THEN 'LOW' ELSE 'INSUFFICIENT' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10) """
+grounded AS (SELECT *, exact OR mention OR gradehit OR bonus > 0 OR cosine >= 0.20 OR sparse >= 18 AS grounded FROM flagged),
+scored AS (SELECT qid, doc_id, grounded, mandated, round(least(0.99::DOUBLE, greatest(0.01::DOUBLE, least(0.40::DOUBLE, score * 12.0::DOUBLE * CASE WHEN grounded THEN 1.0::DOUBLE ELSE least(0.60::DOUBLE, greatest(0.10::DOUBLE, greatest(cosine / 0.30::DOUBLE, sparse / 25.0::DOUBLE))) END)
+  + CASE WHEN exact THEN 0.35::DOUBLE WHEN mention THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN gradehit THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END + least(0.20::DOUBLE, bonus * 0.30::DOUBLE) + CASE WHEN grounded AND mandated THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END)), 4) AS score FROM grounded),
+composite AS (SELECT *, CASE WHEN score >= 0.65 THEN 'STRONG' WHEN score >= 0.40 THEN 'MODERATE' WHEN score >= 0.25 THEN 'LOW' ELSE 'INSUFFICIENT' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {k}) """
     )
 
 
-COMPOSITE = _composite("WHERE c.status NOT IN ('SUPERSEDED', 'WITHDRAWN')")
-COMPOSITE_ALL = _composite("")
+COMPOSITE = composite_sql()
+COMPOSITE_HISTORY = composite_sql("", k=20)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, graph, markup, orders, ranking, retrieval, revisions, rules, slots
+from ..operators import audit, documents, graph, markup, orders, ranking, recommend, retrieval, revisions, rules, slots
 from . import oracle as O
 from .fixtures import table, view, with_views
 
@@ -51,8 +51,7 @@ def tfidf_topk(spark, d):
 
 @query(O.BM25 + O.TFIDF + O.FUSED + "SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 10")
 def rrf_fusion(spark, d):
-    q, c = _asked(spark, d), _corpus(spark, d)
-    return retrieval.fused(retrieval.bm25(q, c), retrieval.tfidf(q, c), k=10).select("qid", "doc_id", "score", "rank")
+    return retrieval.searched(_asked(spark, d), _corpus(spark, d), k=10).select("qid", "doc_id", "score", "rank")
 
 
 @query(O.TOKENS + "SELECT doc_id, len(words) AS tokens, len(list_distinct(words)) AS different, array_to_string(words[1:5], ' ') AS head FROM docs")
@@ -107,7 +106,8 @@ status AS (SELECT *, CASE WHEN order_no % 6 = 5 THEN 'RESCINDED' WHEN effective_
   FROM (SELECT *, CASE WHEN order_no % 6 = 4 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS effective_date FROM fx_orders) CROSS JOIN dates)"""
 _GOVERNING = _STATUS + """, placed AS (SELECT *, row_number() OVER (PARTITION BY item_id, evaluation_date ORDER BY CASE temporal_status WHEN 'MANDATORY_IN_FORCE' THEN 4 WHEN 'PENDING_FUTURE_DATE' THEN 3 WHEN 'UNVERIFIED_EFFECTIVE_DATE' THEN 2 ELSE 0 END DESC,
   effective_date DESC NULLS LAST, order_no) AS place, count(*) OVER (PARTITION BY item_id, evaluation_date) AS orders FROM status),
-names AS (SELECT item_id, evaluation_date, count(DISTINCT order_name) - 1 AS competing FROM status GROUP BY ALL)"""
+names AS (SELECT p.item_id, p.evaluation_date, count(DISTINCT s.order_name) - 1 AS competing, coalesce(string_agg(DISTINCT s.order_name, '; ' ORDER BY s.order_name) FILTER (s.order_name <> p.order_name), '') AS others
+  FROM (SELECT * FROM placed WHERE place = 1) p JOIN status s USING (item_id, evaluation_date) GROUP BY ALL)"""
 
 
 def _status(spark, d):
@@ -120,7 +120,7 @@ def order_status_asof(spark, d):
     return _status(spark, d).select("order_id", "evaluation_date", "effective_date", "temporal_status")
 
 
-@query(with_views("fx_orders") + "," + _GOVERNING + " SELECT item_id, evaluation_date, order_id, temporal_status, effective_date, orders, competing, temporal_status = 'MANDATORY_IN_FORCE' AS is_mandatory FROM placed JOIN names USING (item_id, evaluation_date) WHERE place = 1")
+@query(with_views("fx_orders") + "," + _GOVERNING + " SELECT item_id, evaluation_date, order_id, temporal_status, effective_date, orders, competing, others, temporal_status = 'MANDATORY_IN_FORCE' AS is_mandatory FROM placed JOIN names USING (item_id, evaluation_date) WHERE place = 1")
 def governing_order(spark, d):
     return orders.governing(_status(spark, d))
 
@@ -298,7 +298,7 @@ def score_entropy(spark, d):
 
 
 def _catalog(spark, d):
-    return view(spark, d, "fx_catalog").select(F.col("item_key").alias("doc_id"), F.concat_ws(" ", "item_no", "title", "department", F.array_join("keywords", " ")).alias("text"), "item_no", "status", "keywords")
+    return view(spark, d, "fx_catalog").select(F.col("item_key").alias("doc_id"), F.concat_ws(" ", "item_no", "title", "department", F.array_join("keywords", " ")).alias("text"), "item_no", "status", "keywords", "item_id", "department")
 
 
 def _wanted(spark, d):
@@ -312,12 +312,10 @@ def composite_rank(spark, d):
     return ranking.composite(ranking.candidates(q, c), q)
 
 
-@query(O.COMPOSITE_ALL + "SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM composite JOIN cat USING (doc_id) WHERE status IN ('SUPERSEDED', 'WITHDRAWN')")
+@query(O.COMPOSITE_HISTORY + """SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, concat('for reference only: ', lower(status)) AS warning
+    FROM composite JOIN cat USING (doc_id) WHERE status IN ('SUPERSEDED', 'WITHDRAWN')) WHERE rank <= 10""")
 def historical_search(spark, d):
-    q, c = _wanted(spark, d), _catalog(spark, d)
-    found = ranking.composite(ranking.candidates(q, c, keep_history=True), q, k=10)
-    old = found.select("qid", "doc_id", "score").join(c.where(F.col("status").isin("SUPERSEDED", "WITHDRAWN")).select("doc_id"), "doc_id")
-    return retrieval.top_k(old, 10).select("qid", "doc_id", "score", "rank")
+    return recommend.historical(_wanted(spark, d), _catalog(spark, d))
 
 
 @query(O.COMPOSITE + """SELECT q.qid, c.doc_id, CASE WHEN c.doc_id IS NULL THEN 'NO_ACTIVE_STANDARD_FOUND' WHEN grounded AND score >= 0.40 THEN 'RECOMMENDED' ELSE 'NEEDS_CLARIFICATION' END AS status
@@ -330,29 +328,48 @@ def recommend_batch(spark, d):
 # Audits
 
 
-def _old(spark, d):
-    return view(spark, d, "fx_catalog").where("status != 'ACTIVE'").select(F.col("item_no").alias("citation"))
+def _found(spark, d):
+    items, tenders = view(spark, d, "fx_catalog"), view(spark, d, "fx_tenders")
+    old = items.where("status != 'ACTIVE'").select(F.col("item_no").alias("citation"), "item_key")
+    ends = graph.chain_ends(items.where("item_key % 10 = 1").select(F.col("item_key").alias("node"), (F.col("item_key") + 1).alias("next"))).select(F.col("node").alias("item_key"), F.concat(F.lit("IS "), F.col("end").cast("string")).alias("replacement"))
+    laws = items.where("item_key % 6 = 5").select(F.col("item_no").alias("citation"), F.concat(F.lit("Order of "), "department").alias("order_name"))
+    return tenders, audit.findings(tenders, old.join(ends, "item_key", "left").select("citation", "replacement"), laws)
 
 
-@query(with_views("fx_catalog", "fx_lines", "fx_tenders") + "," + O.FINDINGS + " SELECT doc_id, issue_type, penalty, snippet FROM findings")
+@query(with_views("fx_catalog", "fx_lines", "fx_tenders") + "," + O.FINDINGS + " SELECT doc_id, issue_type, penalty, snippet, remedy FROM findings")
 def audit_findings(spark, d):
-    return audit.findings(view(spark, d, "fx_tenders"), _old(spark, d))
+    return _found(spark, d)[1]
+
+
+_SCORES = """, sums AS (SELECT doc_id, count(f.penalty) AS findings, CAST(greatest(0, least(100, 100 - coalesce(sum(f.penalty), 0))) AS INT) AS score, coalesce(string_agg(concat(issue_type, ': ', snippet, coalesce(' -> ' || remedy, '')), ' | ' ORDER BY issue_type, snippet, penalty, remedy) FILTER (issue_type IS NOT NULL), '') AS details
+    FROM fx_tenders LEFT JOIN findings f USING (doc_id) GROUP BY doc_id), banded AS (SELECT *, CASE WHEN score >= 85 THEN 'COMPLIANT' WHEN score >= 60 THEN 'MINOR_RISKS' ELSE 'NON_COMPLIANT' END AS band FROM sums) """
 
 
-@query(with_views("fx_catalog", "fx_lines", "fx_tenders") + "," + O.FINDINGS + """, sums AS (SELECT doc_id, count(f.penalty) AS findings, CAST(greatest(0, least(100, 100 - coalesce(sum(f.penalty), 0))) AS INT) AS score FROM fx_tenders LEFT JOIN findings f USING (doc_id) GROUP BY doc_id)
-    SELECT doc_id, findings, score, CASE WHEN score >= 85 THEN 'COMPLIANT' WHEN score >= 60 THEN 'MINOR_RISKS' ELSE 'NON_COMPLIANT' END AS band FROM sums""")
+@query(with_views("fx_catalog", "fx_lines", "fx_tenders") + "," + O.FINDINGS + _SCORES + "SELECT doc_id, findings, score, band FROM banded")
 def audit_score(spark, d):
-    tenders = view(spark, d, "fx_tenders")
-    return audit.scores(tenders, audit.findings(tenders, _old(spark, d)))
+    return audit.scores(*_found(spark, d))
+
+
+@query(with_views("fx_catalog", "fx_lines", "fx_tenders") + "," + O.FINDINGS + _SCORES + "SELECT doc_id, findings, score, band, details FROM banded")
+def audit_report(spark, d):
+    said = F.transform("details", lambda f: F.concat(f["issue_type"], F.lit(": "), f["snippet"], F.coalesce(F.concat(F.lit(" -> "), f["remedy"]), F.lit(""))))
+    return audit.report(*_found(spark, d)).withColumn("details", F.array_join(said, " | "))
 
 
-@query(with_views("fx_catalog", "fx_lines", "fx_tenders") + "," + O.FINDINGS + """ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY issue_type, snippet) AS INT) AS sl_no, snippet AS existing, CASE WHEN issue_type = 'SUPERSEDED_STANDARD' THEN concat('Replace ', snippet, ' by its current edition')
+_SCHEDULE = """, schedule AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY issue_type, snippet) AS INT) AS sl_no, snippet AS existing, CASE WHEN issue_type = 'SUPERSEDED_STANDARD' THEN concat('Replace ', snippet, ' by ', remedy)
     WHEN issue_type IN ('ILLEGAL_QCO_EXEMPTION', 'MISSING_QCO_MANDATE') THEN 'Require the standard mark under a valid licence' WHEN issue_type = 'MISSING_TEST_STANDARDS' THEN concat('Prescribe tests by ', snippet)
     WHEN issue_type = 'FOREIGN_STANDARD_DISCRIMINATION' THEN concat('Add an equivalent domestic standard to ', snippet) ELSE concat('Delete: ', snippet) END AS amended FROM findings
-    UNION ALL SELECT doc_id, 1, '', 'No amendment' FROM fx_tenders WHERE doc_id NOT IN (SELECT doc_id FROM findings)""")
+    UNION ALL SELECT doc_id, 1, '', 'No amendment' FROM fx_tenders WHERE doc_id NOT IN (SELECT doc_id FROM findings)) """
+
+
+@query(with_views("fx_catalog", "fx_lines", "fx_tenders") + "," + O.FINDINGS + _SCHEDULE + "SELECT doc_id, sl_no, existing, amended FROM schedule")
 def amendments(spark, d):
-    tenders = view(spark, d, "fx_tenders")
-    return audit.amendments(tenders, audit.findings(tenders, _old(spark, d)))
+    return audit.amendments(*_found(spark, d))
+
+
+@query(with_views("fx_catalog", "fx_lines", "fx_tenders") + "," + O.FINDINGS + _SCHEDULE + "SELECT doc_id, concat('CORRIGENDUM', chr(10), string_agg(concat(sl_no, '. ', existing, ' -> ', amended), chr(10) ORDER BY sl_no)) AS notice FROM schedule GROUP BY doc_id")
+def amendment_notices(spark, d):
+    return documents.amendment_notices(audit.amendments(*_found(spark, d)))
 
 
 @query(with_views("fx_lines", "fx_tenders") + "," + O.RISKS + " SELECT doc_id, risks, score, rating FROM risks")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,14 @@ from pyspark.sql import functions as F
 def written(df: DataFrame) -> DataFrame:
     """The same rows from a written table: lineage ends, and executors may be lost.
 
-    The folder is that of `spark.checkpoint.dir`; a local one only where that is unset.
+    The folder is that of `spark.checkpoint.dir`; where that is unset, a local one
+    if all of Spark runs on this machine, else an error.
     """
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", df.sparkSession.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
     path = f"{base.rstrip('/')}/sextant-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

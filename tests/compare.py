@@ -47,7 +47,8 @@ def differences(df, con, sql: str) -> str:
         return f"columns {sorted(df.columns)} and {sorted(names)}"
     if got == want:
         return ""
-    only, other = [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3]
+    ours, theirs = set(got), set(want)
+    only, other = [r for r in got if r not in theirs][:3], [r for r in want if r not in ours][:3]
     return f"{len(got)} and {len(want)} rows; only in Spark {only}; only in SQL {other}"
 
 

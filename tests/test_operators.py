@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sextant.functions import text as T
-from sextant.operators import audit, graph, markup, orders, ranking, retrieval, rules, slots
-from sextant.plans import registry
+from sextant.operators import audit, builders, documents, graph, markup, orders, ranking, recommend, retrieval, rules, slots
+from sextant.plans import every as registry
+from sextant.plans import fixtures
 from sextant.sources import readers
 from sextant.streaming import incremental
 
@@ -63,7 +64,8 @@ def test_slots(spark):
 def test_order_status(spark):
     rows = [(1, "Order rescinded", "2020-01-01"), (2, "Order", "superseded by another"), (3, "Order", "d 04"), (4, "Order", "2020-01-01"), (5, "Order", "1 Jan 2030")]
     df = spark.createDataFrame(rows, "i int, name string, raw string")
-    got = [r[0] for r in df.orderBy("i").select(orders.temporal_status(F.col("name"), F.col("raw"), F.lit(datetime.date(2024, 1, 1)))).collect()]
+    dates = spark.createDataFrame([(datetime.date(2024, 1, 1),)], "evaluation_date date")
+    got = [r.temporal_status for r in orders.status_asof(df.withColumnsRenamed({"name": "order_name", "raw": "effective_raw"}), dates).orderBy("i").collect()]
     assert got == ["RESCINDED", "SUPERSEDED_BY_SUBSEQUENT_ORDER", "UNVERIFIED_EFFECTIVE_DATE", "MANDATORY_IN_FORCE", "PENDING_FUTURE_DATE"]
 
 
@@ -73,8 +75,8 @@ def test_chain_with_cycle(spark):
 
 
 def test_two_hop_orders(spark):
-    seeds = {r.item_id for r in registry.view(spark, SF, "fx_catalog").where("status = 'WITHDRAWN'").collect()}
-    edges = {(r.source, r.target) for r in registry.view(spark, SF, "fx_edges").collect()}
+    seeds = {r.item_id for r in fixtures.view(spark, SF, "fx_catalog").where("status = 'WITHDRAWN'").collect()}
+    edges = {(r.source, r.target) for r in fixtures.view(spark, SF, "fx_edges").collect()}
     out, both = {}, {}
     for a, b in edges:
         out.setdefault(a, set()).add(b)
@@ -256,3 +258,52 @@ def con() -> duckdb.DuckDBPyConnection:
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
     assert differences(registry.QUERIES[name](spark, SF), con, registry.ORACLE_SQL[name]) == ""
+
+
+def test_documents(spark):
+    text = "IS 10:1999\n1 SCOPE\nThis covers bolts\nand nuts\n\n2 NORMATIVE REFERENCES\nIS 20 (Part II):2001 Test of bolts\nIS No. Title\n1608:2005 Tensile testing\n1989\n456 Concrete\n3 TERMINOLOGY\nIS 99 is outside"
+    docs = spark.createDataFrame([("IS 10", text), ("IS 11", None), ("IS 12", ""), ("IS 13", "see IS 14 only")], "item_no string, text string")
+    cited = dict(documents.references(docs, "item_no").collect())
+    assert cited == {"IS 10": ["IS 20 (Part 2):2001", "IS 1608:2005", "IS 456"], "IS 11": [], "IS 12": [], "IS 13": ["IS 14"]}
+    edges = {(r.source, r.target, r.relationship) for r in documents.line_edges(docs).collect()}
+    assert edges == {("IS 10", "IS 20 (Part II)", "TESTED_BY"), ("IS 10", "IS 1608", "TESTED_BY"), ("IS 10", "IS 456", "NORMATIVE_REF"), ("IS 13", "IS 14", "NORMATIVE_REF")}
+    about = {r.item_no: (r.own_number, r.own_year, r.scope) for r in documents.metadata(docs).collect()}
+    assert about["IS 10"] == ("IS 10:1999", 1999, "This covers bolts\nand nuts") and about["IS 11"][:2] == ("IS Unknown", None)
+    assert one(spark, documents.completed_number, ["13252*", "IS  14286 ", "", None]) == ["IS 13252", "IS 14286", None, None]
+    blob = spark.createDataFrame([(1, "Division Name: Steel Section Name: Bars (MTD 4) Designator of Legally Binding Document: IS 1786 Title of Legally Binding Document: x\nNumber of Amendments: 2\nSuperceded by: Decided by Council\nICS Code: 77.140"), (2, None)], "i int, description string")
+    got = {r.i: r for r in documents.labelled_fields(blob).collect()}
+    assert (got[1].division, got[1].committee, got[1].designator, got[1].amendments, got[1].superseded_by, got[1].ics_code) == ("Steel", "MTD 4", "IS 1786", 2, None, "77.140")
+    assert (got[2].division, got[2].section, got[2].designator, got[2].amendments, got[2].status) == ("General", "", None, 0, "ACTIVE")
+
+
+def test_builders_on_odd_rows(spark):
+    catalog = spark.createDataFrame([("IS_1", "IS 1:2000", 2000), ("IS_1b", "IS 1:2010", 2010), ("IS_2", "IS 2 (Part 1)", 1990)], "item_id string, item_no string, year int")
+    docs = spark.createDataFrame([("IS_2", "IS 2 (Part 1)", "by IS 1 and IS 1:2000, IS 77, IS 2:1999"), ("IS_9", "IS 9", None), ("IS_9", "IS 9", "IS 1 is a method")], "item_id string, item_no string, text string")
+    got = {(r.source, r.target, r.relationship) for r in builders.scope_edges(docs, catalog).collect()}
+    assert got == {("IS_2", "IS_1b", "NORMATIVE_REF"), ("IS_2", "IS_1", "NORMATIVE_REF"), ("IS_9", "IS_1b", "TESTED_BY")}
+    notes = spark.createDataFrame([("IS 5", "superseding IS 4:1990. It replaces: IS 5"), ("IS 6", None)], "item_no string, text string")
+    assert {(r.source, r.target) for r in builders.noted_supersession(notes).collect()} == {("IS_5", "IS_4_1990")}
+    none = catalog.limit(0)
+    assert builders.scope_edges(docs, none).count() == 0 and builders.scope_edges(docs.limit(0), catalog).count() == 0
+    records = spark.createDataFrame([("IS 1", "Lamp", "Order A", None, "S1", None), ("IS 2", "lamp", "", "M", "S1", ["IS 3", "IS 3"])], "item_no string, product string, order_name string, ministry string, scheme string, numbers array<string>")
+    made, ministries = builders.regulation_nodes(records, "Default")
+    assert [r.order_id for r in made.collect()] == ["Order_A"] and [r.name for r in ministries.collect()] == ["Default"]
+    assert {(r.source, r.target) for r in builders.mandate_edges(records).collect()} == {("IS_1", "Order_A")}
+    assert {(r.item_no, r.product) for r in builders.regulations(records, records.withColumn("product", F.upper("product")), records.limit(0)).collect()} == {("IS 1", "Lamp"), ("IS 2", "lamp")}
+
+
+def test_resolved_keeps_repeats(spark):
+    catalog = spark.createDataFrame([("IS_1", "IS 1")], "item_id string, item_no string")
+    rows = spark.createDataFrame([(1, "IS 1:2000"), (1, "IS 1:2000"), (2, None), (3, "nothing")], "cite_id int, raw string")
+    assert sorted(map(tuple, graph.resolved(rows, graph.aliases(catalog)).collect()), key=str) == sorted([(1, "IS 1:2000", "IS_1"), (1, "IS 1:2000", "IS_1"), (2, None, None), (3, "nothing", None)], key=str)
+
+
+def test_broad_and_metrics(spark):
+    queries = spark.createDataFrame([(1, "steel pipes"), (2, "a long text about pipes"), (3, ""), (4, None)], "qid int, text string")
+    domains = spark.createDataFrame([(1, "pipe", 2, "sewer"), (1, "pipe", 1, "water"), (2, "steel", 1, "bars")], "ord int, word string, option_ord int, option string")
+    assert [tuple(r) for r in recommend.broad(queries, domains).collect()] == [(1, "pipe", "water | sewer")]
+    case = "status string, doc_id long, replacement string, expected long, obsolete_first boolean, expect_supersession boolean, superseded boolean, expected_replacement string, expect_context boolean, expect_abstention boolean, temporal_status string, expected_temporal string"
+    rows = spark.createDataFrame([("RECOMMENDED", 1, None, 1, False, None, None, None, None, False, "A", "B"), ("NEEDS_CONTEXT", None, None, 2, None, True, True, "x", True, True, None, None)], case)
+    got = recommend.verdict_metrics(rows).first()
+    assert (got.cases, got.retrieval_accuracy, got.obsolete_as_primary, got.supersession_detection, got.replacement_accuracy, got.branching_safety, got.temporal_accuracy, got.abstention) == (2, 0.5, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0)
+    assert recommend.verdict_metrics(rows.limit(0)).first().retrieval_accuracy is None
