@@ -12,6 +12,50 @@ STOPWORDS = [
     "it", "specification", "requirements", "standard", "indian", "code", "practice",
 ]
 
+# Words that tell a ministry, in order of precedence, and the one without such a word.
+MINISTRIES = [
+    ("steel", "Ministry of Steel"),
+    ("iron", "Ministry of Steel"),
+    ("cement", "Department for Promotion of Industry and Internal Trade (DPIIT)"),
+    ("electronics", "Ministry of Electronics and Information Technology (MeitY)"),
+    ("information technology", "Ministry of Electronics and Information Technology (MeitY)"),
+    ("chemical", "Ministry of Chemicals and Petrochemicals"),
+    ("petrochemical", "Ministry of Chemicals and Petrochemicals"),
+    ("fertilizer", "Ministry of Chemicals and Petrochemicals"),
+    ("heavy industry", "Ministry of Heavy Industries"),
+    ("transformer", "Ministry of Heavy Industries"),
+    ("cable", "Ministry of Heavy Industries"),
+    ("motor", "Ministry of Heavy Industries"),
+    ("textile", "Ministry of Textiles"),
+    ("garment", "Ministry of Textiles"),
+    ("cloth", "Ministry of Textiles"),
+    ("solar", "Ministry of New and Renewable Energy (MNRE)"),
+    ("renewable", "Ministry of New and Renewable Energy (MNRE)"),
+    ("food", "Ministry of Consumer Affairs, Food and Public Distribution"),
+    ("water", "Ministry of Consumer Affairs, Food and Public Distribution"),
+    ("consumer", "Ministry of Consumer Affairs, Food and Public Distribution"),
+    ("hallmarking", "Ministry of Consumer Affairs, Food and Public Distribution"),
+    ("gold", "Ministry of Consumer Affairs, Food and Public Distribution"),
+    ("silver", "Ministry of Consumer Affairs, Food and Public Distribution"),
+    ("road", "Ministry of Road Transport and Highways (MoRTH)"),
+    ("helmet", "Ministry of Road Transport and Highways (MoRTH)"),
+    ("vehicle", "Ministry of Road Transport and Highways (MoRTH)"),
+    ("toy", "Department for Promotion of Industry and Internal Trade (DPIIT)"),
+    ("footwear", "Department for Promotion of Industry and Internal Trade (DPIIT)"),
+    ("leather", "Department for Promotion of Industry and Internal Trade (DPIIT)"),
+    ("plywood", "Department for Promotion of Industry and Internal Trade (DPIIT)"),
+    ("wood", "Department for Promotion of Industry and Internal Trade (DPIIT)"),
+    ("glass", "Department for Promotion of Industry and Internal Trade (DPIIT)"),
+    ("boiler", "Department for Promotion of Industry and Internal Trade (DPIIT)"),
+    ("cylinder", "Ministry of Petroleum and Natural Gas"),
+    ("gas", "Ministry of Petroleum and Natural Gas"),
+    ("petroleum", "Ministry of Petroleum and Natural Gas"),
+    ("environment", "Ministry of Environment, Forest and Climate Change"),
+    ("medical", "Ministry of Health and Family Welfare"),
+    ("drug", "Ministry of Health and Family Welfare"),
+]
+DEFAULT_MINISTRY = "Department for Promotion of Industry and Internal Trade (DPIIT)"
+
 # Roman part numerals.
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12}
 
@@ -175,6 +219,12 @@ def first_class(text: Column, classes: list[tuple[str, list[str]]], default: str
     return out
 
 
+def ministry(order: Column, product: Column, rules: list[tuple[str, str]] = MINISTRIES, default: str = DEFAULT_MINISTRY) -> Column:
+    """The ministry of the first word that an order's name or its product holds."""
+    said = F.lower(F.concat_ws(" ", order, product))
+    return first_class(said, [(name, [word]) for word, name in rules], default, whole=False)
+
+
 def clean_list(values: Column) -> Column:
     """White space collapsed, blanks dropped, the first of equal values kept, in order."""
     return F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))), lambda v: v.isNotNull() & (v != "")))

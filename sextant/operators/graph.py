@@ -68,10 +68,21 @@ def two_hop(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> Data
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
 
-def subgraph(edges: DataFrame, roots: DataFrame, with_orders: bool = True) -> DataFrame:
-    """Distinct out-edges of the roots."""
+def subgraph(edges: DataFrame, roots: DataFrame, with_orders: bool = True, most: int | None = None) -> DataFrame:
+    """Distinct out-edges of the roots; with `most`, so many of each root, by relationship and target."""
     kept = edges if with_orders else edges.where("relationship != 'MANDATED_BY'")
-    return kept.join(roots.select(F.col("id").alias("source")), "source", "left_semi").select("source", "target", "relationship").distinct()
+    found = kept.join(roots.select(F.col("id").alias("source")), "source", "left_semi").select("source", "target", "relationship").distinct()
+    if most is None:
+        return found
+    order = Window.partitionBy("source").orderBy("relationship", "target")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+
+
+def merged_nodes(loads: DataFrame, keep: str = "last") -> DataFrame:
+    """One row of each id of loads (id, load, title, department, status): of the last load or the first, then by title, with defaults for what is blank."""
+    order = [F.col("load").desc() if keep == "last" else F.col("load"), F.col("title")]
+    default = lambda c, value: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit(value)).alias(c)
+    return keep_first(loads.where("id != ''"), ["id"], order).select("id", "load", default("title", ""), default("department", "General"), default("status", "ACTIVE"))
 
 
 def chain_ends(links: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_html
+from ..functions.text import clean_html, clean_list
 
 
 def html_items(pages: DataFrame, tag: str = "li") -> DataFrame:
@@ -47,6 +47,21 @@ def gate(records: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return records.withColumn("failed", F.filter(F.array(*(F.when(~F.coalesce(c, F.lit(False)), name) for name, c in rules.items())), lambda x: x.isNotNull()))
 
 
+def validated(records: DataFrame, numbers: list[str], lists: list[str], shortest: dict[str, int], kinds: dict[str, list[str]]) -> DataFrame:
+    """records with numbers completed, lists cleaned, and `failed`, what doesn't hold (null where all does).
+
+    A number may not be blank, and gets its prefix where it has none; a year is
+    1900 to 2050 or null; texts in `shortest` have a least length, columns in
+    `kinds` one of some values, and lists at least one entry.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
+    done = lambda c: F.when(plain(c) == "", "").when(plain(c).rlike(r"(?i)^(?:IS|IS/ISO|IS/IEC)\b"), plain(c)).otherwise(F.concat(F.lit("IS "), plain(c)))
+    rows = records.withColumns({c: done(c) for c in numbers} | {c: clean_list(F.coalesce(F.col(c), F.array())) for c in lists})
+    rules = {c: F.col(c) != "" for c in numbers} | {"year": F.col("year").isNull() | F.col("year").between(1900, 2050)}
+    rules |= {c: F.length(F.col(c)) >= n for c, n in shortest.items()} | {c: F.col(c).isin(v) for c, v in kinds.items()} | {c: F.size(c) > 0 for c in lists}
+    return gate(rows, rules).withColumn("failed", F.when(F.size("failed") > 0, F.col("failed")))
+
+
 def ratio(passed: Column, applies: Column) -> Column:
     """Share of rows that pass among those a metric applies to; null where it applies to none."""
     return F.round(F.count_if(passed & applies) / F.nullif(F.count_if(applies), F.lit(0)), 6)

@@ -60,3 +60,10 @@ def rank_orders(status: DataFrame) -> DataFrame:
     rank = F.coalesce(*(F.when(F.col("temporal_status") == s, p) for s, p in PRIORITY.items()))
     order = Window.partitionBy("item_id", "evaluation_date").orderBy(rank.desc(), F.col("effective_date").desc_nulls_last(), "order_no")
     return status.withColumn("place", F.row_number().over(order))
+
+
+def directory(orders: DataFrame, issuer: str | None = None, text: str | None = None) -> DataFrame:
+    """Orders whose issuer holds a text, and whose name, number or date as written holds another, whatever the case; both may be missing."""
+    holds = lambda c, said: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(said.lower()))
+    rows = orders if issuer is None else orders.where(holds("issuer", issuer))
+    return rows if text is None else rows.where(holds("order_name", text) | holds("order_id", text) | holds("effective_raw", text))

@@ -20,9 +20,10 @@ def successors(revisions: DataFrame) -> DataFrame:
     return rows.select(F.col("newer").alias("source"), F.col("rev_id").alias("target"), F.lit("SUPERSEDES").alias("relationship"), F.lit(0.95).alias("confidence"), F.concat(F.col("newer_no"), F.lit(" chronologically supersedes "), F.col("rev_no")).alias("description"))
 
 
-def resolution(edges: DataFrame) -> DataFrame:
-    """For each superseded node: how many successors it has, whether that is a single one, and the smallest of them."""
-    return edges.groupBy(F.col("target").alias("node")).agg(F.count_distinct("source").alias("successors"), F.min("source").alias("first_successor")).withColumn(
+def resolution(edges: DataFrame, loaded: str | None = None) -> DataFrame:
+    """For each superseded node: how many successors it has, whether that is a single one, and the first of them: by the column `loaded`, or the smallest."""
+    first = F.min("source") if loaded is None else F.min_by("source", F.struct(loaded, "source"))
+    return edges.groupBy(F.col("target").alias("node")).agg(F.count_distinct("source").alias("successors"), first.alias("first_successor")).withColumn(
         "resolution", F.when(F.col("successors") == 1, "RESOLVED").otherwise("AMBIGUOUS_BRANCHING")
     )
 

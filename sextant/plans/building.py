@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import builders, documents, graph, markup, orders, ranking, recommend, revisions, rules, slots
+from ..sources import readers
 from ..sources.scratch import written
 from . import oracle as O
 from .fixtures import table, view, with_views
@@ -85,6 +86,31 @@ def order_clauses(spark, d):
     return own.select("item_id", "evaluation_date", text.alias("clause"))
 
 
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN concat('IS/IEC ', p_partkey) ELSE concat('IS ', p_partkey) END AS item_no, array_to_string(list_distinct(list_filter(CASE WHEN p_partkey % 5 = 0 THEN [] ELSE [concat('IS ', p_partkey)] END, lambda x: x <> '')), '|') AS refs,
+    nullif(concat_ws(',', CASE WHEN p_partkey % 11 = 0 THEN 'item_no' END, CASE WHEN p_partkey % 7 = 0 THEN 'year' END, CASE WHEN length(p_name) < 8 THEN 'title' END, CASE WHEN p_type NOT IN ('SMALL', 'MEDIUM', 'LARGE') THEN 'kind' END, CASE WHEN p_partkey % 5 = 0 THEN 'refs' END), '') AS failed FROM part""")
+def validated_records(spark, d):
+    key = F.col("p_partkey")
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.when(key % 11 == 0, " ").when(key % 3 == 0, F.concat(F.lit(" IS/IEC  "), key.cast("string"))).otherwise(key.cast("string")).alias("item_no"), F.when(key % 7 == 0, 1899).when(key % 7 == 1, None).otherwise(2050).alias("year"), F.col("p_name").alias("title"), F.col("p_type").alias("kind"),
+        F.when(key % 5 == 0, F.array(F.lit(" "))).otherwise(F.array(F.concat(F.lit("IS  "), key.cast("string")), F.concat(F.lit(" IS "), key.cast("string")))).alias("refs"),
+    )
+    out = markup.validated(rows, ["item_no"], ["refs"], {"title": 8}, {"kind": ["SMALL", "MEDIUM", "LARGE"]})
+    return out.select("p_partkey", "item_no", F.array_join("refs", "|").alias("refs"), F.array_join("failed", ",").alias("failed"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Ministry of Steel' WHEN 1 THEN 'Ministry of Heavy Industries' WHEN 2 THEN 'Ministry of Textiles' ELSE 'Department for Promotion of Industry and Internal Trade (DPIIT)' END AS ministry FROM part""")
+def order_ministry(spark, d):
+    turn = F.col("p_partkey") % 4
+    order = F.when(turn == 0, "Steel and cable Order").when(turn == 1, "CABLE Order").when(turn == 2, "Order on cloth").otherwise("Order on toys")
+    return table(spark, d, "part").select("p_partkey", T.ministry(order, F.lit(None).cast("string")).alias("ministry"))
+
+
+@query(with_views("fx_orders") + " SELECT order_id, order_name, order_no % 5 AS issuer_no FROM fx_orders WHERE order_no % 5 = 3 AND (contains(lower(order_name), '17') OR contains(lower(order_id), '17') OR contains(lower(effective_raw), '17'))")
+def order_search(spark, d):
+    rows = view(spark, d, "fx_orders").withColumn("issuer_no", F.col("order_no") % 5).withColumn("issuer", F.concat(F.lit("Ministry No "), F.col("issuer_no").cast("string")))
+    return orders.directory(rows, "ministry no 3", "17").select("order_id", "order_name", "issuer_no")
+
+
 # Tables in pages
 
 
@@ -207,6 +233,35 @@ def bill_of_items(spark, d):
     return builders.bill_of_items(view(spark, d, "fx_edges"), titled)
 
 
+@query(with_views("fx_catalog", "fx_edges") + """ SELECT source, target, relationship FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY relationship, target) AS place FROM (SELECT DISTINCT source, target, relationship FROM fx_edges WHERE relationship <> 'MANDATED_BY' AND source IN (SELECT item_id FROM fx_catalog WHERE status = 'WITHDRAWN'))) WHERE place <= 4""")
+def capped_subgraph(spark, d):
+    roots = view(spark, d, "fx_catalog").where("status = 'WITHDRAWN'").select(F.col("item_id").alias("id"))
+    return graph.subgraph(view(spark, d, "fx_edges"), roots, with_orders=False, most=4)
+
+
+_LOADS = """loads AS (SELECT item_id AS id, 0 AS load, title, '' AS department, status FROM fx_catalog UNION ALL SELECT item_id, 1, concat('new ', title), department, '' FROM fx_catalog WHERE item_key % 3 = 0 UNION ALL SELECT '', 2, title, department, status FROM fx_catalog)"""
+
+
+@query(with_views("fx_catalog") + "," + _LOADS + """, one AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY load DESC, title) AS l, row_number() OVER (PARTITION BY id ORDER BY load, title) AS f FROM loads WHERE id <> '')
+    SELECT 'last' AS kept, id, CAST(load AS INT) AS load, title, coalesce(nullif(department, ''), 'General') AS department, coalesce(nullif(status, ''), 'ACTIVE') AS status FROM one WHERE l = 1 UNION ALL SELECT 'first', id, CAST(load AS INT), title, coalesce(nullif(department, ''), 'General'), coalesce(nullif(status, ''), 'ACTIVE') FROM one WHERE f = 1""")
+def merged_nodes(spark, d):
+    items = view(spark, d, "fx_catalog")
+    one = lambda rows, key, load, title, department, status: rows.select(key.alias("id"), F.lit(load).alias("load"), title.alias("title"), department.alias("department"), status.alias("status"))
+    blank = F.lit("")
+    loads = one(items, F.col("item_id"), 0, F.col("title"), blank, F.col("status")).unionByName(one(items.where("item_key % 3 = 0"), F.col("item_id"), 1, F.concat(F.lit("new "), "title"), F.col("department"), blank)).unionByName(one(items, blank, 2, F.col("title"), F.col("department"), F.col("status")))
+    return graph.merged_nodes(loads).withColumn("kept", F.lit("last")).unionByName(graph.merged_nodes(loads, "first").withColumn("kept", F.lit("first")))
+
+
+@query(with_views("fx_edges") + """ SELECT target AS node, count(DISTINCT source) AS successors, min_by(source, (description, source)) AS first_successor, CASE WHEN count(DISTINCT source) = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS_BRANCHING' END AS resolution FROM fx_edges WHERE relationship = 'TESTED_BY' GROUP BY target""")
+def first_loaded_successor(spark, d):
+    return revisions.resolution(view(spark, d, "fx_edges").where("relationship = 'TESTED_BY'"), loaded="description")
+
+
+@query(with_views("fx_catalog", "fx_edges") + " SELECT (SELECT count(*) FROM fx_catalog) AS nodes, (SELECT count(*) FROM fx_catalog WHERE status = 'ACTIVE') AS active, (SELECT count(*) FROM fx_edges) AS edges, (SELECT count(DISTINCT relationship) FROM fx_edges) AS relationships")
+def graph_topology(spark, d):
+    return readers.topology(view(spark, d, "fx_catalog"), view(spark, d, "fx_edges"))
+
+
 @query(with_views("fx_catalog") + """ SELECT cluster, count(*) AS items, any_value(clusters) AS clusters FROM (SELECT CASE WHEN item_key % 9 = 0 THEN 'General' ELSE department END AS cluster FROM fx_catalog),
     (SELECT count(DISTINCT CASE WHEN item_key % 9 = 0 THEN 'General' ELSE department END) AS clusters FROM fx_catalog) GROUP BY cluster ORDER BY items DESC, cluster LIMIT 8""")
 def department_clusters(spark, d):

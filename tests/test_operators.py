@@ -307,3 +307,17 @@ def test_broad_and_metrics(spark):
     got = recommend.verdict_metrics(rows).first()
     assert (got.cases, got.retrieval_accuracy, got.obsolete_as_primary, got.supersession_detection, got.replacement_accuracy, got.branching_safety, got.temporal_accuracy, got.abstention) == (2, 0.5, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0)
     assert recommend.verdict_metrics(rows.limit(0)).first().retrieval_accuracy is None
+
+
+def test_readers_and_sinks(spark, tmp_path):
+    schema = StructType().add("id", "string").add("names", "array<string>")
+    (tmp_path / "a.json").write_text('[{"id": "x", "names": ["p", "q"]}, {"id": "y"}]')
+    assert {(r.id, tuple(r.names or ())) for r in readers.read_json(spark, str(tmp_path / "a.json"), schema).collect()} == {("x", ("p", "q")), ("y", ())}
+    rows = spark.createDataFrame([("x", ["p"]), ("y", None)], schema)
+    readers.write_json_lines(rows, str(tmp_path / "lines"))
+    assert readers.read_json_lines(spark, str(tmp_path / "lines"), schema).count() == 2
+    edges = spark.createDataFrame([("a", "b", "R"), ("b", "c", "S")], "source string, target string, relationship string")
+    readers.write_graph(edges, str(tmp_path / "graph"))
+    assert spark.read.parquet(str(tmp_path / "graph")).where("relationship = 'S'").select("source").first()[0] == "b"
+    last = readers.latest(spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, 1, None)], "k int, t int, v string"), ["k"], F.col("t"))
+    assert {(r.k, r.v) for r in last.collect()} == {(1, "new"), (2, None)}
