@@ -19,7 +19,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Units that a worker remembers; beyond it, those that it hasn't met for as long are forgotten.
-MEMORY_UNITS = 250_000
+MEMORY_UNITS = 150_000
 #: Characters of a unit that is remembered; longer ones are encoded each time they come.
 MEMORY_LENGTH = 256
 

@@ -100,8 +100,8 @@ def _send(shingle: int, at_least: int, bits: int):
         context = TaskContext.get()
         batch_id = (context.partitionId() if context else 0) << 32
         for whole in batches:
-            for begin in range(0, whole.num_rows, 8192):
-                batch = whole.slice(begin, 8192)
+            for begin in range(0, whole.num_rows, 4096):
+                batch = whole.slice(begin, 4096)
                 batch_id += 1
                 sizes, one, two, first, owner = [], [], [], [], []
                 for part in slices(batch.column("text")):

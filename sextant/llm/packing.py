@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .tables import written
 from .token_store import _ids
+from .units import give_back
 
 #: Documents of a partition, roughly.
 PARTITION_DOCUMENTS = 50_000
@@ -155,6 +156,7 @@ def _cut(tokenizer_path: str, end_id: int, capacity: int, keep_ids: bool):
                 [pa.array(item, pa.int64()), batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(first, pa.int32()), pa.array(crcs, pa.list_(pa.int64())), pa.array(ids, pa.binary())],
                 names=["item", "doc_id", "n_tokens", "size", "crcs", "ids"],
             )
+            give_back()
 
     return emit
 

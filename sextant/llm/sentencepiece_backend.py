@@ -143,7 +143,7 @@ class Codec:
         normal = [self.model.normalised(t) for t in texts]
         alike = [n == self.check.normalize(t) for n, t in zip(normal, texts)]
         split = [self.units(n) for n in normal]
-        if len(self.known) > 2 * MEMORY_UNITS:
+        if len(self.known) > 3 * MEMORY_UNITS:
             self.known.clear()
             self.odd.clear()
         if new := {u for units in split for u in units if u not in self.known}:

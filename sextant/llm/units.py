@@ -11,6 +11,7 @@ the contents themselves.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -32,6 +33,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -188,7 +190,14 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         j = min(j, n)
         yield Texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i)
         i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that was freed goes back to the system, as workers live from task to task and share their machine's memory with the JVM."""
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
