@@ -344,7 +344,7 @@ def _labelled(docs: DataFrame, shingle: int, at_least: int, id_col: str, text_co
 def keep_one(docs: DataFrame, shingle: int = 5, at_least: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with one row of each component of `near_duplicates`: the smallest id, of rows that share it or have none the smallest text hash.
 
-    Rows are told apart by id and text hash; one that shares both with a row that stays, stays too.
+    Texts without words have no component and stay; of rows that repeat id and text one stays.
     """
     found = _labelled(docs, shingle, at_least, id_col, text_col)
     gone = found.groupBy("rd", "rt").agg(F.max("stays").alias("stays")).where("not stays")
