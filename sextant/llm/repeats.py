@@ -235,22 +235,20 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[first], end[np.append(first[1:], len(start)) - 1]
 
 
-SOLVED = "many boolean, h long, ctx long, rd long, rt long, s long, e long"
+SOLVED = "h long, ctx long, s long, e long"
 #: Contexts of whole grams, as columns and their bytes -> context number, and first and last unit of what recurs in it.
 Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _solved(solve: Solve):
-    """Contexts, all those of a gram one behind the other -> spans of what recurs; in the text of the context's one anchor, or by the anchor where it has many."""
+    """Contexts, all those of a gram one behind the other -> spans of what recurs in each, counted from its anchor."""
 
     def answer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
-        h, ctx, n, rd, rt, place = (rows.column(k).combine_chunks().to_numpy() for k in _NAMES[:-1])
-        pos, left, _ = unpack_place(place)
+        h, ctx, n, place = (rows.column(k).combine_chunks().to_numpy() for k in ("h", "ctx", "n", "place"))
+        _, left, _ = unpack_place(place)
         who, s, e = solve(h, n, left, rows.column("around").combine_chunks())
-        many = n[who] > 1
-        base = np.where(many, 0, pos[who]) - left[who]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (many, h[who], ctx[who], rd[who], rt[who], base + s, base + e)], names=[c.split()[0] for c in SOLVED.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h[who], ctx[who], s - left[who], e - left[who])], names=["h", "ctx", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -277,17 +275,17 @@ def _solved(solve: Solve):
 
 def _by_window(rows: DataFrame, window: int, content: Callable[[Column], Column]) -> DataFrame:
     """The spans of contexts of grams too common for one task: a row for each window, counted map-side before it is shuffled."""
-    pos, left, right = place_columns()
-    windows = rows.select(
-        "h", "n", "rd", "rt", "around", (pos - left).alias("begin"), left.alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), left + right - window)).alias("i")
-    ).select("h", "n", "rd", "rt", (F.col("left") - F.col("i")).alias("k"), (F.col("begin") + F.col("i")).alias("s"), content(F.col("i")).alias("w"))
-    again = windows.groupBy("h", "k", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    some = windows.where("n = 1").join(again, ["h", "k", "w"]).select(F.lit(False).alias("many"), "h", F.lit(0).cast("long").alias("ctx"), "rd", "rt", "s", (F.col("s") + window).alias("e"))
-    return rows.where("n > 1").select(F.lit(True).alias("many"), "h", "ctx", "rd", "rt", (-left).alias("s"), right.alias("e")).unionByName(some)
+    _, left, right = place_columns()
+    windows = rows.select("h", "ctx", "n", "around", left.alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), left + right - window)).alias("i")).select(
+        "h", "ctx", "n", (F.col("i") - F.col("left")).alias("s"), content(F.col("i")).alias("w")
+    )
+    again = windows.groupBy("h", "s", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    some = windows.where("n = 1").join(again, ["h", "s", "w"]).select("h", "ctx", "s", (F.col("s") + window).alias("e"))
+    return rows.where("n > 1").select("h", "ctx", (-left).alias("s"), right.alias("e")).unionByName(some)
 
 
 def repeated_spans(texts: DataFrame, units: Units, around: Around, solve: Solve, content: Callable[[Column], Column], window: int, gram: int, group_limit: int) -> DataFrame:
-    """rd, rt, spans (s, e): units covered by windows that recur, for each text that has any; texts as from `keyed_texts`.
+    """rd, rt, spans (s, e): units covered by windows that recur, maybe none, for texts that may have any; texts as from `keyed_texts`.
 
     A gram with more than group_limit different contexts isn't gathered in one
     task: its windows become rows.
@@ -302,11 +300,10 @@ def repeated_spans(texts: DataFrame, units: Units, around: Around, solve: Solve,
     solved = plain.repartition("h").sortWithinPartitions("h").mapInArrow(_solved(solve), SOLVED)
     if split:
         solved = solved.unionByName(_by_window(rows.join(small_side(hot), "h", "left_semi"), window, content))
-    solved = written(solved)
+    solved = written(solved.distinct())
     pos, _, _ = place_columns()
-    shared = found.members.join(solved.where("many").select("h", "ctx", "s", "e"), ["h", "ctx"]).select("rd", "rt", (pos + F.col("s")).alias("s"), (pos + F.col("e")).alias("e"))
-    spans = solved.where("not many").select("rd", "rt", "s", "e").unionByName(shared)
-    return spans.groupBy("rd", "rt").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    span = F.when(F.col("s").isNotNull(), F.struct((pos + F.col("s")).alias("s"), (pos + F.col("e")).alias("e")))
+    return found.members.join(solved, ["h", "ctx"], "left").groupBy("rd", "rt").agg(F.collect_set(span).alias("spans"))
 
 
 def list_column(column: pa.Array, fields: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
