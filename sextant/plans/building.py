@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import builders, documents, graph, markup, orders, ranking, recommend, revisions, rules, slots
+from ..operators import builders, documents, graph, markup, orders, ranking, recommend, retrieval, revisions, rules, slots
 from ..sources import readers
 from ..sources.scratch import written
 from . import oracle as O
@@ -333,6 +333,12 @@ def _with_extra(spark, d):
     return ranking.composite(ranking.candidates(q, c), q, bonus, _in_force(spark, d))
 
 
+@query(O.BM25 + "SELECT qid, doc_id, array_to_string(list_filter(a.words, lambda x, i: list_contains(d.words, x) AND list_position(a.words, x) = i), ' ') AS matched FROM bm25 JOIN asked_words a USING (qid) JOIN docs d USING (doc_id)")
+def matched_terms(spark, d):
+    q, c = view(spark, d, "fx_queries"), table(spark, d, "documents").select("doc_id", "text")
+    return ranking.matched_terms(q, c, retrieval.bm25(q, c).select("qid", "doc_id"))
+
+
 @query(_WITH_EXTRA + "SELECT qid, doc_id, score, grounded, rank, label FROM composite")
 def composite_with_rules(spark, d):
     return _with_extra(spark, d)
