@@ -310,7 +310,7 @@ def test_broad_and_metrics(spark):
 
 
 def test_readers_and_sinks(spark, tmp_path):
-    schema = StructType().add("id", "string").add("names", "array<string>")
+    schema = StructType.fromDDL("id string, names array<string>")
     (tmp_path / "a.json").write_text('[{"id": "x", "names": ["p", "q"]}, {"id": "y"}]')
     assert {(r.id, tuple(r.names or ())) for r in readers.read_json(spark, str(tmp_path / "a.json"), schema).collect()} == {("x", ("p", "q")), ("y", ())}
     rows = spark.createDataFrame([("x", ["p"]), ("y", None)], schema)
