@@ -120,6 +120,31 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import labels, scan
+
+    return labels(scan(table(spark, sf_dir, "documents"), base={"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}))
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .fill_in_middle import restore, transform
+
+    out = transform(table(spark, sf_dir, "documents"), seed=42, rate=50, spm_rate=80)
+    digest = lambda c: F.sha2(c, 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import document_leaves, verified
+
+    return verified(document_leaves(table(spark, sf_dir, "documents"))).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 # SQL for the same rows, where SQL can say it.
 
 ORACLE_SQL["op3_exact_topk"] = """WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
@@ -158,3 +183,31 @@ e AS (SELECT *, length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS n, lag
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY k)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
     CAST(sum(n + CASE WHEN before IS NULL THEN 12 + length(role) + 1 WHEN before <> role THEN 11 + 12 + length(role) + 1 ELSE 10 END) + 11 AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+ORACLE_SQL["op12_fill_in_middle"] = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS b, CAST('0x' || h[17:24] AS BIGINT) % 100 AS c, CAST('0x' || h[25:32] AS BIGINT) % 100 AS e FROM t),
+p AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 50 THEN 'plain' WHEN e < 80 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(list_slice(units, 1, least(a, b)), '') AS pre, array_to_string(list_slice(units, least(a, b) + 1, greatest(a, b)), '') AS mid, array_to_string(list_slice(units, greatest(a, b) + 1, n), '') AS suf FROM d)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', pre, '<S>', suf, '<M>', mid) ELSE concat('<S>', suf, '<P>', pre, '<M>', mid) END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+#: The CRC-32 of a decimal id, bit by bit: each character is taken in, then eight shifts.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END))"""
+_TREE = "SELECT {0}h + 1, j // 2, sha256(string_agg(d, '' ORDER BY j)), (any_value(n) + 1) // 2 FROM {1} WHERE n > 1 GROUP BY {0}h, j // 2"
+
+ORACLE_SQL["op13_merkle_manifest"] = f"""WITH RECURSIVE f AS (SELECT doc_id, lang, text, n_chars, concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-')) AS before,
+    coalesce(strlen(text) || ':' || text, '-') AS behind, coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS own, coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS more FROM documents),
+l AS (SELECT doc_id, lang, sha256(before || own || behind) AS leaf, sha256(before || more || behind) AS other FROM f),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM l),
+nodes(lang, h, j, d, n) AS (SELECT lang, 0, i, leaf, n FROM leaves UNION ALL {_TREE.format("lang, ", "nodes")}),
+roots AS (SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS n FROM nodes WHERE n = 1),
+top(h, j, d, n) AS (SELECT 0, g, d, n FROM roots UNION ALL {_TREE.format("", "top")}),
+places AS (SELECT a.*, r.g, r.d AS subroot FROM leaves a JOIN roots r ON a.lang IS NOT DISTINCT FROM r.lang),
+steps AS (SELECT p.g, p.i, k.h, CASE WHEN s.d IS NULL THEN '-' WHEN (p.i >> k.h) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(s.d, '') AS step FROM places p JOIN nodes k ON k.lang IS NOT DISTINCT FROM p.lang AND k.j = 0 AND k.n > 1
+        LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM p.lang AND s.h = k.h AND s.j = xor(p.i >> k.h, 1)
+    UNION ALL SELECT p.g, p.i, 1000 + k.h, CASE WHEN s.d IS NULL THEN '-' WHEN (p.g >> k.h) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(s.d, '') FROM places p JOIN top k ON k.j = 0 AND k.n > 1 LEFT JOIN top s ON s.h = k.h AND s.j = xor(p.g >> k.h, 1)),
+proof AS (SELECT g, i, string_agg(step[2:], '' ORDER BY h) AS joined, list(step ORDER BY h) AS steps FROM steps GROUP BY g, i),
+given AS (SELECT p.doc_id, p.leaf, p.subroot, (SELECT d FROM top WHERE n = 1) AS root, coalesce(q.joined, '') AS joined, coalesce(q.steps, []) AS steps, CASE WHEN {_CRC} % 7 = 0 THEN p.other ELSE p.leaf END AS start FROM places p LEFT JOIN proof q ON p.g = q.g AND p.i = q.i),
+folded AS (SELECT *, list_reduce(list_prepend(start, steps), lambda node, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || node WHEN 'R' THEN node || s[2:] ELSE node END)) AS folded_root FROM given)
+SELECT doc_id, leaf, subroot, root, sha256(joined) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded"""
