@@ -69,11 +69,12 @@ LOCALES = [
 
 def tokens(text: Column) -> Column:
     """Search tokens: designators joined to one token, other words of two letters or digits at least, no stopwords; repeats stay."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    t = low = F.lower(F.coalesce(text, F.lit("")))
     for pattern, put in ((r"\bis\s+(\d+)\b", "is_$1"), (r"\bis/iso\s+(\d+)\b", "is_iso_$1"), (r"\bis/iec\s+(\d+)\b", "is_iec_$1"), (r"\bfe\s+(\d+[a-z]?)\b", "fe_$1")):
         t = F.regexp_replace(t, pattern, put)
-    words = F.split(t, r"[^\p{L}\p{N}_]+")
-    return F.filter(words, lambda w: w.rlike("^[a-z0-9_]{2,}$") & ~w.isin(STOPWORDS))
+    t = F.when(low.rlike(r"\b(?:is(?:/iso|/iec)?|fe)\s+\d"), t).otherwise(low)
+    words = F.regexp_extract_all(t, F.lit(r"(?<![\p{L}\p{N}_])[a-z0-9_]{2,}+(?![\p{L}\p{N}_])"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(STOPWORDS))
 
 
 def bigrams(words: Column) -> Column:

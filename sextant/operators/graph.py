@@ -213,7 +213,8 @@ def resolved(citations: DataFrame, alias: DataFrame, raw: str = "raw") -> DataFr
     plain = F.regexp_replace(text, r"\s*:\s*\d{4}\s*$", "")
     tries = F.array(canonical_key(text), canonical_key(F.concat(F.lit("IS"), text)), canonical_key(plain), canonical_key(F.concat(F.lit("IS"), plain)))
     given = F.struct(*citations.columns).alias("given")
-    rows = citations.select(given, F.monotonically_increasing_id().alias("row"), tries.alias("tries")).select("given", "row", F.posexplode("tries").alias("stage", "key"))
+    numbered = written(citations.select(given, F.monotonically_increasing_id().alias("row"), tries.alias("tries")))  # written, so that a row keeps its number
+    rows = numbered.select("given", "row", F.posexplode("tries").alias("stage", "key"))
     found = rows.join(alias, "key", "left").groupBy("row").agg(F.any_value("given").alias("given"), F.min_by("item_id", F.when(F.col("item_id").isNotNull(), F.col("stage"))).alias("item_id"))
     return found.select("given.*", "item_id")
 

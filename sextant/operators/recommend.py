@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import band, bounded_score
 from ..sources.scratch import small_side, written
-from . import ranking
+from . import constraints, ranking, slots
 from .graph import resolved
-from .retrieval import small, top_k
+from .ranking import CITED, OBSOLETE
+from .retrieval import Index, index, small, top_k
 from .rules import MOST_RULES
 
-# Notation of a citation in a query, and limits of a broad term.
-CITED = r"(?i)\b((?:IS(?:/ISO)?(?:/IEC)?\s*)\d+(?:\s*(?:Part|\(Part\)|-|/)\s*\d+)?(?:\s*(?:Sec|Section)\s*\d+)?(?:\s*:\s*\d{4})?)\b"
+# Limits of a broad term, and what a replacement and a nudge score.
 BROAD_TOKENS, PROMOTED, NUDGE, NUDGE_BELOW = 3, 0.99, 0.05, 0.25
-OBSOLETE = ("SUPERSEDED", "WITHDRAWN")
 
 
 def cited_items(queries: DataFrame, alias: DataFrame) -> DataFrame:
@@ -70,9 +69,7 @@ def rewritten(queries: DataFrame, told: DataFrame, vocabulary: DataFrame, patter
 
     A query without any text keeps its own.
     """
-    from .slots import expanded
-
-    words, phrases = expanded(queries, vocabulary).withColumnRenamed("expansion", "words"), idioms(queries, patterns).withColumnRenamed("expansion", "phrases")
+    words, phrases = slots.expanded(queries, vocabulary).withColumnRenamed("expansion", "words"), idioms(queries, patterns).withColumnRenamed("expansion", "phrases")
     first = told.where(F.col("code").isin("RESOLVED", "CONTEXTUAL_BRANCH_SELECTED")).select("qid", F.col("replacement").alias("item_id")).join(numbers.select("item_id", "item_no"), "item_id").select("qid", F.col("item_no").alias("number"))
     rows = queries.select("qid", "text").join(words, "qid").join(phrases, "qid").join(first, "qid", "left")
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
@@ -87,28 +84,6 @@ def broad(queries: DataFrame, domains: DataFrame) -> DataFrame:
     return hits.join(small(options), "domain").select("qid", "domain", "options")
 
 
-def bonuses(slotted: DataFrame, items: DataFrame, rules: DataFrame) -> DataFrame:
-    """qid, doc_id, bonus, rules, clauses under rules that look at slots, at an item's id and at its text.
-
-    rules: rule_id, slot, value, item (part of an item's id, or null), word (part
-    of its text, or null; either does where both are there), unless (part of an
-    id to which the rule doesn't apply, or null), weight, clause.  A slot that
-    is true or false has the value `true`; the value `*` takes any.
-    """
-    flags = {c: F.when(F.col(c), "true") for c in ("requires_crs", "requires_ductility")}
-    names = ["exposure", "seismic", "corrosion", "infrastructure", "grade"]
-    slots = F.filter(F.array(*(F.struct(F.lit(n).alias("slot"), F.col(n).alias("value")) for n in names), *(F.struct(F.lit(n).alias("slot"), c.alias("value")) for n, c in flags.items())), lambda s: s["value"].isNotNull())
-    long = slotted.select("qid", F.inline(slots))
-    few = small_side(rules, MOST_RULES)
-    asked = long.alias("l").join(few.alias("r"), (F.col("l.slot") == F.col("r.slot")) & ((F.col("r.value") == "*") | (F.col("l.value") == F.col("r.value")))).select("qid", "rule_id").distinct()
-    up, low = F.upper("item_id"), F.lower("text")
-    meets = (F.coalesce(F.contains(up, F.col("item")), F.lit(False)) | F.coalesce(F.contains(low, F.col("word")), F.lit(False))) & ~F.coalesce(F.contains(up, F.col("unless")), F.lit(False))
-    met = items.select("doc_id", "item_id", "text").join(few, meets).select("doc_id", "rule_id", "weight", "clause")
-    rows = asked.join(met, "rule_id")
-    told = lambda c: F.array_join(F.sort_array(F.collect_set(c)), "; ")
-    return rows.groupBy("qid", "doc_id").agg(F.round(F.sum("weight"), 6).alias("bonus"), told("rule_id").alias("rules"), told("clause").alias("clauses"))
-
-
 def contrasted(ranked: DataFrame, queries: DataFrame, grades: DataFrame, negatives: DataFrame, slot_rules: DataFrame, slotted: DataFrame | None = None) -> DataFrame:
     """ranked (qid, doc_id, item_id, score, mandatory) with scores moved by rules, ranked anew, with label and sure.
 
@@ -143,9 +118,10 @@ def contrasted(ranked: DataFrame, queries: DataFrame, grades: DataFrame, negativ
     return scored.withColumn("rank", F.row_number().over(order)).withColumn("label", band(F.col("score"))).withColumn("sure", F.col("score") >= ranking.CONFIDENT)
 
 
-def historical(queries: DataFrame, catalog: DataFrame, k: int = 10) -> DataFrame:
-    """qid, doc_id, score, rank, warning: the obsolete ones among each query's 2k best, k at most."""
-    best = ranking.composite(ranking.candidates(queries, catalog, keep_history=True), queries, k=2 * k)
+def historical(queries: DataFrame, catalog: DataFrame, k: int = 10, found: DataFrame | None = None) -> DataFrame:
+    """qid, doc_id, score, rank, warning: the obsolete ones among each query's 2k best, k at most; `found`: candidates with history, where they are there."""
+    found = ranking.candidates(queries, catalog, keep_history=True) if found is None else found
+    best = ranking.composite(found, queries, ranking.named(queries, catalog), k=2 * k)
     old = best.select("qid", "doc_id", "score").join(catalog.where(F.col("status").isin(*OBSOLETE)).select("doc_id", "status"), "doc_id")
     return top_k(old, k).select("qid", "doc_id", "score", "rank", F.concat(F.lit("for reference only: "), F.lower("status")).alias("warning"))
 
@@ -158,24 +134,39 @@ def filtered(found: DataFrame, catalog: DataFrame, department: Column | None = N
     return found.join(catalog.where(keep).select("doc_id"), "doc_id", "left_semi")
 
 
-def recommended(queries: DataFrame, catalog: DataFrame, told: DataFrame, rewriting: DataFrame, bonus: DataFrame | None = None, in_force: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """qid, status, doc_id, score, candidates of every query.
+def recommended(queries: DataFrame, catalog: DataFrame, told: DataFrame, rewriting: DataFrame, governed: DataFrame | None = None, rules: list[constraints.Rule] | None = None, found: Index | None = None, k: int = 10) -> DataFrame:
+    """qid, status, doc_id, score, candidates, order_id, temporal_status, mandatory of every query.
+
+    queries: qid, text and, where orders matter, evaluation_date.  catalog: doc_id,
+    item_id, text, item_no, status, keywords, scope_text.  told: as from
+    `supersession`; rewriting: as from `rewritten`.  governed: the order that
+    governs an item at a date (item_id, evaluation_date, order_id,
+    temporal_status, is_mandatory).  rules: weigh candidates by slots.
 
-    catalog: doc_id, item_id, text, item_no, status, keywords.  told: as from
-    `supersession`; rewriting: as from `rewritten`.  Rewritten queries are
-    searched; those that find nothing are searched as they were.  What an
-    obsolete citation names is taken out, and its replacement put first.
+    Rewritten queries and, where they differ, queries as they were are searched
+    together, once, on one index, with history; active, raw and obsolete answers
+    are taken from those candidates.  A query whose rewriting finds nothing is
+    answered by what it finds itself.  What an obsolete citation names is taken
+    out, and its replacement put first.
 
     NEEDS_CONTEXT where a citation's successor is open; RECOMMENDED or
     NEEDS_CLARIFICATION by the best item's score and grounding; without any,
     NO_ACTIVE_STANDARD_FOUND where obsolete items match, else NO_MATCH.
     """
-    asked = written(rewriting.select("qid", "text"))
-    first = written(ranking.composite(ranking.candidates(asked, catalog), asked, bonus, in_force, k).select("qid", "doc_id", "score", "grounded"))
-    empty = rewriting.join(first.select("qid").distinct(), "qid", "left_anti").where("raw_text != text").select("qid", F.col("raw_text").alias("text"))
-    empty = written(empty)
-    if not empty.isEmpty():
-        first = first.unionByName(ranking.composite(ranking.candidates(empty, catalog), empty, bonus, in_force, k).select("qid", "doc_id", "score", "grounded"))
+    # Two questions a query: 2 * number is the rewritten one, the next the one as it was, if it differs.
+    plain = rewriting.select("qid", F.explode(F.array(F.struct(F.lit(0).alias("raw"), F.col("text")), F.struct(F.lit(1).alias("raw"), F.col("raw_text").alias("text")))).alias("q"), (F.col("raw_text") != F.col("text")).alias("differs"))
+    asked = written(plain.where("q.raw = 0 or differs").select(F.struct("qid", "q.raw").alias("qid"), "q.text", "differs"))
+    catalog = written(catalog)
+    both = written(ranking.candidates(asked, catalog, keep_history=True, found=found or index(catalog.select("doc_id", "text"))))
+    active = both.where(~F.col("status").isin(*OBSOLETE))
+    bonus = constraints.evaluated(active, slots.slots(asked), catalog, rules).select("qid", "doc_id", "bonus") if rules else None
+    dated = None
+    if governed is not None:
+        dates = asked.join(queries.select(F.col("qid").alias("own"), "evaluation_date"), F.col("qid.qid") == F.col("own")).select("qid", "evaluation_date")
+        governed = written(governed.select("item_id", "evaluation_date", "order_id", "temporal_status", "is_mandatory"))
+        dated = active.select("qid", "doc_id", "item_id").join(small(dates), "qid").join(small(governed.where("is_mandatory")), ["item_id", "evaluation_date"], "left_semi").select("qid", "doc_id")
+    scored = written(ranking.composite(active, asked, ranking.named(asked, catalog), bonus, dated, k).select(F.col("qid.qid").alias("qid"), F.col("qid.raw").alias("raw"), "doc_id", "score", "grounded"))
+    first = scored.join(scored.groupBy("qid").agg(F.min("raw").alias("raw")), ["qid", "raw"]).drop("raw")
     ids = catalog.select("doc_id", "item_id")
     replaced = told.where(F.col("code").isin("RESOLVED", "CONTEXTUAL_BRANCH_SELECTED") & F.col("cited").isNotNull())
     gone = replaced.select("qid", F.col("cited").alias("item_id")).join(ids, "item_id").select("qid", "doc_id")
@@ -183,20 +174,23 @@ def recommended(queries: DataFrame, catalog: DataFrame, told: DataFrame, rewriti
     rest = first.join(gone, ["qid", "doc_id"], "left_anti").join(top, ["qid", "doc_id"], "left_anti")
     rows = top.select("qid", "doc_id", F.lit(PROMOTED).alias("score"), F.lit(True).alias("grounded")).unionByName(rest)
     best = rows.groupBy("qid").agg(F.max_by(F.struct("doc_id", "score", "grounded"), F.struct("score", -F.col("doc_id"))).alias("b"), F.count(F.lit(1)).alias("candidates"))
-    out = queries.select("qid").join(told.select("qid", "code"), "qid", "left").join(best, "qid", "left")
-    lost = written(out.where("b is null and code != 'AMBIGUOUS_BRANCHING'").select("qid").join(queries.select("qid", "text"), "qid"))
-    old = (historical(lost, catalog, k) if not lost.isEmpty() else lost).select("qid").distinct().withColumn("old", F.lit(True))
+    out = written(queries.select("qid").join(told.select("qid", "code"), "qid", "left").join(best, "qid", "left"))
+    lost = out.where("b is null and code != 'AMBIGUOUS_BRANCHING'").select(F.col("qid").alias("own"))
+    as_it_was = asked.where("qid.raw = 1 or not differs").join(small(lost), F.col("qid.qid") == F.col("own"), "left_semi")
+    old = historical(as_it_was.select("qid", "text"), catalog, k, found=both.join(small(as_it_was.select("qid")), "qid", "left_semi"))
+    out = out.join(old.select("qid.qid").distinct().withColumn("old", F.lit(True)), "qid", "left")
     context = F.col("code") == "AMBIGUOUS_BRANCHING"
     status = (
         F.when(context, "NEEDS_CONTEXT").when(F.col("b.doc_id").isNotNull(), F.when(F.col("b.grounded") & (F.col("b.score") >= ranking.CONFIDENT), "RECOMMENDED").otherwise("NEEDS_CLARIFICATION"))
         .when(F.col("old"), "NO_ACTIVE_STANDARD_FOUND").otherwise("NO_MATCH")
     )
-    if lost.isEmpty():
-        out = out.withColumn("old", F.lit(False))
-    else:
-        out = out.join(old, "qid", "left")
-    shown = lambda c: F.when(~context, c)
-    return out.select("qid", status.alias("status"), shown(F.col("b.doc_id")).alias("doc_id"), shown(F.col("b.score")).alias("score"), F.when(context, 0).otherwise(F.coalesce("candidates", F.lit(0))).cast("long").alias("candidates"))
+    shown = lambda c: F.when(~F.coalesce(context, F.lit(False)), c)
+    out = out.select("qid", status.alias("status"), shown(F.col("b.doc_id")).alias("doc_id"), shown(F.col("b.score")).alias("score"), F.when(context, 0).otherwise(F.coalesce("candidates", F.lit(0))).cast("long").alias("candidates"))
+    if governed is None:
+        none = F.lit(None).cast("string")
+        return out.withColumns({"order_id": none, "temporal_status": none, "mandatory": F.lit(False)})
+    out = out.join(ids, "doc_id", "left").join(queries.select("qid", "evaluation_date"), "qid", "left").join(governed, ["item_id", "evaluation_date"], "left")
+    return out.select("qid", "status", "doc_id", "score", "candidates", "order_id", "temporal_status", F.coalesce("is_mandatory", F.lit(False)).alias("mandatory"))
 
 
 def verdict_metrics(cases: DataFrame) -> DataFrame:

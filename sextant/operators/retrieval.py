@@ -1,20 +1,38 @@
 """Batch text search: every row of a query table against every row of a corpus.
 
-Postings are aggregated before they meet the queries.  The query terms are the
-small side of the term join; they are broadcast when counted and few, else both
-sides are shuffled by term and AQE splits common terms.
+A corpus is indexed once, into written tables, and every search of it uses them.
+Each of the two rankings (BM25 over words, TF-IDF cosine over words and pairs) is
+a sum over a query's terms of weight times impact; its index has
+
+* `lists`: a row for each block of BLOCK postings of a term: postings go by falling
+  impact, a row says its largest (`top`), and rows lie by term;
+* `terms`: each term's largest impact and what its weight follows from.
+
+A search that asks for many postings doesn't score them all.  First blocks alone give
+each query a score that its k-th best document reaches at least.  Then terms whose
+largest contributions together stay below it are left out, of the others only those
+blocks are scored that can still reach it; of the rest, only postings of documents
+that may be among the k best are added.  The result is that of scoring everything.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, tokens
-from ..sources.scratch import written
+from ..sources.scratch import spread, written
 
 #: Rows that are broadcast at most.
 BROADCAST_ROWS = 200_000
+#: Postings of a block, and documents of a shard: a term's postings are sorted by shard, so the commonest word is no single sort.
+BLOCK, SHARD_DOCUMENTS = 128, 1 << 20
+#: Asked postings up to which they are all scored in one job; beyond, the rounds of `pruned` cost less than the postings that they save.
+DIRECT_POSTINGS = 1 << 24
+#: More than rounding to six places and the order of additions can move a score.
+SLACK = 2e-6
 
 # Constants of BM25 and of rank fusion.
 K1, B, FLOOR, CANDIDATES, RRF_K, FEATURES = 1.5, 0.75, 0.25, 100, 60, 40_000
@@ -25,75 +43,176 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def prepared(corpus: DataFrame) -> DataFrame:
-    """doc_id, words, len: the search tokens of a corpus (doc_id, text), in a table of their own that rankings share."""
-    return written(corpus.select("doc_id", tokens(F.col("text")).alias("words")).withColumn("len", F.size("words")))
-
-
-def term_counts(texts: DataFrame, id_col: str, terms: Column) -> DataFrame:
-    """id_col, term, tf: the terms of the text, repeats included."""
-    return texts.select(id_col, F.explode(terms).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def top_k(scores: DataFrame, k: int, by: str = "qid", score: str = "score", tie: str = "doc_id") -> DataFrame:
     """The k best rows of each query with their rank; ties go to the smaller id."""
     order = Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(tie))
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, words: DataFrame | None = None) -> DataFrame:
-    """qid, doc_id, score, rank by Okapi BM25; queries (qid, text), corpus (doc_id, text), and its `prepared` words where they are there.
+def counted(texts: DataFrame, id_col: str, terms: str) -> DataFrame:
+    """id_col, size, terms, tfs: the different terms of an array in order and how often each is there, counted inside the row, over the sorted array."""
+    rows = texts.select(id_col, F.size(terms).alias("size"), F.sort_array(terms).alias("s"))
+    first = F.filter(F.when(F.col("size") > 0, F.sequence(F.lit(1), F.col("size"))).otherwise(F.array().cast("array<int>")), lambda i: (i == 1) | (F.get("s", i - 1) != F.get("s", F.greatest(i - 2, F.lit(0)))))
+    rows = rows.withColumn("first", first)
+    ends = F.concat(F.slice("first", F.lit(2), F.greatest(F.size("first"), F.lit(1))), F.array(F.col("size") + 1))
+    tfs = F.transform(F.arrays_zip("first", ends.alias("ends")), lambda x: x["ends"] - x["first"])
+    return rows.select(id_col, "size", F.transform("first", lambda i: F.get("s", i - 1)).alias("terms"), F.when(F.size("first") > 0, tfs).otherwise(F.array().cast("array<int>")).alias("tfs"))
 
-    A term that is in more than half of the texts has FLOOR times the mean
-    inverse document frequency.  Document frequencies take one aggregate by term
-    of all terms; only places of terms that are asked for are counted by
-    document.  Scores are rounded to 6 places before ranking.
-    """
-    words = prepared(corpus) if words is None else words
-    size = words.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"))
-    raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = written(df.crossJoin(F.broadcast(size)).select("term", raw.alias("raw"), "mean_len"))
-    mean = idf.agg((F.lit(FLOOR) * F.avg("raw")).alias("floor"))
-    asked = written(term_counts(queries, "qid", tokens(F.col("text"))).select("qid", "term", F.col("tf").alias("times")))
-    mark = F.broadcast if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df  # terms of queries, and so the rows of idf that are needed
-    idf = idf.join(mark(asked.select("term").distinct()), "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "mean_len")
-    terms = written(idf)
-    posts = words.select("doc_id", "len", F.explode("words").alias("term")).join(mark(terms.select("term")), "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    tf = F.col("tf")
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    scores = posts.join(mark(terms.join(asked, "term")), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    return top_k(scores, k)
-
-
-def tfidf(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, features: int = FEATURES, words: DataFrame | None = None) -> DataFrame:
-    """qid, doc_id, score, rank by cosine of sublinear TF-IDF over words and pairs of words.
-
-    The vocabulary has the `features` terms that are most frequent in the corpus,
-    ties by term; it alone is counted by document, and once for lengths and scores.
+
+@dataclass(frozen=True)
+class Ranking:
+    """One ranking's tables; `terms` has term, top (largest impact), df (documents) and idf."""
+
+    lists: DataFrame
+    terms: DataFrame
+
+
+@dataclass(frozen=True)
+class Index:
+    bm25: Ranking
+    tfidf: Ranking
+
+
+def _lists(posts: DataFrame, n: int) -> DataFrame:
+    """term, shard, block, top, docs, impacts from doc_id, term, impact; blocks go by falling impact, ties by id."""
+    shards = -(-max(n, 1) // SHARD_DOCUMENTS)
+    posts = posts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    place = F.row_number().over(Window.partitionBy("term", "shard").orderBy(F.col("impact").desc(), "doc_id"))
+    blocks = posts.withColumn("block", F.floor((place - 1) / BLOCK).cast("int")).groupBy("term", "shard", "block").agg(F.max("impact").alias("top"), F.collect_list(F.struct("doc_id", "impact")).alias("p"))
+    return written(blocks.select("term", "shard", "block", "top", F.col("p.doc_id").alias("docs"), F.col("p.impact").alias("impacts")).sortWithinPartitions("term", "shard", "block"))
+
+
+def words_of(corpus: DataFrame) -> DataFrame:
+    """doc_id, words: the search tokens of a corpus (doc_id, text), written; both rankings are built from them."""
+    return written(spread(corpus.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("words")))
+
+
+def bm25_index(words: DataFrame) -> Ranking:
+    """Okapi BM25; a term that is in more than half of the texts has FLOOR times the mean inverse document frequency."""
+    n, mean = words.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    part = lambda tf, size: tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.lit(float(mean or 1))))
+    posts = counted(words, "doc_id", "words").select("doc_id", "size", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+    lists = _lists(posts.select("doc_id", "term", part(F.col("tf"), F.col("size")).alias("impact")), n)
+    df = F.col("df")
+    terms = lists.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.max("top").alias("top")).withColumn("raw", F.ln(F.lit(n) - df + 0.5) - F.ln(df + 0.5))
+    terms = written(terms)
+    floor = terms.agg(F.avg("raw")).first()[0]
+    return Ranking(lists, terms.select("term", "top", "df", F.when(F.col("raw") < 0, F.lit(FLOOR * (floor or 0.0))).otherwise(F.col("raw")).alias("idf")))
+
+
+def tfidf_index(words: DataFrame, features: int = FEATURES) -> Ranking:
+    """Cosine of sublinear TF-IDF over words and pairs of words; the vocabulary has the `features` most frequent of the corpus, ties by term."""
+    n = words.count()
+    grams = written(counted(words.select("doc_id", bigrams(F.col("words")).alias("grams")), "doc_id", "grams").drop("size"))
+    each = grams.select("doc_id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+    chosen = each.groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df")).orderBy(F.col("freq").desc(), "term").limit(features)
+    vocabulary = written(chosen.select("term", "df", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
+    weighted = written(each.join(small(vocabulary), "term").select("doc_id", "term", ((1 + F.ln("tf")) * F.col("idf")).alias("w")))
+    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    lists = _lists(weighted.join(small(norms), "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("impact")), n)
+    tops = lists.groupBy("term").agg(F.max("top").alias("top"))
+    return Ranking(lists, written(tops.join(vocabulary, "term")))
+
+
+def index(corpus: DataFrame, features: int = FEATURES) -> Index:
+    """Both rankings' tables of a corpus (doc_id, text), tokenised once."""
+    words = words_of(corpus)
+    return Index(bm25_index(words), tfidf_index(words, features))
+
+
+def _asked(queries: DataFrame, terms: Column) -> DataFrame:
+    """qid, term, tf: what queries (qid, text) ask for."""
+    return counted(queries.select("qid", terms.alias("t")), "qid", "t").select("qid", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+
+
+def bm25_weights(queries: DataFrame, ranking: Ranking) -> DataFrame:
+    """qid, term, weight, top, df of the terms that the corpus has."""
+    asked = _asked(queries, tokens(F.col("text")))
+    return written(asked.join(ranking.terms, "term").select("qid", "term", (F.col("tf") * F.col("idf")).alias("weight"), "top", "df"))
+
+
+def tfidf_weights(queries: DataFrame, ranking: Ranking) -> DataFrame:
+    """The same for cosines: a query's weights have the length 1."""
+    asked = _asked(queries, bigrams(tokens(F.col("text")))).join(ranking.terms, "term").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("qid")))
+    return written(asked.select("qid", "term", (F.col("w") / length).alias("weight"), "top", "df"))
+
+
+def _posted(blocks: DataFrame) -> DataFrame:
+    return blocks.select("qid", "weight", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("impacts").alias("impact"))))
+
+
+def thresholds(asked: DataFrame, ranking: Ranking, k: int) -> DataFrame:
+    """qid, least: a score that k documents reach for certain, from each term's first blocks; queries with fewer documents there have none."""
+    heads = ranking.lists.where("block = 0").join(small(asked.select("qid", "term", "weight")), "term")
+    lows = asked.groupBy("qid").agg(F.sum(F.least(F.lit(0.0), F.col("weight") * F.col("top"))).alias("low"))
+    partial = _posted(heads).groupBy("qid", "doc_id").agg(F.sum(F.greatest(F.lit(0.0), F.col("weight") * F.col("impact"))).alias("score"))
+    return top_k(partial, k).where(F.col("rank") == k).join(lows, "qid").select("qid", (F.col("score") + F.col("low") - SLACK).alias("least"))
+
+
+def planned(asked: DataFrame, ranking: Ranking, least: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All blocks of asked terms (qid, weight, docs, impacts, read), and by query `low`, what negative weights may take, and `rest`, what left-out terms may add.
+
+    Terms go by their largest contribution; as many as together stay below the
+    threshold are left out.  Of the others, a block is read only if its largest
+    impact, with everything that the other terms may add, reaches it.
     """
-    words = prepared(corpus) if words is None else words
-    n = words.agg(F.count(F.lit(1)).alias("n"))
-    grams = words.select("doc_id", F.explode(bigrams(F.col("words"))).alias("term"))
-    vocabulary = written(grams.groupBy("term").agg(F.count(F.lit(1)).alias("freq")).orderBy(F.col("freq").desc(), "term").limit(features).select("term"))
-    posts = written(grams.join(F.broadcast(vocabulary), "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))  # at most `features` rows
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.broadcast(written(df.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))))
-    weight = (1 + F.ln("tf")) * F.col("idf")
-    weighted = lambda counts: counts.join(idf, "term").withColumn("w", weight)
-    length = lambda rows, by: rows.groupBy(by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = weighted(term_counts(queries.select("qid", bigrams(tokens(F.col("text"))).alias("terms")), "qid", F.col("terms")))
-    asked = written(asked.join(length(asked, "qid"), "qid").select("qid", "term", (F.col("w") / F.col("norm")).alias("qw")))
-    docs = weighted(posts)
-    scores = docs.join(small(asked), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scores = scores.join(length(docs, "doc_id"), "doc_id").select("qid", "doc_id", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where("score > 0")
-    return top_k(scores, k)
-
-
-def searched(queries: DataFrame, corpus: DataFrame, k: int | None = None) -> DataFrame:
-    """Both rankings of one tokenised corpus, fused."""
-    words = prepared(corpus)
-    return fused(bm25(queries, corpus, words=words), tfidf(queries, corpus, words=words), k)
+    up = F.greatest(F.lit(0.0), F.col("weight") * F.col("top"))
+    w = Window.partitionBy("qid")
+    plan = asked.join(small(least), "qid", "left").withColumn("up", up).withColumn("total", F.sum("up").over(w)).withColumn("sofar", F.sum("up").over(w.orderBy("up", "term").rowsBetween(Window.unboundedPreceding, 0)))
+    plan = written(plan.withColumn("kept", F.col("least").isNull() | (F.col("sofar") >= F.col("least"))))
+    wanted = plan.select("qid", "term", "weight", "kept", (F.col("least") - F.col("total") + F.col("up")).alias("needs"))
+    read = F.col("kept") & (F.col("needs").isNull() | (F.greatest(F.lit(0.0), F.col("weight") * F.col("top")) >= F.col("needs")))
+    blocks = ranking.lists.join(small(wanted), "term").select("qid", "weight", "docs", "impacts", read.alias("read"))
+    low = F.sum(F.least(F.lit(0.0), F.col("weight") * F.col("top")))
+    return blocks, plan.groupBy("qid").agg(low.alias("low"), F.coalesce(F.sum(F.when(~F.col("kept"), F.col("up"))), F.lit(0.0)).alias("rest"))
+
+
+def pruned(asked: DataFrame, ranking: Ranking, k: int) -> DataFrame:
+    """qid, doc_id, score, rank: the k best sums of weight times impact above 0, rounded to 6 places; asked as from the `_weights` functions."""
+    blocks, rest = planned(asked, ranking, written(thresholds(asked, ranking, k)))
+    part = F.col("weight") * F.col("impact")
+    partial = _posted(blocks.where("read")).groupBy("qid", "doc_id").agg(F.sum(part).alias("score"), F.sum(F.greatest(F.lit(0.0), part)).alias("high"))
+    partial = written(partial)
+    # What was read gives a better threshold than first blocks do.
+    better = top_k(partial.select("qid", "doc_id", F.col("high").alias("score")), k).where(F.col("rank") == k).select("qid", F.col("score").alias("reached"))
+    limits = written(rest.join(better, "qid", "left").select("qid", "rest", (F.col("reached") + F.col("low") - SLACK).alias("least")))
+    may = written(partial.join(small(limits), "qid").where(F.col("least").isNull() | (F.col("high") + F.col("rest") >= F.col("least"))).select("qid", "doc_id", "score"))
+    # Only candidates meet the postings that weren't read.
+    more = _posted(blocks.where("not read")).join(small(may.select("qid", "doc_id")), ["qid", "doc_id"]).select("qid", "doc_id", part.alias("score"))
+    scores = may.unionByName(more).groupBy("qid", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    return top_k(scores.where("score > 0"), k)
+
+
+def direct(asked: DataFrame, ranking: Ranking, k: int) -> DataFrame:
+    """The same as `pruned`, from every posting of every asked term."""
+    blocks = ranking.lists.join(small(asked.select("qid", "term", "weight")), "term")
+    scores = _posted(blocks).groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("impact")), 6).alias("score"))
+    return top_k(scores.where("score > 0"), k)
+
+
+def best(asked: DataFrame, ranking: Ranking, k: int) -> DataFrame:
+    """The k best by whichever way is cheaper; rows are the same."""
+    postings = asked.agg(F.sum("df")).first()[0] or 0
+    return (direct if postings <= DIRECT_POSTINGS else pruned)(asked, ranking, k)
+
+
+def bm25(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """qid, doc_id, score, rank by Okapi BM25; queries (qid, text), corpus (doc_id, text)."""
+    ranking = bm25_index(words_of(corpus))
+    return best(bm25_weights(queries, ranking), ranking, k)
+
+
+def tfidf(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, features: int = FEATURES) -> DataFrame:
+    """qid, doc_id, score, rank by cosine of sublinear TF-IDF over words and pairs of words."""
+    ranking = tfidf_index(words_of(corpus), features)
+    return best(tfidf_weights(queries, ranking), ranking, k)
+
+
+def searched(queries: DataFrame, found: Index, k: int | None = None) -> DataFrame:
+    """Both rankings of an indexed corpus, fused."""
+    sparse = best(bm25_weights(queries, found.bm25), found.bm25, CANDIDATES)
+    return fused(sparse, best(tfidf_weights(queries, found.tfidf), found.tfidf, CANDIDATES), k)
 
 
 def fused(first: DataFrame, second: DataFrame, k: int | None = None, rrf_k: int = RRF_K) -> DataFrame:

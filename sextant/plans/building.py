@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import builders, documents, graph, markup, orders, ranking, recommend, retrieval, revisions, rules, slots
+from ..operators import builders, constraints, documents, graph, markup, orders, ranking, recommend, retrieval, revisions, rules, slots
 from ..sources import readers
 from ..sources.scratch import written
 from . import oracle as O
 from .fixtures import table, view, with_views
-from .registry import _GOVERNING, _catalog, _status, _wanted, query
+from .registry import _GOVERNING, DATES, _catalog, _status, _wanted, query
 
 # Documents
 
@@ -316,9 +316,14 @@ def default_tier(spark, d):
 
 # Rankings with additions
 
-_EXTRA = """bonuses AS (SELECT s_suppkey AS qid, item_key AS doc_id, CASE WHEN item_key % 3 = 0 THEN -0.5::DOUBLE ELSE 0.4::DOUBLE END AS bonus FROM supplier JOIN fx_catalog ON item_key % 50 = s_suppkey % 50),
-    mandatory AS (SELECT DISTINCT item_key AS doc_id FROM placed JOIN fx_catalog USING (item_id) WHERE place = 1 AND temporal_status = 'MANDATORY_IN_FORCE' AND evaluation_date = DATE '1998-01-01')"""
-_WITH_EXTRA = O.composite_sql(views=with_views("fx_catalog", "fx_orders") + "," + _GOVERNING, extra=_EXTRA)
+#: Rules that the made-up numbers meet, behind the real ones.
+_RULES = constraints.RULES + [
+    constraints.Rule("b1", (("requires_crs", ()),), ("IS_17", "IS_3"), (), (), 0.35, "clause 4.2", "coast"), constraints.Rule("b2", (("infrastructure", ("bridge",)), ("exposure", ())), ("IS_20",), (), (), 0.25, "table 1", "bridge"),
+    constraints.Rule("b3", (("infrastructure", ("water_supply",)),), ("IS_45",), ("ring",), ("IS_458",), -0.5, "scope", "water"), constraints.Rule("b4", (("requires_ductility", ()), ("seismic", ("zone v",))), ("IS_1",), ("gear",), ("IS_12",), 0.4, "clause 1.1", "quakes"),
+    constraints.Rule("b5", (("corrosion", ("marine_coastal",)),), (), ("bolt",), (), -0.25, "clause 9", "bolts rust"),
+]
+_FORCED = "mandatory AS (SELECT DISTINCT item_id FROM placed WHERE place = 1 AND temporal_status = 'MANDATORY_IN_FORCE' AND evaluation_date = DATE '1998-01-01')"
+_WITH_EXTRA = O.composite_sql(views=with_views("fx_catalog", "fx_orders") + "," + _GOVERNING + ", " + _FORCED, rules=_RULES, mandated="m.item_id IS NOT NULL", joins="LEFT JOIN mandatory m ON m.item_id = c.item_id")
 
 
 def _in_force(spark, d):
@@ -328,9 +333,8 @@ def _in_force(spark, d):
 
 def _with_extra(spark, d):
     q, c = _wanted(spark, d), _catalog(spark, d)
-    asked, items = table(spark, d, "supplier").select(F.col("s_suppkey").alias("qid")), view(spark, d, "fx_catalog").select(F.col("item_key").alias("doc_id"))
-    bonus = asked.join(items, F.col("doc_id") % 50 == F.col("qid") % 50).withColumn("bonus", F.when(F.col("doc_id") % 3 == 0, -0.5).otherwise(0.4))
-    return ranking.composite(ranking.candidates(q, c), q, bonus, _in_force(spark, d))
+    found = written(ranking.candidates(q, c))
+    return ranking.composite(found, q, ranking.named(q, c), constraints.evaluated(found, slots.slots(q), c, _RULES).select("qid", "doc_id", "bonus"), _in_force(spark, d))
 
 
 @query(O.BM25 + "SELECT qid, doc_id, array_to_string(list_filter(a.words, lambda x, i: list_contains(d.words, x) AND list_position(a.words, x) = i), ' ') AS matched FROM bm25 JOIN asked_words a USING (qid) JOIN docs d USING (doc_id)")
@@ -341,9 +345,10 @@ def matched_terms(spark, d):
 
 @query(_WITH_EXTRA + "SELECT qid, doc_id, score, grounded, rank, label FROM composite")
 def composite_with_rules(spark, d):
-    return _with_extra(spark, d)
+    return _with_extra(spark, d).drop("mandatory")
 
 
+_SLOT_RULES = [("requires_crs", "IS_1", 0.15), ("requires_ductility", "IS_2", 0.10), ("requires_ductility", "IS_3", -0.15)]
 _GRADES = [("hot", "IS_1", 0.35), ("hot", "IS_2", -0.5), ("ring", "IS_4", 0.35)]
 _NEGATIVES = [("metal", 1, ["red", "blue"], "IS_3", 0.3), ("metal", 2, ["red"], "IS_30", -0.2), ("water", 1, ["bolt"], "IS_5", -0.6)]
 _NEGATIVE_ROWS = ", ".join(f"('{k}', {o}, {w}, '{i}', {x})" for k, o, w, i, x in _NEGATIVES)
@@ -353,20 +358,22 @@ _NEGATIVE_ROWS = ", ".join(f"('{k}', {o}, {w}, '{i}', {x})" for k, o, w, i, x in
     cand2 AS (SELECT c.qid, c.doc_id, c.score, c.mandated, k.item_no, concat('IS_', c.doc_id) AS item_id, lower(a.text) AS low FROM composite c JOIN cat k USING (doc_id) JOIN asked a USING (qid)),
     by_grade AS (SELECT qid, doc_id, sum(weight) AS g FROM (SELECT DISTINCT qid, doc_id, grade, weight::DOUBLE AS weight FROM cand2 JOIN grades ON contains(low, grade) AND contains(item_id, item)) GROUP BY ALL),
     by_word AS (SELECT qid, doc_id, sum(weight) AS w FROM (SELECT qid, doc_id, kind, min_by(weight::DOUBLE, ord) AS weight FROM cand2 JOIN negatives ON contains(item_id, item) AND len(list_filter(words, lambda x: contains(low, x))) > 0 GROUP BY ALL) GROUP BY ALL),
-    moved AS (SELECT *, score + coalesce(g, 0.0::DOUBLE) + coalesce(w, 0.0::DOUBLE) + 0.0::DOUBLE AS m FROM cand2 LEFT JOIN by_grade USING (qid, doc_id) LEFT JOIN by_word USING (qid, doc_id)),
-    ended AS (SELECT qid, doc_id, item_id, round(least(0.99::DOUBLE, greatest(0.01::DOUBLE, round(m + CASE WHEN mandated AND m < 0.25 AND (contains(low, 'hot') OR contains(low, 'ring')) THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END, 6))), 4) AS score FROM moved)
+    slot_rules(slot, item, weight) AS (VALUES {', '.join(map(str, _SLOT_RULES))}), by_slot AS (SELECT qid, doc_id, sum(weight::DOUBLE) AS t FROM cand2 JOIN slotted s USING (qid) JOIN slot_rules r ON contains(item_id, r.item) AND CASE r.slot WHEN 'requires_crs' THEN s.requires_crs ELSE s.requires_ductility END GROUP BY ALL),
+    moved AS (SELECT *, score + coalesce(g, 0.0::DOUBLE) + coalesce(w, 0.0::DOUBLE) + coalesce(t, 0.0::DOUBLE) AS m FROM cand2 LEFT JOIN by_grade USING (qid, doc_id) LEFT JOIN by_word USING (qid, doc_id) LEFT JOIN by_slot USING (qid, doc_id) JOIN (SELECT qid, special FROM slotted) USING (qid)),
+    ended AS (SELECT qid, doc_id, item_id, round(least(0.99::DOUBLE, greatest(0.01::DOUBLE, round(m + CASE WHEN mandated AND m < 0.25 AND (special OR contains(low, 'hot') OR contains(low, 'ring')) THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END, 6))), 4) AS score FROM moved)
     SELECT qid, doc_id, item_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, CASE WHEN score >= 0.65 THEN 'STRONG' WHEN score >= 0.40 THEN 'MODERATE' WHEN score >= 0.25 THEN 'LOW' ELSE 'INSUFFICIENT' END AS label, score >= 0.40 AS sure FROM ended""")
 def contrast_rerank(spark, d):
-    found = _with_extra(spark, d).join(_catalog(spark, d).select("doc_id", "item_id"), "doc_id").join(_in_force(spark, d).withColumn("mandatory", F.lit(True)), "doc_id", "left")
-    grades, none = spark.createDataFrame(_GRADES, "grade string, item string, weight double"), spark.createDataFrame([], "slot string, item string, weight double")
+    found = _with_extra(spark, d).join(_catalog(spark, d).select("doc_id", "item_id"), "doc_id")
+    grades, by_slot = spark.createDataFrame(_GRADES, "grade string, item string, weight double"), spark.createDataFrame(_SLOT_RULES, "slot string, item string, weight double")
     negatives = spark.createDataFrame(_NEGATIVES, "kind string, ord int, words array<string>, item string, weight double")
-    return recommend.contrasted(found, _wanted(spark, d), grades, negatives, none)
+    q = _wanted(spark, d)
+    return recommend.contrasted(found, q, grades, negatives, by_slot, slots.slots(q))
 
 
-@query(O.composite_sql("WHERE c.status = 'ACTIVE' AND contains(lower(c.department), 'brand#1')").replace("item_no, status, keywords FROM fx_catalog)", "item_no, status, keywords, department FROM fx_catalog)") + "SELECT qid, doc_id, score, rank FROM composite")
+@query(O.composite_sql("WHERE c.status = 'ACTIVE' AND contains(lower(c.department), 'brand#1')") + "SELECT qid, doc_id, score, rank FROM composite")
 def filtered_search(spark, d):
     q, c = _wanted(spark, d), _catalog(spark, d)
-    return ranking.composite(recommend.filtered(ranking.candidates(q, c, keep_history=True), c, F.lit("Brand#1"), "ACTIVE"), q).select("qid", "doc_id", "score", "rank")
+    return ranking.composite(recommend.filtered(ranking.candidates(q, c, keep_history=True), c, F.lit("Brand#1"), "ACTIVE"), q, ranking.named(q, c)).select("qid", "doc_id", "score", "rank")
 
 
 # Recommendations
@@ -422,52 +429,58 @@ def broad_terms(spark, d):
     return recommend.broad(view(spark, d, "fx_asked"), spark.createDataFrame(_DOMAINS, "ord int, word string, option_ord int, option string"))
 
 
-_BONUS = [
-    ("b1", "requires_crs", "true", "IS_17", None, None, 0.35, "clause 4.2"), ("b2", "infrastructure", "bridge", "IS_20", None, None, 0.25, "table 1"), ("b3", "infrastructure", "water_supply", "IS_45", "ring", "IS_458", -0.5, "scope"),
-    ("b4", "exposure", "*", "IS_12", None, None, 0.25, "table 16"), ("b5", "requires_ductility", "true", "IS_13", None, None, 0.4, "clause 1.1"), ("b6", "corrosion", "marine_coastal", None, "gear", None, 0.1, "clause 9"),
-]
-_BONUS_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in _BONUS)
+_TENDER_ITEMS = """asked AS (SELECT doc_id AS qid, text FROM fx_tenders)"""
+_APPLIED = ", ".join(f"CASE WHEN {c} THEN '{r.rule_id}' END" for r, c in zip(_RULES, O.rule_sql(_RULES)))
+_CLAUSES = ", ".join(f"CASE WHEN {c} THEN '{r.clause}' END" for r, c in zip(_RULES, O.rule_sql(_RULES)))
 
 
-@query(with_views("fx_lines", "fx_tenders", "fx_catalog") + f""", s AS ({O.slots_sql('SELECT doc_id AS qid, text FROM fx_tenders')}), rules(rule_id, slot, value, item, word, unless, weight, clause) AS (VALUES {_BONUS_ROWS}),""" + """
-    long AS (SELECT qid, 'exposure' AS slot, exposure AS value FROM s UNION ALL SELECT qid, 'seismic', seismic FROM s UNION ALL SELECT qid, 'corrosion', corrosion FROM s UNION ALL SELECT qid, 'infrastructure', infrastructure FROM s UNION ALL SELECT qid, 'grade', grade FROM s
-        UNION ALL SELECT qid, 'requires_crs', 'true' FROM s WHERE requires_crs UNION ALL SELECT qid, 'requires_ductility', 'true' FROM s WHERE requires_ductility),
-    asked AS (SELECT DISTINCT qid, rule_id FROM long l JOIN rules r ON l.slot = r.slot AND l.value IS NOT NULL AND (r.value = '*' OR r.value = l.value)),
-    met AS (SELECT item_key AS doc_id, rule_id, weight, clause FROM fx_catalog JOIN rules r ON (coalesce(contains(item_id, r.item), false) OR coalesce(contains(lower(title), r.word), false)) AND NOT coalesce(contains(item_id, r.unless), false) WHERE item_key % 7 = 6)
-    SELECT qid, doc_id, round(sum(weight::DOUBLE), 6) AS bonus, string_agg(DISTINCT rule_id, '; ' ORDER BY rule_id) AS rules, string_agg(DISTINCT clause, '; ' ORDER BY clause) AS clauses FROM asked JOIN met USING (rule_id) GROUP BY qid, doc_id""")
+@query(O.composite_sql(views=with_views("fx_lines", "fx_tenders", "fx_catalog"), asked=_TENDER_ITEMS, rules=_RULES) + f""", met AS (SELECT qid, doc_id, {O.bonus_sql(_RULES)} AS bonus, concat_ws('; ', {_APPLIED}) AS rules, concat_ws('; ', {_CLAUSES}) AS clauses
+    FROM fused JOIN cat c USING (doc_id) JOIN slotted s USING (qid) WHERE c.status NOT IN ('SUPERSEDED', 'WITHDRAWN')) SELECT * FROM met WHERE rules <> ''""")
 def constraint_bonus(spark, d):
-    slotted = slots.slots(view(spark, d, "fx_tenders").select(F.col("doc_id").alias("qid"), "text"))
-    items = view(spark, d, "fx_catalog").where("item_key % 7 = 6").select(F.col("item_key").alias("doc_id"), "item_id", F.col("title").alias("text"))
-    return recommend.bonuses(slotted, items, spark.createDataFrame(_BONUS, "rule_id string, slot string, value string, item string, word string, unless string, weight double, clause string"))
-
-
-_VERDICTS = O.composite_sql(views=with_views("fx_asked", "fx_catalog", "fx_supersedes") + ", " + _TOLD + ", " + _REWRITTEN, asked="asked AS (SELECT qid, text FROM rewritten)") + """, replaced AS (SELECT * FROM told WHERE code IN ('RESOLVED', 'CONTEXTUAL_BRANCH_SELECTED') AND cited IS NOT NULL),
+    """Every rule on the candidates of every tender."""
+    tenders = view(spark, d, "fx_tenders").select(F.col("doc_id").alias("qid"), "text")
+    tenders, items = written(tenders), _catalog(spark, d)
+    out = constraints.evaluated(ranking.candidates(tenders, items), slots.slots(tenders), items, _RULES)
+    said = lambda k: F.array_join(F.transform("applied", lambda r: r[k]), "; ")
+    return out.select("qid", "doc_id", "bonus", said("rule_id").alias("rules"), said("clause").alias("clauses"))
+
+
+_AT = "CASE qid % 3 WHEN 0 THEN DATE '1996-06-30' WHEN 1 THEN DATE '1998-01-01' ELSE DATE '2024-01-01' END"
+_VERDICTS = O.composite_sql(
+    views=with_views("fx_asked", "fx_catalog", "fx_supersedes", "fx_orders") + ", " + _GOVERNING + ", own AS (SELECT item_id, evaluation_date, order_id, temporal_status FROM placed WHERE place = 1), " + _TOLD + ", " + _REWRITTEN, asked="asked AS (SELECT qid, text FROM rewritten)", rules=_RULES,
+    mandated="o.temporal_status = 'MANDATORY_IN_FORCE'", joins=f"LEFT JOIN own o ON o.item_id = c.item_id AND o.evaluation_date = {_AT}",
+) + """, replaced AS (SELECT * FROM told WHERE code IN ('RESOLVED', 'CONTEXTUAL_BRANCH_SELECTED') AND cited IS NOT NULL),
     gone AS (SELECT qid, item_key AS doc_id FROM replaced JOIN fx_catalog ON item_id = cited UNION SELECT qid, item_key FROM replaced JOIN fx_catalog ON item_id = replacement),
     every AS (SELECT qid, item_key AS doc_id, 0.99::DOUBLE AS score, true AS grounded FROM replaced JOIN fx_catalog ON item_id = replacement UNION ALL SELECT qid, doc_id, score, grounded FROM composite ANTI JOIN gone USING (qid, doc_id)),
     best AS (SELECT qid, count(*) AS n, min_by(doc_id, (-score, doc_id)) AS doc_id, max(score) AS score, min_by(grounded, (-score, doc_id)) AS grounded FROM every GROUP BY qid),
     verdicts AS (SELECT qid, t.code, t.cited, t.replacement, CASE WHEN code = 'AMBIGUOUS_BRANCHING' THEN 'NEEDS_CONTEXT' WHEN b.doc_id IS NOT NULL THEN CASE WHEN grounded AND score >= 0.40 THEN 'RECOMMENDED' ELSE 'NEEDS_CLARIFICATION' END WHEN cited IS NOT NULL THEN 'NO_ACTIVE_STANDARD_FOUND' ELSE 'NO_MATCH' END AS status,
-        CASE WHEN code <> 'AMBIGUOUS_BRANCHING' THEN b.doc_id END AS doc_id, CASE WHEN code <> 'AMBIGUOUS_BRANCHING' THEN b.score END AS score, CASE WHEN code <> 'AMBIGUOUS_BRANCHING' THEN coalesce(n, 0) ELSE 0 END AS candidates FROM told t LEFT JOIN best b USING (qid)) """
+        CASE WHEN code <> 'AMBIGUOUS_BRANCHING' THEN b.doc_id END AS doc_id, CASE WHEN code <> 'AMBIGUOUS_BRANCHING' THEN b.score END AS score, CASE WHEN code <> 'AMBIGUOUS_BRANCHING' THEN coalesce(n, 0) ELSE 0 END AS candidates FROM told t LEFT JOIN best b USING (qid)),
+    answers AS (SELECT v.*, o.order_id, o.temporal_status, coalesce(o.temporal_status = 'MANDATORY_IN_FORCE', false) AS mandatory FROM verdicts v LEFT JOIN own o ON o.item_id = concat('IS_', v.doc_id) AND o.evaluation_date = """ + _AT + ") "
 
 
-def _verdicts(spark, d, told):
-    return recommend.recommended(view(spark, d, "fx_asked"), _catalog(spark, d), told, _rewritten(spark, d, told))
+def _verdicts(spark, d, told, governed):
+    turn = F.col("qid") % 3
+    asked = view(spark, d, "fx_asked").withColumn("evaluation_date", F.to_date(F.when(turn == 0, DATES[0]).when(turn == 1, DATES[1]).otherwise(DATES[2])))
+    return recommend.recommended(asked, _catalog(spark, d), told, _rewritten(spark, d, told), governed, _RULES)
 
 
-@query(_VERDICTS + "SELECT qid, status, doc_id, score, candidates FROM verdicts")
+@query(_VERDICTS + "SELECT qid, status, doc_id, score, candidates, order_id, temporal_status, mandatory FROM answers")
 def recommendations(spark, d):
-    return _verdicts(spark, d, written(_told(spark, d)))
+    return _verdicts(spark, d, written(_told(spark, d)), orders.governing(_status(spark, d)))
 
 
-@query(_VERDICTS + """SELECT count(*) AS cases, round(count(*) FILTER (code = 'ACTIVE_STANDARD' AND doc_id = replace(cited, 'IS_', '')::BIGINT) / nullif(count(*) FILTER (code = 'ACTIVE_STANDARD'), 0), 6) AS retrieval_accuracy,
+@query(_VERDICTS + """SELECT count(*) AS cases, round(count(*) FILTER (code = 'ACTIVE_STANDARD' AND doc_id = replace(answers.cited, 'IS_', '')::BIGINT) / nullif(count(*) FILTER (code = 'ACTIVE_STANDARD'), 0), 6) AS retrieval_accuracy,
     round(count(*) FILTER (doc_id % 10 < 2) / nullif(count(*) FILTER (doc_id IS NOT NULL), 0), 6) AS obsolete_as_primary, round(count(*) FILTER (qid % 20 = 1 AND code = 'RESOLVED') / nullif(count(*) FILTER (qid % 20 = 1), 0), 6) AS supersession_detection,
     round(count(*) FILTER (qid % 20 = 1 AND replacement = concat('IS_', qid + 1)) / nullif(count(*) FILTER (qid % 20 = 1), 0), 6) AS replacement_accuracy, round(count(*) FILTER (qid % 20 IN (0, 4) AND status = 'NEEDS_CONTEXT') / nullif(count(*) FILTER (qid % 20 IN (0, 4)), 0), 6) AS branching_safety,
-    CAST(NULL AS DOUBLE) AS temporal_accuracy, round(count(*) FILTER (qid % 20 IN (6, 7) AND status <> 'RECOMMENDED') / nullif(count(*) FILTER (qid % 20 IN (6, 7)), 0), 6) AS abstention FROM verdicts""")
+    round(count(*) FILTER (code = 'ACTIVE_STANDARD' AND temporal_status = named_status) / nullif(count(*) FILTER (code = 'ACTIVE_STANDARD' AND named_status IS NOT NULL), 0), 6) AS temporal_accuracy, round(count(*) FILTER (qid % 20 IN (6, 7) AND status <> 'RECOMMENDED') / nullif(count(*) FILTER (qid % 20 IN (6, 7)), 0), 6) AS abstention FROM answers LEFT JOIN (SELECT item_id AS cited, evaluation_date, temporal_status AS named_status FROM own) n ON n.cited = answers.cited AND n.evaluation_date = """ + _AT)
 def verdict_metrics(spark, d):
-    told = written(_told(spark, d))
+    told, governed = written(_told(spark, d)), written(orders.governing(_status(spark, d)))
     last, turn = F.col("qid") % 20, F.col("doc_id") % 10
-    cases = _verdicts(spark, d, told).join(told.select("qid", "code", "cited", "replacement"), "qid").select(
+    date = F.to_date(F.when(F.col("qid") % 3 == 0, DATES[0]).when(F.col("qid") % 3 == 1, DATES[1]).otherwise(DATES[2]))
+    said = told.select("qid", "code", "cited", "replacement", date.alias("evaluation_date")).join(governed.select(F.col("item_id").alias("cited"), "evaluation_date", F.col("temporal_status").alias("named_status")), ["cited", "evaluation_date"], "left")
+    cases = _verdicts(spark, d, told, governed).join(said, "qid").select(
         "status", "doc_id", "replacement", F.when(F.col("code") == "ACTIVE_STANDARD", F.replace("cited", F.lit("IS_"), F.lit("")).cast("long")).alias("expected"), (turn < 2).alias("obsolete_first"),
         (last == 1).alias("expect_supersession"), (F.col("code") == "RESOLVED").alias("superseded"), F.when(last == 1, F.concat(F.lit("IS_"), (F.col("qid") + 1).cast("string"))).alias("expected_replacement"),
-        last.isin(0, 4).alias("expect_context"), last.isin(6, 7).alias("expect_abstention"), F.lit(None).cast("string").alias("temporal_status"), F.lit(None).cast("string").alias("expected_temporal"),
+        last.isin(0, 4).alias("expect_context"), last.isin(6, 7).alias("expect_abstention"), "temporal_status", F.when(F.col("code") == "ACTIVE_STANDARD", F.col("named_status")).alias("expected_temporal"),
     )
     return recommend.verdict_metrics(cases)

@@ -131,21 +131,37 @@ def slots_sql(source: str) -> str:
 
 # Composite ranking on the derived catalogue
 
-_CAT = "cat AS (SELECT item_key AS doc_id, concat_ws(' ', item_no, title, department, array_to_string(keywords, ' ')) AS text, item_no, status, keywords FROM fx_catalog), asked AS (SELECT s_suppkey AS qid, concat_ws(' ', concat('IS ', s_suppkey * 3), title) AS text FROM supplier JOIN fx_catalog ON item_key = s_suppkey)"
+_CAT = """cat AS (SELECT item_key AS doc_id, concat_ws(' ', item_no, title, department, array_to_string(keywords, ' ')) AS text, item_no, item_id, title, department, status, list_append(keywords, array_to_string(keywords, ' ')) AS keywords FROM fx_catalog)"""
+_ASKED_CAT = """asked AS (SELECT s_suppkey AS qid, concat_ws(' ', concat('IS ', s_suppkey * 3), title, '12 mm', CASE s_suppkey % 4 WHEN 1 THEN 'coastal' WHEN 2 THEN 'zone iv' END) AS text FROM supplier JOIN fx_catalog ON item_key = s_suppkey)"""
+ACTIVE_ONLY = "WHERE c.status NOT IN ('SUPERSEDED', 'WITHDRAWN')"
 
 
-_ASKED_CAT = _CAT[_CAT.index("asked AS"):]
-ACTIVE_ONLY = "WHERE c.status NOT IN ('SUPERSEDED', 'WITHDRAWN')"
+def rule_sql(rules) -> list[str]:
+    """For each constraint rule a condition on slots s and on an item c."""
+    out = []
+    for r in rules:
+        when = [f"s.{slot}" if slot.startswith("requires") else f"s.{slot} IN ({', '.join(repr(v) for v in values)})" if values else f"s.{slot} IS NOT NULL" for slot, values in r.when]
+        met = [f"contains(c.item_id, '{i}')" for i in r.items] + [f"contains(lower(c.title), '{w}')" for w in r.words]
+        spared = [f"contains(c.item_id, '{i}')" for i in r.unless]
+        out.append(f"coalesce({' OR '.join(when)}, false) AND coalesce({' OR '.join(met)}, false)" + (f" AND NOT ({' OR '.join(spared)})" if spared else ""))
+    return out
+
+
+def bonus_sql(rules) -> str:
+    return "round(" + " + ".join(["0.0::DOUBLE", *(f"CASE WHEN {c} THEN {r.weight}::DOUBLE ELSE 0.0::DOUBLE END" for r, c in zip(rules, rule_sql(rules)))]) + ", 6)"
+
 
+def composite_sql(policy: str = ACTIVE_ONLY, views: str = "", asked: str = _ASKED_CAT, rules=(), mandated: str = "false", joins: str = "", k: int = 10) -> str:
+    """CTEs up to `composite`: the k best of each query; `rules` weigh by slots, `mandated` is a condition over `joins`.
 
-def composite_sql(policy: str = ACTIVE_ONLY, views: str = "", asked: str = _ASKED_CAT, extra: str = "", k: int = 10) -> str:
-    """CTEs up to `composite`: the k best of each query; `extra` may define bonuses (qid, doc_id, bonus) and mandatory (doc_id)."""
-    bonus = "LEFT JOIN bonuses b USING (qid, doc_id) LEFT JOIN mandatory m USING (doc_id)" if extra else ""
-    flags = "coalesce(b.bonus, 0.0::DOUBLE) AS bonus, m.doc_id IS NOT NULL AS mandated" if extra else "0.0::DOUBLE AS bonus, false AS mandated"
+    In these texts a citation is IS and a number, and no whole text is a number
+    without IS, so the first such pair names the item.
+    """
+    slotted = f", slotted AS ({slots_sql('SELECT qid, text FROM asked')})" if rules else ""
     return (
-        (views or with_views("fx_catalog")) + ", " + _CAT[: _CAT.index(", asked AS")] + ", " + asked + ", " + (extra + ", " if extra else "") + bm25_sql("SELECT doc_id, text FROM cat", "SELECT qid, text FROM asked", "") + ", " + TFIDF + FUSED
-        + rf""", cand AS (SELECT f.*, c.item_no, c.keywords, a.text, regexp_split_to_array(lower(a.text), '[^\p{{L}}\p{{N}}_]+') AS words, {flags} FROM fused f JOIN cat c USING (doc_id) JOIN asked a USING (qid) {bonus} {policy}),
-flagged AS (SELECT *, lower(text) = lower(item_no) AS exact, list_contains(words, regexp_extract(item_no, '(\d+)', 1)) AS mention, len(list_filter(keywords, lambda w: length(w) >= 3 AND list_contains(words, lower(w)))) > 0 AS gradehit, coalesce(score_b, 0) AS cosine, coalesce(score_a, 0) AS sparse FROM cand),
+        (views or with_views("fx_catalog")) + ", " + _CAT + ", " + asked + slotted + ", " + bm25_sql("SELECT doc_id, text FROM cat", "SELECT qid, text FROM asked", "") + ", " + TFIDF + FUSED
+        + rf""", cand AS (SELECT f.*, c.item_no, c.item_id, c.keywords, a.text, {bonus_sql(rules) if rules else '0.0::DOUBLE'} AS bonus, coalesce({mandated}, false) AS mandated FROM fused f JOIN cat c USING (doc_id) JOIN asked a USING (qid) {'JOIN slotted s USING (qid)' if rules else ''} {joins} {policy}),
+flagged AS (SELECT *, regexp_extract(text, '\bIS ([0-9]+)\b', 1) = CAST(doc_id AS VARCHAR) AS exact, contains(upper(text), upper(item_no)) OR contains(upper(text), item_id) AS mention, len(list_filter(keywords, lambda w: length(w) >= 3 AND contains(upper(text), upper(w)))) > 0 AS gradehit, coalesce(score_b, 0) AS cosine, coalesce(score_a, 0) AS sparse FROM cand),
 grounded AS (SELECT *, exact OR mention OR gradehit OR bonus > 0 OR cosine >= 0.20 OR sparse >= 18 AS grounded FROM flagged),
 scored AS (SELECT qid, doc_id, grounded, mandated, round(least(0.99::DOUBLE, greatest(0.01::DOUBLE, least(0.40::DOUBLE, score * 12.0::DOUBLE * CASE WHEN grounded THEN 1.0::DOUBLE ELSE least(0.60::DOUBLE, greatest(0.10::DOUBLE, greatest(cosine / 0.30::DOUBLE, sparse / 25.0::DOUBLE))) END)
   + CASE WHEN exact THEN 0.35::DOUBLE WHEN mention THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN gradehit THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END + least(0.20::DOUBLE, bonus * 0.30::DOUBLE) + CASE WHEN grounded AND mandated THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END)), 4) AS score FROM grounded),

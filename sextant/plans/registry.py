@@ -51,7 +51,7 @@ def tfidf_topk(spark, d):
 
 @query(O.BM25 + O.TFIDF + O.FUSED + "SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 10")
 def rrf_fusion(spark, d):
-    return retrieval.searched(_asked(spark, d), _corpus(spark, d), k=10).select("qid", "doc_id", "score", "rank")
+    return retrieval.searched(_asked(spark, d), retrieval.index(_corpus(spark, d)), k=10).select("qid", "doc_id", "score", "rank")
 
 
 @query(O.TOKENS + "SELECT doc_id, len(words) AS tokens, len(list_distinct(words)) AS different, array_to_string(words[1:5], ' ') AS head FROM docs")
@@ -298,18 +298,29 @@ def score_entropy(spark, d):
 
 
 def _catalog(spark, d):
-    return view(spark, d, "fx_catalog").select(F.col("item_key").alias("doc_id"), F.concat_ws(" ", "item_no", "title", "department", F.array_join("keywords", " ")).alias("text"), "item_no", "status", "keywords", "item_id", "department")
+    """Items with a keyword of several words, their whole name, behind their single ones; the searched text has only those."""
+    name = F.array_join("keywords", " ")
+    return view(spark, d, "fx_catalog").select(
+        F.col("item_key").alias("doc_id"), F.concat_ws(" ", "item_no", "title", "department", name).alias("text"), "item_no", "status", F.array_append("keywords", name).alias("keywords"), "item_id", "department", F.col("title").alias("scope_text"),
+    )
 
 
 def _wanted(spark, d):
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("qid"), F.concat(F.lit("IS "), (F.col("s_suppkey") * 3).cast("string")).alias("no")).join(
-        view(spark, d, "fx_catalog").select(F.col("item_key").alias("qid"), "title"), "qid").select("qid", F.concat_ws(" ", "no", "title").alias("text"))
+    """A number, a title, a size that is no number of an item, and for some a place that asks for more."""
+    place = F.when(F.col("s_suppkey") % 4 == 1, "coastal").when(F.col("s_suppkey") % 4 == 2, "zone iv")
+    asked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("qid"), F.concat(F.lit("IS "), (F.col("s_suppkey") * 3).cast("string")).alias("no"), place.alias("place"))
+    return asked.join(view(spark, d, "fx_catalog").select(F.col("item_key").alias("qid"), "title"), "qid").select("qid", F.concat_ws(" ", "no", "title", F.lit("12 mm"), "place").alias("text"))
+
+
+def composed(q, c, **more):
+    """The composite ranking of queries against a catalogue."""
+    return ranking.composite(ranking.candidates(q, c), q, ranking.named(q, c), **more)
 
 
 @query(O.COMPOSITE + "SELECT qid, doc_id, score, grounded, rank, label FROM composite")
 def composite_rank(spark, d):
     q, c = _wanted(spark, d), _catalog(spark, d)
-    return ranking.composite(ranking.candidates(q, c), q)
+    return composed(q, c).drop("mandatory")
 
 
 @query(O.COMPOSITE_HISTORY + """SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, concat('for reference only: ', lower(status)) AS warning
@@ -322,7 +333,7 @@ def historical_search(spark, d):
     FROM asked q LEFT JOIN (SELECT * FROM composite WHERE rank = 1) c USING (qid)""")
 def recommend_batch(spark, d):
     q, c = _wanted(spark, d), _catalog(spark, d)
-    return ranking.recommended(q, ranking.composite(ranking.candidates(q, c), q))
+    return ranking.recommended(q, composed(q, c))
 
 
 # Audits
@@ -446,7 +457,7 @@ def family_lookup(spark, d):
     SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, CASE WHEN score >= 0.65 THEN 'STRONG' WHEN score >= 0.40 THEN 'MODERATE' WHEN score >= 0.25 THEN 'LOW' ELSE 'INSUFFICIENT' END AS label FROM moved""")
 def rule_rerank(spark, d):
     q, c = _wanted(spark, d), _catalog(spark, d)
-    ranked = ranking.composite(ranking.candidates(q, c), q).select("qid", "doc_id", "score").join(c.select("doc_id", "item_no"), "doc_id")
+    ranked = composed(q, c).select("qid", "doc_id", "score").join(c.select("doc_id", "item_no"), "doc_id")
     return rules.reranked(ranked, q, spark.createDataFrame(O.WEIGHTS, "ord int, word string, item_no string, weight double"))
 
 

@@ -26,6 +26,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in as many tasks as there are cores, if there were fewer; a small table in one file is otherwise one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_side(rows: DataFrame, most: int) -> DataFrame:
     """All rows, marked for broadcast only when counted and at most `most`; joins without an equality then work block by block."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
