@@ -95,9 +95,9 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import History, add, digests
     from .tables import written
 
-    # The older half of the ids is the history, the newer half comes to it; then every row is looked up.
+    # The older half of the ids, null ids with it, is the history, the newer half comes to it; then every row is looked up.
     rows = written(digests(table(spark, sf_dir, "documents")))
-    older = F.col("rid") <= F.lit(rows.agg(F.percentile_approx("rid", 0.5)).first()[0])
+    older = F.coalesce(F.col("rid") <= F.lit(rows.agg(F.percentile_approx("rid", 0.5)).first()[0]), F.lit(True))
     history = History.build(add(None, rows.where(older)))
     history = History.build(add(history, rows.where(~older)))
     return history.verdicts(rows)
