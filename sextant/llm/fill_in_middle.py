@@ -101,17 +101,22 @@ _CUT = "n long, first_bytes long, second_bytes long, first_chars long, second_ch
 _NAMES = [x.split()[0] for x in _CUT.split(", ")]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = pc.binary_length(batch.column("bytes")).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = (np.cumsum(sizes) - sizes) // BATCH_BYTES
-        for g in np.unique(group):
-            here = np.flatnonzero(group == g)
-            rows = batch.slice(int(here[0]), len(here))
-            texts = rows.column("bytes").to_pylist()
-            n, _, at, chars = cuts(texts, *(rows.column(h).to_numpy(zero_copy_only=False).astype(np.int64) for h in ("h1", "h2")))
-            new = dict(zip(_NAMES, (n, at[0], at[1], chars[0], chars[1])))
-            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x, pa.int64()) for x in new.values())], names=[*rows.schema.names, *new])
+def _cut(most: int):
+    """Batches of rows with the cuts of their texts, worked on in groups of about `most` bytes."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("bytes")).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = (np.cumsum(sizes) - sizes) // most
+            for g in np.unique(group):
+                here = np.flatnonzero(group == g)
+                rows = batch.slice(int(here[0]), len(here))
+                texts = rows.column("bytes").to_pylist()
+                n, _, at, chars = cuts(texts, *(rows.column(h).to_numpy(zero_copy_only=False).astype(np.int64) for h in ("h1", "h2")))
+                new = dict(zip(_NAMES, (n, at[0], at[1], chars[0], chars[1])))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x, pa.int64()) for x in new.values())], names=[*rows.schema.names, *new])
+
+    return emit
 
 
 def draw(seed: int, id_col: str, k: int) -> Column:
@@ -120,7 +125,7 @@ def draw(seed: int, id_col: str, k: int) -> Column:
     return F.conv(F.substring(digest, 8 * k - 7, 8), 16, 10).cast("long")
 
 
-def transform(docs: DataFrame, seed: int = 42, rate: int = 50, spm_rate: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def transform(docs: DataFrame, seed: int = 42, rate: int = 50, spm_rate: int = 80, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n (units), form, prefix_chars, middle_chars, output, for every whole text.
 
     rate percent of texts are cut, and of those spm_rate percent are written
@@ -135,7 +140,7 @@ def transform(docs: DataFrame, seed: int = 42, rate: int = 50, spm_rate: int = 8
     form = F.when((text == "") | marked | (draw(seed, id_col, 3) % 100 >= rate), "plain").when(draw(seed, id_col, 4) % 100 < spm_rate, "spm").otherwise("psm")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), form.alias("form"), draw(seed, id_col, 1).alias("h1"), draw(seed, id_col, 2).alias("h2"), text.cast("binary").alias("bytes"))
     schema = f"doc_id long, form string, h1 long, h2 long, bytes binary, {_CUT}"
-    found = rows.mapInArrow(_cut, schema)
+    found = rows.mapInArrow(_cut(batch_bytes), schema)
     piece = lambda begin, end: F.substring("bytes", begin + 1, end - begin).cast("string")
     a, b, size = F.col("first_bytes").cast("int"), F.col("second_bytes").cast("int"), F.octet_length("bytes")
     prefix, middle, suffix = piece(F.lit(0), a), piece(a, b), piece(b, size)

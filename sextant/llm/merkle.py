@@ -15,10 +15,10 @@ completes upwards; nodes at the right edge complete when the log is closed, in t
 same order.  So a subtree is one stretch of the log, and a sibling's address
 follows from its height and number alone (`position`).
 
-**Builders.**  Aligned blocks of 2^BLOCK_LEVELS leaves are built by one task each,
+**Builders.**  Aligned blocks of 2^high leaves are built by one task each,
 whatever group they are of; a block's nodes are one segment of the log, one row of
 it.  The block roots are the leaves of the next round, until one root a group
-remains.  Each round is a written table of a 2^BLOCK_LEVELS-th of the rows before.
+remains.  Each round is a written table of a 2^high-th of the rows before.
 
 **Proofs.**  A block's lower siblings all lie in its own segment.  The siblings
 over a block are the same for all its leaves: they are the proof of its root among
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .tables import written
 
+#: 2 to this power leaves are a block.
 BLOCK_LEVELS = 10
 
 
@@ -120,31 +121,34 @@ _SEGMENT = "gid long, block long, n long, nodes array<string>, root string"
 _SEGMENT_ARROW = pa.schema([("gid", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("nodes", pa.list_(pa.string())), ("root", pa.string())])
 
 
-def _build(rows: pa.Table) -> pa.Table:
-    """The segment of one block and its root."""
-    rows = rows.sort_by("i")
-    first = rows.slice(0, 1).to_pylist()[0]
-    log = log_of(rows.column("leaf").to_pylist(), min(levels(first["n"]), BLOCK_LEVELS))
-    return pa.Table.from_pylist([{"gid": first["gid"], "block": first["i"] >> BLOCK_LEVELS, "n": first["n"], "nodes": log, "root": log[-1]}], _SEGMENT_ARROW)
+def _segment(high: int):
+    """The segment of one block of 2^high leaves and its root."""
 
+    def build_one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("i")
+        first = rows.slice(0, 1).to_pylist()[0]
+        log = log_of(rows.column("leaf").to_pylist(), min(levels(first["n"]), high))
+        return pa.Table.from_pylist([{"gid": first["gid"], "block": first["i"] >> high, "n": first["n"], "nodes": log, "root": log[-1]}], _SEGMENT_ARROW)
 
-def build(leaves: DataFrame) -> list[DataFrame]:
+    return build_one
+
+
+def build(leaves: DataFrame, high: int = BLOCK_LEVELS) -> list[DataFrame]:
     """The log's segments, round by round, from leaves (gid, i, n, leaf); the last round has one segment a group, with its root."""
     rounds, rows = [], leaves.select("gid", "i", "n", "leaf")
     while True:
-        blocks = rows.withColumn("block", F.shiftright("i", BLOCK_LEVELS))
-        rounds.append(written(blocks.groupBy("gid", "block").applyInArrow(_build, _SEGMENT)))
-        if rounds[-1].where(F.col("n") > 1 << BLOCK_LEVELS).isEmpty():
+        blocks = rows.withColumn("block", F.shiftright("i", high))
+        rounds.append(written(blocks.groupBy("gid", "block").applyInArrow(_segment(high), _SEGMENT)))
+        if rounds[-1].where(F.col("n") > 1 << high).isEmpty():
             return rounds
-        rows = rounds[-1].select("gid", F.col("block").alias("i"), F.shiftright(F.col("n") + ((1 << BLOCK_LEVELS) - 1), BLOCK_LEVELS).alias("n"), F.col("root").alias("leaf"))
+        rows = rounds[-1].select("gid", F.col("block").alias("i"), F.shiftright(F.col("n") + ((1 << high) - 1), high).alias("n"), F.col("root").alias("leaf"))
 
 
-def _siblings(nodes: list[str], block: int, n: int, i: int) -> tuple[list[str | None], str]:
+def _siblings(nodes: list[str], block: int, n: int, i: int, high: int) -> tuple[list[str | None], str]:
     """The siblings of leaf i inside its block, one a level, and L, R or - for each: to the left, to the right, none."""
-    start = block << BLOCK_LEVELS
-    first = position(0, start, n)
+    first = position(0, block << high, n)
     path, sides = [], []
-    for h in range(min(levels(n), BLOCK_LEVELS)):
+    for h in range(min(levels(n), high)):
         other = (i >> h) ^ 1
         there = other << h < n
         path.append(nodes[position(h, other, n) - first] if there else None)
@@ -152,18 +156,18 @@ def _siblings(nodes: list[str], block: int, n: int, i: int) -> tuple[list[str |
     return path, "".join(sides)
 
 
-def _level(wanted: DataFrame, segments: DataFrame, above: DataFrame) -> DataFrame:
+def _level(wanted: DataFrame, segments: DataFrame, above: DataFrame, high: int) -> DataFrame:
     """wanted (gid, i, more) with path, sides, subroot and root: siblings from the segment of their block, then those over it.
 
     `above` has one row a block: gid, block, over, over_sides, subroot, root.
     """
-    rows = wanted.withColumn("block", F.shiftright("i", BLOCK_LEVELS))
+    rows = wanted.withColumn("block", F.shiftright("i", high))
     known = segments.select("gid", "block", "n", "nodes").join(above, ["gid", "block"])
     names = wanted.columns
 
     def extract(left: pa.Table, right: pa.Table) -> pa.Table:
         segment = right.to_pylist()[0]
-        found = [_siblings(segment["nodes"], segment["block"], segment["n"], i) for i in left.column("i").to_pylist()]
+        found = [_siblings(segment["nodes"], segment["block"], segment["n"], i, high) for i in left.column("i").to_pylist()]
         new = {"path": pa.array([x + segment["over"] for x, _ in found], pa.list_(pa.string())), "sides": pa.array([x + segment["over_sides"] for _, x in found], pa.string())}
         new |= {k: pa.array([segment[k]] * len(found), pa.string()) for k in ("subroot", "root")}
         return pa.Table.from_arrays([*(left.column(c) for c in names), *new.values()], names=[*names, *new])
@@ -172,7 +176,7 @@ def _level(wanted: DataFrame, segments: DataFrame, above: DataFrame) -> DataFram
     return rows.groupBy("gid", "block").cogroup(known.groupBy("gid", "block")).applyInArrow(extract, schema)
 
 
-def proofs(leaves: DataFrame, rounds: list[DataFrame], over: DataFrame | None = None) -> DataFrame:
+def proofs(leaves: DataFrame, rounds: list[DataFrame], over: DataFrame | None = None, high: int = BLOCK_LEVELS) -> DataFrame:
     """leaves (gid, i, more) with path, sides, subroot and root, from the last round down.
 
     `over` has what stands over a group's root (gid, over, over_sides, root); without
@@ -184,9 +188,9 @@ def proofs(leaves: DataFrame, rounds: list[DataFrame], over: DataFrame | None =
     else:
         above = last.join(over, "gid")
     for k in reversed(range(1, len(rounds))):
-        blocks = written(_level(rounds[k - 1].select("gid", F.col("block").alias("i")), rounds[k], above))
+        blocks = written(_level(rounds[k - 1].select("gid", F.col("block").alias("i")), rounds[k], above, high))
         above = blocks.select("gid", F.col("i").alias("block"), F.col("path").alias("over"), F.col("sides").alias("over_sides"), "subroot", "root")
-    return _level(leaves, rounds[0], above)
+    return _level(leaves, rounds[0], above, high)
 
 
 def fold(leaf: Column, path: Column, sides: Column) -> Column:
@@ -210,7 +214,7 @@ def document_leaves(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "sour
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{group_col}`").alias("grp"), leaf(own).alias("leaf"), F.when(some, leaf(more)).alias("tampered"))
 
 
-def verified(leaves: DataFrame) -> DataFrame:
+def verified(leaves: DataFrame, high: int = BLOCK_LEVELS) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified for leaves (doc_id, grp, leaf, tampered).
 
     A tree a group, its leaves by doc_id, null ids first, then by digest, so rows
@@ -221,10 +225,10 @@ def verified(leaves: DataFrame) -> DataFrame:
     """
     rows, groups = indexed(leaves.select("doc_id", "grp", "leaf", "tampered"), ["doc_id", "leaf"])
     rows = written(rows.select("gid", "i", "n", "doc_id", "leaf", "tampered"))
-    rounds = build(rows)
+    rounds = build(rows, high)
     subroots = rounds[-1].select(F.lit(0).cast("long").alias("gid"), F.col("gid").alias("i"), F.lit(groups).cast("long").alias("n"), F.col("root").alias("leaf"))
-    top = written(proofs(subroots.select("gid", "i"), build(subroots)))
+    top = written(proofs(subroots.select("gid", "i"), build(subroots, high), high=high))
     over = top.select(F.col("i").alias("gid"), F.col("path").alias("over"), F.col("sides").alias("over_sides"), "root")
-    out = proofs(rows.select("gid", "i", "doc_id", "leaf", "tampered"), rounds, over)
+    out = proofs(rows.select("gid", "i", "doc_id", "leaf", "tampered"), rounds, over, high)
     folded = out.withColumn("folded_root", fold(F.coalesce("tampered", "leaf"), F.col("path"), F.col("sides")))
     return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("path", ""), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), "path", "sides")

@@ -89,19 +89,26 @@ def small_side(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def by_place(docs: DataFrame, *wanted: str) -> DataFrame:
+    """docs with the wanted columns under their names and all others as `extra_0`, `extra_1`, by place; whatever they were called, nothing clashes.
+
+    `toDF(*docs.columns)` gives the old names back to columns in the old order.
+    """
+    return docs.toDF(*(c if c in wanted else f"extra_{k}" for k, c in enumerate(docs.columns)))
+
+
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without rows whose (rd, rt) of `keyed_texts` is in dropped; of rows that repeat id and text, one stays.
 
     Ids of what is dropped are sent to the documents, not documents to them,
     while they are few.
     """
-    names = docs.columns
     rd, rt = row_key(id_col, text_col)
-    keyed = docs.select(*(F.col(f"`{c}`") for c in names), rd.alias("__rd"), rt.alias("__rt"))
-    gone = dropped.select(F.col("rd").alias("__rd"), F.col("rt").alias("__rt")).distinct()
-    kept = keyed.join(small_side(written(gone)), ["__rd", "__rt"], "left_anti")
-    twice = small_side(written(keyed.groupBy("__rd", "__rt").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")))
+    keyed = by_place(docs, id_col, text_col).withColumns({"rd_": rd, "rt_": rt})
+    gone = dropped.select(F.col("rd").alias("rd_"), F.col("rt").alias("rt_")).distinct()
+    kept = keyed.join(small_side(written(gone)), ["rd_", "rt_"], "left_anti")
+    twice = small_side(written(keyed.groupBy("rd_", "rt_").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")))
     if not twice.isEmpty():
-        more = kept.join(twice, ["__rd", "__rt"], "left_semi").dropDuplicates(["__rd", "__rt"])
-        kept = kept.join(twice, ["__rd", "__rt"], "left_anti").unionByName(more)
-    return kept.select(*(F.col(f"`{c}`") for c in names))
+        more = kept.join(twice, ["rd_", "rt_"], "left_semi").dropDuplicates(["rd_", "rt_"])
+        kept = kept.join(twice, ["rd_", "rt_"], "left_anti").unionByName(more)
+    return kept.drop("rd_", "rt_").toDF(*docs.columns)
