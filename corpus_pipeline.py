@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm import exact_dedup, jaccard_join, packing, phrase_automata, quality_crf
-from sextant.llm.tables import table, written
+from sextant.llm.tables import by_place, table, written
 
 #: Documents whose quality is under this go.
 LEAST_QUALITY = 0.7
@@ -31,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels every score is one half, and all documents go.
     """
     model = quality_crf.fit(docs, table(spark, sf_dir, "labels").where(~quality_crf.held_out()))
-    kept = quality_crf.score(docs.withColumnRenamed("score", "_score"), model).where(F.col("score") >= LEAST_QUALITY).drop("score")
-    return kept.withColumnRenamed("_score", "score")
+    kept = quality_crf.score(by_place(docs, "doc_id", "text"), model).where(F.col("score") >= LEAST_QUALITY).drop("score")
+    return kept.toDF(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
