@@ -16,6 +16,7 @@ neighbours on either side are looked at.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,11 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), _BETWEEN, " "))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, also where a lambda inside uses it for each element and the optimizer moves the expression into a filter."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _gate(norm: Column, triggers: set[str]) -> Column:
     """Whether a text holds any trigger; one that has another inside needn't be asked for."""
     least = sorted(t for t in triggers if not any(t != other and other in t for other in triggers))
@@ -60,13 +66,16 @@ def scan(docs: DataFrame, base: dict[str, str], signatures: list[Rule] = RULES,
     plain = rules("\n".join(f"0 {label} {phrase}" for phrase, label in base.items())) if base else []
     both = [*plain, *signatures]
     first_words = sorted({r.keyword.split(" ")[0] for r in both})
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    n_words = F.when(F.col("norm") == "", F.lit(0)).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "))) + 1).cast("long")
-    gated = F.when(_gate(F.col("norm"), {r.trigger for r in both}), F.split("norm", " ")).otherwise(F.array().cast("array<string>"))
-    rows = rows.select("doc_id", n_words.alias("n_words"), gated.alias("words"))
+    def read(n: Column) -> Column:
+        count = F.when(n == "", F.lit(0)).otherwise(F.length(n) - F.length(F.replace(n, F.lit(" "))) + 1).cast("long")
+        gated = F.when(_gate(n, {r.trigger for r in both}), F.split(n, " ")).otherwise(F.array().cast("array<string>"))
+        return F.struct(count.alias("n_words"), gated.alias("words"))
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _let(normalised(F.col(text_col)), read).alias("text"))
 
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0))), lambda i: F.get("words", i).isin(first_words))
-    ahead = F.transform(at, lambda i: F.struct(i.alias("at"), F.get("words", i).alias("word"), F.array_join(F.slice("words", i + 1, LONGEST), " ").alias("ahead")))
+    def ahead(words: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: F.get(words, i).isin(first_words))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.get(words, i).alias("word"), F.array_join(F.slice(words, i + 1, LONGEST), " ").alias("ahead")))
 
     def matches(place: Column) -> Column:
         def one(r: Column) -> Column:
@@ -75,18 +84,19 @@ def scan(docs: DataFrame, base: dict[str, str], signatures: list[Rule] = RULES,
 
         return F.filter(F.transform(F.element_at(_by_word(both), place["word"]), one), lambda m: m["short"] < 0)
 
-    found = F.filter(F.transform(ahead, lambda p: F.struct(p["at"].alias("start"), matches(p).alias("m"))), lambda x: F.size(x["m"]) > 0)
-    rows = rows.select("doc_id", "n_words", found.alias("found"))
+    found = F.filter(F.transform(_let(F.col("text.words"), ahead), lambda p: F.struct(p["at"].alias("start"), matches(p).alias("m"))), lambda x: F.size(x["m"]) > 0)
+    rows = rows.select("doc_id", "text.n_words", found.alias("found"))
     places = F.flatten(F.transform("found", lambda x: F.transform(F.filter(x["m"], lambda m: m["rank"] == 0), lambda m: F.struct(x["start"].cast("long").alias("start"), m["label"].alias("label")))))
     best = F.filter(F.transform("found", lambda x: F.struct(x["start"].alias("start"), F.array_min(F.filter(x["m"], lambda m: m["rank"] > 0)).alias("m"))), lambda x: x["m"].isNotNull())
     spans = F.transform(best, lambda x: F.struct(x["start"].cast("long").alias("start"), (x["start"] + x["m"]["n"]).cast("long").alias("end"), x["m"]["rank"].alias("rank"), x["m"]["label"].alias("label"), x["m"]["rule"].alias("rule")))
     rows = rows.select("doc_id", "n_words", places.alias("base_places"), spans.alias("spans"))
 
-    def stays(d: Column, k: Column) -> Column:
-        near = F.slice("spans", F.greatest(k + 1 - LONGEST, F.lit(1)), 2 * LONGEST)
+    def stays(spans: Column, d: Column, k: Column) -> Column:
+        near = F.slice(spans, F.greatest(k + 1 - LONGEST, F.lit(1)), 2 * LONGEST)
         return ~F.exists(near, lambda e: (e["start"] < d["end"]) & (d["start"] < e["end"]) & ((e["rank"] < d["rank"]) | ((e["rank"] == d["rank"]) & (e["start"] != d["start"]) & (e["start"] <= d["start"]) & (e["end"] >= d["end"]))))
 
-    return rows.select("doc_id", "n_words", "base_places", F.filter("spans", stays).alias("detections"))
+    kept = _let(F.col("spans"), lambda spans: F.filter(spans, lambda d, k: stays(spans, d, k)))
+    return rows.select("doc_id", "n_words", "base_places", kept.alias("detections"))
 
 
 def labels(scanned: DataFrame) -> DataFrame:
