@@ -42,6 +42,37 @@ def governing(status: DataFrame) -> DataFrame:
     )
 
 
+def governing_asof(orders: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same as `governing` for the asked pairs (item_id, evaluation_date) of items that have orders, without every order at every date.
+
+    Orders and asked dates of an item are sorted together, and the last order in
+    force is carried along; before the first, the latest order is the pending
+    one.  What doesn't depend on the date is one row an item.  Orders are first
+    reduced to one a day, and repeated pairs count once, so an item sorts days,
+    however often it is asked for.
+    """
+    rows = dated(orders).select("item_id", "order_id", "order_no", "order_name", "effective_date", "standing")
+    lively = F.col("standing").isNull() & F.col("effective_date").isNotNull()
+    one = F.struct("order_id", "order_name", "effective_date")
+    rank = F.coalesce(*(F.when(F.coalesce("standing", F.lit("UNVERIFIED_EFFECTIVE_DATE")) == s, p) for s, p in PRIORITY.items()))
+    place = F.struct(rank, F.coalesce(F.col("effective_date").cast("string"), F.lit("")), -F.col("order_no"))
+    about = rows.groupBy("item_id").agg(
+        F.max_by(F.when(lively, one), F.when(lively, place)).alias("latest"), F.max_by(F.when(~lively, one), F.when(~lively, place)).alias("idle"),
+        F.max_by(F.when(~lively, F.coalesce("standing", F.lit("UNVERIFIED_EFFECTIVE_DATE"))), F.when(~lively, place)).alias("idle_status"), F.count(F.lit(1)).alias("orders"), F.collect_set("order_name").alias("names"),
+    )
+    days = rows.where(lively).groupBy("item_id", F.col("effective_date").alias("day")).agg(F.min_by(one, "order_no").alias("o"))
+    wanted = asked.select("item_id", F.col("evaluation_date").alias("day")).distinct()
+    both = days.withColumn("asked", F.lit(False)).unionByName(wanted.withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    sweep = Window.partitionBy("item_id").orderBy("day", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("held", F.last("o", ignorenulls=True).over(sweep)).where("asked").select("item_id", F.col("day").alias("evaluation_date"), "held")
+    status = F.when(F.col("held").isNotNull(), "MANDATORY_IN_FORCE").when(F.col("latest").isNotNull(), "PENDING_FUTURE_DATE").otherwise(F.col("idle_status"))
+    out = held.join(about, "item_id").withColumn("g", F.coalesce("held", "latest", "idle")).withColumn("temporal_status", status)
+    return out.select(
+        "item_id", "evaluation_date", "g.order_id", "temporal_status", F.col("g.effective_date").alias("effective_date"), "orders", (F.size("names") - 1).cast("long").alias("competing"),
+        F.array_join(F.sort_array(F.array_except("names", F.array("g.order_name"))), "; ").alias("others"), (F.col("temporal_status") == "MANDATORY_IN_FORCE").alias("is_mandatory")
+    )
+
+
 def mandated(orders: DataFrame, edges: DataFrame) -> DataFrame:
     """orders (order_id, …) once for each item that a MANDATED_BY edge leads from, as item_id."""
     links = edges.where("relationship = 'MANDATED_BY'").select(F.col("source").alias("item_id"), F.col("target").alias("order_id")).distinct()

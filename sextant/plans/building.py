@@ -15,7 +15,7 @@ from ..sources import readers
 from ..sources.scratch import written
 from . import oracle as O
 from .fixtures import table, view, with_views
-from .registry import _GOVERNING, DATES, _catalog, _status, _wanted, query
+from .registry import _GOVERNING, DATES, _catalog, _governed, _wanted, query
 
 # Documents
 
@@ -81,7 +81,7 @@ def indic_scripts(spark, d):
 @query(with_views("fx_orders") + "," + _GOVERNING + """ SELECT item_id, evaluation_date, concat('Supplies shall conform to ', replace(item_id, '_', ' '), CASE temporal_status WHEN 'MANDATORY_IN_FORCE' THEN concat(' and bear the standard mark, under ', order_name, ' in force since ', CAST(effective_date AS VARCHAR), '.')
     WHEN 'PENDING_FUTURE_DATE' THEN concat('; the standard mark becomes mandatory on ', CAST(effective_date AS VARCHAR), ' under ', order_name, '.') WHEN 'RESCINDED' THEN concat('; ', order_name, ' is rescinded, the mark is voluntary.') ELSE concat('; the date of ', order_name, ' is not verified.') END) AS clause FROM placed WHERE place = 1""")
 def order_clauses(spark, d):
-    own = orders.governing(_status(spark, d)).join(view(spark, d, "fx_orders").select("order_id", "order_name"), "order_id")
+    own = _governed(spark, d).join(view(spark, d, "fx_orders").select("order_id", "order_name"), "order_id")
     text = documents.clause_text(F.replace("item_id", F.lit("_"), F.lit(" ")), F.col("temporal_status"), F.col("order_name"), F.col("effective_date"))
     return own.select("item_id", "evaluation_date", text.alias("clause"))
 
@@ -273,7 +273,7 @@ def department_clusters(spark, d):
     SELECT concat('IS_', p_partkey) AS item_id, coalesce(o.order_id, n.order_id) AS order_id, CASE WHEN o.order_id IS NULL THEN s.source END AS via FROM part LEFT JOIN own o ON o.item_id = concat('IS_', p_partkey)
     LEFT JOIN (SELECT * FROM fx_supersedes WHERE target LIKE '%1') s ON s.target = concat('IS_', p_partkey) LEFT JOIN own n ON n.item_id = s.source WHERE o.order_id IS NOT NULL OR n.order_id IS NOT NULL""")
 def inherited_orders(spark, d):
-    best = orders.governing(_status(spark, d)).where("evaluation_date = '1998-01-01'").join(view(spark, d, "fx_orders").select("order_id", "order_no"), "order_id")
+    best = _governed(spark, d).where("evaluation_date = '1998-01-01'").join(view(spark, d, "fx_orders").select("order_id", "order_no"), "order_id")
     own = best.where("order_no % 3 > 0 and item_id not like '%1'").select("item_id", "order_id")
     ends = graph.chain_ends(view(spark, d, "fx_supersedes").where("target like '%1'").select(F.col("target").alias("node"), F.col("source").alias("next")))
     items = view(spark, d, "fx_catalog").select("item_id")
@@ -287,7 +287,7 @@ def inherited_orders(spark, d):
     FROM fx_catalog LEFT JOIN refs USING (item_id) LEFT JOIN cites USING (item_id) LEFT JOIN own USING (item_id)""")
 def one_hop_mandate(spark, d):
     near = graph.neighbour_counts(view(spark, d, "fx_edges")).withColumnRenamed("node", "item_id")
-    own = orders.governing(_status(spark, d)).where("evaluation_date = '1998-01-01'").select("item_id", "temporal_status", "is_mandatory")
+    own = _governed(spark, d).where("evaluation_date = '1998-01-01'").select("item_id", "temporal_status", "is_mandatory")
     none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     rows = view(spark, d, "fx_catalog").select("item_id").join(near, "item_id", "left").join(own, "item_id", "left")
     return rows.select("item_id", *map(none, ("normative_references", "test_methods", "cited_by")), "temporal_status", F.coalesce("is_mandatory", F.lit(False)).alias("is_mandatory"))
@@ -327,7 +327,7 @@ _WITH_EXTRA = O.composite_sql(views=with_views("fx_catalog", "fx_orders") + ","
 
 
 def _in_force(spark, d):
-    own = orders.governing(_status(spark, d)).where("is_mandatory and evaluation_date = '1998-01-01'").select("item_id")
+    own = _governed(spark, d).where("is_mandatory and evaluation_date = '1998-01-01'").select("item_id")
     return own.join(view(spark, d, "fx_catalog"), "item_id").select(F.col("item_key").alias("doc_id")).distinct()
 
 
@@ -466,7 +466,7 @@ def _verdicts(spark, d, told, governed):
 
 @query(_VERDICTS + "SELECT qid, status, doc_id, score, candidates, order_id, temporal_status, mandatory FROM answers")
 def recommendations(spark, d):
-    return _verdicts(spark, d, written(_told(spark, d)), orders.governing(_status(spark, d)))
+    return _verdicts(spark, d, written(_told(spark, d)), _governed(spark, d))
 
 
 @query(_VERDICTS + """SELECT count(*) AS cases, round(count(*) FILTER (code = 'ACTIVE_STANDARD' AND doc_id = replace(answers.cited, 'IS_', '')::BIGINT) / nullif(count(*) FILTER (code = 'ACTIVE_STANDARD'), 0), 6) AS retrieval_accuracy,
@@ -474,7 +474,7 @@ def recommendations(spark, d):
     round(count(*) FILTER (qid % 20 = 1 AND replacement = concat('IS_', qid + 1)) / nullif(count(*) FILTER (qid % 20 = 1), 0), 6) AS replacement_accuracy, round(count(*) FILTER (qid % 20 IN (0, 4) AND status = 'NEEDS_CONTEXT') / nullif(count(*) FILTER (qid % 20 IN (0, 4)), 0), 6) AS branching_safety,
     round(count(*) FILTER (code = 'ACTIVE_STANDARD' AND temporal_status = named_status) / nullif(count(*) FILTER (code = 'ACTIVE_STANDARD' AND named_status IS NOT NULL), 0), 6) AS temporal_accuracy, round(count(*) FILTER (qid % 20 IN (6, 7) AND status <> 'RECOMMENDED') / nullif(count(*) FILTER (qid % 20 IN (6, 7)), 0), 6) AS abstention FROM answers LEFT JOIN (SELECT item_id AS cited, evaluation_date, temporal_status AS named_status FROM own) n ON n.cited = answers.cited AND n.evaluation_date = """ + _AT)
 def verdict_metrics(spark, d):
-    told, governed = written(_told(spark, d)), written(orders.governing(_status(spark, d)))
+    told, governed = written(_told(spark, d)), written(_governed(spark, d))
     last, turn = F.col("qid") % 20, F.col("doc_id") % 10
     date = F.to_date(F.when(F.col("qid") % 3 == 0, DATES[0]).when(F.col("qid") % 3 == 1, DATES[1]).otherwise(DATES[2]))
     said = told.select("qid", "code", "cited", "replacement", date.alias("evaluation_date")).join(governed.select(F.col("item_id").alias("cited"), "evaluation_date", F.col("temporal_status").alias("named_status")), ["cited", "evaluation_date"], "left")

@@ -115,6 +115,13 @@ def _status(spark, d):
     return orders.status_asof(view(spark, d, "fx_orders"), dates)
 
 
+def _governed(spark, d):
+    """The governing order of every item that has orders, at the three dates."""
+    rows = view(spark, d, "fx_orders")
+    asked = rows.select("item_id").distinct().select("item_id", F.explode(F.array(*(F.to_date(F.lit(x)) for x in DATES))).alias("evaluation_date"))
+    return orders.governing_asof(rows, asked)
+
+
 @query(with_views("fx_orders") + "," + _STATUS + " SELECT order_id, evaluation_date, effective_date, temporal_status FROM status")
 def order_status_asof(spark, d):
     return _status(spark, d).select("order_id", "evaluation_date", "effective_date", "temporal_status")
@@ -122,7 +129,7 @@ def order_status_asof(spark, d):
 
 @query(with_views("fx_orders") + "," + _GOVERNING + " SELECT item_id, evaluation_date, order_id, temporal_status, effective_date, orders, competing, others, temporal_status = 'MANDATORY_IN_FORCE' AS is_mandatory FROM placed JOIN names USING (item_id, evaluation_date) WHERE place = 1")
 def governing_order(spark, d):
-    return orders.governing(_status(spark, d))
+    return _governed(spark, d)
 
 
 # Revisions
