@@ -8,11 +8,12 @@ a sum over a query's terms of weight times impact; its index has
   impact, a row says its largest (`top`), and rows lie by term;
 * `terms`: each term's largest impact and what its weight follows from.
 
-A search that asks for many postings doesn't score them all.  First blocks alone give
-each query a score that its k-th best document reaches at least.  Then terms whose
-largest contributions together stay below it are left out, of the others only those
-blocks are scored that can still reach it; of the rest, only postings of documents
-that may be among the k best are added.  The result is that of scoring everything.
+A search that asks for many postings doesn't score them all.  The k documents that
+do best in first blocks, scored exactly, give a score that k reach.  Then terms
+whose largest contributions together stay below it are left out, of the others only
+those blocks are scored that can still reach it; of the rest, only postings of
+documents that may be among the k best are added.  The result is that of scoring
+everything.
 """
 
 from __future__ import annotations
@@ -143,11 +144,16 @@ def _posted(blocks: DataFrame) -> DataFrame:
 
 
 def thresholds(asked: DataFrame, ranking: Ranking, k: int) -> DataFrame:
-    """qid, least: a score that k documents reach for certain, from each term's first blocks; queries with fewer documents there have none."""
-    heads = ranking.lists.where("block = 0").join(small(asked.select("qid", "term", "weight")), "term")
-    lows = asked.groupBy("qid").agg(F.sum(F.least(F.lit(0.0), F.col("weight") * F.col("top"))).alias("low"))
-    partial = _posted(heads).groupBy("qid", "doc_id").agg(F.sum(F.greatest(F.lit(0.0), F.col("weight") * F.col("impact"))).alias("score"))
-    return top_k(partial, k).where(F.col("rank") == k).join(lows, "qid").select("qid", (F.col("score") + F.col("low") - SLACK).alias("least"))
+    """qid, least: a score that k documents reach for certain; queries for which first blocks hold fewer have none.
+
+    The k documents that do best in their terms' first blocks are scored exactly.
+    """
+    blocks = ranking.lists.join(small(asked.select("qid", "term", "weight")), "term")
+    part = F.col("weight") * F.col("impact")
+    partial = _posted(blocks.where("block = 0")).groupBy("qid", "doc_id").agg(F.sum(F.greatest(F.lit(0.0), part)).alias("score"))
+    seeds = written(top_k(partial, k).select("qid", "doc_id"))
+    exact = _posted(blocks).join(small(seeds), ["qid", "doc_id"]).groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+    return exact.groupBy("qid").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select("qid", (F.col("least") - SLACK).alias("least"))
 
 
 def planned(asked: DataFrame, ranking: Ranking, least: DataFrame) -> tuple[DataFrame, DataFrame]:
