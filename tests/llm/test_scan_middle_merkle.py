@@ -184,3 +184,22 @@ def test_merkle_manifest(spark, high):
     got = merkle.verified(merkle.document_leaves(docs), high).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
     assert rows_of(got) == want
     assert merkle.verified(merkle.document_leaves(docs.limit(0))).count() == 0
+
+
+def test_exact_dedup_query_on_null_ids(spark, tmp_path):
+    from sextant.llm import queries
+
+    rows = [(1, "a"), (4, "a"), (None, "a"), (None, "c"), (None, "c"), (2, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(tuple(r) for r in queries.QUERIES["op5_exact_dedup"](spark, str(tmp_path)).select("doc_id", "keep_id", "group_size", "kept").collect())
+    assert {k[1:3] for k in got if k[0] is None} == {(4, 3), (None, 2)} and sum(got.values()) == 7
+    assert got[(1, 4, 3, False)] == got[(4, 4, 3, True)] == got[(2, 3, 2, False)] == got[(3, 3, 2, True)] == 1
+
+
+def test_columns_of_any_name_stay(spark):
+    from sextant.llm import exact_dedup, jaccard_join
+
+    names = ["doc_id", "Score", "_score", "__rd", "rd_", "extra_1", "a.b", "text"]
+    docs = spark.createDataFrame([(1, 1, 2, 3, 4, 5, 6, "x y"), (2, 1, 2, 3, 4, 5, 6, "x y"), (3, 7, 7, 7, 7, 7, 7, "z")], names)
+    for kept, ids in ((exact_dedup.keep_one(docs), [2, 3]), (jaccard_join.keep_one(docs, shingle=5, at_least=75), [1, 3])):
+        assert kept.columns == names and sorted(r[0] for r in kept.collect()) == ids
