@@ -55,11 +55,29 @@ def one_hop(edges: DataFrame) -> DataFrame:
     return both_ways(edges).withColumn("category", category).where("category is not null").select("node", "neighbour", "category").distinct()
 
 
+def _nearest(near: DataFrame, most: int | None) -> DataFrame:
+    """node, neighbour: all different pairs, or the `most` smallest neighbours of each node; a hub is cut before it is shuffled."""
+    pairs = near.select("node", "neighbour").distinct()
+    if most is None:
+        return pairs
+    order = Window.partitionBy("node").orderBy("neighbour")
+    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+
+
 def two_hop(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
-    """seed, id, hop: both directions from the seed, then out-edges only; a node keeps its first hop, and the nearest `most` stay."""
-    start = seeds.select(F.col("id").alias("seed"))
-    first = start.join(both_ways(edges).select(F.col("node").alias("seed"), F.col("neighbour").alias("id")), "seed").distinct()
-    second = first.join(edges.select(F.col("source").alias("id"), F.col("target").alias("next")), "id").select("seed", F.col("next").alias("id"))
+    """seed, id, hop: both directions from the seed, then out-edges only; a node keeps its first hop, and the nearest `most` stay, ties to smaller ids.
+
+    With `most`, no node passes on more than so many neighbours: of those at most
+    as many are near already as leave room for fewer, so the rows are those of the
+    whole expansion.  Seeds that are full after the first hop make no second one.
+    """
+    start = seeds.select(F.col("id").alias("seed")).distinct()
+    first = start.join(_nearest(both_ways(edges), most).select(F.col("node").alias("seed"), F.col("neighbour").alias("id")), "seed").where("id != seed")
+    onward = first
+    if most is not None:
+        onward = first.join(first.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 < most).select("seed"), "seed", "left_semi")
+    out = _nearest(edges.select(F.col("source").alias("node"), F.col("target").alias("neighbour")), most).select(F.col("node").alias("id"), F.col("neighbour").alias("next"))
+    second = onward.join(out, "id").select("seed", F.col("next").alias("id"))
     found = start.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hop")).unionByName(first.withColumn("hop", F.lit(1))).unionByName(second.withColumn("hop", F.lit(2)))
     found = found.groupBy("seed", "id").agg(F.min("hop").alias("hop"))
     if most is None:
@@ -68,6 +86,22 @@ def two_hop(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> Data
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
 
+def neighbourhood(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The nodes of `two_hop`, and its links: seed, source, target, relationship.
+
+    Links are the different edges that an expansion follows (all of the seed's, and
+    those that leave nodes of the first hop) between nodes that stay.
+    """
+    nodes = written(two_hop(edges, seeds, most))
+    kept = nodes.select("id").distinct()
+    among = edges.select("source", "target", "relationship").join(kept.withColumnRenamed("id", "source"), "source", "left_semi").join(kept.withColumnRenamed("id", "target"), "target", "left_semi").distinct()
+    among = written(among)
+    leaving = nodes.where("hop < 2").select("seed", F.col("id").alias("source")).join(among, "source").join(nodes.select("seed", F.col("id").alias("target")), ["seed", "target"], "left_semi")
+    coming = nodes.where("hop = 0").select("seed", F.col("id").alias("target")).join(among, "target").join(nodes.select("seed", F.col("id").alias("source")), ["seed", "source"], "left_semi")
+    links = leaving.select("seed", "source", "target", "relationship").unionByName(coming.select("seed", "source", "target", "relationship"))
+    return nodes, links.distinct()
+
+
 def subgraph(edges: DataFrame, roots: DataFrame, with_orders: bool = True, most: int | None = None) -> DataFrame:
     """Distinct out-edges of the roots; with `most`, so many of each root, by relationship and target."""
     kept = edges if with_orders else edges.where("relationship != 'MANDATED_BY'")
@@ -187,6 +221,20 @@ def path_steps(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> D
     return told.select("source", "target", "step", "node", F.when(F.col("step") == 0, first).otherwise(F.coalesce("forth", F.concat(F.lit("INVERSE_"), "back"))).alias("relationship"))
 
 
+def path_checks(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """source, target, nodes, last, broken of every path of `path_steps`: how many nodes it has, its last step, and how many steps follow no edge of their relationship."""
+    w = Window.partitionBy("source", "target").orderBy("step")
+    rows = steps.withColumn("before", F.lag("node").over(w))
+    back = F.startswith("relationship", F.lit("INVERSE_"))
+    rows = rows.withColumns({"a": F.when(back, F.col("node")).otherwise(F.col("before")), "b": F.when(back, F.col("before")).otherwise(F.col("node")), "kind": F.regexp_replace("relationship", "^INVERSE_", "")})
+    known = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("relationship").alias("kind")).distinct().withColumn("known", F.lit(True))
+    told = rows.join(known, ["a", "b", "kind"], "left")
+    at_ends = ((F.col("step") == 0) & (F.col("node") != F.col("source"))) | F.col("known").isNull() & (F.col("step") > 0)
+    ends = F.max_by("node", "step")
+    sums = told.groupBy("source", "target").agg(F.count(F.lit(1)).alias("nodes"), F.max("step").cast("long").alias("last"), F.count_if(at_ends).alias("wrong"), ends.alias("end"))
+    return sums.select("source", "target", "nodes", "last", (F.col("wrong") + F.when(F.col("end") != F.col("target"), 1).otherwise(0)).alias("broken"))
+
+
 def neighbour_counts(edges: DataFrame) -> DataFrame:
     """node, and how many different neighbours of each category `one_hop` has for it."""
     kinds = ("normative_references", "test_methods", "orders", "cited_by")

@@ -9,9 +9,10 @@ from ..functions.text import band, bounded_score
 from ..sources.scratch import small_side, written
 from . import constraints, ranking, slots
 from .graph import resolved
+from .matching import MOST_RULES, literal, matched
 from .ranking import CITED, OBSOLETE
 from .retrieval import Index, index, small, top_k
-from .rules import MOST_RULES
+from .rules import provenance
 
 # Limits of a broad term, and what a replacement and a nudge score.
 BROAD_TOKENS, PROMOTED, NUDGE, NUDGE_BELOW = 3, 0.99, 0.05, 0.25
@@ -57,9 +58,41 @@ def supersession(queries: DataFrame, catalog: DataFrame, alias: DataFrame, edges
     return rows.select("qid", "raw", "cited", "code", to.alias("replacement"), left.cast("long").alias("alternatives"))
 
 
+def replacement_options(told: DataFrame, edges: DataFrame, branches: DataFrame, chain: DataFrame) -> DataFrame:
+    """qid, code, options of every query of `supersession`: what its citation may be replaced by.
+
+    An option is a struct: item_id, chosen (the replacement), level, keyword and
+    description.  Options are the branches of an item (level CURATED, with the
+    words that choose them), the sources of its SUPERSEDES edges (source, target,
+    description: CHRONOLOGICAL_INFERRED or CURATED_UNVERIFIED by what the edge says
+    of itself), and, where there are neither, the end of its chain (CHAIN_END); of
+    one item, the first of these.  Options go by item; queries that ask for no
+    replacement have an empty array.
+    """
+    none = F.lit(None).cast("string")
+    option = lambda item, kind, level, keyword, text: F.struct(item.alias("item_id"), F.lit(kind).alias("kind"), level.alias("level"), keyword.alias("keyword"), text.alias("description")).alias("o")
+    open_told = told.where(F.col("code").isin("RESOLVED", "AMBIGUOUS_BRANCHING", "CONTEXTUAL_BRANCH_SELECTED")).select("qid", "cited", "replacement")
+    items = open_told.select("cited").distinct()
+    by_branch = branches.select(F.col("item_id").alias("cited"), option(F.col("replacement"), 0, F.lit("CURATED"), F.col("keyword"), none))
+    newer = edges.where("relationship = 'SUPERSEDES'").select(F.col("target").alias("cited"), option(F.col("source"), 1, provenance(F.coalesce("description", F.lit(""))), none, F.col("description")))
+    known = written(by_branch.unionByName(newer).join(items, "cited", "left_semi"))
+    ends = chain.join(items, F.col("node") == F.col("cited"), "left_semi").join(known, F.col("node") == F.col("cited"), "left_anti").where("end != node")
+    last = ends.select(F.col("node").alias("cited"), option(F.col("end"), 2, F.lit("CHAIN_END"), none, none))
+    each = known.unionByName(last).groupBy("cited", "o.item_id").agg(F.min("o").alias("o"))
+    rows = open_told.join(each.select("cited", "o"), "cited")
+    found = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("o.item_id", F.coalesce(F.col("o.item_id") == F.col("replacement"), F.lit(False)).alias("chosen"), "o.level", "o.keyword", "o.description"))).alias("options"))
+    out = told.select("qid", "code").join(found, "qid", "left")
+    return out.select("qid", "code", F.coalesce("options", F.array().cast(found.schema["options"].dataType)).alias("options"))
+
+
 def idioms(texts: DataFrame, rules: DataFrame, id_col: str = "qid") -> DataFrame:
-    """id_col, expansion: additions of all rules (ord, pattern, addition) whose pattern the text matches, in their order; empty without one."""
-    hits = texts.select(id_col, F.lower("text").alias("low")).join(small_side(rules, MOST_RULES), F.regexp_like(F.col("low"), F.col("pattern")))
+    """id_col, expansion: additions of all rules (ord, pattern, addition) whose pattern the text matches, in their order; empty without one.
+
+    Rules may have `needs`, a phrase in small letters that all matches of theirs
+    hold; those that have it are looked at only where it stands.
+    """
+    needs = F.coalesce("needs", literal(F.col("pattern"))) if "needs" in rules.columns else literal(F.col("pattern"))
+    hits = matched(texts, rules, id_col, F.lower("text"), needs, F.regexp_like("low", F.col("pattern")))
     hits = hits.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "addition"))), lambda h: h["addition"]), " ").alias("expansion"))
     return texts.select(id_col).join(hits, id_col, "left").select(id_col, F.coalesce("expansion", F.lit("")).alias("expansion"))
 

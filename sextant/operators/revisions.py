@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import keep_first
+from .rules import either_contains
 
 
 def distinct_years(revisions: DataFrame) -> DataFrame:
@@ -40,3 +41,24 @@ def timeline(revisions: DataFrame) -> DataFrame:
     return distinct_years(revisions).groupBy("base").agg(
         F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.array_join(F.transform(F.sort_array(F.collect_list("year")), lambda y: y.cast("string")), ">").alias("milestones")
     )
+
+
+def milestones(items: DataFrame, marks: DataFrame, revisions: DataFrame) -> DataFrame:
+    """item_id, designator, origin, milestones (an array of year, revision, event by year) of every item (item_id, item_no).
+
+    marks: ord, designator, year, revision, event.  The first designator that an
+    item's number holds, or that holds it, gives its milestones (origin curated);
+    other items have their revisions (base, year, rev_no; base is an item's number),
+    one a year, without an event (origin revisions), or an empty array (none).
+    """
+    names = marks.groupBy(F.col("designator").alias("keyword")).agg(F.min("ord").alias("ord")).withColumn("rule_id", F.col("keyword"))
+    told = items.select("item_id", "item_no").join(either_contains(items.where("item_no != ''"), names, "item_id", "item_no").withColumnRenamed("rule_id", "designator"), "item_id", "left")
+    mark = F.sort_array(F.collect_list(F.struct("year", "revision", "event")))
+    curated = marks.groupBy("designator").agg(mark.alias("curated"))
+    own = distinct_years(revisions).select(F.col("base").alias("item_no"), "year", F.col("rev_no").alias("revision"), F.lit(None).cast("string").alias("event"))
+    # Only items without marks look at revisions.
+    own = own.join(told.where("designator is null").select("item_no"), "item_no", "left_semi").groupBy("item_no").agg(mark.alias("own"))
+    rows = told.join(curated, "designator", "left").join(own, "item_no", "left")
+    origin = F.when(F.col("curated").isNotNull(), "curated").when(F.col("designator").isNull() & F.col("own").isNotNull(), "revisions").otherwise("none")
+    marked = F.coalesce("curated", F.when(F.col("designator").isNull(), F.col("own")), F.array().cast(curated.schema["curated"].dataType))
+    return rows.select("item_id", "designator", origin.alias("origin"), marked.alias("milestones"))

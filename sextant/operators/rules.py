@@ -6,24 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import band, bounded_score
-from ..sources.scratch import small_side
-
-#: Rules are mostly a table that a person writes; up to this many rows are broadcast, more are joined in shuffles or blocks.
-MOST_RULES = 10_000
+from .matching import MOST_RULES, contained, literal, matched  # noqa: F401  MOST_RULES is part of this module's interface
 
 
 def first_match(texts: DataFrame, rules: DataFrame, id_col: str, whole_word: bool = True, default: str | None = None) -> DataFrame:
     """id_col, rule_id of the first rule (rule_id, ord, keyword) whose keyword the text has; the default (or null) without one."""
-    low = F.lower(F.coalesce(texts["text"], F.lit("")))
-    hit = F.regexp_like(low, F.concat(F.lit(r"\b"), F.col("keyword"), F.lit(r"\b"))) if whole_word else F.contains(low, F.col("keyword"))
-    found = texts.join(small_side(rules, MOST_RULES), hit).groupBy(id_col).agg(F.min_by("rule_id", F.struct("ord", "rule_id")).alias("rule_id"))
+    low, word = F.lower(F.coalesce(texts["text"], F.lit(""))), F.col("keyword")
+    hit, needs = (F.regexp_like("low", F.concat(F.lit(r"\b"), word, F.lit(r"\b"))), literal(word)) if whole_word else (F.contains(F.col("low"), word), word)
+    found = matched(texts, rules.where("keyword is not null"), id_col, low, needs, hit).groupBy(id_col).agg(F.min_by("rule_id", F.struct("ord", "rule_id")).alias("rule_id"))
     return texts.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("rule_id", F.lit(default)).alias("rule_id"))
 
 
 def either_contains(items: DataFrame, rules: DataFrame, id_col: str, key: str) -> DataFrame:
     """id_col, rule_id of the first rule whose keyword contains the item's key or is contained in it; null without one."""
-    hit = F.contains(F.col(key), F.col("keyword")) | F.contains(F.col("keyword"), F.col(key))
-    found = items.join(small_side(rules, MOST_RULES), hit).groupBy(id_col).agg(F.min_by("rule_id", F.struct("ord", "rule_id")).alias("rule_id"))
+    rules = rules.select("rule_id", "ord", "keyword")
+    held = contained(items, rules, id_col, F.col(key), "keyword").select(id_col, "rule_id", "ord")
+    names = items.select(F.col(id_col).alias("__item"), F.col(key).alias("__key"))
+    holds = contained(rules.withColumn("__rule", F.struct("rule_id", "ord")), names, "__rule", F.col("keyword"), "__key").select(F.col("__item").alias(id_col), "__rule.rule_id", "__rule.ord")
+    found = held.unionByName(holds).groupBy(id_col).agg(F.min_by("rule_id", F.struct("ord", "rule_id")).alias("rule_id"))
     return items.select(id_col).join(found, id_col, "left")
 
 
@@ -33,8 +33,7 @@ def reranked(ranked: DataFrame, queries: DataFrame, rules: DataFrame) -> DataFra
     A rule meets an item by its whole number.  ranked: qid, doc_id, item_no, score;
     only rows that are ranked already can move.
     """
-    few = small_side(rules, MOST_RULES)
-    asked = queries.select("qid", F.lower("text").alias("low")).join(few, F.contains(F.col("low"), F.col("word"))).select("qid", "item_no", "weight")
+    asked = contained(queries, rules.select("word", "item_no", "weight"), "qid", F.lower("text"), "word").select("qid", "item_no", "weight")
     extra = ranked.join(asked, ["qid", "item_no"]).groupBy("qid", "doc_id").agg(F.sum("weight").alias("extra"))
     scored = ranked.join(extra, ["qid", "doc_id"], "left").select("qid", "doc_id", bounded_score(F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_class
 from ..sources.scratch import small_side
-from .rules import MOST_RULES
+from .matching import MOST_RULES, contained
 
 # Keywords of each slot, in order of precedence.
 EXPOSURE = [
@@ -63,7 +63,7 @@ def rule_bonus(slotted: DataFrame, rules: DataFrame, id_col: str = "qid") -> Dat
 
 def expanded(texts: DataFrame, vocabulary: DataFrame, id_col: str = "qid") -> DataFrame:
     """id_col, expansion: the additions of all vocabulary rows (ord, pattern, addition) whose pattern the text holds, in their order."""
-    hits = texts.join(small_side(vocabulary, MOST_RULES), F.contains(F.lower(texts["text"]), F.col("pattern")))
+    hits = contained(texts, vocabulary, id_col, F.lower("text"), "pattern")
     hits = hits.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "addition"))), lambda h: h["addition"]), " ").alias("expansion"))
     return texts.select(id_col).join(hits, id_col, "left").select(id_col, F.coalesce("expansion", F.lit("")).alias("expansion"))
 

@@ -8,11 +8,12 @@ reading the text.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..operators import builders, constraints, documents, graph, markup, orders, ranking, recommend, retrieval, revisions, rules, slots
 from ..sources import readers
-from ..sources.scratch import written
+from ..sources.scratch import fresh_path, written
 from . import oracle as O
 from .fixtures import table, view, with_views
 from .registry import _GOVERNING, DATES, _catalog, _governed, _wanted, query
@@ -262,6 +263,36 @@ def graph_topology(spark, d):
     return readers.topology(view(spark, d, "fx_catalog"), view(spark, d, "fx_edges"))
 
 
+@query(with_views("fx_catalog", "fx_edges") + """ SELECT 'nodes by type' AS what, CASE WHEN item_key % 9 = 0 THEN 'unknown' ELSE department END AS label, count(*) AS rows FROM fx_catalog GROUP BY ALL UNION ALL SELECT 'nodes by status', status, count(*) FROM fx_catalog GROUP BY ALL
+    UNION ALL SELECT 'edges by relationship', relationship, count(*) FROM fx_edges GROUP BY ALL""")
+def type_counts(spark, d):
+    nodes = view(spark, d, "fx_catalog").withColumn("node_type", F.when(F.col("item_key") % 9 > 0, F.col("department")))
+    return readers.type_counts(nodes, view(spark, d, "fx_edges"))
+
+
+@query("""SELECT p_partkey AS row, CASE WHEN p_partkey % 7 > 1 THEN p_partkey END AS id, CASE WHEN p_partkey % 7 > 1 THEN p_name END AS name, p_partkey % 7 <= 1 AS malformed FROM part WHERE p_partkey % 11 > 0""")
+def checked_lines(spark, d):
+    """JSON lines of the catalogue: every seventh is cut off, the next has a text for a number, and every eleventh is blank."""
+    key = F.col("p_partkey")
+    said = F.to_json(F.struct(key.alias("id"), F.col("p_name").alias("name")))
+    line = F.when(key % 11 == 0, " ").when(key % 7 == 0, F.substring(said, 1, 9)).when(key % 7 == 1, '{"id": "one", "name": "x"}').otherwise(said)
+    rows = readers.parsed_lines(table(spark, d, "part").select(key.alias("row"), line.alias("value")), StructType().add("id", "long").add("name", "string"))
+    return rows.select("row", "id", "name", F.col("rejected").isNotNull().alias("malformed"))
+
+
+@query("""SELECT reason, count(*) AS rows FROM (SELECT unnest(list_filter([CASE WHEN p_partkey % 11 = 0 THEN 'item_no' END, CASE WHEN p_partkey % 7 = 0 THEN 'year' END, CASE WHEN length(p_name) < 8 THEN 'title' END], lambda x: x IS NOT NULL)) AS reason FROM part) GROUP BY reason
+    UNION ALL SELECT 'valid', count(*) FROM part WHERE p_partkey % 11 > 0 AND p_partkey % 7 > 0 AND length(p_name) >= 8""")
+def quarantine_reasons(spark, d):
+    """Records split into two sinks, and read back from them: rejected ones by reason, and how many are valid."""
+    key = F.col("p_partkey")
+    records = table(spark, d, "part").select(F.when(key % 11 == 0, " ").otherwise(F.concat(F.lit("IS "), key.cast("string"))).alias("item_no"), F.when(key % 7 == 0, 1899).otherwise(2000).alias("year"), F.col("p_name").alias("title"))
+    path = fresh_path(spark)
+    readers.quarantined(markup.validated(records, ["item_no"], [], {"title": 8}, {}), F.col("failed").isNotNull(), path)
+    back = spark.read.parquet(path)
+    reasons = back.where("verdict = 'rejected'").select(F.explode("failed").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+    return reasons.unionByName(back.where("verdict = 'valid'").agg(F.lit("valid").alias("reason"), F.count(F.lit(1)).alias("rows")))
+
+
 @query(with_views("fx_catalog") + """ SELECT cluster, count(*) AS items, any_value(clusters) AS clusters FROM (SELECT CASE WHEN item_key % 9 = 0 THEN 'General' ELSE department END AS cluster FROM fx_catalog),
     (SELECT count(DISTINCT CASE WHEN item_key % 9 = 0 THEN 'General' ELSE department END) AS clusters FROM fx_catalog) GROUP BY cluster ORDER BY items DESC, cluster LIMIT 8""")
 def department_clusters(spark, d):
@@ -403,6 +434,25 @@ def supersession_resolution(spark, d):
     return _told(spark, d)
 
 
+@query(with_views("fx_asked", "fx_catalog", "fx_supersedes") + ", " + _TOLD + """, newer AS (SELECT target, source AS item_id, CASE WHEN source = concat('IS_', replace(target, 'IS_', '')::BIGINT + 2) THEN 'CHRONOLOGICAL_INFERRED' ELSE 'CURATED_UNVERIFIED' END AS level FROM fx_supersedes),
+    options AS (SELECT qid, b.replacement AS item_id, t.replacement, 'CURATED' AS level, keyword FROM told t JOIN branches b ON b.item_id = cited WHERE code IN ('RESOLVED', 'AMBIGUOUS_BRANCHING', 'CONTEXTUAL_BRANCH_SELECTED')
+        UNION ALL SELECT qid, n.item_id, t.replacement, level, NULL FROM told t JOIN newer n ON n.target = cited WHERE code IN ('RESOLVED', 'AMBIGUOUS_BRANCHING', 'CONTEXTUAL_BRANCH_SELECTED') AND NOT EXISTS (SELECT 1 FROM branches b WHERE b.item_id = cited AND b.replacement = n.item_id)
+        UNION ALL SELECT qid, concat('IS_', replace(cited, 'IS_', '')::BIGINT + 5), concat('IS_', replace(cited, 'IS_', '')::BIGINT + 5), 'CHAIN_END', NULL FROM told WHERE code = 'RESOLVED' AND replace(cited, 'IS_', '')::BIGINT % 20 = 10)
+    SELECT t.qid, t.code, coalesce(string_agg(concat_ws(' ', o.item_id, CASE WHEN o.item_id = o.replacement THEN 'chosen' END, level, keyword), '; ' ORDER BY o.item_id), '') AS options FROM told t LEFT JOIN options o USING (qid) GROUP BY t.qid, t.code""")
+def replacement_options(spark, d):
+    """Branches, edges and, for every second withdrawn item, the end of a chain of two links."""
+    items, edges = view(spark, d, "fx_catalog"), view(spark, d, "fx_supersedes")
+    name = lambda by: F.concat(F.lit("IS_"), (F.col("item_key") + by).cast("string"))
+    links = items.where("item_key % 20 = 10").select(F.explode(F.array(F.struct(name(0).alias("node"), name(4).alias("next")), F.struct(name(4).alias("node"), name(5).alias("next")))).alias("l")).select("l.*")
+    chain = written(graph.chain_ends(links).select("node", "end"))
+    branches = spark.createDataFrame(_BRANCHES, "item_id string, keyword string, replacement string")
+    told = written(recommend.supersession(view(spark, d, "fx_asked"), items, graph.aliases(items), edges, branches, chain))
+    second = F.col("source") == F.concat(F.lit("IS_"), (F.replace("target", F.lit("IS_"), F.lit("")).cast("long") + 2).cast("string"))
+    edges = edges.withColumn("description", F.when(second, "Chronologically supersedes").otherwise("named in a note"))
+    said = F.transform("options", lambda o: F.concat_ws(" ", o["item_id"], F.when(o["chosen"], F.lit("chosen")), o["level"], o["keyword"]))
+    return recommend.replacement_options(told, edges, branches, chain).select("qid", "code", F.array_join(said, "; ").alias("options"))
+
+
 _WORDS = [(1, "hot", "heated goods"), (2, "small", "minor")]
 _IDIOMS = [(1, r"\b(?:ring|washer)\b", "annular part"), (2, r"\bbeam.*is\b", "beam section"), (3, r"\bred (?:gear|bolt)\b", "red fastener")]
 _REWRITTEN = f"""words(ord, pattern, addition) AS (VALUES {', '.join(map(str, _WORDS))}), idioms(ord, pattern, addition) AS (VALUES {', '.join(f"({o}, '{p}', '{a}')" for o, p, a in _IDIOMS)}),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, documents, graph, markup, orders, ranking, recommend, retrieval, revisions, rules, slots
+from ..sources.scratch import written
 from . import oracle as O
 from .fixtures import table, view, with_views
 
@@ -162,6 +163,21 @@ def timeline(spark, d):
     return revisions.timeline(view(spark, d, "fx_revisions"))
 
 
+_MARKS = [(1, "IS 12", 1966, "IS 12:1966", "first edition"), (1, "IS 12", 1950, "IS 1:1950", "draft"), (2, "IS 1", 1971, "IS 1:1971", "metric units"), (3, "IS 77", 2001, "IS 77:2001", "merged")]
+_FIRST_MARK = "(SELECT min_by(designator, ord) FROM (SELECT DISTINCT ord, designator FROM marks) WHERE contains(item_no, designator) OR contains(designator, item_no))"
+
+
+@query(with_views("fx_catalog", "fx_revisions") + f", marks(ord, designator, year, revision, event) AS (VALUES {', '.join(map(str, _MARKS))})" + f""", years AS (SELECT base, year, min(rev_no) AS revision FROM fx_revisions GROUP BY base, year), told AS (SELECT item_id, item_no, {_FIRST_MARK} AS designator FROM fx_catalog),
+    curated AS (SELECT designator, string_agg(concat(year, ' ', revision, ' ', event), '; ' ORDER BY year) AS said FROM marks GROUP BY designator), own AS (SELECT base, string_agg(concat(year, ' ', revision), '; ' ORDER BY year) AS said FROM years GROUP BY base)
+    SELECT item_id, t.designator, CASE WHEN t.designator IS NOT NULL THEN 'curated' WHEN o.said IS NOT NULL THEN 'revisions' ELSE 'none' END AS origin, coalesce(c.said, CASE WHEN t.designator IS NULL THEN o.said END, '') AS milestones
+    FROM told t LEFT JOIN curated c USING (designator) LEFT JOIN own o ON o.base = item_no""")
+def milestones(spark, d):
+    marks = spark.createDataFrame(_MARKS, "ord int, designator string, year int, revision string, event string")
+    out = revisions.milestones(view(spark, d, "fx_catalog"), marks, view(spark, d, "fx_revisions"))
+    said = F.transform("milestones", lambda m: F.concat_ws(" ", m["year"].cast("string"), m["revision"], m["event"]))
+    return out.select("item_id", "designator", "origin", F.array_join(said, "; ").alias("milestones"))
+
+
 _SERIES = "items AS (SELECT item_id, department AS base, year AS part, title FROM fx_catalog), firsts AS (SELECT base, item_id AS target FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY part, item_id) AS k, count(*) OVER (PARTITION BY base) AS n FROM items) WHERE k = 1 AND n > 1)"
 
 
@@ -227,6 +243,28 @@ def two_hop_all(spark, d):
     return graph.two_hop(view(spark, d, "fx_edges"), seeds)
 
 
+_KEPT = with_views("fx_catalog", "fx_edges") + "," + _SEEDS + """, all_edges AS (SELECT DISTINCT source, target, relationship FROM fx_edges),
+    first_hop AS (SELECT seed, target AS id FROM seeds JOIN all_edges ON source = seed UNION SELECT seed, source FROM seeds JOIN all_edges ON target = seed),
+    found AS (SELECT seed, seed AS id, 0 AS hop FROM seeds UNION ALL SELECT seed, id, 1 FROM first_hop UNION ALL SELECT DISTINCT seed, target, 2 FROM first_hop JOIN all_edges ON source = id),
+    kept AS MATERIALIZED (SELECT seed, id, hop FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hop, id) AS place FROM (SELECT seed, id, min(hop) AS hop FROM found GROUP BY seed, id)) WHERE place <= 50)"""
+
+
+def _kept(spark, d):
+    seeds = view(spark, d, "fx_catalog").where("status = 'WITHDRAWN'").select(F.col("item_id").alias("id"))
+    return graph.neighbourhood(written(view(spark, d, "fx_edges")), seeds, most=50)
+
+
+@query(_KEPT + " SELECT seed, id, hop FROM kept")
+def neighbourhood_nodes(spark, d):
+    return _kept(spark, d)[0]
+
+
+@query(_KEPT + """ SELECT a.seed, e.source, e.target, e.relationship FROM kept a JOIN all_edges e ON e.source = a.id JOIN kept b ON b.seed = a.seed AND b.id = e.target WHERE a.hop < 2
+    UNION SELECT a.seed, e.source, e.target, e.relationship FROM kept a JOIN all_edges e ON e.target = a.id JOIN kept b ON b.seed = a.seed AND b.id = e.source WHERE a.hop = 0""")
+def neighbourhood_links(spark, d):
+    return _kept(spark, d)[1]
+
+
 @query(with_views("fx_catalog", "fx_edges") + "," + _SEEDS + " SELECT DISTINCT source, target, relationship FROM fx_edges WHERE source IN (SELECT seed FROM seeds)")
 def seed_subgraph(spark, d):
     seeds = view(spark, d, "fx_catalog").where("status = 'WITHDRAWN'").select(F.col("item_id").alias("id"))
@@ -257,6 +295,16 @@ def shortest_path_all(spark, d):
     return graph.shortest_paths(view(spark, d, "fx_edges"), _pairs(spark, d))
 
 
+@query(with_views("fx_edges") + """, near AS MATERIALIZED (SELECT source AS a, target AS b FROM fx_edges UNION SELECT target, source FROM fx_edges),""" + _PAIRS + """,
+    walk(source, target, here, length) USING KEY (source, target, here) AS (SELECT DISTINCT source, target, source, 0 FROM pairs
+        UNION SELECT DISTINCT w.source, w.target, b, w.length + 1 FROM walk w JOIN near ON a = w.here LEFT JOIN recurring.walk r ON r.source = w.source AND r.target = w.target AND r.here = b WHERE r.here IS NULL)
+    SELECT DISTINCT source, target, CAST(length + 1 AS BIGINT) AS nodes, CAST(length AS BIGINT) AS "last", CAST(0 AS BIGINT) AS broken FROM walk WHERE here = target""")
+def shortest_path_steps(spark, d):
+    """One shortest path of every connected pair, its steps checked against the edges; ties are free, so that the length and the steps' being edges is what counts."""
+    edges = written(view(spark, d, "fx_edges"))
+    return graph.path_checks(written(graph.path_steps(edges, _pairs(spark, d))), edges)
+
+
 _KEY = r"regexp_replace(upper(trim({})), '[\s()/:\-_]+', '', 'g')"
 _PLAIN = r"regexp_replace(raw, '\s*:\s*\d{4}\s*$', '')"
 

@@ -6,22 +6,23 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from a written table: lineage ends, and executors may be lost.
-
-    The folder is that of `spark.checkpoint.dir`; where that is unset, a local one
-    if all of Spark runs on this machine, else an error.
-    """
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def fresh_path(spark: SparkSession) -> str:
+    """A path that nothing is at yet, in the folder of `spark.checkpoint.dir`; where that is unset, in a local one if all of Spark runs on this machine, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", df.sparkSession.sparkContext.master):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-    path = f"{base.rstrip('/')}/sextant-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/sextant-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a written table (see `fresh_path`): lineage ends, and executors may be lost."""
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
