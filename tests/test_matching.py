@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from sextant.operators import matching, recommend, rules
+from sextant.operators import graph, matching, recommend, revisions, rules
+from sextant.sources import readers
 
 
 def _planned(df) -> str:
@@ -50,3 +53,87 @@ def test_no_loops_over_all_pairs(spark):
         found = rules.first_match(texts, table, "id", whole_word=whole)
         assert "NestedLoop" not in _planned(found) and "CartesianProduct" not in _planned(found)
         assert {(r.id, r.rule_id) for r in found.collect()} == {(i, f"r{i * 499:06}") for i in range(200)}
+
+
+def _expanded(edges, seed, most):
+    """Plain breadth-first rule: hop by id, the nearest `most`, and followed links between them."""
+    first = {b for a, b, _ in edges if a == seed} | {a for a, b, _ in edges if b == seed}
+    hops = {b: 2 for a, b, _ in edges if a in first} | dict.fromkeys(first, 1) | {seed: 0}
+    kept = dict(sorted(hops.items(), key=lambda x: (x[1], x[0]))[:most])
+    return {(seed, n, h) for n, h in kept.items()}, {(seed, *e) for e in edges if e[0] in kept and e[1] in kept and (kept[e[0]] < 2 or kept[e[1]] == 0)}
+
+
+@pytest.mark.parametrize("most", [1, 2, 5, 9, 100, None])
+def test_neighbourhoods(spark, most):
+    dice = random.Random(8)
+    rows = [(f"n{dice.randrange(25):02}", f"n{dice.randrange(25):02}", dice.choice("RS")) for _ in range(60)]
+    seeds = ["n00", "n01", "n02", "alone", "n00"]
+    nodes, links = graph.neighbourhood(spark.createDataFrame(rows, "source string, target string, relationship string"), spark.createDataFrame([(s,) for s in seeds], "id string"), most)
+    want = [_expanded(rows, s, most) for s in set(seeds)]
+    assert {tuple(r) for r in nodes.select("seed", "id", "hop").collect()} == set().union(*(n for n, _ in want)) and nodes.count() == sum(len(n) for n, _ in want)
+    assert sorted(tuple(r) for r in links.select("seed", "source", "target", "relationship").collect()) == sorted(set().union(*(x for _, x in want)))
+
+
+def test_hub(spark):
+    """A hub of a million edges, next to every seed: it passes on no more than the budget."""
+    hub = spark.range(1_000_000).select(F.lit("hub").alias("source"), F.format_string("t%07d", "id").alias("target"), F.lit("R").alias("relationship"))
+    to = spark.range(50).select(F.format_string("s%02d", "id").alias("source"), F.lit("hub").alias("target"), F.lit("R").alias("relationship"))
+    seeds = spark.range(50).select(F.format_string("s%02d", "id").alias("id"))
+    nodes, links = graph.neighbourhood(hub.unionByName(to), seeds, 20)
+    assert nodes.count() == 50 * 20 and nodes.where("hop = 2").agg(F.max("id")).first()[0] == "t0000017"
+    assert links.count() == 50 * 19
+
+
+def test_path_checks(spark):
+    edges = spark.createDataFrame([("a", "b", "R"), ("c", "b", "S")], "source string, target string, relationship string")
+    steps = [("a", "c", 0, "a", "START"), ("a", "c", 1, "b", "R"), ("a", "c", 2, "c", "INVERSE_S"), ("a", "b", 0, "a", "START"), ("a", "b", 1, "b", "S"), ("b", "c", 0, "b", "START"), ("z", "z", 0, "z", "IDENTICAL")]
+    told = graph.path_checks(spark.createDataFrame(steps, "source string, target string, step int, node string, relationship string"), edges)
+    assert {tuple(r) for r in told.collect()} == {("a", "c", 3, 2, 0), ("a", "b", 2, 1, 1), ("b", "c", 1, 0, 1), ("z", "z", 1, 0, 0)}
+
+
+def test_quarantine(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text('{"id": 1, "name": "a"}\n{"id": \n\n{"id": "x", "name": "b"}\n{"name": "c", "more": 1}\n[1]\n')
+    rows = readers.read_json_lines_checked(spark, str(tmp_path / "in.jsonl"), StructType().add("id", "long").add("name", "string"))
+    assert {(r.id, r.name, r.rejected) for r in rows.collect()} == {(1, "a", None), (None, None, '{"id": '), (None, None, '{"id": "x", "name": "b"}'), (None, "c", None), (None, None, "[1]")}
+    counts = readers.quarantined(rows, F.col("rejected").isNotNull(), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert counts == {"rows": 5, "valid": 2, "rejected": 3} == {"rows": back.count(), "valid": back.where("verdict = 'valid'").count(), "rejected": back.where("verdict = 'rejected'").count()}
+    empty = readers.quarantined(rows.where("id > 5"), F.col("rejected").isNotNull(), str(tmp_path / "none"))
+    assert empty == {"rows": 0, "valid": 0, "rejected": 0}
+
+
+def test_type_counts(spark):
+    nodes = spark.createDataFrame([("a", "standard", "ACTIVE"), ("b", None, "ACTIVE"), ("c", "order", None)], "id string, node_type string, status string")
+    edges = spark.createDataFrame([("a", "b", "R")], "source string, target string, relationship string")
+    assert json.loads(readers.summary(nodes, edges).first().report).keys() == {"nodes by type", "nodes by status", "edges by relationship"}
+    assert {tuple(r) for r in readers.type_counts(nodes, edges).collect()} == {("nodes by type", "standard", 1), ("nodes by type", "unknown", 1), ("nodes by type", "order", 1), ("nodes by status", "ACTIVE", 2), ("nodes by status", "unknown", 1), ("edges by relationship", "R", 1)}
+
+
+def test_milestones(spark):
+    items = spark.createDataFrame([("a", "IS 12"), ("b", "IS 9"), ("c", "IS 5"), ("d", ""), ("e", None)], "item_id string, item_no string")
+    marks = spark.createDataFrame([(2, "IS 1", 1960, "IS 1:1960", "x"), (1, "IS 12", 1970, "IS 12:1970", "y"), (1, "IS 12", 1950, "IS 12:1950", None)], "ord int, designator string, year int, revision string, event string")
+    own = spark.createDataFrame([("r1", "IS 9:1980", "IS 9", 1980), ("r2", "IS 9:1975", "IS 9", 1975), ("r3", "IS 12:1900", "IS 12", 1900)], "rev_id string, rev_no string, base string, year int")
+    told = {r.item_id: (r.designator, r.origin, [tuple(m) for m in r.milestones]) for r in revisions.milestones(items, marks, own).collect()}
+    assert told["a"] == ("IS 12", "curated", [(1950, "IS 12:1950", None), (1970, "IS 12:1970", "y")]) and told["b"] == (None, "revisions", [(1975, "IS 9:1975", None), (1980, "IS 9:1980", None)])
+    assert told["c"] == told["d"] == told["e"] == (None, "none", [])
+
+
+def test_replacement_codes(spark):
+    """All codes, both fall-backs, and what a citation may be replaced by."""
+    items = [("IS_1", "IS 1", "ACTIVE"), ("IS_2", "IS 2", "SUPERSEDED"), ("IS_3", "IS 3", "WITHDRAWN"), ("IS_4", "IS 4", "WITHDRAWN"), ("IS_5", "IS 5", "SUPERSEDED"), ("IS_6", "IS 6", "SUPERSEDED"), ("IS_7", "IS 7", "ACTIVE"), ("IS_8", "IS 8", "ACTIVE")]
+    catalog = spark.createDataFrame(items, "item_id string, item_no string, status string")
+    edges = spark.createDataFrame([("IS_1", "IS_2", "SUPERSEDES", "IS 1 chronologically supersedes IS 2"), ("IS_7", "IS_5", "SUPERSEDES", "a"), ("IS_8", "IS_5", "SUPERSEDES", None)], "source string, target string, relationship string, description string")
+    branches = spark.createDataFrame([("IS_6", "bars", "IS_7"), ("IS_6", "plates", "IS_8")], "item_id string, keyword string, replacement string")
+    chain = graph.chain_ends(spark.createDataFrame([("IS_3", "IS_33"), ("IS_33", "IS_8")], "node string, next string")).select("node", "end")
+    texts = {1: "IS 1", 2: "IS 2", 3: "to IS 3", 4: "IS 4", 5: "IS 5", 6: "IS 6 bars", 7: "IS 6", 8: "no number", 9: "IS 99"}
+    queries = spark.createDataFrame(list(texts.items()), "qid int, text string")
+    told = recommend.supersession(queries, catalog, graph.aliases(catalog), edges, branches, chain)
+    assert {r.qid: (r.code, r.replacement) for r in told.collect()} == {
+        1: ("ACTIVE_STANDARD", "IS_1"), 2: ("RESOLVED", "IS_1"), 3: ("RESOLVED", "IS_8"), 4: ("RESOLVED", None), 5: ("AMBIGUOUS_BRANCHING", None), 6: ("CONTEXTUAL_BRANCH_SELECTED", "IS_7"), 7: ("AMBIGUOUS_BRANCHING", None), 8: ("NO_CITATION", None), 9: ("UNINDEXED_CITATION", None),
+    }
+    options = {r.qid: [tuple(o)[:4] for o in r.options] for r in recommend.replacement_options(told, edges, branches, chain).collect()}
+    both = [("IS_7", False, "CURATED", "bars"), ("IS_8", False, "CURATED", "plates")]
+    assert options == {
+        1: [], 2: [("IS_1", True, "CHRONOLOGICAL_INFERRED", None)], 3: [("IS_8", True, "CHAIN_END", None)], 4: [], 5: [("IS_7", False, "CURATED_UNVERIFIED", None), ("IS_8", False, "CURATED_UNVERIFIED", None)],
+        6: [("IS_7", True, "CURATED", "bars"), both[1]], 7: both, 8: [], 9: [],
+    }
