@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, documents, graph, markup, orders, ranking, recommend, retrieval, revisions, rules, slots
 from ..sources.scratch import written
+from ..streaming import incremental
 from . import oracle as O
 from .fixtures import table, view, with_views
 
@@ -394,12 +395,18 @@ def recommend_batch(spark, d):
 # Audits
 
 
-def _found(spark, d):
-    items, tenders = view(spark, d, "fx_catalog"), view(spark, d, "fx_tenders")
+def _dimensions(spark, d):
+    """Superseded items and orders, as audits look them up."""
+    items = view(spark, d, "fx_catalog")
     old = items.where("status != 'ACTIVE'").select(F.col("item_no").alias("citation"), "item_key")
     ends = graph.chain_ends(items.where("item_key % 10 = 1").select(F.col("item_key").alias("node"), (F.col("item_key") + 1).alias("next"))).select(F.col("node").alias("item_key"), F.concat(F.lit("IS "), F.col("end").cast("string")).alias("replacement"))
     laws = items.where("item_key % 6 = 5").select(F.col("item_no").alias("citation"), F.concat(F.lit("Order of "), "department").alias("order_name"))
-    return tenders, audit.findings(tenders, old.join(ends, "item_key", "left").select("citation", "replacement"), laws)
+    return old.join(ends, "item_key", "left").select("citation", "replacement"), laws
+
+
+def _found(spark, d):
+    tenders = view(spark, d, "fx_tenders")
+    return tenders, audit.findings(tenders, *_dimensions(spark, d))
 
 
 @query(with_views("fx_catalog", "fx_lines", "fx_tenders") + "," + O.FINDINGS + " SELECT doc_id, issue_type, penalty, snippet, remedy FROM findings")
@@ -416,6 +423,16 @@ def audit_score(spark, d):
     return audit.scores(*_found(spark, d))
 
 
+@query(ORACLE_SQL["audit_score"])
+def audit_follow_up(spark, d):
+    """Scores of an earlier version of the tables (fewer superseded items and orders, other replacements), then those of the documents that cite what has changed."""
+    tenders, (old, laws) = written(view(spark, d, "fx_tenders")), map(written, _dimensions(spark, d))
+    key = F.replace("citation", F.lit("IS "), F.lit("")).try_cast("long")
+    was, had = old.where(key % 3 > 0).withColumn("replacement", F.when(key % 20 == 1, F.lit("IS 0")).otherwise(F.col("replacement"))), laws.where(key % 7 > 0)
+    before = written(audit.scores(tenders, audit.findings(tenders, was, had)))
+    return incremental.audited_again(tenders, incremental.citation_index(tenders), before, (was, old), (had, laws))[0]
+
+
 @query(with_views("fx_catalog", "fx_lines", "fx_tenders") + "," + O.FINDINGS + _SCORES + "SELECT doc_id, findings, score, band, details FROM banded")
 def audit_report(spark, d):
     said = F.transform("details", lambda f: F.concat(f["issue_type"], F.lit(": "), f["snippet"], F.coalesce(F.concat(F.lit(" -> "), f["remedy"]), F.lit(""))))
