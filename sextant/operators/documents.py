@@ -19,7 +19,7 @@ EXPLICIT = rf"(?i)\b(?:IS(?:/ISO)?(?:/IEC)?\s+\d+|(?:[lI]\s*EC|ISO|ASTM|EN|BS)\s
 TABLE_ROW = rf"(?i)^\s*([1-9]\d{{1,4}}{PART})(?:\b|\s|$)"
 NOT_A_ROW = r"(?i)^(?:IS\s+No|Title|Page|Table|Section)\b"
 LINE_CITATION = r"(?i)\b(IS\s+\d+(?:[\s:\-]+(?:Part\s*\d+|\([^)]+\)))?)"
-LINE_ROW = r"(?i)^\s*(\d{2,5}(?:\s*(?:Part\s*\d+|\([^)]+\)))?(?:\s*:\s*\d{4})?)\s+(.*)"
+LINE_ROW = r"(?i)^\s*(\d{2,}(?:\s*(?:Part\s*\d+|\([^)]+\)))?(?:\s*:\s*\d{4})?)\s+(.*)"
 TEST_WORDS = ["test", "testing", "method", "determination", "analysis", "sampling", "tensile", "bend", "impact", "compressive", "flexural", "sieve", "vicat", "hardness", "measurement", "dimensions", "resistance", "tolerances"]
 
 
