@@ -16,7 +16,7 @@ STRICT_SECTIONS = [
 ]
 PART = r"(?:\s*(?:\(Part\s*[0-9IVXLCDM]+\)|Part\s*[0-9IVXLCDM]+))?(?:\s*:\s*\d{4})?"
 EXPLICIT = rf"(?i)\b(?:IS(?:/ISO)?(?:/IEC)?\s+\d+|(?:[lI]\s*EC|ISO|ASTM|EN|BS)\s+[A-Z\d\-]+){PART}"
-TABLE_ROW = rf"(?i)^\s*([1-9]\d{{1,4}}{PART})(?:\b|\s|$)"
+TABLE_ROW = rf"(?i)^\s*([1-9]\d+{PART})(?:\b|\s|$)"
 NOT_A_ROW = r"(?i)^(?:IS\s+No|Title|Page|Table|Section)\b"
 LINE_CITATION = r"(?i)\b(IS\s+\d+(?:[\s:\-]+(?:Part\s*\d+|\([^)]+\)))?)"
 LINE_ROW = r"(?i)^\s*(\d{2,}(?:\s*(?:Part\s*\d+|\([^)]+\)))?(?:\s*:\s*\d{4})?)\s+(.*)"
