@@ -14,6 +14,11 @@ whose largest contributions together stay below it are left out, of the others o
 those blocks are scored that can still reach it; of the rest, only postings of
 documents that may be among the k best are added.  The result is that of scoring
 everything.
+
+Where queries and texts are made of few words, as names of items are, most queries
+ask for the same frequent terms with the same weights, and most texts have the same
+impacts of them.  Then classes of queries meet classes of texts (`grouped`), and only
+rare terms are scored by text.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ BROADCAST_ROWS = 200_000
 BLOCK, SHARD_DOCUMENTS = 128, 1 << 20
 #: Asked postings up to which they are all scored in one job; beyond, the rounds of `pruned` cost less than the postings that they save.
 DIRECT_POSTINGS = 1 << 24
+#: Terms of at most so many documents are scored by document; more frequent ones make the classes of `grouped`.
+RARE = 128
 #: More than rounding to six places and the order of additions can move a score.
 SLACK = 2e-6
 
@@ -101,6 +108,11 @@ def bm25_index(words: DataFrame) -> Ranking:
     return Ranking(lists, terms.select("term", "top", "df", F.when(F.col("raw") < 0, F.lit(FLOOR * (floor or 0.0))).otherwise(F.col("raw")).alias("idf")))
 
 
+def _length(entries: str) -> Column:
+    """The length of a vector of entries with `w`; squares are added by size, so that equal vectors have the very same."""
+    return F.sqrt(F.aggregate(F.sort_array(F.transform(entries, lambda x: x["w"] * x["w"])), F.lit(0.0), lambda total, x: total + x))
+
+
 def tfidf_index(words: DataFrame, features: int = FEATURES) -> Ranking:
     """Cosine of sublinear TF-IDF over words and pairs of words; the vocabulary has the `features` most frequent of the corpus, ties by term."""
     n = words.count()
@@ -108,9 +120,9 @@ def tfidf_index(words: DataFrame, features: int = FEATURES) -> Ranking:
     each = grams.select("doc_id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
     chosen = each.groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df")).orderBy(F.col("freq").desc(), "term").limit(features)
     vocabulary = written(chosen.select("term", "df", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
-    weighted = written(each.join(small(vocabulary), "term").select("doc_id", "term", ((1 + F.ln("tf")) * F.col("idf")).alias("w")))
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    lists = _lists(weighted.join(small(norms), "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("impact")), n)
+    weighted = each.join(small(vocabulary), "term").select("doc_id", F.struct("term", ((1 + F.ln("tf")) * F.col("idf")).alias("w")).alias("p"))
+    rows = weighted.groupBy("doc_id").agg(F.collect_list("p").alias("p")).select("doc_id", _length("p").alias("norm"), F.inline("p"))
+    lists = _lists(rows.select("doc_id", "term", (F.col("w") / F.col("norm")).alias("impact")), n)
     tops = lists.groupBy("term").agg(F.max("top").alias("top"))
     return Ranking(lists, written(tops.join(vocabulary, "term")))
 
@@ -134,9 +146,9 @@ def bm25_weights(queries: DataFrame, ranking: Ranking) -> DataFrame:
 
 def tfidf_weights(queries: DataFrame, ranking: Ranking) -> DataFrame:
     """The same for cosines: a query's weights have the length 1."""
-    asked = _asked(queries, bigrams(tokens(F.col("text")))).join(ranking.terms, "term").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("qid")))
-    return written(asked.select("qid", "term", (F.col("w") / length).alias("weight"), "top", "df"))
+    asked = _asked(queries, bigrams(tokens(F.col("text")))).join(ranking.terms, "term").select("qid", F.struct("term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"), "top", "df").alias("p"))
+    asked = asked.groupBy("qid").agg(F.collect_list("p").alias("p")).select("qid", _length("p").alias("length"), F.inline("p"))
+    return written(asked.select("qid", "term", (F.col("w") / F.col("length")).alias("weight"), "top", "df"))
 
 
 def _posted(blocks: DataFrame) -> DataFrame:
@@ -197,10 +209,72 @@ def direct(asked: DataFrame, ranking: Ranking, k: int) -> DataFrame:
     return top_k(scores.where("score > 0"), k)
 
 
+@dataclass(frozen=True)
+class Classes:
+    """`members`: an id and its class; `profiles`: class and entries, its terms in order with their values."""
+
+    members: DataFrame
+    profiles: DataFrame
+
+
+def classes(rows: DataFrame, by: str, value: str) -> Classes:
+    """Rows of equal values for equal terms are of one class; rows: by, term, value."""
+    each = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("term", F.col(value).alias("value")))).alias("entries"))
+    each = written(each.withColumn("key", F.unhex(F.sha2(F.to_json("entries"), 256))))
+    profiles = written(each.groupBy("key").agg(F.first("entries").alias("entries")).withColumn("class", F.monotonically_increasing_id()))
+    return Classes(written(each.select(by, "key").join(small(profiles.select("key", "class")), "key").select(by, "class")), profiles.select("class", "entries"))
+
+
+def _frequent(asked: DataFrame) -> DataFrame:
+    """The terms that make classes: frequent ones, and those that take something from a score."""
+    return asked.groupBy("term").agg(F.max("df").alias("df"), F.min("weight").alias("least")).where((F.col("df") > RARE) | (F.col("least") < 0)).select("term")
+
+
+def grouped(asked: DataFrame, ranking: Ranking, k: int, of_queries: Classes, of_docs: Classes) -> DataFrame:
+    """The same as `direct`, by classes of queries and of documents over frequent terms.
+
+    A class of queries meets each class of documents once.  Of the best k classes
+    (ties to the one with the smallest document) the k smallest documents each hold
+    the k best by frequent terms.  Rare terms only add, so the k best are among
+    these and the documents that have a rare term, which are scored one by one.
+    """
+    own = of_docs.members.withColumn("none", F.lit(0))
+    heads = top_k(own, k, by="class", score="none").groupBy("class").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    heads = written(heads.select(F.col("class").alias("doc_class"), "ids", F.col("ids")[0].alias("smallest"), F.size("ids").alias("n")))
+    flat = lambda c, name, value: c.profiles.select(F.col("class").alias(name), F.inline("entries")).withColumnRenamed("value", value)
+    cores = asked.sparkSession.sparkContext.defaultParallelism
+    pairs = flat(of_queries, "query_class", "weight").repartition(4 * cores, "query_class").join(small(flat(of_docs, "doc_class", "impact")), "term")
+    scores = pairs.groupBy("query_class", "doc_class").agg(F.round(F.sum(F.col("weight") * F.col("impact")), 6).alias("score")).where("score > 0")
+    chosen = top_k(scores.join(small(heads.drop("ids")), "doc_class"), k, by="query_class", tie="smallest")
+    w = Window.partitionBy("query_class")
+    better = F.sum("n").over(w.orderBy(F.col("score").desc())) - F.sum("n").over(Window.partitionBy("query_class", "score"))
+    chosen = written(chosen.withColumn("better", better).where(F.col("better") < k).select("query_class", "doc_class", "score"))
+    frequent = top_k(chosen.join(small(heads.select("doc_class", "ids")), "doc_class").select("query_class", "score", F.explode("ids").alias("doc_id")), k, by="query_class")
+    frequent = written(frequent.groupBy("query_class").agg(F.collect_list(F.struct("doc_id", "score")).alias("found")))
+    frequent = of_queries.members.join(small(frequent), F.col("class") == F.col("query_class")).select("qid", F.inline("found"))
+    # What has a rare term, with what its frequent ones give.
+    rare = asked.join(small(_frequent(asked)), "term", "left_anti").select("qid", "term", "weight")
+    added = _posted(ranking.lists.join(small(rare), "term")).groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("added"))
+    named = lambda c, by, name: c.members.join(small(c.profiles), "class").select(by, F.col("entries").alias(name))
+    added = added.join(named(of_queries, "qid", "weights"), "qid", "left").join(named(of_docs, "doc_id", "impacts"), "doc_id", "left")
+    impacts = F.map_from_entries(F.coalesce("impacts", F.array().cast(added.schema["impacts"].dataType)))
+    weights = F.coalesce("weights", F.array().cast(added.schema["weights"].dataType))
+    both = F.aggregate(weights, F.col("added"), lambda total, x: total + x["value"] * F.coalesce(F.element_at(impacts, x["term"]), F.lit(0.0)))
+    added = added.select("qid", "doc_id", F.round(both, 6).alias("score"))
+    return top_k(frequent.unionByName(added).repartition("qid").groupBy("qid", "doc_id").agg(F.max("score").alias("score")).where("score > 0"), k)
+
+
 def best(asked: DataFrame, ranking: Ranking, k: int) -> DataFrame:
     """The k best by whichever way is cheaper; rows are the same."""
-    postings = asked.agg(F.sum("df")).first()[0] or 0
-    return (direct if postings <= DIRECT_POSTINGS else pruned)(asked, ranking, k)
+    if (asked.agg(F.sum("df")).first()[0] or 0) <= DIRECT_POSTINGS:
+        return direct(asked, ranking, k)
+    terms = written(_frequent(asked))
+    of_queries = classes(asked.join(small(terms), "term", "left_semi"), "qid", "weight")
+    if 2 * of_queries.profiles.count() > of_queries.members.count():
+        return pruned(asked, ranking, k)
+    posts = ranking.lists.join(small(terms), "term", "left_semi").select("term", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("impacts").alias("impact"))))
+    of_docs = classes(posts, "doc_id", "impact")
+    return grouped(asked, ranking, k, of_queries, of_docs) if 2 * of_docs.profiles.count() <= of_docs.members.count() else pruned(asked, ranking, k)
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES) -> DataFrame:
