@@ -67,7 +67,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view, from the tables that its SQL names."""
     if name == "fx_tenders":
-        return spark.sql("SELECT doc_id, array_join(transform(sort_array(collect_list(struct(line, l_partkey, l_suppkey, phrase))), x -> x.phrase), ' ; ') AS text FROM {fx} GROUP BY doc_id", fx=view(spark, sf_dir, "fx_lines"))
+        # Phrases follow from keys, so only keys travel.
+        phrase = _PHRASE.replace("l_partkey", "x.l_partkey").replace("l_linenumber", "x.l_linenumber")
+        return spark.sql(f"SELECT l_orderkey AS doc_id, array_join(transform(sort_array(collect_list(struct(l_linenumber, l_partkey, l_suppkey))), x -> {phrase}), ' ; ') AS text FROM {{fx}} GROUP BY l_orderkey", fx=table(spark, sf_dir, "lineitem"))
     sql = SQL[name]
     for base in ("part", "orders", "lineitem", "benchmark", "conversations", "customer"):
         if re.search(rf"FROM {base}\b", sql):
