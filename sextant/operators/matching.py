@@ -8,6 +8,8 @@ meets is looked at. Rules without a phrase that every match has meet every text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ MOST_RULES = 10_000
 #: Grams that are broadcast at most, to leave out those of texts that no rule has.
 MOST_GRAMS = 200_000
 GRAM = 3
+#: Rules that are tried one after another in the row of a text; of more, only those that share a gram with it are.
+FEW_RULES = 64
 
 
 def grams(text: Column) -> Column:
@@ -38,6 +42,18 @@ def literal(pattern: Column) -> Column:
     return F.when(~pattern.rlike(r"[\\^$.|?*+()\[\]{}]"), pattern)
 
 
+def held(texts: DataFrame, rules: DataFrame, text: Column, hit: Callable[[Column, Column], Column]) -> DataFrame | None:
+    """texts with `held`, an array of the rules (structs) that each row's text holds, without any shuffle of texts; None where rules are more than FEW_RULES.
+
+    hit: whether a text and a rule's struct meet.
+    """
+    if rules.limit(FEW_RULES + 1).count() > FEW_RULES:
+        return None
+    one = rules.agg(F.collect_list(F.struct(*rules.columns)).alias("__rules"))
+    rows = texts.withColumn("__low", text).crossJoin(F.broadcast(one))
+    return rows.withColumn("held", F.filter("__rules", lambda r: hit(F.col("__low"), r))).drop("__low", "__rules")
+
+
 def matched(texts: DataFrame, rules: DataFrame, id_col: str, text: Column, needs: Column, hit: Column) -> DataFrame:
     """id_col and the columns of rules, for every text and rule that meet.
 

@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import band, bounded_score
-from .matching import MOST_RULES, contained, literal, matched  # noqa: F401  MOST_RULES is part of this module's interface
+from .matching import MOST_RULES, contained, held, literal, matched  # noqa: F401  MOST_RULES is part of this module's interface
 
 
 def first_match(texts: DataFrame, rules: DataFrame, id_col: str, whole_word: bool = True, default: str | None = None) -> DataFrame:
     """id_col, rule_id of the first rule (rule_id, ord, keyword) whose keyword the text has; the default (or null) without one."""
     low, word = F.lower(F.coalesce(texts["text"], F.lit(""))), F.col("keyword")
+    rules = rules.where("keyword is not null").withColumn("needs", literal(word) if whole_word else word)
+    within = lambda t, r: F.coalesce(F.contains(t, r["needs"]), F.lit(True)) & (F.regexp_like(t, F.concat(F.lit(r"\b"), r["keyword"], F.lit(r"\b"))) if whole_word else F.lit(True))
+    rows = held(texts, rules, low, within)
+    if rows is not None:
+        first = F.array_min(F.transform("held", lambda r: F.struct(r["ord"].alias("ord"), r["rule_id"].alias("rule_id"))))["rule_id"]
+        return rows.select(id_col, F.coalesce(first, F.lit(default)).alias("rule_id"))
     hit, needs = (F.regexp_like("low", F.concat(F.lit(r"\b"), word, F.lit(r"\b"))), literal(word)) if whole_word else (F.contains(F.col("low"), word), word)
-    found = matched(texts, rules.where("keyword is not null"), id_col, low, needs, hit).groupBy(id_col).agg(F.min_by("rule_id", F.struct("ord", "rule_id")).alias("rule_id"))
+    found = matched(texts, rules.drop("needs"), id_col, low, needs, hit).groupBy(id_col).agg(F.min_by("rule_id", F.struct("ord", "rule_id")).alias("rule_id"))
     return texts.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("rule_id", F.lit(default)).alias("rule_id"))
 
 
