@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_class
 from ..sources.scratch import small_side
-from .matching import MOST_RULES, contained
+from .matching import MOST_RULES, contained, held
 
 # Keywords of each slot, in order of precedence.
 EXPOSURE = [
@@ -63,8 +63,12 @@ def rule_bonus(slotted: DataFrame, rules: DataFrame, id_col: str = "qid") -> Dat
 
 def expanded(texts: DataFrame, vocabulary: DataFrame, id_col: str = "qid") -> DataFrame:
     """id_col, expansion: the additions of all vocabulary rows (ord, pattern, addition) whose pattern the text holds, in their order."""
+    joined = lambda found: F.array_join(F.transform(F.sort_array(found), lambda h: h["addition"]), " ")
+    rows = held(texts, vocabulary, F.lower("text"), lambda t, r: F.contains(t, r["pattern"]))
+    if rows is not None:
+        return rows.select(id_col, joined(F.transform("held", lambda r: F.struct(r["ord"].alias("ord"), r["addition"].alias("addition")))).alias("expansion"))
     hits = contained(texts, vocabulary, id_col, F.lower("text"), "pattern")
-    hits = hits.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "addition"))), lambda h: h["addition"]), " ").alias("expansion"))
+    hits = hits.groupBy(id_col).agg(joined(F.collect_list(F.struct("ord", "addition"))).alias("expansion"))
     return texts.select(id_col).join(hits, id_col, "left").select(id_col, F.coalesce("expansion", F.lit("")).alias("expansion"))
 
 
