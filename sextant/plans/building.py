@@ -394,7 +394,7 @@ _NEGATIVE_ROWS = ", ".join(f"('{k}', {o}, {w}, '{i}', {x})" for k, o, w, i, x in
     ended AS (SELECT qid, doc_id, item_id, round(least(0.99::DOUBLE, greatest(0.01::DOUBLE, round(m + CASE WHEN mandated AND m < 0.25 AND (special OR contains(low, 'hot') OR contains(low, 'ring')) THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END, 6))), 4) AS score FROM moved)
     SELECT qid, doc_id, item_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, CASE WHEN score >= 0.65 THEN 'STRONG' WHEN score >= 0.40 THEN 'MODERATE' WHEN score >= 0.25 THEN 'LOW' ELSE 'INSUFFICIENT' END AS label, score >= 0.40 AS sure FROM ended""")
 def contrast_rerank(spark, d):
-    found = _with_extra(spark, d).join(_catalog(spark, d).select("doc_id", "item_id"), "doc_id")
+    found = written(_with_extra(spark, d).join(_catalog(spark, d).select("doc_id", "item_id"), "doc_id"))  # moved by three kinds of rules
     grades, by_slot = spark.createDataFrame(_GRADES, "grade string, item string, weight double"), spark.createDataFrame(_SLOT_RULES, "slot string, item string, weight double")
     negatives = spark.createDataFrame(_NEGATIVES, "kind string, ord int, words array<string>, item string, weight double")
     q = _wanted(spark, d)
