@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import band, bounded_score
+from ..sources.scratch import written
 from .matching import MOST_RULES, contained, held, literal, matched  # noqa: F401  MOST_RULES is part of this module's interface
 
 
@@ -39,6 +40,7 @@ def reranked(ranked: DataFrame, queries: DataFrame, rules: DataFrame) -> DataFra
     A rule meets an item by its whole number.  ranked: qid, doc_id, item_no, score;
     only rows that are ranked already can move.
     """
+    ranked = written(ranked)  # asked twice
     asked = contained(queries, rules.select("word", "item_no", "weight"), "qid", F.lower("text"), "word").select("qid", "item_no", "weight")
     extra = ranked.join(asked, ["qid", "item_no"]).groupBy("qid", "doc_id").agg(F.sum("weight").alias("extra"))
     scored = ranked.join(extra, ["qid", "doc_id"], "left").select("qid", "doc_id", bounded_score(F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score"))
