@@ -19,6 +19,9 @@ Where queries and texts are made of few words, as names of items are, most queri
 ask for the same frequent terms with the same weights, and most texts have the same
 impacts of them.  Then classes of queries meet classes of texts (`grouped`), and only
 rare terms are scored by text.
+
+A few queries that are asked once (`bm25`, `tfidf`, `searched_once`) need no index: their
+weights are broadcast, and every text is scored where it lies (`scanned`).
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ BLOCK, SHARD_DOCUMENTS = 128, 1 << 20
 DIRECT_POSTINGS = 1 << 24
 #: Terms of at most so many documents are scored by document; more frequent ones make the classes of `grouped`.
 RARE = 128
+#: Queries that are broadcast to the texts at most, and texts of a partition then.
+FEW_QUERIES, SCANNED_TEXTS = 1024, 4096
 #: More than rounding to six places and the order of additions can move a score.
 SLACK = 2e-6
 
@@ -67,6 +72,16 @@ def counted(texts: DataFrame, id_col: str, terms: str) -> DataFrame:
     return rows.select(id_col, "size", F.transform("first", lambda i: F.get("s", i - 1)).alias("terms"), F.when(F.size("first") > 0, tfs).otherwise(F.array().cast("array<int>")).alias("tfs"))
 
 
+def flat(rows: DataFrame, *columns: str) -> DataFrame:
+    """The columns, term and tf of rows as from `counted`, a row for each term.
+
+    An outer generator, as of others the optimizer asks first whether the arrays
+    are empty, and there works out the sorted array anew for every word of a text.
+    """
+    each = F.inline_outer(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))
+    return rows.select(*columns, each).where("term is not null")
+
+
 @dataclass(frozen=True)
 class Ranking:
     """One ranking's tables; `terms` has term, top (largest impact), df (documents) and idf."""
@@ -95,17 +110,26 @@ def words_of(corpus: DataFrame) -> DataFrame:
     return written(spread(corpus.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("words")))
 
 
-def bm25_index(words: DataFrame) -> Ranking:
-    """Okapi BM25; a term that is in more than half of the texts has FLOOR times the mean inverse document frequency."""
-    n, mean = words.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+def _bm25_posts(words: DataFrame, mean: float | None) -> DataFrame:
+    """doc_id, term, impact of every text's different terms."""
     part = lambda tf, size: tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.lit(float(mean or 1))))
-    posts = counted(words, "doc_id", "words").select("doc_id", "size", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
-    lists = _lists(posts.select("doc_id", "term", part(F.col("tf"), F.col("size")).alias("impact")), n)
+    posts = flat(counted(words, "doc_id", "words"), "doc_id", "size")
+    return posts.select("doc_id", "term", part(F.col("tf"), F.col("size")).alias("impact"))
+
+
+def _bm25_terms(tops: DataFrame, n: int) -> DataFrame:
+    """term, top, df, idf of all terms from their top and df."""
     df = F.col("df")
-    terms = lists.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.max("top").alias("top")).withColumn("raw", F.ln(F.lit(n) - df + 0.5) - F.ln(df + 0.5))
-    terms = written(terms)
+    terms = written(tops.withColumn("raw", F.ln(F.lit(n) - df + 0.5) - F.ln(df + 0.5)))
     floor = terms.agg(F.avg("raw")).first()[0]
-    return Ranking(lists, terms.select("term", "top", "df", F.when(F.col("raw") < 0, F.lit(FLOOR * (floor or 0.0))).otherwise(F.col("raw")).alias("idf")))
+    return terms.select("term", "top", "df", F.when(F.col("raw") < 0, F.lit(FLOOR * (floor or 0.0))).otherwise(F.col("raw")).alias("idf"))
+
+
+def bm25_index(words: DataFrame) -> Ranking:
+    """Okapi BM25; a term that is in more than half of the texts has FLOOR times the mean inverse document frequency."""
+    n, mean = words.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    lists = _lists(_bm25_posts(words, mean), n)
+    return Ranking(lists, _bm25_terms(lists.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.max("top").alias("top")), n))
 
 
 def _length(entries: str) -> Column:
@@ -113,16 +137,30 @@ def _length(entries: str) -> Column:
     return F.sqrt(F.aggregate(F.sort_array(F.transform(entries, lambda x: x["w"] * x["w"])), F.lit(0.0), lambda total, x: total + x))
 
 
+def _vocabulary(grams: DataFrame, n: int, features: int) -> DataFrame:
+    """term, df, idf of the `features` most frequent terms of texts as from `counted`, ties by term."""
+    chosen = flat(grams).groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df")).orderBy(F.col("freq").desc(), "term").limit(features)
+    return written(chosen.select("term", "df", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
+
+
+def _tfidf_posts(grams: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """doc_id, term, impact of every text's terms in the vocabulary."""
+    weighted = flat(grams, "doc_id").join(small(vocabulary), "term").select("doc_id", F.struct("term", ((1 + F.ln("tf")) * F.col("idf")).alias("w")).alias("p"))
+    # The length is made below the generator, once for a text; beside it, it would be for every term.
+    rows = weighted.groupBy("doc_id").agg(F.collect_list("p").alias("p")).select("doc_id", _length("p").alias("norm"), "p").select("doc_id", "norm", F.inline_outer("p"))
+    return rows.select("doc_id", "term", (F.col("w") / F.col("norm")).alias("impact"))
+
+
+def _grams(words: DataFrame) -> DataFrame:
+    return counted(words.select("doc_id", bigrams(F.col("words")).alias("grams")), "doc_id", "grams").drop("size")
+
+
 def tfidf_index(words: DataFrame, features: int = FEATURES) -> Ranking:
     """Cosine of sublinear TF-IDF over words and pairs of words; the vocabulary has the `features` most frequent of the corpus, ties by term."""
     n = words.count()
-    grams = written(counted(words.select("doc_id", bigrams(F.col("words")).alias("grams")), "doc_id", "grams").drop("size"))
-    each = grams.select("doc_id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
-    chosen = each.groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df")).orderBy(F.col("freq").desc(), "term").limit(features)
-    vocabulary = written(chosen.select("term", "df", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
-    weighted = each.join(small(vocabulary), "term").select("doc_id", F.struct("term", ((1 + F.ln("tf")) * F.col("idf")).alias("w")).alias("p"))
-    rows = weighted.groupBy("doc_id").agg(F.collect_list("p").alias("p")).select("doc_id", _length("p").alias("norm"), F.inline("p"))
-    lists = _lists(rows.select("doc_id", "term", (F.col("w") / F.col("norm")).alias("impact")), n)
+    grams = written(_grams(words))
+    vocabulary = _vocabulary(grams, n, features)
+    lists = _lists(_tfidf_posts(grams, vocabulary), n)
     tops = lists.groupBy("term").agg(F.max("top").alias("top"))
     return Ranking(lists, written(tops.join(vocabulary, "term")))
 
@@ -135,7 +173,7 @@ def index(corpus: DataFrame, features: int = FEATURES) -> Index:
 
 def _asked(queries: DataFrame, terms: Column) -> DataFrame:
     """qid, term, tf: what queries (qid, text) ask for."""
-    return counted(queries.select("qid", terms.alias("t")), "qid", "t").select("qid", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+    return flat(counted(queries.select("qid", terms.alias("t")), "qid", "t"), "qid")
 
 
 def bm25_weights(queries: DataFrame, ranking: Ranking) -> DataFrame:
@@ -147,7 +185,7 @@ def bm25_weights(queries: DataFrame, ranking: Ranking) -> DataFrame:
 def tfidf_weights(queries: DataFrame, ranking: Ranking) -> DataFrame:
     """The same for cosines: a query's weights have the length 1."""
     asked = _asked(queries, bigrams(tokens(F.col("text")))).join(ranking.terms, "term").select("qid", F.struct("term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"), "top", "df").alias("p"))
-    asked = asked.groupBy("qid").agg(F.collect_list("p").alias("p")).select("qid", _length("p").alias("length"), F.inline("p"))
+    asked = asked.groupBy("qid").agg(F.collect_list("p").alias("p")).select("qid", _length("p").alias("length"), "p").select("qid", "length", F.inline_outer("p"))
     return written(asked.select("qid", "term", (F.col("w") / F.col("length")).alias("weight"), "top", "df"))
 
 
@@ -277,18 +315,62 @@ def best(asked: DataFrame, ranking: Ranking, k: int) -> DataFrame:
     return grouped(asked, ranking, k, of_queries, of_docs) if 2 * of_docs.profiles.count() <= of_docs.members.count() else pruned(asked, ranking, k)
 
 
+def few(queries: DataFrame) -> bool:
+    """Whether queries, and what they ask for, are few enough to be sent to all texts."""
+    return queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES and _asked(queries, bigrams(tokens(F.col("text")))).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def _dealt(words: DataFrame, n: int) -> DataFrame:
+    """words, a text's row and what is made of it in one partition: grouping by text then shuffles nothing."""
+    return words.repartition(max(-(-n // SCANNED_TEXTS), words.sparkSession.sparkContext.defaultParallelism), "doc_id")
+
+
+def scanned(asked: DataFrame, posts: DataFrame, k: int) -> DataFrame:
+    """The same as `direct`, from postings (doc_id, term, impact) that lie by text; only the k best of a partition leave it."""
+    scores = posts.join(F.broadcast(asked.select("qid", "term", "weight")), "term").groupBy("doc_id", "qid").agg(F.round(F.sum(F.col("weight") * F.col("impact")), 6).alias("score"))
+    return top_k(scores.where("score > 0").select("qid", "doc_id", "score"), k)
+
+
+def _bm25_scanned(queries: DataFrame, words: DataFrame, k: int) -> DataFrame:
+    n, mean = words.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    tops = words.select(F.explode_outer(F.array_distinct("words")).alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.lit(None).cast("double").alias("top"))
+    asked = bm25_weights(queries, Ranking(tops, _bm25_terms(tops, n)))
+    return scanned(asked, _bm25_posts(_dealt(words, n), mean), k)
+
+
+def _tfidf_scanned(queries: DataFrame, words: DataFrame, k: int, features: int) -> DataFrame:
+    n = words.count()
+    vocabulary = _vocabulary(_grams(words), n, features)
+    asked = tfidf_weights(queries, Ranking(vocabulary, vocabulary.withColumn("top", F.lit(None).cast("double"))))
+    return scanned(asked, _tfidf_posts(_grams(_dealt(words, n)), vocabulary), k)
+
+
 def bm25(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """qid, doc_id, score, rank by Okapi BM25; queries (qid, text), corpus (doc_id, text)."""
-    ranking = bm25_index(words_of(corpus))
+    words = words_of(corpus)
+    if few(queries):
+        return _bm25_scanned(queries, words, k)
+    ranking = bm25_index(words)
     return best(bm25_weights(queries, ranking), ranking, k)
 
 
 def tfidf(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, features: int = FEATURES) -> DataFrame:
     """qid, doc_id, score, rank by cosine of sublinear TF-IDF over words and pairs of words."""
-    ranking = tfidf_index(words_of(corpus), features)
+    words = words_of(corpus)
+    if few(queries):
+        return _tfidf_scanned(queries, words, k, features)
+    ranking = tfidf_index(words, features)
     return best(tfidf_weights(queries, ranking), ranking, k)
 
 
+def searched_once(queries: DataFrame, corpus: DataFrame, k: int | None = None, features: int = FEATURES) -> DataFrame:
+    """The same as `searched` of a corpus that no other search asks."""
+    if not few(queries):
+        return searched(queries, index(corpus, features), k)
+    words = words_of(corpus)
+    return fused(_bm25_scanned(queries, words, CANDIDATES), _tfidf_scanned(queries, words, CANDIDATES, features), k)
+
+
 def searched(queries: DataFrame, found: Index, k: int | None = None) -> DataFrame:
     """Both rankings of an indexed corpus, fused."""
     sparse = best(bm25_weights(queries, found.bm25), found.bm25, CANDIDATES)
