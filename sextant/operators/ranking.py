@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import band, bounded_score, canonical_key, tokens
+from ..sources.scratch import written
 from .graph import aliases
 from .retrieval import Index, index, searched, small, top_k
 
@@ -71,7 +72,9 @@ def composite(found: DataFrame, queries: DataFrame, exact: DataFrame, bonus: Dat
 
 
 def matched_terms(queries: DataFrame, corpus: DataFrame, ranked: DataFrame) -> DataFrame:
-    """ranked with the query's tokens that the document has, in the query's order."""
+    """ranked with the query's tokens that the document has, in the query's order; only ranked documents are tokenised."""
+    ranked = written(ranked)
+    corpus = corpus.join(small(ranked.select("doc_id").distinct()), "doc_id", "left_semi")
     q = queries.select("qid", tokens(F.col("text")).alias("q"))
     d = corpus.select("doc_id", tokens(F.col("text")).alias("d"))
     return ranked.join(q, "qid").join(d, "doc_id").select("qid", "doc_id", F.array_join(F.array_distinct(F.filter("q", lambda t: F.array_contains("d", t))), " ").alias("matched"))
