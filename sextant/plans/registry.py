@@ -53,7 +53,7 @@ def tfidf_topk(spark, d):
 
 @query(O.BM25 + O.TFIDF + O.FUSED + "SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 10")
 def rrf_fusion(spark, d):
-    return retrieval.searched(_asked(spark, d), retrieval.index(_corpus(spark, d)), k=10).select("qid", "doc_id", "score", "rank")
+    return retrieval.searched_once(_asked(spark, d), _corpus(spark, d), k=10).select("qid", "doc_id", "score", "rank")
 
 
 @query(O.TOKENS + "SELECT doc_id, len(words) AS tokens, len(list_distinct(words)) AS different, array_to_string(words[1:5], ' ') AS head FROM docs")
