@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bare_number, canonical_key
-from ..sources.scratch import written
+from ..sources.scratch import small_side, written
 
+#: Node ids that are broadcast at most, to leave out edges of other nodes before they are shuffled.
+MOST_NODES = 1_000_000
 NO_LOOPS = ("NORMATIVE_REF", "TESTED_BY", "SUPERSEDES")
 
 
@@ -70,13 +72,19 @@ def two_hop(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> Data
     With `most`, no node passes on more than so many neighbours: of those at most
     as many are near already as leave room for fewer, so the rows are those of the
     whole expansion.  Seeds that are full after the first hop make no second one.
+    Edges of other nodes than seeds, and then than those of seeds that aren't full,
+    are left out before they are shuffled.
     """
     start = seeds.select(F.col("id").alias("seed")).distinct()
-    first = start.join(_nearest(both_ways(edges), most).select(F.col("node").alias("seed"), F.col("neighbour").alias("id")), "seed").where("id != seed")
+    near = both_ways(edges).join(small_side(start.withColumnRenamed("seed", "node"), MOST_NODES), "node", "left_semi")
+    first = written(_nearest(near, most).select(F.col("node").alias("seed"), F.col("neighbour").alias("id")).where("id != seed"))
     onward = first
     if most is not None:
         onward = first.join(first.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 < most).select("seed"), "seed", "left_semi")
-    out = _nearest(edges.select(F.col("source").alias("node"), F.col("target").alias("neighbour")), most).select(F.col("node").alias("id"), F.col("neighbour").alias("next"))
+    leaving = edges.select(F.col("source").alias("node"), F.col("target").alias("neighbour"))
+    if most is not None:
+        leaving = leaving.join(small_side(onward.select(F.col("id").alias("node")).distinct(), MOST_NODES), "node", "left_semi")
+    out = _nearest(leaving, most).select(F.col("node").alias("id"), F.col("neighbour").alias("next"))
     second = onward.join(out, "id").select("seed", F.col("next").alias("id"))
     found = start.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hop")).unionByName(first.withColumn("hop", F.lit(1))).unionByName(second.withColumn("hop", F.lit(2)))
     found = found.groupBy("seed", "id").agg(F.min("hop").alias("hop"))

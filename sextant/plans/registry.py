@@ -252,7 +252,7 @@ _KEPT = with_views("fx_catalog", "fx_edges") + "," + _SEEDS + """, all_edges AS
 
 def _kept(spark, d):
     seeds = view(spark, d, "fx_catalog").where("status = 'WITHDRAWN'").select(F.col("item_id").alias("id"))
-    return graph.neighbourhood(written(view(spark, d, "fx_edges")), seeds, most=50)
+    return graph.neighbourhood(written(view(spark, d, "fx_edges").select("source", "target", "relationship")), seeds, most=50)
 
 
 @query(_KEPT + " SELECT seed, id, hop FROM kept")
