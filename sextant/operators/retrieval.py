@@ -4,7 +4,8 @@ A corpus is indexed once, into written tables, and every search of it uses them.
 Each of the two rankings (BM25 over words, TF-IDF cosine over words and pairs) is
 a sum over a query's terms of weight times impact; its index has
 
-* `lists`: a row for each block of BLOCK postings of a term: postings go by falling
+* `posts`: a row for each document: its terms with their impacts;
+* `lists`, made when they are first asked for: a row for each block of BLOCK postings of a term: postings go by falling
   impact, a row says its largest (`top`), and rows lie by term;
 * `terms`: each term's largest impact and what its weight follows from.
 
@@ -16,7 +17,7 @@ documents that may be among the k best are added.  The result is that of scoring
 everything.
 
 Where queries and texts are made of few words, as names of items are, most queries
-ask for the same frequent terms with the same weights, and most texts have the same
+ask for the same frequent terms with the same weights, and many texts have the same
 impacts of them.  Then classes of queries meet classes of texts (`grouped`), and only
 rare terms are scored by text.
 
@@ -26,7 +27,8 @@ weights are broadcast, and every text is scored where it lies (`scanned`).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,8 @@ BLOCK, SHARD_DOCUMENTS = 128, 1 << 20
 DIRECT_POSTINGS = 1 << 24
 #: Terms of at most so many documents are scored by document; more frequent ones make the classes of `grouped`.
 RARE = 128
+#: How many times fewer the terms that pairs of classes share must be than asked postings.
+FEWER = 4
 #: Queries that are broadcast to the texts at most, and texts of a partition then.
 FEW_QUERIES, SCANNED_TEXTS = 1024, 4096
 #: More than rounding to six places and the order of additions can move a score.
@@ -84,10 +88,25 @@ def flat(rows: DataFrame, *columns: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ranking:
-    """One ranking's tables; `terms` has term, top (largest impact), df (documents) and idf."""
+    """One ranking's tables; `terms` has term, top (largest impact), df (documents) and idf.
 
-    lists: DataFrame
-    terms: DataFrame
+    `posts` has doc_id and entries (term, impact) of all `n` documents; `given` are lists that are there without it.
+    """
+
+    given: DataFrame | None
+    terms: DataFrame | None
+    posts: DataFrame | None = None
+    n: int = 0
+
+    @cached_property
+    def lists(self) -> DataFrame:
+        return _lists(self.each(), self.n) if self.given is None else self.given
+
+    def each(self) -> DataFrame:
+        """doc_id, term, impact of every posting."""
+        if self.posts is None:
+            return self.lists.select("term", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("impacts").alias("impact")))).select("doc_id", "term", "impact")
+        return self.posts.select("doc_id", F.inline_outer("entries")).where("term is not null")
 
 
 @dataclass(frozen=True)
@@ -110,11 +129,14 @@ def words_of(corpus: DataFrame) -> DataFrame:
     return written(spread(corpus.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("words")))
 
 
+def _bm25_part(tf: Column, size: Column, mean: float | None) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.lit(float(mean or 1))))
+
+
 def _bm25_posts(words: DataFrame, mean: float | None) -> DataFrame:
     """doc_id, term, impact of every text's different terms."""
-    part = lambda tf, size: tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.lit(float(mean or 1))))
     posts = flat(counted(words, "doc_id", "words"), "doc_id", "size")
-    return posts.select("doc_id", "term", part(F.col("tf"), F.col("size")).alias("impact"))
+    return posts.select("doc_id", "term", _bm25_part(F.col("tf"), F.col("size"), mean).alias("impact"))
 
 
 def _bm25_terms(tops: DataFrame, n: int) -> DataFrame:
@@ -128,8 +150,11 @@ def _bm25_terms(tops: DataFrame, n: int) -> DataFrame:
 def bm25_index(words: DataFrame) -> Ranking:
     """Okapi BM25; a term that is in more than half of the texts has FLOOR times the mean inverse document frequency."""
     n, mean = words.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
-    lists = _lists(_bm25_posts(words, mean), n)
-    return Ranking(lists, _bm25_terms(lists.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.max("top").alias("top")), n))
+    entry = lambda x: F.struct(x["term"].alias("term"), _bm25_part(x["tf"], F.col("size"), mean).alias("impact"))
+    entries = F.transform(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")), entry)
+    found = Ranking(None, None, written(counted(words, "doc_id", "words").select("doc_id", entries.alias("entries"))), n)
+    tops = found.each().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("top"))
+    return replace(found, terms=_bm25_terms(tops, n))
 
 
 def _length(entries: str) -> Column:
@@ -143,11 +168,16 @@ def _vocabulary(grams: DataFrame, n: int, features: int) -> DataFrame:
     return written(chosen.select("term", "df", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
 
 
-def _tfidf_posts(grams: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """doc_id, term, impact of every text's terms in the vocabulary."""
+def _tfidf_rows(grams: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """doc_id, norm, p: every text's terms in the vocabulary with their weights, and the length of these."""
     weighted = flat(grams, "doc_id").join(small(vocabulary), "term").select("doc_id", F.struct("term", ((1 + F.ln("tf")) * F.col("idf")).alias("w")).alias("p"))
     # The length is made below the generator, once for a text; beside it, it would be for every term.
-    rows = weighted.groupBy("doc_id").agg(F.collect_list("p").alias("p")).select("doc_id", _length("p").alias("norm"), "p").select("doc_id", "norm", F.inline_outer("p"))
+    return weighted.groupBy("doc_id").agg(F.collect_list("p").alias("p")).select("doc_id", _length("p").alias("norm"), "p")
+
+
+def _tfidf_posts(grams: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """doc_id, term, impact of every text's terms in the vocabulary."""
+    rows = _tfidf_rows(grams, vocabulary).select("doc_id", "norm", F.inline_outer("p"))
     return rows.select("doc_id", "term", (F.col("w") / F.col("norm")).alias("impact"))
 
 
@@ -158,11 +188,12 @@ def _grams(words: DataFrame) -> DataFrame:
 def tfidf_index(words: DataFrame, features: int = FEATURES) -> Ranking:
     """Cosine of sublinear TF-IDF over words and pairs of words; the vocabulary has the `features` most frequent of the corpus, ties by term."""
     n = words.count()
-    grams = written(_grams(words))
-    vocabulary = _vocabulary(grams, n, features)
-    lists = _lists(_tfidf_posts(grams, vocabulary), n)
-    tops = lists.groupBy("term").agg(F.max("top").alias("top"))
-    return Ranking(lists, written(tops.join(vocabulary, "term")))
+    vocabulary = _vocabulary(_grams(words), n, features)
+    rows = _tfidf_rows(_grams(_dealt(words, n)), vocabulary)
+    entries = F.transform("p", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("impact")))
+    found = Ranking(None, None, written(rows.select("doc_id", entries.alias("entries"))), n)
+    tops = found.each().groupBy("term").agg(F.max("impact").alias("top"))
+    return replace(found, terms=written(tops.join(small(vocabulary), "term")))
 
 
 def index(corpus: DataFrame, features: int = FEATURES) -> Index:
@@ -242,8 +273,7 @@ def pruned(asked: DataFrame, ranking: Ranking, k: int) -> DataFrame:
 
 def direct(asked: DataFrame, ranking: Ranking, k: int) -> DataFrame:
     """The same as `pruned`, from every posting of every asked term."""
-    blocks = ranking.lists.join(small(asked.select("qid", "term", "weight")), "term")
-    scores = _posted(blocks).groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("impact")), 6).alias("score"))
+    scores = ranking.each().join(small(asked.select("qid", "term", "weight")), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("impact")), 6).alias("score"))
     return top_k(scores.where("score > 0"), k)
 
 
@@ -292,7 +322,10 @@ def grouped(asked: DataFrame, ranking: Ranking, k: int, of_queries: Classes, of_
     frequent = of_queries.members.join(small(frequent), F.col("class") == F.col("query_class")).select("qid", F.inline("found"))
     # What has a rare term, with what its frequent ones give.
     rare = asked.join(small(_frequent(asked)), "term", "left_anti").select("qid", "term", "weight")
-    added = _posted(ranking.lists.join(small(rare), "term")).groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("added"))
+    posts = ranking.each()
+    if ranking.posts is not None:
+        posts = posts.join(small(ranking.terms.where(F.col("df") > RARE).select("term")), "term", "left_anti")
+    added = posts.join(small(rare), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("added"))
     named = lambda c, by, name: c.members.join(small(c.profiles), "class").select(by, F.col("entries").alias(name))
     added = added.join(named(of_queries, "qid", "weights"), "qid", "left").join(named(of_docs, "doc_id", "impacts"), "doc_id", "left")
     impacts = F.map_from_entries(F.coalesce("impacts", F.array().cast(added.schema["impacts"].dataType)))
@@ -304,15 +337,17 @@ def grouped(asked: DataFrame, ranking: Ranking, k: int, of_queries: Classes, of_
 
 def best(asked: DataFrame, ranking: Ranking, k: int) -> DataFrame:
     """The k best by whichever way is cheaper; rows are the same."""
-    if (asked.agg(F.sum("df")).first()[0] or 0) <= DIRECT_POSTINGS:
+    asked_posts = asked.agg(F.sum("df")).first()[0] or 0
+    if asked_posts <= DIRECT_POSTINGS:
         return direct(asked, ranking, k)
     terms = written(_frequent(asked))
     of_queries = classes(asked.join(small(terms), "term", "left_semi"), "qid", "weight")
     if 2 * of_queries.profiles.count() > of_queries.members.count():
         return pruned(asked, ranking, k)
-    posts = ranking.lists.join(small(terms), "term", "left_semi").select("term", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("impacts").alias("impact"))))
-    of_docs = classes(posts, "doc_id", "impact")
-    return grouped(asked, ranking, k, of_queries, of_docs) if 2 * of_docs.profiles.count() <= of_docs.members.count() else pruned(asked, ranking, k)
+    of_docs = classes(ranking.each().join(small(terms), "term", "left_semi"), "doc_id", "impact")
+    each = lambda c, n: c.profiles.select(F.explode("entries.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias(n))
+    met = each(of_queries, "a").join(each(of_docs, "b"), "term").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+    return grouped(asked, ranking, k, of_queries, of_docs) if FEWER * met <= asked_posts else pruned(asked, ranking, k)
 
 
 def few(queries: DataFrame) -> bool:

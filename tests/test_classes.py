@@ -50,3 +50,17 @@ def test_classes_pair_once(items, monkeypatch):
     posts = r.lists.join(terms, "term", "left_semi").select("term", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("impacts").alias("impact"))))
     of_docs = retrieval.classes(posts, "doc_id", "impact")
     assert of_queries.profiles.count() <= 20 and of_docs.profiles.count() <= 27 and of_docs.members.count() == 900
+
+
+def test_classes_by_what_they_cost(spark, monkeypatch):
+    """Few classes of queries meet classes of texts, also where no two texts are of one class; then no lists are made."""
+    c = spark.createDataFrame([(17 * i + j, f"word{i} item{j}") for i in range(17) for j in range(17)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, f"word{i % 3} item{i % 2}") for i in range(120)], "qid int, text string")
+    r = retrieval.bm25_index(retrieval.words_of(c))
+    weights = retrieval.bm25_weights(q, r)
+    want = rows(retrieval.direct(weights, r, 5))
+    monkeypatch.setattr(retrieval, "RARE", 3)
+    monkeypatch.setattr(retrieval, "DIRECT_POSTINGS", 0)
+    monkeypatch.setattr(retrieval, "pruned", None)
+    assert rows(retrieval.best(weights, r, 5)) == want and len(want) == 600
+    assert "lists" not in vars(r)
