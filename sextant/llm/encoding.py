@@ -19,7 +19,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Units that a worker remembers; beyond it, those that it hasn't met for as long are forgotten.
-MEMORY_UNITS = 150_000
+MEMORY_UNITS = 400_000
 #: Characters of a unit that is remembered; longer ones are encoded each time they come.
 MEMORY_LENGTH = 256
 
@@ -106,20 +106,18 @@ class Encoder:
             if units is None:
                 out += self.whole([text])
                 continue
-            try:
-                out.append(b"".join(map(self.known.__getitem__, units)))
-            except KeyError:
-                if len(self.known) > MEMORY_UNITS:
-                    self.known, self.before = {}, self.known
-                    self.parts.clear()
-                new = {u for u in units if u not in self.known}
+            if len(self.known) > MEMORY_UNITS:
+                self.known, self.before = {}, self.known
+                self.parts.clear()
+            new = set(units).difference(self.known)
+            if new:
                 self._learn(new)
-                out.append(b"".join(map(self.known.__getitem__, units)))
-                for unit in new:
-                    if len(unit) > MEMORY_LENGTH:
-                        del self.known[unit]
-                        for piece in self.plain(unit) or ():
-                            self.parts.pop(piece, None)
+            out.append(b"".join(map(self.known.__getitem__, units)))
+            for unit in new:
+                if len(unit) > MEMORY_LENGTH:
+                    del self.known[unit]
+                    for piece in self.plain(unit) or ():
+                        self.parts.pop(piece, None)
         return out
 
 
