@@ -18,6 +18,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
+from .units import TOKENISERS, forget_words
+
 #: Units that a worker remembers; beyond it, those that it hasn't met for as long are forgotten.
 MEMORY_UNITS = 400_000
 #: Characters of a unit that is remembered; longer ones are encoded each time they come.
@@ -60,8 +62,9 @@ class Encoder:
     def from_file(cls, path: str) -> Encoder:
         """For a byte-level BPE file, with or without word ends; special tokens in a text are ordinary text.
 
-        A worker keeps its encoder, and what it remembers, from task to task.
+        A worker keeps its encoder, and what it remembers, from task to task, until it turns to other work.
         """
+        forget_words()
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         spec = [json.loads(x.__getstate__()) if x is not None else None for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
@@ -121,6 +124,8 @@ class Encoder:
         return out
 
 
+TOKENISERS.append(Encoder.from_file)
+
 #: White space next to white space, or at an end, or of another kind: such texts are cut by a pattern.
 _CLUSTERS = ("  ", "\n ", " \n", "\n\n", "\t", "\r", "\x0b", "\x0c")
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
 from .encoding import MEMORY_LENGTH, MEMORY_UNITS
+from .units import TOKENISERS
 
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -162,10 +163,13 @@ class Codec:
 
 @lru_cache(maxsize=1)
 def opened(path: str) -> Codec:
-    """A worker keeps its codec, and what it remembers, from task to task."""
+    """A worker keeps its codec, and what it remembers, from task to task, until it turns to other work."""
     return Codec(path)
 
 
+TOKENISERS.append(opened)
+
+
 _ENCODED = "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean, ids binary"
 
 

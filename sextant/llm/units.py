@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,9 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Words and bytes of them that a worker remembers the digests of.
 MEMORY_WORDS, MEMORY_BYTES = 1 << 17, 1 << 23
 
+#: Cached functions whose results a worker keeps for tasks that tokenise; tasks that work on slices empty them.
+TOKENISERS: list[Callable] = []
+
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2**64."""
@@ -177,6 +180,7 @@ def pieces(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Texts]:
     """The column's texts in slices of about `limit` bytes; null counts as empty."""
+    forget_tokenisers()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("" if not pa.types.is_binary(column.type) else b"").cast(pa.large_binary())
@@ -193,6 +197,20 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
     give_back()
 
 
+def forget_tokenisers() -> None:
+    """A worker that turns to other work keeps no tokeniser with the units that it remembers, which are its largest tables."""
+    kept = [f for f in TOKENISERS if f.cache_info().currsize]
+    for f in kept:
+        f.cache_clear()
+    if kept:
+        give_back()
+
+
+def forget_words() -> None:
+    """A worker that turns to tokenising keeps no digests of words."""
+    _memory.forget()
+
+
 def give_back() -> None:
     """Memory that was freed goes back to the system, as workers live from task to task and share their machine's memory with the JVM."""
     pa.default_memory_pool().release_unused()
