@@ -170,7 +170,8 @@ def citation_key(text: Column, year: bool = True, prefix: bool = True) -> Column
     t = t if year else F.regexp_replace(t, r":\s*\d{4}", "")
     t = F.regexp_replace(F.regexp_replace(t, r"(?i)\s*:\s*Part\s*(\d+)", " (Part $1)"), r"(?i)(?<!\()\bPart\s*(\d+)", "(Part $1)")
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[.,;:]+$", ""), r"\s+", " "))
-    return F.when((t == "") | F.startswith(t, F.lit("IS")), t).otherwise(F.concat(F.lit("IS "), t)) if prefix else t
+    # By a pattern, as a condition would work out all of this once more for each of its branches.
+    return F.regexp_replace(t, r"^(?!IS|\z)", "IS ") if prefix else t
 
 
 def lifecycle(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, base_designator, citation_key, context, node_id
+from ..sources.scratch import spread
 from .graph import keep_first
 
 # Words near a citation that make it one of a test, notations, and how far each source is trusted.
@@ -23,17 +24,21 @@ EDGE = ["source", "target", "relationship", "confidence", "description", "method
 
 def number_index(catalog: DataFrame) -> DataFrame:
     """key, target: items by their full number and by what stands before the year; of several items that share a key, the latest year, then the largest id."""
-    keys = F.array_distinct(F.array(F.upper(citation_key(F.col("item_no"))), F.upper(base_designator(citation_key(F.col("item_no"))))))
-    rows = catalog.select("item_id", "year", F.explode(keys).alias("key"))
+    full = F.transform(F.array("item_no"), lambda x: F.upper(citation_key(x)))
+    keys = F.flatten(F.transform(full, lambda x: F.array_distinct(F.array(x, base_designator(x)))))
+    rows = catalog.select("item_id", "year", F.explode_outer(keys).alias("key"))
     return rows.groupBy("key").agg(F.max_by("item_id", F.struct("year", "item_id")).alias("target"))
 
 
 def located(citations: DataFrame, index: DataFrame, raw: str = "raw") -> DataFrame:
     """citations with target: the item of the full number, else of what stands before the year; rows without either are left out."""
-    full = F.upper(citation_key(F.col(raw)))
+    return _located(citations.withColumn("full", F.upper(citation_key(F.col(raw)))), index)
+
+
+def _located(citations: DataFrame, index: DataFrame) -> DataFrame:
+    """citations without their column `full`, the key of the full number, with target."""
     by_full, by_base = index.withColumnsRenamed({"key": "full", "target": "by_full"}), index.withColumnsRenamed({"key": "base", "target": "by_base"})
-    rows = citations.withColumns({"full": full, "base": F.upper(base_designator(citation_key(F.col(raw))))})
-    rows = rows.join(by_full, "full", "left").join(by_base, "base", "left")
+    rows = citations.withColumn("base", base_designator(F.col("full"))).join(by_full, "full", "left").join(by_base, "base", "left")
     return rows.withColumn("target", F.coalesce("by_full", "by_base")).where("target is not null").drop("full", "base", "by_full", "by_base")
 
 
@@ -42,17 +47,18 @@ def scope_edges(docs: DataFrame, catalog: DataFrame) -> DataFrame:
 
     A citation is of a test where words near its first place say so.  A document
     doesn't cite its own number, in any edition.  Each edge comes once, with the
-    text around the citation that comes first.
+    text around the citation that comes first.  What a citation says is worked
+    out once, in the row of its text, and texts aren't joined.
     """
-    own = F.upper(citation_key(F.col("item_no")))
-    found = docs.select("item_id", "text", own.alias("own"), F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SCOPE_CITATION), 0)).alias("place", "raw"))
-    key = F.upper(citation_key(F.col("raw")))
-    found = found.where((key != F.col("own")) & (base_designator(key) != base_designator(F.col("own"))))
-    found = located(found, number_index(catalog)).withColumn("near", context(F.col("text"), F.col("raw")))
-    tested = any_of(F.col("near"), CONTEXT_WORDS)
-    rows = found.select(
-        F.col("item_id").alias("source"), "target", F.when(tested, "TESTED_BY").otherwise("NORMATIVE_REF").alias("relationship"),
-        F.when(tested, TEST_CONFIDENCE).otherwise(CITATION_CONFIDENCE).alias("confidence"), F.substring("near", 1, 150).alias("description"), "place",
+    raws = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SCOPE_CITATION), 0)
+    told = F.transform(raws, lambda raw, i: F.struct(i.alias("place"), F.upper(citation_key(raw)).alias("full"), context(F.col("text"), raw).alias("near")))
+    # An outer generator, as of others the optimizer asks first whether the array is empty, and works it out anew for that.
+    found = spread(docs.select("item_id", "item_no", "text")).select("item_id", base_designator(F.upper(citation_key(F.col("item_no")))).alias("own"), F.inline_outer(told))
+    found = found.where(F.col("full").isNotNull() & (base_designator(F.col("full")) != F.col("own")))
+    rows = found.select("item_id", "place", "full", any_of(F.col("near"), CONTEXT_WORDS).alias("tested"), F.substring("near", 1, 150).alias("description"))
+    rows = _located(rows, number_index(spread(catalog.select("item_id", "item_no", "year")))).select(
+        F.col("item_id").alias("source"), "target", F.when(F.col("tested"), "TESTED_BY").otherwise("NORMATIVE_REF").alias("relationship"),
+        F.when(F.col("tested"), TEST_CONFIDENCE).otherwise(CITATION_CONFIDENCE).alias("confidence"), "description", "place",
     )
     first = rows.groupBy("source", "target", "relationship").agg(F.min_by(F.struct("confidence", "description"), "place").alias("first"))
     return first.select("source", "target", "relationship", "first.*", F.lit("scope").alias("method"))
