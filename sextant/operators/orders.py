@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_date
-from ..sources.scratch import small_side
+from ..sources.scratch import small_side, written
 
 #: Evaluation dates are few; up to this many are broadcast, more are crossed in blocks.
 MOST_DATES = 1000
@@ -42,18 +42,19 @@ def governing(status: DataFrame) -> DataFrame:
     )
 
 
-def governing_asof(orders: DataFrame, asked: DataFrame) -> DataFrame:
+def governing_asof(orders: DataFrame, asked: DataFrame, numbered: bool = False) -> DataFrame:
     """The same as `governing` for the asked pairs (item_id, evaluation_date) of items that have orders, without every order at every date.
 
     Orders and asked dates of an item are sorted together, and the last order in
     force is carried along; before the first, the latest order is the pending
     one.  What doesn't depend on the date is one row an item.  Orders are first
     reduced to one a day, and repeated pairs count once, so an item sorts days,
-    however often it is asked for.
+    however often it is asked for.  With `numbered`, the governing order's
+    order_no is there too.  What orders say is parsed once, into a written table.
     """
-    rows = dated(orders).select("item_id", "order_id", "order_no", "order_name", "effective_date", "standing")
+    rows = written(dated(orders).select("item_id", "order_id", "order_no", "order_name", "effective_date", "standing"))
     lively = F.col("standing").isNull() & F.col("effective_date").isNotNull()
-    one = F.struct("order_id", "order_name", "effective_date")
+    one = F.struct("order_id", "order_name", "effective_date", "order_no")
     rank = F.coalesce(*(F.when(F.coalesce("standing", F.lit("UNVERIFIED_EFFECTIVE_DATE")) == s, p) for s, p in PRIORITY.items()))
     place = F.struct(rank, F.coalesce(F.col("effective_date").cast("string"), F.lit("")), -F.col("order_no"))
     about = rows.groupBy("item_id").agg(
@@ -69,7 +70,8 @@ def governing_asof(orders: DataFrame, asked: DataFrame) -> DataFrame:
     out = held.join(about, "item_id").withColumn("g", F.coalesce("held", "latest", "idle")).withColumn("temporal_status", status)
     return out.select(
         "item_id", "evaluation_date", "g.order_id", "temporal_status", F.col("g.effective_date").alias("effective_date"), "orders", (F.size("names") - 1).cast("long").alias("competing"),
-        F.array_join(F.sort_array(F.array_except("names", F.array("g.order_name"))), "; ").alias("others"), (F.col("temporal_status") == "MANDATORY_IN_FORCE").alias("is_mandatory")
+        F.array_join(F.sort_array(F.array_except("names", F.array("g.order_name"))), "; ").alias("others"), (F.col("temporal_status") == "MANDATORY_IN_FORCE").alias("is_mandatory"),
+        *([F.col("g.order_no").alias("order_no")] if numbered else []),
     )
 
 
@@ -81,6 +83,7 @@ def mandated(orders: DataFrame, edges: DataFrame) -> DataFrame:
 
 def inherited(items: DataFrame, own: DataFrame, successors: DataFrame) -> DataFrame:
     """Each item's governing order, or that of its last successor (node, end), which is then named in via."""
+    own = written(own)  # three joins read it
     mine = items.select("item_id").join(own, "item_id", "left")
     missing = mine.where("order_id is null").select("item_id").join(successors.select(F.col("node").alias("item_id"), F.col("end").alias("via")), "item_id")
     theirs = missing.join(own.withColumnRenamed("item_id", "via"), "via")

@@ -304,7 +304,7 @@ def department_clusters(spark, d):
     SELECT concat('IS_', p_partkey) AS item_id, coalesce(o.order_id, n.order_id) AS order_id, CASE WHEN o.order_id IS NULL THEN s.source END AS via FROM part LEFT JOIN own o ON o.item_id = concat('IS_', p_partkey)
     LEFT JOIN (SELECT * FROM fx_supersedes WHERE target LIKE '%1') s ON s.target = concat('IS_', p_partkey) LEFT JOIN own n ON n.item_id = s.source WHERE o.order_id IS NOT NULL OR n.order_id IS NOT NULL""")
 def inherited_orders(spark, d):
-    best = _governed(spark, d).where("evaluation_date = '1998-01-01'").join(view(spark, d, "fx_orders").select("order_id", "order_no"), "order_id")
+    best = _governed(spark, d, ["1998-01-01"], numbered=True)
     own = best.where("order_no % 3 > 0 and item_id not like '%1'").select("item_id", "order_id")
     ends = graph.chain_ends(view(spark, d, "fx_supersedes").where("target like '%1'").select(F.col("target").alias("node"), F.col("source").alias("next")))
     items = view(spark, d, "fx_catalog").select("item_id")

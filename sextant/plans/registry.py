@@ -117,11 +117,11 @@ def _status(spark, d):
     return orders.status_asof(view(spark, d, "fx_orders"), dates)
 
 
-def _governed(spark, d):
-    """The governing order of every item that has orders, at the three dates."""
+def _governed(spark, d, dates=DATES, numbered=False):
+    """The governing order of every item that has orders, at the three dates or those that are given."""
     rows = view(spark, d, "fx_orders")
-    asked = rows.select("item_id").distinct().select("item_id", F.explode(F.array(*(F.to_date(F.lit(x)) for x in DATES))).alias("evaluation_date"))
-    return orders.governing_asof(rows, asked)
+    asked = rows.select("item_id").distinct().select("item_id", F.explode(F.array(*(F.to_date(F.lit(x)) for x in dates))).alias("evaluation_date"))
+    return orders.governing_asof(rows, asked, numbered)
 
 
 @query(with_views("fx_orders") + "," + _STATUS + " SELECT order_id, evaluation_date, effective_date, temporal_status FROM status")
