@@ -165,8 +165,11 @@ def _followed(links: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame
 
 
 def _searched(edges: DataFrame, pairs: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """Pairs with their number; pair, length of those that are connected; and for both ends what was reached (pair, node, d, parent)."""
-    near = written(both_ways(edges).select("node", "neighbour").distinct())
+    """Pairs with their number; pair, length of those that are connected; and for both ends what was reached (pair, node, d, parent).
+
+    Every step reads the edges (a written table) and keeps those of its rim before anything is shuffled.
+    """
+    near = both_ways(edges.select("source", "target", F.lit(None).cast("string").alias("relationship"))).select("node", "neighbour")
     todo = written(pairs.select("source", "target").distinct().withColumn("pair", F.xxhash64("source", "target")))
     seen = {end: todo.select("pair", F.col(end).alias("node"), F.lit(0).alias("d"), F.lit(None).cast(todo.schema[end].dataType).alias("parent")) for end in ("source", "target")}
     rim = dict(seen)
@@ -177,7 +180,8 @@ def _searched(edges: DataFrame, pairs: DataFrame, most: int | None) -> tuple[Dat
         end, other = ("source", "target") if step % 2 else ("target", "source")
         # A pair goes on while both its rims hold nodes: where one is empty, that end's whole component has been seen.
         open_rim = rim[end].join(found, "pair", "left_anti").join(rim[other].select("pair").distinct(), "pair", "left_semi")
-        grown = open_rim.join(near, "node").groupBy("pair", F.col("neighbour").alias("node")).agg(F.min("node").alias("parent"))
+        leaving = near.join(small_side(open_rim.select("node").distinct(), MOST_NODES), "node", "left_semi")
+        grown = open_rim.join(leaving, "node").groupBy("pair", F.col("neighbour").alias("node")).agg(F.min("node").alias("parent"))
         fresh = grown.join(seen[end], ["pair", "node"], "left_anti")
         rim[end] = written(fresh.select("pair", "node", F.lit((step + 1) // 2 if end == "source" else step // 2).alias("d"), "parent"))
         if rim[end].isEmpty():
@@ -195,13 +199,20 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int | None = None)
     node is never visited twice by one pair.  Without `most` they grow until
     every pair has met or has no node left to visit.
     """
-    todo, found, _ = _searched(edges, pairs, most)
+    todo, found, _ = _searched(written(edges.select("source", "target")), pairs, most)
     return todo.join(found, "pair", "left").select("source", "target", "length")
 
 
+def _among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between nodes (node), those of others left out before anything is shuffled."""
+    kept = small_side(nodes.select("node").distinct(), MOST_NODES)
+    return edges.join(kept.withColumnRenamed("node", "source"), "source", "left_semi").join(kept.withColumnRenamed("node", "target"), "target", "left_semi")
+
+
 def path_steps(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
     """source, target, step, node, relationship: the nodes of one shortest path of each connected pair.
 
+    edges: a written table, as every step of the search reads it.
     Of several paths, the one over the smallest node in the middle, and from
     there to both ends over the smallest node that is one step nearer.  A step's
     relationship is the smallest of the edges onto its node, else INVERSE_ and
@@ -222,7 +233,7 @@ def path_steps(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> D
                 break
             path = path.unionByName(here.select("pair", "step", "node"))
     path = written(path.withColumn("before", F.lag("node").over(Window.partitionBy("pair").orderBy("step"))))
-    kinds = edges.groupBy("source", "target").agg(F.min("relationship").alias("kind"))
+    kinds = _among(edges, path).groupBy("source", "target").agg(F.min("relationship").alias("kind"))
     forth, back = (kinds.select(F.col(a).alias("before"), F.col(b).alias("node"), F.col("kind").alias(c)) for a, b, c in (("source", "target", "forth"), ("target", "source", "back")))
     told = path.join(forth, ["before", "node"], "left").join(back, ["before", "node"], "left").join(todo, "pair")
     first = F.when(F.col("source") == F.col("target"), "IDENTICAL").otherwise("START")
@@ -235,7 +246,7 @@ def path_checks(steps: DataFrame, edges: DataFrame) -> DataFrame:
     rows = steps.withColumn("before", F.lag("node").over(w))
     back = F.startswith("relationship", F.lit("INVERSE_"))
     rows = rows.withColumns({"a": F.when(back, F.col("node")).otherwise(F.col("before")), "b": F.when(back, F.col("before")).otherwise(F.col("node")), "kind": F.regexp_replace("relationship", "^INVERSE_", "")})
-    known = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("relationship").alias("kind")).distinct().withColumn("known", F.lit(True))
+    known = _among(edges, steps).select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("relationship").alias("kind")).distinct().withColumn("known", F.lit(True))
     told = rows.join(known, ["a", "b", "kind"], "left")
     at_ends = ((F.col("step") == 0) & (F.col("node") != F.col("source"))) | F.col("known").isNull() & (F.col("step") > 0)
     ends = F.max_by("node", "step")

@@ -302,7 +302,7 @@ def shortest_path_all(spark, d):
     SELECT DISTINCT source, target, CAST(length + 1 AS BIGINT) AS nodes, CAST(length AS BIGINT) AS "last", CAST(0 AS BIGINT) AS broken FROM walk WHERE here = target""")
 def shortest_path_steps(spark, d):
     """One shortest path of every connected pair, its steps checked against the edges; ties are free, so that the length and the steps' being edges is what counts."""
-    edges = written(view(spark, d, "fx_edges"))
+    edges = written(view(spark, d, "fx_edges").select("source", "target", "relationship"))
     return graph.path_checks(written(graph.path_steps(edges, _pairs(spark, d))), edges)
 
 
