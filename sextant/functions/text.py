@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -221,6 +223,24 @@ def first_class(text: Column, classes: list[tuple[str, list[str]]], default: str
     return out
 
 
+def keywords(text: Column, words: list[str]) -> Column:
+    """array of the words that stand whole in the text, wherever they do; of several that begin at one place the longest. The text is gone through once."""
+    ends: dict[str, list[str]] = {}
+    for w in sorted(words, key=len, reverse=True):
+        ends.setdefault(w[0], []).append(re.escape(w[1:]))
+    one = "|".join(f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in ends.items())
+    return F.regexp_extract_all(text, F.lit(rf"\b(?=({one})\b)"), F.lit(1))
+
+
+def first_found(found: Column, classes: list[tuple[str, list[str]]], words: list[str]) -> Column:
+    """The same as `first_class`, from what `keywords` found of all words: a longer one also holds those that it begins with."""
+    out = F.lit(None).cast("string")
+    for name, own in reversed(classes):
+        holds = [w for w in words if any(re.match(rf"{re.escape(o)}\b", w) for o in own)]
+        out = F.when(F.exists(found, lambda k: k.isin(holds)), name).otherwise(out)  # noqa: B023
+    return out
+
+
 def ministry(order: Column, product: Column, rules: list[tuple[str, str]] = MINISTRIES, default: str = DEFAULT_MINISTRY) -> Column:
     """The ministry of the first word that an order's name or its product holds."""
     said = F.lower(F.concat_ws(" ", order, product))

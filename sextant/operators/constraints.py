@@ -13,6 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .retrieval import small
 
 
@@ -51,17 +52,35 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def applied(rules: list[Rule], item_id: Column, text: Column) -> Column:
-    """array<struct<rule_id, weight, clause, reason>> of the rules that hold, in their order, on rows with slots."""
+def _asks(r: Rule) -> Column:
+    """Whether the slots of a row ask for what the rule weighs."""
+    asked = _any([F.col(s) if s in FLAGS else F.col(s).isin(*values) if values else F.col(s).isNotNull() for s, values in r.when])
+    return F.coalesce(asked, F.lit(False))
+
+
+def _meets(r: Rule, item_id: Column, text: Column) -> Column:
     up, low = F.upper(item_id), F.lower(F.coalesce(text, F.lit("")))
+    met = _any([*(F.contains(up, F.lit(i)) for i in r.items), *(F.contains(low, F.lit(w)) for w in r.words)])
+    return F.coalesce(met, F.lit(False)) & ~F.coalesce(_any([F.contains(up, F.lit(i)) for i in r.unless]), F.lit(False))
 
-    def holds(r: Rule) -> Column:
-        asked = _any([F.col(s) if s in FLAGS else F.col(s).isin(*values) if values else F.col(s).isNotNull() for s, values in r.when])
-        met = _any([*(F.contains(up, F.lit(i)) for i in r.items), *(F.contains(low, F.lit(w)) for w in r.words)])
-        return F.coalesce(asked, F.lit(False)) & F.coalesce(met, F.lit(False)) & ~F.coalesce(_any([F.contains(up, F.lit(i)) for i in r.unless]), F.lit(False))
 
+def applied(rules: list[Rule], item_id: Column, text: Column) -> Column:
+    """array<struct<rule_id, weight, clause, reason>> of the rules that hold, in their order, on rows with slots."""
     one = lambda r: F.struct(*(F.lit(v).alias(k) for k, v in (("rule_id", r.rule_id), ("weight", float(r.weight)), ("clause", r.clause), ("reason", r.reason))))
-    return F.array_compact(F.array(*(F.when(holds(r), one(r)) for r in rules)))
+    return F.array_compact(F.array(*(F.when(_asks(r) & _meets(r, item_id, text), one(r)) for r in rules)))
+
+
+def _names(rules: list[Rule]) -> list[str]:
+    return sorted({s for r in rules for s, _ in r.when})
+
+
+def concerned(slotted: DataFrame, *kept: str, rules: list[Rule] = RULES) -> DataFrame:
+    """What is kept, and the rules' slots, of the queries that ask for what any rule weighs; for the others none can hold.
+
+    A filter isn't moved behind a generator, so a text's slots are worked out once.
+    """
+    rows = slotted.select(F.inline_outer(F.array(F.struct(*kept, *_names(rules)))))
+    return rows.where(_any([_asks(r) for r in rules]))
 
 
 def evaluated(pairs: DataFrame, slotted: DataFrame, items: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -70,8 +89,20 @@ def evaluated(pairs: DataFrame, slotted: DataFrame, items: DataFrame, rules: lis
     slotted: qid and its slots; items: doc_id, item_id, scope_text.  Pairs of which
     either side isn't known are left out.
     """
-    names = sorted({s for r in rules for s, _ in r.when})
-    rows = pairs.select("qid", "doc_id").join(small(slotted.select("qid", *names)), "qid").join(small(items.select("doc_id", "item_id", "scope_text")), "doc_id")
+    rows = pairs.select("qid", "doc_id").join(small(slotted.select("qid", *_names(rules))), "qid").join(small(items.select("doc_id", "item_id", "scope_text")), "doc_id")
+    return _weighed(rows, rules)
+
+
+def evaluated_alike(found: DataFrame, members: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """The same from what queries that are alike have found: found (key, doc_id, item_id, scope_text), members (qid, key, slots).
+
+    An item that meets no rule is left out before it is dealt to the queries.
+    """
+    rows = found.where(_any([_meets(r, F.col("item_id"), F.col("scope_text")) for r in rules]))
+    return _weighed(members.select("qid", "key", *_names(rules)).join(small(written(rows)), "key"), rules)
+
+
+def _weighed(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     rows = rows.select("qid", "doc_id", applied(rules, F.col("item_id"), F.col("scope_text")).alias("applied")).where(F.size("applied") > 0)
     total = F.round(F.aggregate("applied", F.lit(0.0), lambda s, r: s + r["weight"]), 6)
     return rows.select("qid", "doc_id", total.alias("bonus"), "applied")

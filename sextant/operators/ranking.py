@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import band, bounded_score, canonical_key, tokens
 from ..sources.scratch import written
 from .graph import aliases
-from .retrieval import Index, index, searched, small, top_k
+from .retrieval import Index, index, searched, searched_alike, small, top_k
 
 # Weights and limits of the composite score.
 CAP, SCALE, EXACT, MENTION, GRADE, SLOT_CAP, SLOT, IN_FORCE = 0.40, 12.0, 0.35, 0.25, 0.08, 0.20, 0.30, 0.08
@@ -31,6 +31,12 @@ def candidates(queries: DataFrame, catalog: DataFrame, keep_history: bool = Fals
     return out if keep_history else out.where(~F.col("status").isin(*OBSOLETE))
 
 
+def candidates_alike(members: DataFrame, catalog: DataFrame, found: Index) -> DataFrame:
+    """key, doc_id, item_id, scope_text: the candidates that the lifecycle policy allows, of queries as from `retrieval.alike`."""
+    rows = catalog.select("doc_id", "item_id", "scope_text", "status").where(~F.col("status").isin(*OBSOLETE)).drop("status")
+    return searched_alike(members, found).join(small(rows), "doc_id")
+
+
 def named(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """qid, exact_id: the item that a whole query names, else the item of the first citation in it, with or without its year; null where neither is known."""
     text = F.coalesce("text", F.lit(""))

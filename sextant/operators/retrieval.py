@@ -48,6 +48,8 @@ RARE = 128
 FEWER = 4
 #: Queries that are broadcast to the texts at most, and texts of a partition then.
 FEW_QUERIES, SCANNED_TEXTS = 1024, 4096
+#: Words without a text that are left out of queries at most, the most asked ones.
+UNKNOWN_WORDS = 4096
 #: More than rounding to six places and the order of additions can move a score.
 SLACK = 2e-6
 
@@ -209,13 +211,20 @@ def _asked(queries: DataFrame, terms: Column) -> DataFrame:
 
 def bm25_weights(queries: DataFrame, ranking: Ranking) -> DataFrame:
     """qid, term, weight, top, df of the terms that the corpus has."""
-    asked = _asked(queries, tokens(F.col("text")))
+    return _bm25_weighted(_asked(queries, tokens(F.col("text"))), ranking)
+
+
+def _bm25_weighted(asked: DataFrame, ranking: Ranking) -> DataFrame:
     return written(asked.join(ranking.terms, "term").select("qid", "term", (F.col("tf") * F.col("idf")).alias("weight"), "top", "df"))
 
 
 def tfidf_weights(queries: DataFrame, ranking: Ranking) -> DataFrame:
     """The same for cosines: a query's weights have the length 1."""
-    asked = _asked(queries, bigrams(tokens(F.col("text")))).join(ranking.terms, "term").select("qid", F.struct("term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"), "top", "df").alias("p"))
+    return _tfidf_weighted(_asked(queries, bigrams(tokens(F.col("text")))), ranking)
+
+
+def _tfidf_weighted(asked: DataFrame, ranking: Ranking) -> DataFrame:
+    asked = asked.join(ranking.terms, "term").select("qid", F.struct("term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"), "top", "df").alias("p"))
     asked = asked.groupBy("qid").agg(F.collect_list("p").alias("p")).select("qid", _length("p").alias("length"), "p").select("qid", "length", F.inline_outer("p"))
     return written(asked.select("qid", "term", (F.col("w") / F.col("length")).alias("weight"), "top", "df"))
 
@@ -412,6 +421,34 @@ def searched(queries: DataFrame, found: Index, k: int | None = None) -> DataFram
     return fused(sparse, best(tfidf_weights(queries, found.tfidf), found.tfidf, CANDIDATES), k)
 
 
+def alike(queries: DataFrame, found: Index) -> DataFrame:
+    """queries (qid, words, ...), a written table with a row for each qid, with key and terms for words: the words and pairs that they ask for; those that ask for the same have one key.
+
+    A word that no text has adds to no score, nor does a pair with it.  The most
+    asked of them are left out first; the rest stays in terms, and meets no text.
+    Queries without a term, or without an id, are left out.
+    """
+    asked = queries.select(F.explode_outer("words").alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    unknown = asked.join(found.bm25.terms.select("term"), "term", "left_anti").orderBy(F.col("n").desc(), "term").limit(UNKNOWN_WORDS)
+    unknown = [r.term for r in unknown.select("term").collect()]
+    others = [c for c in queries.columns if c != "words"]
+    rows = queries.where("qid is not null").select(*others, F.posexplode_outer("words").alias("place", "word")).where(F.col("word").isNotNull() & ~F.col("word").isin(unknown))
+    rows = rows.groupBy(*others).agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("w"))
+    pair = lambda a, b: F.when(b["place"] == a["place"] + 1, F.concat(a["word"], F.lit(" "), b["word"]))
+    pairs = F.when(F.size("w") > 1, F.array_compact(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), pair))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select(*others, F.sort_array(F.concat(F.col("w.word"), pairs)).alias("terms"))
+    return written(rows.withColumn("key", F.unhex(F.sha2(F.concat_ws("\n", "terms"), 256))))
+
+
+def searched_alike(members: DataFrame, found: Index) -> DataFrame:
+    """key, doc_id: the candidates of both rankings, of queries as from `alike`; those of one key are searched once."""
+    once = written(members.groupBy(F.col("key").alias("qid")).agg(F.first("terms").alias("terms")))
+    words, terms = F.filter("terms", lambda t: ~F.contains(t, F.lit(" "))), F.col("terms")
+    sparse = best(_bm25_weighted(_asked(once, words), found.bm25), found.bm25, CANDIDATES)
+    cosine = best(_tfidf_weighted(_asked(once, terms), found.tfidf), found.tfidf, CANDIDATES)
+    return sparse.select(F.col("qid").alias("key"), "doc_id").unionByName(cosine.select(F.col("qid").alias("key"), "doc_id")).distinct()
+
+
 def fused(first: DataFrame, second: DataFrame, k: int | None = None, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of two rankings: qid, doc_id, score, with ranks and scores of each (null where missing)."""
     a = first.select("qid", "doc_id", F.col("rank").alias("rank_a"), F.col("score").alias("score_a"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_class
+from ..functions.text import first_class, first_found, keywords, tokens
 from ..sources.scratch import small_side
 from .matching import MOST_RULES, contained, held
 
@@ -41,14 +43,37 @@ GRADES = [("Fe 500D", ["500d"]), ("Fe 550D", ["550d"]), ("Fe 415D", ["fe 415d"])
 ENTROPY_LIMIT, ENTROPY_TOP = 2.1, 5
 
 
-def slots(texts: DataFrame) -> DataFrame:
-    """Adds exposure, seismic, corrosion, infrastructure, pressure, grade and what follows from them."""
+_KINDS = {"exposure": EXPOSURE, "seismic": SEISMIC, "corrosion": CORROSION, "infrastructure": INFRASTRUCTURE}
+_KEYWORDS = list(dict.fromkeys(w for kind in _KINDS.values() for _, own in kind for w in own))
+
+
+def read_in_pieces(texts: DataFrame, joint: str, recurring: list[str]) -> DataFrame:
+    """texts with words (their search tokens) and found (the keywords of slots in them), read between joints, which hold a semicolon.
+
+    No token and no keyword holds a semicolon or is another one beside it, so a
+    text's are those of its pieces.  Pieces that recur are read once, others where
+    they stand; which ones are given as recurring doesn't change a row.
+    """
+    if ";" not in joint:
+        raise ValueError("pieces must be joined by a semicolon")
+    read = lambda t: F.struct(tokens(t).alias("words"), keywords(F.lower(t), _KEYWORDS).alias("found"))
+    once = texts.sparkSession.createDataFrame([(p,) for p in recurring], "piece string").distinct().select("piece", read(F.col("piece")).alias("r")).collect() if recurring else []
+    strings = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    known = F.create_map(*(x for p, r in once for x in (F.lit(p), F.struct(strings(r.words).alias("words"), strings(r.found).alias("found")))))
+    pieces = F.split(F.coalesce("text", F.lit("")), re.escape(joint))
+    each = F.transform(pieces, (lambda p: F.coalesce(F.element_at(known, p), read(p))) if once else read)
+    rows = texts.withColumn("__read", each)
+    return rows.withColumns({"words": F.flatten("__read.words"), "found": F.flatten("__read.found")}).drop("__read")
+
+
+def slots(texts: DataFrame, found: str | None = None) -> DataFrame:
+    """Adds exposure, seismic, corrosion, infrastructure, pressure, grade and what follows from them; found names a column as from `read_in_pieces`."""
     low = F.lower("text")
     pressure = F.upper(F.nullif(F.regexp_extract(low, r"\b(?:working pressure\s*)?(\d+\s*(?:bar|kg/cm2|mpa)|pn\s*\d+)\b", 1), F.lit("")))
-    out = texts.withColumns({
-        "exposure": first_class(low, EXPOSURE), "seismic": first_class(low, SEISMIC), "corrosion": first_class(low, CORROSION), "infrastructure": first_class(low, INFRASTRUCTURE),
+    out = texts.withColumn("__found", F.col(found) if found else keywords(low, _KEYWORDS)).withColumns({
+        **{c: F.when(F.size("__found") > 0, first_found(F.col("__found"), kind, _KEYWORDS)) for c, kind in _KINDS.items()},
         "pressure": F.coalesce(pressure, F.when(low.contains("gravity") | low.contains("non-pressure"), "NON-PRESSURE / GRAVITY")), "grade": first_class(low, GRADES, whole=False),
-    })
+    }).drop("__found")
     true = lambda c: F.coalesce(c, F.lit(False))
     out = out.withColumn("requires_crs", true(F.col("corrosion") == "marine_coastal") | true(F.col("exposure").isin("severe", "very severe", "extreme")))
     out = out.withColumn("requires_ductility", true(F.col("seismic").isin("zone iv", "zone v")) | true(F.col("infrastructure").isin("bridge", "high_rise")))

@@ -487,10 +487,14 @@ _CLAUSES = ", ".join(f"CASE WHEN {c} THEN '{r.clause}' END" for r, c in zip(_RUL
 @query(O.composite_sql(views=with_views("fx_lines", "fx_tenders", "fx_catalog"), asked=_TENDER_ITEMS, rules=_RULES) + f""", met AS (SELECT qid, doc_id, {O.bonus_sql(_RULES)} AS bonus, concat_ws('; ', {_APPLIED}) AS rules, concat_ws('; ', {_CLAUSES}) AS clauses
     FROM fused JOIN cat c USING (doc_id) JOIN slotted s USING (qid) WHERE c.status NOT IN ('SUPERSEDED', 'WITHDRAWN')) SELECT * FROM met WHERE rules <> ''""")
 def constraint_bonus(spark, d):
-    """Every rule on the candidates of every tender."""
-    tenders = view(spark, d, "fx_tenders").select(F.col("doc_id").alias("qid"), "text")
-    tenders, items = written(tenders), _catalog(spark, d)
-    out = constraints.evaluated(ranking.candidates(tenders, items), slots.slots(tenders), items, _RULES)
+    """Every rule on the candidates of every tender; tenders that no rule asks about aren't searched, and those that ask for the same are searched once."""
+    tenders, items = view(spark, d, "fx_tenders").select(F.col("doc_id").alias("qid"), "text"), _catalog(spark, d)
+    recurring = view(spark, d, "fx_lines").select("phrase").limit(1000).groupBy("phrase").count().where("phrase is not null and count > 1")
+    tenders = slots.read_in_pieces(tenders, " ; ", [r.phrase for r in recurring.collect()])
+    asked = constraints.concerned(slots.slots(tenders, "found"), "qid", "words", rules=_RULES)
+    found = retrieval.index(items.select("doc_id", "text"))
+    members = retrieval.alike(written(asked), found)
+    out = constraints.evaluated_alike(ranking.candidates_alike(members, items, found), members, _RULES)
     said = lambda k: F.array_join(F.transform("applied", lambda r: r[k]), "; ")
     return out.select("qid", "doc_id", "bonus", said("rule_id").alias("rules"), said("clause").alias("clauses"))
 
