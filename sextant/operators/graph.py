@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,20 +96,44 @@ def two_hop(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> Data
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
 
+def _marks(node: Column) -> list[tuple[Column, Column]]:
+    """The three places, word and bit, that a node has among the 8 words of `_marked`."""
+    h = F.xxhash64(node)
+    places = [F.shiftright(h, by).bitwiseAND(511) for by in (0, 9, 18)]
+    return [(F.shiftright(p, 6).cast("int"), p.bitwiseAND(63).cast("int")) for p in places]
+
+
+def _marked(nodes: DataFrame) -> DataFrame:
+    """seed, source, marks: the nodes of a seed that edges are followed from, each with the marks of all nodes of that seed."""
+    one = F.lit(1).cast("long")
+    words = [F.bit_or(reduce(lambda a, b: a.bitwiseOR(b), (F.when(word == i, F.call_function("shiftleft", one, bit)).otherwise(F.lit(0).cast("long")) for word, bit in _marks(F.col("id"))))) for i in range(8)]
+    sets = nodes.groupBy("seed").agg(F.collect_list(F.when(F.col("hop") < 2, F.col("id"))).alias("from"), F.array(*words).alias("marks"))
+    return sets.select("seed", "marks", F.explode("from").alias("source"))
+
+
+def _may_have(node: Column) -> Column:
+    """Whether a row's marks have those of a node: always for a node of its seed, seldom for others."""
+    return reduce(lambda a, b: a & b, (F.call_function("shiftright", F.get("marks", word), bit).bitwiseAND(1) == 1 for word, bit in _marks(node)))
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The nodes of `two_hop`, and its links: seed, source, target, relationship.
 
     Links are the different edges that an expansion follows (all of the seed's, and
-    those that leave nodes of the first hop) between nodes that stay.
+    those that leave nodes of the first hop) between nodes that stay.  An edge onto
+    the seed leaves a node of the first hop, so all links leave a node of a hop
+    below 2.  Most edges from there lead to no node that stays: they are seen where
+    they are joined, by marks of the seed's nodes, and only those that may be links
+    are shuffled to be looked up.
     """
     nodes = written(two_hop(edges, seeds, most))
-    kept = nodes.select("id").distinct()
-    among = edges.select("source", "target", "relationship").join(kept.withColumnRenamed("id", "source"), "source", "left_semi").join(kept.withColumnRenamed("id", "target"), "target", "left_semi").distinct()
-    among = written(among)
-    leaving = nodes.where("hop < 2").select("seed", F.col("id").alias("source")).join(among, "source").join(nodes.select("seed", F.col("id").alias("target")), ["seed", "target"], "left_semi")
-    coming = nodes.where("hop = 0").select("seed", F.col("id").alias("target")).join(among, "target").join(nodes.select("seed", F.col("id").alias("source")), ["seed", "source"], "left_semi")
-    links = leaving.select("seed", "source", "target", "relationship").unionByName(coming.select("seed", "source", "target", "relationship"))
-    return nodes, links.distinct()
+    kept = nodes.where("hop < 2").select(F.col("id").alias("source")).distinct()
+    leaving = edges.select("source", "target", "relationship")
+    if kept.limit(MOST_NODES + 1).count() <= MOST_NODES:
+        leaving = leaving.join(F.broadcast(kept), "source", "left_semi")
+    may = _marked(nodes).join(leaving, "source").where(_may_have(F.col("target")))
+    links = may.select("seed", "source", "target", "relationship").join(nodes.select("seed", F.col("id").alias("target")), ["seed", "target"], "left_semi")
+    return nodes, links.select("seed", "source", "target", "relationship").distinct()
 
 
 def subgraph(edges: DataFrame, roots: DataFrame, with_orders: bool = True, most: int | None = None) -> DataFrame:
