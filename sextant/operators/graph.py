@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,8 @@ from ..sources.scratch import small_side, written
 
 #: Node ids that are broadcast at most, to leave out edges of other nodes before they are shuffled.
 MOST_NODES = 1_000_000
+#: Kinds of ids, by what stands before their number, that are numbered at most.
+MOST_PREFIXES = 64
 NO_LOOPS = ("NORMATIVE_REF", "TESTED_BY", "SUPERSEDES")
 
 
@@ -59,15 +62,66 @@ def one_hop(edges: DataFrame) -> DataFrame:
     return both_ways(edges).withColumn("category", category).where("category is not null").select("node", "neighbour", "category").distinct()
 
 
-def _nearest(near: DataFrame, most: int | None) -> DataFrame:
-    """node, neighbour: all different pairs, or the `most` smallest neighbours of each node; a hub is cut before it is shuffled."""
+def _nearest(near: DataFrame, most: int) -> DataFrame:
+    """node, neighbour: the `most` smallest neighbours of each node; a hub is cut before it is shuffled."""
     pairs = near.select("node", "neighbour").distinct()
-    if most is None:
-        return pairs
     order = Window.partitionBy("node").orderBy("neighbour")
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
 
+def _split(node: str) -> dict[str, Column]:
+    """A node's id as what stands before its last digits and their number, or where they don't give it back, as it is."""
+    prefix = F.rtrim(F.col(node), F.lit("0123456789"))
+    number = F.substring(F.col(node), F.length(prefix) + 1, F.length(node)).try_cast("int")
+    fits = F.coalesce(F.concat(prefix, number.cast("string")) == F.col(node), F.lit(False))
+    return {f"{node}_prefix": F.when(fits, prefix), f"{node}_number": F.when(fits, number), f"{node}_whole": F.when(~fits, F.col(node))}
+
+
+def _numbered(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame, Callable[[Column], Column]]:
+    """Edges (source, target), written once, and different seeds (seed, node) with one number for a node's id, and what makes the id of a number.
+
+    Ids that a number doesn't give back, or of more than MOST_PREFIXES kinds, stay as they are.  The
+    node of a seed that is no end of an edge may be null.
+    """
+    start = seeds.select(F.col("id").alias("seed")).distinct()
+    if any(edges.schema[c].dataType.simpleString() != "string" for c in ("source", "target")):
+        return written(edges.select("source", "target")), start.withColumn("node", F.col("seed")), lambda c: c
+    split = written(edges.select(*(c.alias(k) for end in ("source", "target") for k, c in _split(end).items())))
+    whole = split.where("source_whole is not null or target_whole is not null").isEmpty()
+    kinds = split.select(F.explode(F.array("source_prefix", "target_prefix")).alias("prefix")).where("prefix is not null").distinct().limit(MOST_PREFIXES + 1)
+    prefixes = sorted(r.prefix for r in kinds.collect()) if whole else []
+    if not prefixes or len(prefixes) > MOST_PREFIXES:
+        id_of = lambda end: F.coalesce(f"{end}_whole", F.concat(f"{end}_prefix", F.col(f"{end}_number").cast("string"))).alias(end)
+        return split.select(id_of("source"), id_of("target")), start.withColumn("node", F.col("seed")), lambda c: c
+    most = split.agg(F.max(F.greatest("source_number", "target_number"))).first()[0]
+    n, known = len(prefixes), F.array(*map(F.lit, prefixes))
+    kind = "int" if (most + 1) * n < 1 << 31 else "long"
+    number = lambda end: (F.col(f"{end}_number").cast("long") * n + F.array_position(known, F.col(f"{end}_prefix")) - 1).cast(kind)
+    start = start.select("seed", *(c.alias(k) for k, c in _split("seed").items()))
+    node = F.when(F.array_contains(known, F.col("seed_prefix")) & (F.col("seed_number") <= most), number("seed"))
+    named = lambda c: F.concat(F.element_at(known, (c % n + 1).cast("int")), F.floor(c / n).cast("string"))
+    return split.select(number("source").alias("source"), number("target").alias("target")), start.select("seed", node.alias("node")), named
+
+
+def _expanded(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seed, id, hop of whole expansions.
+
+    Nodes travel as numbers, and what leaves a node as one array, which is laid
+    out only where all that its seed reaches is.
+    """
+    edges, start, named = _numbered(edges, seeds)
+    start = written(start)
+    some = start.select("node").where("node is not null").distinct()
+    near = both_ways(edges.withColumn("relationship", F.lit(None).cast("string"))).select("node", "neighbour").join(small_side(some, MOST_NODES), "node", "left_semi")
+    first = written(near.where("neighbour != node").distinct())
+    out = edges.groupBy(F.col("source").alias("neighbour")).agg(F.collect_set("target").alias("ids"), F.bool_or(F.col("target").isNull()).alias("blank"))
+    far = first.join(out, "neighbour").select("node", F.lit(2).alias("hop"), F.when(F.col("blank"), F.array_append("ids", F.lit(None).cast(edges.schema["target"].dataType))).otherwise(F.col("ids")).alias("ids"))
+    rows = some.select("node", F.lit(0).alias("hop"), F.array("node").alias("ids")).unionByName(first.select("node", F.lit(1).alias("hop"), F.array("neighbour").alias("ids"))).unionByName(far)
+    found = rows.repartition("node").select("node", "hop", F.explode("ids").alias("id")).groupBy("node", "id").agg(F.min("hop").alias("hop"))
+    found = found.select(named(F.col("node")).alias("seed"), named(F.col("id")).alias("id"), "hop")
+    return found.unionByName(start.where("node is null").select("seed", F.col("seed").alias("id"), F.lit(0).alias("hop")))
+
+
 def two_hop(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """seed, id, hop: both directions from the seed, then out-edges only; a node keeps its first hop, and the nearest `most` stay, ties to smaller ids.
 
@@ -77,21 +131,18 @@ def two_hop(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> Data
     Edges of other nodes than seeds, and then than those of seeds that aren't full,
     are left out before they are shuffled.
     """
+    if most is None:
+        return _expanded(edges, seeds)
     start = seeds.select(F.col("id").alias("seed")).distinct()
     near = both_ways(edges).join(small_side(start.withColumnRenamed("seed", "node"), MOST_NODES), "node", "left_semi")
     first = written(_nearest(near, most).select(F.col("node").alias("seed"), F.col("neighbour").alias("id")).where("id != seed"))
-    onward = first
-    if most is not None:
-        onward = first.join(first.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 < most).select("seed"), "seed", "left_semi")
+    onward = first.join(first.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 < most).select("seed"), "seed", "left_semi")
     leaving = edges.select(F.col("source").alias("node"), F.col("target").alias("neighbour"))
-    if most is not None:
-        leaving = leaving.join(small_side(onward.select(F.col("id").alias("node")).distinct(), MOST_NODES), "node", "left_semi")
+    leaving = leaving.join(small_side(onward.select(F.col("id").alias("node")).distinct(), MOST_NODES), "node", "left_semi")
     out = _nearest(leaving, most).select(F.col("node").alias("id"), F.col("neighbour").alias("next"))
     second = onward.join(out, "id").select("seed", F.col("next").alias("id"))
     found = start.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hop")).unionByName(first.withColumn("hop", F.lit(1))).unionByName(second.withColumn("hop", F.lit(2)))
     found = found.groupBy("seed", "id").agg(F.min("hop").alias("hop"))
-    if most is None:
-        return found
     order = Window.partitionBy("seed").orderBy("hop", "id")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
