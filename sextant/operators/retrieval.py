@@ -421,12 +421,19 @@ def searched(queries: DataFrame, found: Index, k: int | None = None) -> DataFram
     return fused(sparse, best(tfidf_weights(queries, found.tfidf), found.tfidf, CANDIDATES), k)
 
 
+def without_text(words: list[str], found: Index) -> set[str]:
+    """The words that no text has."""
+    given = found.bm25.terms.sparkSession.createDataFrame([(w,) for w in words], "term string")
+    return set(words) - {r.term for r in found.bm25.terms.select("term").join(F.broadcast(given), "term", "left_semi").collect()}
+
+
 def alike(queries: DataFrame, found: Index) -> DataFrame:
     """queries (qid, words, ...), a written table with a row for each qid, with key and terms for words: the words and pairs that they ask for; those that ask for the same have one key.
 
     A word that no text has adds to no score, nor does a pair with it.  The most
     asked of them are left out first; the rest stays in terms, and meets no text.
-    Queries without a term, or without an id, are left out.
+    Queries without a term, or without an id, are left out; words may be null where
+    one that no text has stood.
     """
     asked = queries.select(F.explode_outer("words").alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     unknown = asked.join(found.bm25.terms.select("term"), "term", "left_anti").orderBy(F.col("n").desc(), "term").limit(UNKNOWN_WORDS)

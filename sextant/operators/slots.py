@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,19 +48,21 @@ _KINDS = {"exposure": EXPOSURE, "seismic": SEISMIC, "corrosion": CORROSION, "inf
 _KEYWORDS = list(dict.fromkeys(w for kind in _KINDS.values() for _, own in kind for w in own))
 
 
-def read_in_pieces(texts: DataFrame, joint: str, recurring: list[str]) -> DataFrame:
+def read_in_pieces(texts: DataFrame, joint: str, recurring: list[str], needless: Callable[[list[str]], set[str]] | None = None) -> DataFrame:
     """texts with words (their search tokens) and found (the keywords of slots in them), read between joints, which hold a semicolon.
 
     No token and no keyword holds a semicolon or is another one beside it, so a
     text's are those of its pieces.  Pieces that recur are read once, others where
-    they stand; which ones are given as recurring doesn't change a row.
+    they stand; which ones are given as recurring doesn't change a row.  `needless`
+    tells of their words those that aren't needed; they are null there, in their place.
     """
     if ";" not in joint:
         raise ValueError("pieces must be joined by a semicolon")
     read = lambda t: F.struct(tokens(t).alias("words"), keywords(F.lower(t), _KEYWORDS).alias("found"))
     once = texts.sparkSession.createDataFrame([(p,) for p in recurring], "piece string").distinct().select("piece", read(F.col("piece")).alias("r")).collect() if recurring else []
+    blank = needless(sorted({w for _, r in once for w in r.words})) if once and needless else set()
     strings = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
-    known = F.create_map(*(x for p, r in once for x in (F.lit(p), F.struct(strings(r.words).alias("words"), strings(r.found).alias("found")))))
+    known = F.create_map(*(x for p, r in once for x in (F.lit(p), F.struct(strings(None if w in blank else w for w in r.words).alias("words"), strings(r.found).alias("found")))))
     pieces = F.split(F.coalesce("text", F.lit("")), re.escape(joint))
     each = F.transform(pieces, (lambda p: F.coalesce(F.element_at(known, p), read(p))) if once else read)
     rows = texts.withColumn("__read", each)

@@ -490,9 +490,9 @@ def constraint_bonus(spark, d):
     """Every rule on the candidates of every tender; tenders that no rule asks about aren't searched, and those that ask for the same are searched once."""
     tenders, items = view(spark, d, "fx_tenders").select(F.col("doc_id").alias("qid"), "text"), _catalog(spark, d)
     recurring = view(spark, d, "fx_lines").select("phrase").limit(1000).groupBy("phrase").count().where("phrase is not null and count > 1")
-    tenders = slots.read_in_pieces(tenders, " ; ", [r.phrase for r in recurring.collect()])
-    asked = constraints.concerned(slots.slots(tenders, "found"), "qid", "words", rules=_RULES)
     found = retrieval.index(items.select("doc_id", "text"))
+    tenders = slots.read_in_pieces(tenders, " ; ", [r.phrase for r in recurring.collect()], lambda words: retrieval.without_text(words, found))
+    asked = constraints.concerned(slots.slots(tenders, "found"), "qid", "words", rules=_RULES)
     members = retrieval.alike(written(asked), found)
     out = constraints.evaluated_alike(ranking.candidates_alike(members, items, found), members, _RULES)
     said = lambda k: F.array_join(F.transform("applied", lambda r: r[k]), "; ")

@@ -50,6 +50,10 @@ def test_pieces_and_keywords(spark):
         rows = rows.join(plain, "qid").withColumns({f"old_{k}": first_class(F.lower("text"), kind) for k, kind in kinds.items()})
         wrong = " or ".join(f"not ({k} <=> old_{k}) or not (own_{k} <=> old_{k})" for k in kinds)
         assert rows.count() == 1502 and rows.where(wrong).isEmpty() and rows.where(~F.col("words").eqNullSafe(tokens(F.col("text")))).isEmpty()
+    needless = ["is_12", "coastal", "zone"]
+    rows = slots.read_in_pieces(q, " ; ", recurring, lambda words: set(needless) & set(words)).withColumn("all", tokens(F.col("text")))
+    kept = lambda c: F.transform(c, lambda w: F.when(~w.isin(needless), w))
+    assert rows.where(~kept("words").eqNullSafe(kept("all"))).isEmpty() and not rows.where(F.exists("words", lambda w: w.isNull())).isEmpty()
     with pytest.raises(ValueError):
         slots.read_in_pieces(q, " ", [])
 
